@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codexfold import constants as K
+from codexfold.functions.clock import micros
 from codexfold.functions.prefix import BLOCK_ROWS, PART_CHARS, ordered_text, prefix
 from codexfold.functions.skew import lookup_join
 from codexfold.functions.text import lookup
@@ -189,14 +190,10 @@ def idle_heartbeat(
 ) -> DataFrame:
     """Gaps of at least ``idle_seconds`` before an event, with the number of
     heartbeats a reader got meanwhile."""
-    micros = F.unix_micros("ts")
-    log = prefix(
-        events.select("session_id", "seq", "ts"), ["session_id"], "seq",
-        {"_last": ("max", F.struct("seq", micros.alias("us")))}, block,
-    )
-    gap = micros - F.col("_last.us")
+    arrivals = events.select("session_id", "seq", micros(events, "ts").alias("_us"))
+    log = prefix(arrivals, ["session_id"], "seq", {"_last": ("max", F.struct("seq", "_us"))}, block)
     return (
-        log.withColumn("gap_us", gap)
+        log.withColumn("gap_us", F.col("_us") - F.col("_last._us"))
         .withColumn("heartbeats", F.floor(F.col("gap_us") / (idle_seconds * 1_000_000)))
         .where(F.col("heartbeats") > 0)
         .select("session_id", "seq", "gap_us", "heartbeats")

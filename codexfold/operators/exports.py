@@ -45,34 +45,44 @@ def code_archive_export(
         "part", F.floor(F.col("_before") / part_bytes)
     )
 
-    def build(frame):
+    columns = ["session_id", "part", "pattern", "path", "content"]
+
+    def build(batches):
+        """Rows arrive sorted, so one archive at a time is open."""
         import io
         import zipfile
 
         import pandas as pd
 
-        rows = frame.sort_values("ord")
-        buffer = io.BytesIO()
-        with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as archive:
-            for path, content in zip(rows["path"], rows["content"]):
+        def closed(key, buffer, archive, slug, count):
+            archive.close()
+            ending = "-migrated.zip" if key[1] == 0 else f"-migrated.{key[1]}.zip"
+            return pd.DataFrame(
+                {"session_id": [key[0]], "part": [key[1]], "filename": [slug + ending],
+                 "files": [count], "zip": [buffer.getvalue()]}
+            )
+
+        key = None
+        for batch in batches:
+            rows = zip(*(batch[c] for c in columns))
+            for session_id, part, pattern, path, content in rows:
+                if (session_id, part) != key:
+                    if key is not None:
+                        yield closed(key, buffer, archive, slug, count)
+                    key, slug, count = (session_id, part), pattern.replace("/", "-"), 0
+                    buffer = io.BytesIO()
+                    archive = zipfile.ZipFile(buffer, "w")
                 archive.writestr(zipfile.ZipInfo(path), content, zipfile.ZIP_DEFLATED)
-        slug, part = rows["pattern"].iloc[0].replace("/", "-"), int(rows["part"].iloc[0])
-        ending = "-migrated.zip" if part == 0 else f"-migrated.{part}.zip"
-        return pd.DataFrame(
-            {
-                "session_id": [rows["session_id"].iloc[0]],
-                "part": [part],
-                "filename": [slug + ending],
-                "files": [len(rows)],
-                "zip": [buffer.getvalue()],
-            }
-        )
+                count += 1
+        if key is not None:
+            yield closed(key, buffer, archive, slug, count)
 
     return (
         placed.withColumn("pattern", F.coalesce("pattern", F.lit("migration")))
-        .select("session_id", "pattern", "part", "ord", "path", "content")
-        .groupBy("session_id", "part")
-        .applyInPandas(build, "session_id bigint, part bigint, filename string, files bigint, zip binary")
+        .repartition("session_id", "part")
+        .sortWithinPartitions("session_id", "part", "ord")
+        .select(*columns)
+        .mapInPandas(build, "session_id bigint, part bigint, filename string, files bigint, zip binary")
     )
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codexfold.constants import FEEDBACK_LEAD, SESSION_DEFAULTS
+from codexfold.functions.clock import micros
 from codexfold.functions.prefix import BLOCK_ROWS, PART_CHARS, ordered_text, prefix
 from codexfold.functions.skew import lookup_join
 from codexfold.functions.text import nonempty
@@ -156,23 +157,22 @@ def pending_review(ready: DataFrame, confirms: DataFrame) -> DataFrame:
     Both logs have (session_id, stage, ts). Gates are one-shot, so only the
     first of each counts; a union and one aggregate replace the join.
     """
+    none = F.lit(None).cast("bigint")
     log = ready.select(
-        "session_id", "stage", F.col("ts").alias("ready_ts"), F.lit(None).cast("timestamp").alias("confirm_ts")
+        "session_id", "stage", micros(ready, "ts").alias("_ready"), none.alias("_confirm")
     ).unionByName(
-        confirms.select(
-            "session_id", "stage", F.lit(None).cast("timestamp").alias("ready_ts"), F.col("ts").alias("confirm_ts")
-        )
+        confirms.select("session_id", "stage", none.alias("_ready"), micros(confirms, "ts").alias("_confirm"))
     )
     gate = log.groupBy("session_id", "stage").agg(
-        F.min("ready_ts").alias("ready_ts"), F.min("confirm_ts").alias("confirm_ts")
+        F.min("_ready").alias("_ready"), F.min("_confirm").alias("_confirm")
     )
-    micros = F.unix_micros("confirm_ts") - F.unix_micros("ready_ts")
     # A gate set before the session reaches it lets it through at once.
-    return gate.where(F.col("ready_ts").isNotNull()).select(
+    waited = F.greatest(F.col("_confirm") - F.col("_ready"), F.lit(0))
+    return gate.where(F.col("_ready").isNotNull()).select(
         "session_id",
         "stage",
-        F.when(F.col("confirm_ts").isNull(), "waiting").otherwise("confirmed").alias("status"),
-        F.greatest(micros, F.lit(0)).alias("waited_us"),
+        F.when(F.col("_confirm").isNull(), "waiting").otherwise("confirmed").alias("status"),
+        F.when(F.col("_confirm").isNotNull(), waited).alias("waited_us"),
     )
 
 
