@@ -1,9 +1,17 @@
-"""Joins against a side with one row per key, safe for hot keys.
+"""Joins of a large side with a side that has one row per key, safe for hot keys.
 
-``lookup_join`` spreads the rows of each key of the large side over ``salts``
-partitions and repeats the (unique-key) small side once per salt, so a key with
-a third of all rows never lands in one task. When the small side turns out to be
-small, adaptive execution still replaces the shuffle join by a broadcast join.
+``lookup_join``: the rows of a key are spread over up to ``salts`` salted keys,
+and the unique side is repeated only for the (key, salt) pairs that occur. Those
+pairs come from a map-side combined distinct over the key columns, so a key with
+a third of all rows contributes at most ``salts`` of them, cold keys are hardly
+repeated, and no task of the final join holds a whole hot key.
+
+``replicated_join``: a fixed number of copies of the unique side instead of the
+pass over the large side's keys; for a large side that is costly to compute
+twice and a compact unique side.
+
+Neither forces a broadcast: Spark picks one only when statistics or adaptive
+execution show that a side is small.
 """
 
 from __future__ import annotations
@@ -13,7 +21,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SALTS = 16
+SALTS = 4096
+COPIES = 32
+
+
+def _salted(large: DataFrame, spread: Column, salts: int) -> DataFrame:
+    return large.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
 
 
 def lookup_join(
@@ -24,6 +37,18 @@ def lookup_join(
     how: str = "left",
     salts: int = SALTS,
 ) -> DataFrame:
-    salted = large.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
-    copies = unique.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(copies, [*on, "_salt"], how).drop("_salt")
+    salted = _salted(large, spread, salts)
+    pairs = salted.select(*on, "_salt").distinct().join(unique, list(on))
+    return salted.join(pairs, [*on, "_salt"], how).drop("_salt")
+
+
+def replicated_join(
+    large: DataFrame,
+    unique: DataFrame,
+    on: Sequence[str],
+    spread: Column,
+    how: str = "left",
+    copies: int = COPIES,
+) -> DataFrame:
+    repeated = unique.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
+    return _salted(large, spread, copies).join(repeated, [*on, "_salt"], how).drop("_salt")

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codexfold.functions.skew import lookup_join
+from codexfold.functions.skew import replicated_join
 from codexfold.functions.text import basename, nonempty, strip, suffix
 
 JAVA = (".java",)
@@ -95,7 +95,7 @@ def dependency_edges(files: DataFrame) -> DataFrame:
     declared = sources.select("repo_id", F.col("source").alias("target")).distinct().withColumn(
         "internal", F.lit(True)
     )
-    return lookup_join(edges, declared, ["repo_id", "target"], F.col("source")).withColumn(
+    return replicated_join(edges, declared, ["repo_id", "target"], F.col("source")).withColumn(
         "internal", F.coalesce("internal", F.lit(False))
     )
 
@@ -150,7 +150,7 @@ def type_hierarchy(files: DataFrame) -> DataFrame:
     declared = declarations.select("repo_id", F.col("type").alias("parent")).distinct().withColumn(
         "parent_declared", F.lit(True)
     )
-    return lookup_join(edges, declared, ["repo_id", "parent"], F.col("type")).withColumn(
+    return replicated_join(edges, declared, ["repo_id", "parent"], F.col("type")).withColumn(
         "parent_declared", F.coalesce("parent_declared", F.lit(False))
     )
 

@@ -10,6 +10,7 @@ from codexfold.functions.text import head
 
 ARTIFACT_KINDS = ("brd", "plan")
 ARCHIVE_PART_BYTES = 256 * 1024 * 1024
+EMIT_BYTES = 16 * 1024 * 1024
 
 
 def artifact_export(state: DataFrame) -> DataFrame:
@@ -47,42 +48,57 @@ def code_archive_export(
 
     columns = ["session_id", "part", "pattern", "path", "content"]
 
+    emit_bytes = EMIT_BYTES
+
     def build(batches):
-        """Rows arrive sorted, so one archive at a time is open."""
+        """Rows arrive sorted, so one archive at a time is open; finished ones
+        leave in batches of bounded size."""
         import io
         import zipfile
 
-        import pandas as pd
+        import pyarrow as pa
+
+        schema = pa.schema(
+            [("session_id", pa.int64()), ("part", pa.int64()), ("filename", pa.string()),
+             ("files", pa.int64()), ("zip", pa.binary())]
+        )
+        key, done, size = None, [], 0
 
-        def closed(key, buffer, archive, slug, count):
+        def close():
             archive.close()
             ending = "-migrated.zip" if key[1] == 0 else f"-migrated.{key[1]}.zip"
-            return pd.DataFrame(
-                {"session_id": [key[0]], "part": [key[1]], "filename": [slug + ending],
-                 "files": [count], "zip": [buffer.getvalue()]}
-            )
+            done.append((*key, slug + ending, count, buffer.getvalue()))
+            return len(done[-1][-1])
+
+        def flush():
+            columns = [pa.array(c, f.type) for c, f in zip(zip(*done), schema)]
+            done.clear()
+            return pa.RecordBatch.from_arrays(columns, schema=schema)
 
-        key = None
         for batch in batches:
-            rows = zip(*(batch[c] for c in columns))
+            rows = zip(*(batch.column(c).to_pylist() for c in columns))
             for session_id, part, pattern, path, content in rows:
                 if (session_id, part) != key:
                     if key is not None:
-                        yield closed(key, buffer, archive, slug, count)
+                        size += close()
+                        if size >= emit_bytes:
+                            yield flush()
+                            size = 0
                     key, slug, count = (session_id, part), pattern.replace("/", "-"), 0
                     buffer = io.BytesIO()
                     archive = zipfile.ZipFile(buffer, "w")
                 archive.writestr(zipfile.ZipInfo(path), content, zipfile.ZIP_DEFLATED)
                 count += 1
         if key is not None:
-            yield closed(key, buffer, archive, slug, count)
+            close()
+            yield flush()
 
     return (
         placed.withColumn("pattern", F.coalesce("pattern", F.lit("migration")))
         .repartition("session_id", "part")
         .sortWithinPartitions("session_id", "part", "ord")
         .select(*columns)
-        .mapInPandas(build, "session_id bigint, part bigint, filename string, files bigint, zip binary")
+        .mapInArrow(build, "session_id bigint, part bigint, filename string, files bigint, zip binary")
     )
 
 

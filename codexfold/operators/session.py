@@ -66,6 +66,34 @@ def _has_feedback() -> Column:
     return F.coalesce(F.col("feedback") != "", F.lit(False))
 
 
+def review_deltas(reviews: DataFrame, keep_edit: bool = False) -> DataFrame:
+    """What each confirmation does: (session_id, stage, seq, key, op, text).
+
+    ``set`` replaces a document, ``append`` adds to it. Content sets; non-empty
+    feedback appends to the document *stored before this request*, so an edit
+    sent along with feedback is lost (``keep_edit=True`` keeps it). The first
+    stage's specification edit is a ``set`` of its own and survives feedback.
+    Appends keep the log linear: no delta repeats the whole document.
+    """
+    note = F.when(_has_feedback(), F.concat(F.lit(FEEDBACK_LEAD), F.col("feedback")))
+    edited = F.col("content").isNotNull()
+    edits = edited if keep_edit else edited & ~_has_feedback()
+    text = F.concat(F.when(edits, F.col("content")).otherwise(""), F.coalesce(note, F.lit("")))
+    rows = F.array(
+        F.struct(
+            F.col("stage").alias("key"),
+            F.when(edits, "set").when(_has_feedback(), "append").alias("op"),
+            text.alias("text"),
+        ),
+        F.struct(
+            F.lit("technical_spec").alias("key"),
+            F.when((F.col("stage") == "brd") & F.col("tech").isNotNull(), "set").alias("op"),
+            F.col("tech").alias("text"),
+        ),
+    )
+    return reviews.select("session_id", "stage", "seq", F.inline(rows)).where(F.col("op").isNotNull())
+
+
 def review_patch(
     reviews: DataFrame,
     stored: DataFrame | None = None,
@@ -75,44 +103,32 @@ def review_patch(
 ) -> DataFrame:
     """Documents after all reviews: (session_id, stage, part, value).
 
-    Per confirmation in order: content replaces the document; non-empty
-    feedback appends to the document *stored before this request*, so an edit
-    sent along with feedback is lost (``keep_edit=True`` keeps it). The
-    sequence folds into "last replacement, then every later feedback in order",
-    which needs no per-session loop: feedback is numbered by the replacements
-    before it and only the last generation is concatenated. ``stored``
-    (session_id, stage, value) is the document before the first review; values
-    longer than ``part_chars`` continue in further parts.
+    A session's deltas fold into "last set, then every later append in order",
+    so no loop per session is needed: the last set is a maximum, everything
+    before it is dropped, the rest is concatenated. ``stored`` (session_id,
+    stage, value) is the document before the first review; values longer than
+    ``part_chars`` continue in further parts.
     """
-    replaces = F.col("content").isNotNull()
-    if not keep_edit:
-        replaces = replaces & ~_has_feedback()
-    base = F.when(replaces, F.col("content"))
-    note = F.when(_has_feedback(), F.concat(F.lit(FEEDBACK_LEAD), F.col("feedback")))
-    pieces = reviews.select(
-        "session_id", "stage", "seq", replaces.alias("_reset"),
-        F.concat(F.coalesce(base, F.lit("")), F.coalesce(note, F.lit(""))).alias("_piece"),
-    )
+    pieces = review_deltas(reviews, keep_edit).where(F.col("key") == F.col("stage")).drop("key")
     if stored is not None:
         pieces = pieces.unionByName(
             stored.select(
                 "session_id", "stage", F.lit(-1).cast("bigint").alias("seq"),
-                F.lit(True).alias("_reset"), F.col("value").alias("_piece"),
+                F.lit("set").alias("op"), F.col("value").alias("text"),
             )
         )
-    pieces = pieces.where(F.col("_reset") | (F.col("_piece") != ""))
-    last = pieces.groupBy("session_id", "stage").agg(F.max(F.when(F.col("_reset"), F.col("seq"))).alias("_from"))
+    last = pieces.where(F.col("op") == "set").groupBy("session_id", "stage").agg(F.max("seq").alias("_from"))
     live = (
-        lookup_join(pieces, last, ["session_id", "stage"], F.col("seq"), "inner")
+        lookup_join(pieces, last, ["session_id", "stage"], F.col("seq"))
         .where(F.col("_from").isNull() | (F.col("seq") >= F.col("_from")))
-        .drop("_from", "_reset")
+        .drop("_from")
     )
     placed = prefix(
-        live, ["session_id", "stage"], "seq", {"_before": ("sum", F.length("_piece").cast("bigint"))}, block
+        live, ["session_id", "stage"], "seq", {"_before": ("sum", F.length("text").cast("bigint"))}, block
     )
     return placed.groupBy(
         "session_id", "stage", F.floor(F.col("_before") / part_chars).alias("part")
-    ).agg(ordered_text("seq", "_piece").alias("value"))
+    ).agg(ordered_text("seq", "text").alias("value"))
 
 
 def review_spec(reviews: DataFrame) -> DataFrame:

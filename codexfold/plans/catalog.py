@@ -253,6 +253,11 @@ def _stored(spark, sf):
     return bind(spark, sf, "sessions").select("session_id", F.lit("brd").alias("stage"), F.col("source_code").alias("value"))
 
 
+@query
+def review_deltas(spark, sf):
+    return session.review_deltas(bind(spark, sf, "reviews"))
+
+
 @query
 def review_patch(spark, sf):
     return session.review_patch(bind(spark, sf, "reviews"), _stored(spark, sf))

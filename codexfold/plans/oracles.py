@@ -244,6 +244,9 @@ FROM (SELECT repo_id, CASE WHEN language = 'go' THEN lower(path) LIKE '%\\_test.
     "state_defaults": " UNION ALL ".join(
         f"SELECT session_id, CAST(0 AS BIGINT) AS seq, '{k}' AS key, {k if v is None else lit(v)} AS value FROM sessions" for k, v in K.SESSION_DEFAULTS.items()
     ),
+    "review_deltas": f"""SELECT session_id, stage, seq, stage AS key, CASE WHEN coalesce(feedback, '') = '' THEN 'set' ELSE 'append' END AS op, CASE WHEN coalesce(feedback, '') = '' THEN content ELSE {lit(K.FEEDBACK_LEAD)} || feedback END AS text
+FROM reviews WHERE content IS NOT NULL OR coalesce(feedback, '') <> ''
+UNION ALL SELECT session_id, stage, seq, 'technical_spec', 'set', tech FROM reviews WHERE stage = 'brd' AND tech IS NOT NULL""",
     "review_patch": _patch(False, True),
     "review_patch_keep_edit": _patch(True, False),
     "review_spec": "SELECT session_id, arg_max(tech, seq) AS technical_spec FROM reviews WHERE stage = 'brd' AND tech IS NOT NULL GROUP BY session_id",
