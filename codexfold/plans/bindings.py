@@ -12,6 +12,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from codexfold.streaming.sources import read_table_stream
+
 ID = "CAST({} AS VARCHAR(20))"
 
 
@@ -237,3 +239,14 @@ def check_sql(name: str) -> str:
     """The binding for the checking database, where tables are views."""
     text = _JOIN.sub(r"string_agg(\1, chr(10) ORDER BY \2)", BINDINGS[name])
     return _TABLE.sub(r"\1", text)
+
+
+def bind_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A single-table binding over the table read as a stream of files."""
+    tables = set(_TABLE.findall(_JOIN.sub("", BINDINGS[name])))
+    (table,) = tables
+    schema = spark.read.parquet(f"{sf_dir}/{table}.parquet").schema
+    view = f"codexfold_{table}_stream"
+    stream = read_table_stream(spark, sf_dir, schema, f"{table}.parquet")
+    stream.createOrReplaceTempView(view)
+    return spark.sql(_TABLE.sub(view, BINDINGS[name]))

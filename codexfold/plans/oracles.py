@@ -160,6 +160,8 @@ def with_tables(body: str, **replace: str) -> str:
         return SHARED[name].format(**replace) if "{docs}" in SHARED[name] else SHARED[name].replace("{{", "{").replace("}}", "}")
 
     tables = ",\n".join(f"{name} AS (\n{text_of(name)}\n)" for name in needed)
+    if body.startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {tables},\n" + body.removeprefix("WITH RECURSIVE ")
     return f"WITH {tables}\n{body}"
 
 
@@ -313,6 +315,20 @@ FULL JOIN (SELECT DISTINCT repo_id, verb, route FROM routes) c ON c.repo_id = s.
 FROM (SELECT DISTINCT repo_id, source, target FROM drawn) d FULL JOIN edges e ON e.repo_id = d.repo_id AND e.source = d.source AND e.target = d.target""",
 }
 
+_BODIES |= {
+    "live_status_reduce": _BODIES["status_reduce"],
+    "live_state_fold": "SELECT session_id, key, arg_max(value, seq) AS value FROM deltas GROUP BY ALL",
+    "live_stream_progress": _BODIES["stream_progress"],
+    "live_stream_segments": "SELECT session_id, segment, run, step, closed_by, text FROM (" + _BODIES["stream_segments"] + ") WHERE closed_by IS NOT NULL",
+    "live_idle_heartbeat": _BODIES["idle_heartbeat"],
+    "live_review_deltas": f"""WITH RECURSIVE r AS (SELECT *, row_number() OVER (PARTITION BY session_id, stage ORDER BY seq) AS n FROM reviews),
+walk AS (SELECT session_id, stage, CAST(0 AS BIGINT) AS n, CAST(-1 AS BIGINT) AS seq, '' AS value, FALSE AS written FROM (SELECT DISTINCT session_id, stage FROM reviews)
+UNION ALL SELECT w.session_id, w.stage, r.n, r.seq, CASE WHEN coalesce(r.feedback, '') <> '' THEN w.value || {lit(K.FEEDBACK_LEAD)} || r.feedback ELSE coalesce(r.content, w.value) END, coalesce(r.feedback, '') <> '' OR r.content IS NOT NULL
+FROM walk w JOIN r ON r.session_id = w.session_id AND r.stage = w.stage AND r.n = w.n + 1)
+SELECT session_id, stage, seq, stage AS key, value FROM walk WHERE written
+UNION ALL SELECT session_id, stage, seq, 'technical_spec', tech FROM reviews WHERE stage = 'brd' AND tech IS NOT NULL""",
+}
+
 _DOCS = {"plan_tasks": "plan_docs", "manifest_coverage": "manifest_docs"}
 
 ORACLES = {
