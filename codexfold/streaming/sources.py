@@ -16,7 +16,7 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 
 # Bounds what one session can bring into a task per micro-batch; use the batch
 # operators to work off a long history.
-BYTES_PER_TRIGGER = "1g"
+BYTES_PER_TRIGGER = 1024 * 1024 * 1024
 
 
 def use_rocksdb(spark: SparkSession) -> None:
@@ -34,7 +34,7 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
-def read_event_lines(spark: SparkSession, location: str, bytes_per_trigger: str = BYTES_PER_TRIGGER) -> DataFrame:
+def read_event_lines(spark: SparkSession, location: str, bytes_per_trigger: int = BYTES_PER_TRIGGER) -> DataFrame:
     """Events of a folder of JSON-lines files; invalid lines are dropped."""
     lines = (
         spark.readStream.option("maxBytesPerTrigger", bytes_per_trigger).text(location)
@@ -48,7 +48,7 @@ def read_table_stream(
     folder: str,
     schema: StructType,
     files: str = "*.parquet",
-    bytes_per_trigger: str = BYTES_PER_TRIGGER,
+    bytes_per_trigger: int = BYTES_PER_TRIGGER,
 ) -> DataFrame:
     return (
         spark.readStream.schema(schema).option("pathGlobFilter", files)
