@@ -6,12 +6,9 @@ pairs come from a map-side combined distinct over the key columns, so a key with
 a third of all rows contributes at most ``salts`` of them, cold keys are hardly
 repeated, and no task of the final join holds a whole hot key.
 
-``replicated_join``: a fixed number of copies of the unique side instead of the
-pass over the large side's keys; for a large side that is costly to compute
-twice and a compact unique side.
-
-Neither forces a broadcast: Spark picks one only when statistics or adaptive
-execution show that a side is small.
+The large side is read twice; where it is costly to compute, put an aggregate
+under both uses so that Spark reuses its exchange. No broadcast is forced: Spark
+picks one only when statistics or adaptive execution show that a side is small.
 """
 
 from __future__ import annotations
@@ -22,11 +19,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SALTS = 4096
-COPIES = 32
-
-
-def _salted(large: DataFrame, spread: Column, salts: int) -> DataFrame:
-    return large.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
 
 
 def lookup_join(
@@ -37,18 +29,6 @@ def lookup_join(
     how: str = "left",
     salts: int = SALTS,
 ) -> DataFrame:
-    salted = _salted(large, spread, salts)
+    salted = large.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
     pairs = salted.select(*on, "_salt").distinct().join(unique, list(on))
     return salted.join(pairs, [*on, "_salt"], how).drop("_salt")
-
-
-def replicated_join(
-    large: DataFrame,
-    unique: DataFrame,
-    on: Sequence[str],
-    spread: Column,
-    how: str = "left",
-    copies: int = COPIES,
-) -> DataFrame:
-    repeated = unique.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
-    return _salted(large, spread, copies).join(repeated, [*on, "_salt"], how).drop("_salt")

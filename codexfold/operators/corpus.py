@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codexfold.functions.skew import replicated_join
+from codexfold.functions.skew import lookup_join
 from codexfold.functions.text import basename, nonempty, strip, suffix
 
 JAVA = (".java",)
@@ -82,20 +82,31 @@ def dependency_edges(files: DataFrame) -> DataFrame:
     import lines; ``internal`` says that a file of the same repository declares
     the target package. Imports of the own package are left out.
     """
-    sources = of_suffix(files, JAVA).select(
-        "repo_id", package_of(F.col("content")).alias("source"), "content"
-    ).where(F.col("source").isNotNull())
-    edges = (
-        sources.select("repo_id", "source", F.explode(F.regexp_extract_all("content", F.lit(IMPORT), F.lit(1))).alias("_import"))
-        .withColumn("target", F.regexp_replace("_import", r"\.?[^.]*\z", ""))
-        .where((F.col("target") != "") & (F.col("target") != F.col("source")))
+    imported = F.regexp_replace(F.col("_import"), r"\.?[^.]*\z", "")
+    # Both sides of the lookup below come out of this one aggregate, whose
+    # exchange Spark reuses, so the text is scanned once; the filters read
+    # aggregate results so that they stay above it.
+    pairs = (
+        of_suffix(files, JAVA)
+        .select(
+            "repo_id",
+            package_of(F.col("content")).alias("source"),
+            F.explode_outer(F.regexp_extract_all("content", F.lit(IMPORT), F.lit(1))).alias("_import"),
+        )
+        .where(F.col("source").isNotNull())
+        .withColumn("target", F.coalesce(imported, F.lit("")))
         .groupBy("repo_id", "source", "target")
-        .agg(F.count(F.lit(1)).alias("weight"))
+        .agg(
+            F.count(F.lit(1)).alias("weight"),
+            F.max((F.col("target") != "") & (F.col("target") != F.col("source"))).alias("_edge"),
+        )
     )
-    declared = sources.select("repo_id", F.col("source").alias("target")).distinct().withColumn(
-        "internal", F.lit(True)
+    edges = pairs.where(F.col("_edge") & (F.col("weight") > 0)).drop("_edge")
+    declared = (
+        pairs.where((F.col("weight") > 0) & F.col("_edge").isNotNull())
+        .select("repo_id", F.col("source").alias("target")).distinct().withColumn("internal", F.lit(True))
     )
-    return replicated_join(edges, declared, ["repo_id", "target"], F.col("source")).withColumn(
+    return lookup_join(edges, declared, ["repo_id", "target"], F.col("source")).withColumn(
         "internal", F.coalesce("internal", F.lit(False))
     )
 
@@ -142,24 +153,36 @@ def type_declarations(files: DataFrame) -> DataFrame:
     )
 
 
-def type_hierarchy(files: DataFrame) -> DataFrame:
-    """Distinct edges (repo_id, kind, type, relation, parent) and whether the
-    parent is declared in the same repository."""
-    declarations = type_declarations(files)
-    edges = declarations.select("repo_id", "kind", "type", F.inline("parents")).distinct()
-    declared = declarations.select("repo_id", F.col("type").alias("parent")).distinct().withColumn(
+def _distinct_types(files: DataFrame) -> DataFrame:
+    """Distinct declarations; every use below shares this exchange."""
+    return type_declarations(files).select("repo_id", "kind", "type", "parents").distinct()
+
+
+def _hierarchy(types: DataFrame) -> DataFrame:
+    # The outer form keeps Spark from pushing a size filter below the shared exchange.
+    edges = (
+        types.select("repo_id", "kind", "type", F.inline_outer("parents"))
+        .where(F.col("parent").isNotNull()).distinct()
+    )
+    declared = types.select("repo_id", F.col("type").alias("parent")).distinct().withColumn(
         "parent_declared", F.lit(True)
     )
-    return replicated_join(edges, declared, ["repo_id", "parent"], F.col("type")).withColumn(
+    return lookup_join(edges, declared, ["repo_id", "parent"], F.col("type")).withColumn(
         "parent_declared", F.coalesce("parent_declared", F.lit(False))
     )
 
 
+def type_hierarchy(files: DataFrame) -> DataFrame:
+    """Distinct edges (repo_id, kind, type, relation, parent) and whether the
+    parent is declared in the same repository."""
+    return _hierarchy(_distinct_types(files))
+
+
 def hierarchy_roots(files: DataFrame) -> DataFrame:
     """Declared types without a parent declared in the same repository."""
-    declared = type_declarations(files).select("repo_id", "type").distinct()
-    children = type_hierarchy(files).where("parent_declared").select("repo_id", "type").distinct()
-    return declared.join(children, ["repo_id", "type"], "left_anti")
+    types = _distinct_types(files)
+    children = _hierarchy(types).where("parent_declared").select("repo_id", "type")
+    return types.select("repo_id", "type").distinct().join(children, ["repo_id", "type"], "left_anti")
 
 
 def endpoints(files: DataFrame) -> DataFrame:
@@ -194,23 +217,41 @@ def endpoint_inventory(files: DataFrame) -> DataFrame:
     )
 
 
-def _wellformed(content: Column) -> Column:
-    """XPath raises on malformed XML; rows go to it only when the text parses."""
-    return F.from_xml(content, "_broken STRING", {"columnNameOfCorruptRecord": "_broken", "mode": "PERMISSIVE"})[
-        "_broken"
-    ].isNull()
+# XML is read by its tags, not through a parser: one malformed document would
+# make XPath fail the whole job. Rules: comments and CDATA are removed first, a
+# tag runs from its name to the next '>', prefixes do not count, and the five
+# named entities are resolved.
+XML_NOISE = r"(?s)<!--.*?-->|<!\[CDATA\[.*?\]\]>"
+VARIABLE = r"(?s)<(?:[\w.-]+:)?globalVariable\b[^<>]*>.*?</(?:[\w.-]+:)?globalVariable\s*>"
+XML_ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&amp;": "&"}
+
+
+def _resolved(text: Column) -> Column:
+    for entity, char in XML_ENTITIES.items():
+        text = F.replace(text, F.lit(entity), F.lit(char))
+    return text
+
 
+def _tags(content: Column, names: str) -> Column:
+    """Opening tags with one of ``names`` (a|b)."""
+    clean = F.regexp_replace(content, XML_NOISE, "")
+    return F.regexp_extract_all(clean, F.lit(rf"<(?:[\w.-]+:)?(?:{names})(?=[\s/>])[^<>]*>"), F.lit(0))
 
-def _parsed(files: DataFrame) -> DataFrame:
-    """Add ``_xml``: the content when it is well-formed, else NULL."""
-    return files.withColumn("_xml", F.when(_wellformed(F.col("content")), F.col("content")))
 
+def _attribute(tag: Column, name: str) -> Column:
+    """Attribute value, NULL when the tag has none."""
+    quoted = rf"\s{name}\s*=\s*(?:\"([^\"]*)\"|'([^']*)')"
+    value = F.concat(F.regexp_extract(tag, quoted, 1), F.regexp_extract(tag, quoted, 2))
+    return F.when(tag.rlike(quoted), _resolved(value))
 
-def _xpath(path: str) -> Column:
-    return F.xpath("_xml", F.lit(path))
 
+def _is_tag(tag: Column, name: str) -> Column:
+    return tag.rlike(rf"\A<(?:[\w.-]+:)?{name}[\s/>]")
 
-VARIABLE = r"(?s)<(?:\w+:)?globalVariable\b.*?</(?:\w+:)?globalVariable\s*>"
+
+def _element(block: Column, name: str) -> Column:
+    """Text of the first child ``name`` ('' when it is empty or absent)."""
+    return _resolved(F.regexp_extract(block, rf"(?s)<(?:[\w.-]+:)?{name}(?:\s[^<>]*)?>([^<]*)</", 1))
 
 
 def config_entries(files: DataFrame) -> DataFrame:
@@ -231,16 +272,12 @@ def config_entries(files: DataFrame) -> DataFrame:
     )
     # One block per variable, so an empty value stays with its own name.
     block = F.col("_block")
+    clean = F.regexp_replace("content", XML_NOISE, "")
     variables = (
         of_suffix(files, (".substvar",))
-        .select("repo_id", "path", F.explode(F.regexp_extract_all("content", F.lit(VARIABLE), F.lit(0))).alias("_block"))
-        .where(_wellformed(block))
-        .select(
-            "repo_id",
-            "path",
-            F.xpath_string(block, F.lit('/*/*[local-name()="name"]')).alias("key"),
-            F.xpath_string(block, F.lit('/*/*[local-name()="value"]')).alias("value"),
-        )
+        .select("repo_id", "path", F.explode(F.regexp_extract_all(clean, F.lit(VARIABLE), F.lit(0))).alias("_block"))
+        .select("repo_id", "path", _element(block, "name").alias("key"), _element(block, "value").alias("value"))
+        .where(F.col("key") != "")
     )
     profile = F.coalesce(
         nonempty(F.regexp_extract(basename(F.col("path")), r"-([^-.]+)\.[^.]+\z", 1)), F.lit("default")
@@ -369,14 +406,18 @@ def entity_model(files: DataFrame) -> DataFrame:
         )
     )
 
-    def named(tag: str) -> Column:
-        return F.transform(
-            _xpath(f'//*[local-name()="{tag}"]/@name'),
-            lambda n: F.struct(F.lit(tag).alias("item"), n.alias("name"), F.lit("").alias("detail")),
+    tag = F.col("_tag")
+    schemas = (
+        of_suffix(files, (".xsd",))
+        .select("repo_id", "path", F.explode(_tags(content, "element|complexType")).alias("_tag"))
+        .select(
+            "repo_id",
+            "path",
+            F.when(_is_tag(tag, "element"), "element").otherwise("complexType").alias("item"),
+            _attribute(tag, "name").alias("name"),
+            F.lit("").alias("detail"),
         )
-
-    schemas = _parsed(of_suffix(files, (".xsd",))).select(
-        "repo_id", "path", F.inline(F.concat(named("element"), named("complexType")))
+        .where(F.col("name").isNotNull())
     )
     return java.unionByName(schemas)
 
@@ -387,30 +428,29 @@ def process_parts(files: DataFrame) -> DataFrame:
     Items: ``activity`` with its type, ``transition`` from name to detail, and
     ``call`` of a sub-process (an activity's ``processName``).
     """
-    activity, transition = '//*[local-name()="activity"]', '//*[local-name()="transition"]'
-
-    def zipped(item: str, names: Column, details: Column) -> Column:
-        return F.zip_with(
-            names, details, lambda n, d: F.struct(F.lit(item).alias("item"), n.alias("name"), F.coalesce(d, F.lit("")).alias("detail"))
+    tag = F.col("_tag")
+
+    def row(item: str, name: Column, detail: Column, keep: Column) -> Column:
+        return F.when(keep, F.struct(F.lit(item).alias("item"), name.alias("name"), detail.alias("detail")))
+
+    name, kind = _attribute(tag, "name"), _attribute(tag, "type")
+    source, target, called = _attribute(tag, "from"), _attribute(tag, "to"), _attribute(tag, "processName")
+    rows = F.array_compact(
+        F.array(
+            row("activity", name, kind, _is_tag(tag, "activity") & name.isNotNull() & kind.isNotNull()),
+            row("call", called, F.lit(""), _is_tag(tag, "activity") & called.isNotNull()),
+            row("transition", source, target, _is_tag(tag, "transition") & source.isNotNull() & target.isNotNull()),
         )
-
-    parts = F.concat(
-        zipped("activity", F.col("_names"), F.col("_types")),
-        zipped("transition", F.col("_from"), F.col("_to")),
-        F.transform(F.col("_calls"), lambda c: F.struct(F.lit("call").alias("item"), c.alias("name"), F.lit("").alias("detail"))),
     )
     return (
-        _parsed(of_suffix(files, (".bwp", ".process")))
+        of_suffix(files, (".bwp", ".process"))
         .select(
             "repo_id",
             "path",
-            _xpath(activity + "[@name and @type]/@name").alias("_names"),
-            _xpath(activity + "[@name and @type]/@type").alias("_types"),
-            _xpath(transition + "[@from and @to]/@from").alias("_from"),
-            _xpath(transition + "[@from and @to]/@to").alias("_to"),
-            _xpath(activity + "/@processName").alias("_calls"),
+            F.regexp_replace(basename(F.col("path")), r"\.[^.]+\z", "").alias("process"),
+            F.explode(_tags(F.col("content"), "activity|transition")).alias("_tag"),
         )
-        .select("repo_id", "path", F.regexp_replace(basename(F.col("path")), r"\.[^.]+\z", "").alias("process"), F.inline(parts))
+        .select("repo_id", "path", "process", F.inline(rows))
     )
 
 

@@ -11,8 +11,11 @@ from codexfold.constants import DISPLAY_LANGUAGE, FALLBACK_SUFFIX, FALLBACK_SUFF
 from codexfold.functions.prefix import BLOCK_ROWS, prefix
 from codexfold.functions.text import basename, dirname, lookup, nonempty, strip
 
-# Python's \s is Unicode white space plus U+001C to U+001F.
-_MARKER = r"(?iU)<!--[\s\x1c-\x1f]*SECTION:[\s\x1c-\x1f]*{}[\s\x1c-\x1f]*-->"
+# Python's \s is Unicode white space plus U+001C to U+001F, and
+# its IGNORECASE folds by Unicode. Flags on the word only keep the scan for
+# "<!--" cheap.
+_SPACE = r"[\s\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]*"
+_MARKER = rf"<!--{_SPACE}(?iu:SECTION:){_SPACE}(?iu:{{}}){_SPACE}-->"
 
 # Fixed value: a fence is three backticks, an optional word, an optional
 # colon and path, a newline, anything, three backticks.

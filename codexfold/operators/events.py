@@ -105,10 +105,11 @@ def stream_segments(
         block,
     ).where((F.col("_ended") == 0) & ~is_terminal())
 
-    # The longest part a run needs is bounded; the closing event is in the last.
+    # Empty chunks add no characters, so they must not be gathered either; the
+    # closing event is in a run's last part.
     parts = log.groupBy("session_id", "segment", "run", F.floor(F.col("_chars") / part_chars).alias("part")).agg(
         F.expr(
-            "listagg(CASE WHEN type LIKE '%-stream' THEN content END, '') WITHIN GROUP (ORDER BY seq)"
+            "listagg(CASE WHEN type LIKE '%-stream' AND content <> '' THEN content END, '') WITHIN GROUP (ORDER BY seq)"
         ).alias("_text"),
         F.count_if(chunk).alias("_chunks"),
         F.max("_step.step").alias("step"),

@@ -11,6 +11,7 @@ from codexfold.functions.text import head
 ARTIFACT_KINDS = ("brd", "plan")
 ARCHIVE_PART_BYTES = 256 * 1024 * 1024
 EMIT_BYTES = 16 * 1024 * 1024
+ENTRY_BYTES = 76  # fixed part of an entry's two headers, so empty files count too
 
 
 def artifact_export(state: DataFrame) -> DataFrame:
@@ -41,7 +42,7 @@ def code_archive_export(
     ``part_bytes`` of text continues in further archives (part 1, 2, ...), so a
     task builds one bounded archive at a time and no file is left out.
     """
-    size = F.octet_length("content").cast("bigint")
+    size = (F.octet_length("content") + 2 * F.octet_length("path") + ENTRY_BYTES).cast("bigint")
     placed = prefix(files, ["session_id"], "ord", {"_before": ("sum", size)}, block).withColumn(
         "part", F.floor(F.col("_before") / part_bytes)
     )

@@ -14,9 +14,9 @@ def frame(path: Column, content: Column) -> Column:
     return F.concat(F.lit(K.FRAME_HEAD), path, F.lit(K.FRAME_TAIL), content)
 
 
-def frame_length(path: Column, content: Column) -> Column:
+def frame_length(path: Column, content_chars: Column) -> Column:
     fixed = len(K.FRAME_HEAD) + len(K.FRAME_TAIL)
-    return (F.length(path) + F.length(content) + F.lit(fixed)).cast("bigint")
+    return (F.length(path) + content_chars + F.lit(fixed)).cast("bigint")
 
 
 def file_frame(files: DataFrame) -> DataFrame:
@@ -24,7 +24,10 @@ def file_frame(files: DataFrame) -> DataFrame:
 
 
 def pack_budget(
-    files: DataFrame, budget: int = K.PACK_BUDGET, block: int = BLOCK_ROWS
+    files: DataFrame,
+    budget: int = K.PACK_BUDGET,
+    block: int = BLOCK_ROWS,
+    chars: str | None = None,
 ) -> DataFrame:
     """Files kept while the running framed length stays within ``budget``.
 
@@ -34,8 +37,11 @@ def pack_budget(
     the map side, no text is shuffled), blocks that start at or beyond the
     budget are dropped, and only the surviving blocks carry text into the exact
     window. A repository keeps at most budget / 20 files, whatever its size.
+    ``chars`` names a stored column equal to ``length(content)``: with it the
+    first pass does not read the text at all.
     """
-    length = frame_length(F.col("path"), F.col("content"))
+    content_chars = F.length("content") if chars is None else F.col(chars)
+    length = frame_length(F.col("path"), content_chars)
     sized = with_block(files, "ord", block).withColumn("chunk_chars", length)
 
     before = (

@@ -32,7 +32,7 @@ SELECT source AS repo_id, doc_id AS ord,
   CASE CAST(floor(doc_id / 20.0) AS BIGINT) % 7 WHEN 0 THEN 'src/main/java/' WHEN 1 THEN 'src/test/java/' WHEN 2 THEN 'target/' WHEN 3 THEN 'lib/build/' WHEN 4 THEN '' WHEN 5 THEN 'docs/' ELSE '.git/' END
   || 'F' || {_id('doc_id')} ||
   CASE CAST(floor(doc_id / 20.0) AS BIGINT) % 5 WHEN 0 THEN '.java' WHEN 1 THEN '.XML' WHEN 2 THEN '.txt' WHEN 3 THEN '.go' ELSE '' END AS path,
-  text AS content
+  text AS content, n_chars
 FROM $documents"""
 
 SECTION_DOCS = f"""
@@ -119,25 +119,21 @@ FROM $events"""
 JAVA_FILES = f"""
 SELECT 'r' || {_id('v.s_nationkey % 5')} AS repo_id, t.s * 100000 + t.c AS ord,
   CASE t.s % 3 WHEN 0 THEN 'src/test/java/' ELSE 'src/main/java/' END || 'S' || {_id('t.s')} || '_' || {_id('t.c')} || '.java' AS path,
-  'package com.n' || {_id('v.s_nationkey')} || ';' || chr(10) || t.body || chr(10) || '}}' AS content
+  'package com.n' || {_id('v.s_nationkey')} || ';' || chr(10) || t.imports || chr(10) ||
+  '@RestController' || chr(10) || '@RequestMapping("/s/' || {_id('t.s % 40')} || '")' || chr(10) ||
+  CASE WHEN t.s % 2 = 0 THEN '@Entity' || chr(10) || '@Table(name = "t' || {_id('t.s')} || '")' || chr(10) ELSE '' END ||
+  'public class S' || {_id('t.s')} || '_' || {_id('t.c')} || ' extends ' ||
+  CASE WHEN t.c % 3 = 1 THEN 'S' || {_id('t.s')} || '_' || {_id('t.c - 1')} ELSE 'Base' || {_id('t.s % 7')} END ||
+  ' implements Api, Closeable {{' || chr(10) || t.body || chr(10) || '}}' AS content
 FROM (
-  SELECT s, c, $join(line; n) AS body FROM (
-    SELECT DISTINCT l_suppkey AS s, CAST(floor(l_partkey / 64.0) AS BIGINT) AS c, l_partkey AS n,
-      'import com.n' || {_id('l_partkey % 25')} || '.P' || {_id('l_partkey')} || ';' AS line FROM $lineitem
-    UNION ALL
-    SELECT DISTINCT l_suppkey, CAST(floor(l_partkey / 64.0) AS BIGINT), 1000000000000,
-      '@RestController' || chr(10) || '@RequestMapping("/s/' || {_id('l_suppkey % 40')} || '")' || chr(10) ||
-      CASE WHEN l_suppkey % 2 = 0 THEN '@Entity' || chr(10) || '@Table(name = "t' || {_id('l_suppkey')} || '")' || chr(10) ELSE '' END ||
-      'public class S' || {_id('l_suppkey')} || '_' || {_id('CAST(floor(l_partkey / 64.0) AS BIGINT)')} ||
-      ' extends ' || CASE WHEN CAST(floor(l_partkey / 64.0) AS BIGINT) % 3 = 1 THEN 'S' || {_id('l_suppkey')} || '_' || {_id('CAST(floor(l_partkey / 64.0) AS BIGINT) - 1')} ELSE 'Base' || {_id('l_suppkey % 7')} END ||
-      ' implements Api, Closeable {{' FROM $lineitem
-    UNION ALL
-    SELECT DISTINCT l.l_suppkey, CAST(floor(l.l_partkey / 64.0) AS BIGINT), 1000000000001 + l.l_partkey,
-      CASE p.p_size % 4 WHEN 0 THEN '  @GetMapping("/p/' || {_id('l.l_partkey % 64')} || '") public String g' || {_id('l.l_partkey')} || '() {{ return ""; }}'
-        WHEN 1 THEN '  @PostMapping(value = "/p/' || {_id('l.l_partkey % 64')} || '") public void h' || {_id('l.l_partkey')} || '() {{}}'
-        WHEN 2 THEN '  @OneToMany private java.util.List<P' || {_id('l.l_partkey')} || '> r' || {_id('l.l_partkey')} || ';'
-        ELSE '  // MIGRATED: ' || p.p_type END
-    FROM $lineitem l JOIN $part p ON p.p_partkey = l.l_partkey
+  SELECT s, c, $join(import_line; n) AS imports, $join(body_line; n) AS body FROM (
+    SELECT l.s, CAST(floor(l.n / 64.0) AS BIGINT) AS c, l.n,
+      'import com.n' || {_id('l.n % 25')} || '.P' || {_id('l.n')} || ';' AS import_line,
+      CASE p.p_size % 4 WHEN 0 THEN '  @GetMapping("/p/' || {_id('l.n % 64')} || '") public String g' || {_id('l.n')} || '() {{ return ""; }}'
+        WHEN 1 THEN '  @PostMapping(value = "/p/' || {_id('l.n % 64')} || '") public void h' || {_id('l.n')} || '() {{}}'
+        WHEN 2 THEN '  @OneToMany private java.util.List<P' || {_id('l.n')} || '> r' || {_id('l.n')} || ';'
+        ELSE '  // MIGRATED: ' || p.p_type END AS body_line
+    FROM (SELECT DISTINCT l_suppkey AS s, l_partkey AS n FROM $lineitem) l JOIN $part p ON p.p_partkey = l.n
   ) x GROUP BY s, c
 ) t JOIN $supplier v ON v.s_suppkey = t.s"""
 
@@ -163,10 +159,10 @@ PROCESS_FILES = f"""
 SELECT 'b' || {_id('s % 10')} AS repo_id, 'Processes/P' || {_id('s')} || '_' || {_id('c')} || CASE WHEN c % 2 = 0 THEN '.bwp' ELSE '.process' END AS path,
   '<pd:process xmlns:pd="urn:pd">' || chr(10) || body || chr(10) || '</pd:process>' AS content
 FROM (SELECT s, c, $join(line; n) AS body FROM (
-  SELECT DISTINCT l_suppkey AS s, CAST(floor(l_partkey / 64.0) AS BIGINT) AS c, l_partkey AS n,
-    CASE WHEN l_partkey % 5 = 0 THEN '<pd:activity name="call' || {_id('l_partkey')} || '" type="CallProcess" processName="P' || {_id('l_suppkey')} || '_' || {_id('l_partkey % 7')} || '"/>'
-    ELSE '<pd:activity name="a' || {_id('l_partkey')} || '" type="' || CASE l_partkey % 3 WHEN 0 THEN 'JDBC' WHEN 1 THEN 'HTTP' ELSE 'JMS' END || '"/><pd:transition from="a' || {_id('l_partkey')} || '" to="End"/>' END AS line
-  FROM $lineitem) x GROUP BY s, c) t"""
+  SELECT s, CAST(floor(n / 64.0) AS BIGINT) AS c, n,
+    CASE WHEN n % 5 = 0 THEN '<pd:activity name="call' || {_id('n')} || '" type="CallProcess" processName="P' || {_id('s')} || '_' || {_id('n % 7')} || '"/>'
+    ELSE '<pd:activity name="a' || {_id('n')} || '" type="' || CASE n % 3 WHEN 0 THEN 'JDBC' WHEN 1 THEN 'HTTP' ELSE 'JMS' END || '"/><pd:transition from="a' || {_id('n')} || '" to="End"/>' END AS line
+  FROM (SELECT DISTINCT l_suppkey AS s, l_partkey AS n FROM $lineitem) l) x GROUP BY s, c) t"""
 
 PLAN_DOCS = f"""
 SELECT session_id, 'Intro' || chr(10) || '- [ ] before' || chr(10) || $join(line; n) AS text FROM (

@@ -38,7 +38,7 @@ def _kept(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _packed(spark: SparkSession, sf: str) -> DataFrame:
-    return packing.pack_budget(_kept(spark, sf), QUERY_BUDGET)
+    return packing.pack_budget(_kept(spark, sf), QUERY_BUDGET, chars="n_chars")
 
 
 def _digests(spark: SparkSession, sf: str) -> DataFrame:
@@ -94,7 +94,7 @@ def lossy_utf8_decode(spark, sf):
         "content",
         F.concat(F.unhex(F.lit("FF")), F.col("content").cast("binary"), F.unhex(F.lit("E282"))),
     )
-    return intake.lossy_utf8_decode(broken)
+    return intake.lossy_utf8_decode(broken).select("repo_id", "ord", "path", "content")
 
 
 @query

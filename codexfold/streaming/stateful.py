@@ -13,9 +13,8 @@ from __future__ import annotations
 import sys
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -38,19 +37,14 @@ REVIEW_ROWS = "session_id bigint, stage string, seq bigint, key string, value st
 ROUTED_ROWS = "session_id bigint, seq bigint, type string"
 
 
-def in_order(rows: Iterator[pd.DataFrame]) -> Iterator[dict]:
-    frames = list(rows)
-    if frames:
-        ordered = pd.concat(frames).sort_values("seq", kind="stable")
-        names = list(ordered.columns)
-        for values in ordered.itertuples(index=False, name=None):
-            # pandas turns absent text into NaN or None
-            yield {n: None if v is None or v != v else v for n, v in zip(names, values)}
+def in_order(rows: Iterator[Row]) -> list[dict]:
+    return sorted((row.asDict() for row in rows), key=lambda event: event["seq"])
 
 
-def emitted(rows: list[tuple], schema: str) -> Iterator[pd.DataFrame]:
-    if rows:
-        yield pd.DataFrame(rows, columns=[field.split()[0] for field in schema.split(", ")])
+def emitted(rows: list[tuple], schema: str) -> Iterator[Row]:
+    names = [field.split()[0] for field in schema.split(", ")]
+    for values in rows:
+        yield Row(**dict(zip(names, values)))
 
 
 class SessionProcessor(StatefulProcessor):
@@ -61,7 +55,7 @@ class SessionProcessor(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.ended = handle.getValueState("ended", "ended boolean")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         out: list[tuple] = []
         over = self.ended.exists()
         if not over:
@@ -245,7 +239,7 @@ class Reviews(StatefulProcessor):
 
 
 def _per_session(events: DataFrame, processor: StatefulProcessor, schema: str, time_mode: str = "None") -> DataFrame:
-    return events.groupBy("session_id").transformWithStateInPandas(
+    return events.groupBy("session_id").transformWithState(
         statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode=time_mode
     )
 
@@ -275,7 +269,7 @@ def heartbeat_stream(events: DataFrame, idle_seconds: int = HEARTBEAT_SECONDS, l
 def review_stream(reviews: DataFrame, keep_edit: bool = False) -> DataFrame:
     return reviews.select("session_id", "stage", "seq", "content", "tech", "feedback").groupBy(
         "session_id", "stage"
-    ).transformWithStateInPandas(
+    ).transformWithState(
         statefulProcessor=Reviews(keep_edit), outputStructType=REVIEW_ROWS, outputMode="Append", timeMode="None"
     )
 

@@ -72,7 +72,7 @@ def test_export_keeps_duplicates_and_splits_large_sessions(spark):
     with zipfile.ZipFile(io.BytesIO(bytes(whole[0].zip))) as z:
         assert z.namelist() == [f"d/f{i % 2}.txt" for i in range(5)]
         assert z.read(z.infolist()[0]).decode() == "é" * 100
-    parts = exports.code_archive_export(files.where("session_id = 1"), part_bytes=400).orderBy("part").collect()
+    parts = exports.code_archive_export(files.where("session_id = 1"), part_bytes=560).orderBy("part").collect()
     assert [(r.part, r.filename, r.files) for r in parts] == [
         (0, "a-b-migrated.zip", 2), (1, "a-b-migrated.1.zip", 2), (2, "a-b-migrated.2.zip", 1)
     ]

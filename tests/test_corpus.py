@@ -82,7 +82,7 @@ def test_config_of_properties_and_variables(spark):
     got = {(r.profile, r.key): (r.entries, r.lowest, r.highest, r.conflicting) for r in C.config_inventory(df).collect()}
     assert got == {
         ("default", "a"): (3, "", "9", True), ("default", "b.c"): (1, "x=y", "x=y", False), ("dev", "a"): (1, "2", "2", False),
-        ("default", "b"): (1, "1 & 2", "1 & 2", False),
+        ("default", "b"): (1, "1 & 2", "1 & 2", False), ("default", "z"): (1, "", "", False),
     }
 
 
