@@ -2,10 +2,11 @@
 
 A plain window over ``partitionBy(keys)`` puts a whole group in one task, so a
 repository or session holding a third of all rows would be one giant sort.
-Here the order column is cut into blocks of consecutive values. Blocks are
-summarised with map-side combining, only the summaries (one row per block) are
-scanned per group, and the row-level window runs per (group, block), which
-holds at most ``block`` rows because the order column is unique in its group.
+Groups of ordinary size take exactly that window. The order column of a hot
+group is cut into blocks of consecutive values: blocks are summarised with
+map-side combining, only the summaries are scanned per group, and the row-level
+window runs per (group, block), which holds a bounded number of rows because
+the order column is unique in its group.
 """
 
 from __future__ import annotations
@@ -15,12 +16,15 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from codexfold.functions.skew import HOT_ROWS, hot_keys
+
 BLOCK_ROWS = 4096
+BLOCKS_PER_HOT_GROUP = 256
 PART_CHARS = 16 * 1024 * 1024
 
 
-def with_block(df: DataFrame, order: str, block: int = BLOCK_ROWS) -> DataFrame:
-    return df.withColumn("_block", F.floor(F.col(order) / F.lit(block)))
+def block_of(order: str, block: int) -> Column:
+    return F.floor(F.col(order) / F.lit(block))
 
 
 def prefix(
@@ -28,30 +32,34 @@ def prefix(
     keys: Sequence[str],
     order: str | Sequence[str],
     measures: Mapping[str, tuple[str, Column]],
-    block: int = BLOCK_ROWS,
+    hot_rows: int = HOT_ROWS,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """Add, per measure, its aggregate over the rows *before* each row.
 
     ``measures`` maps an output name to ``("sum" | "max", column)``. The last
     order column is a whole number unique within keys and the other order
-    columns; those others have few values (a source number, for instance).
-    Before the first row a sum is 0 and a maximum is NULL.
+    columns. Before the first row a sum is 0 and a maximum is NULL. ``hot`` gives
+    the hot keys, by all or some of ``keys``, where ``df`` is costly to count.
     """
     order = [order] if isinstance(order, str) else list(order)
     keys = list(keys)
-    cell = keys + order[:-1] + ["_block"]
-    rows = with_block(df, order[-1], block).withColumns(
-        {f"_m_{n}": c for n, (_, c) in measures.items()}
-    )
+    cell = [*keys, "_block"]
     agg = {"sum": F.sum, "max": F.max}
+    block = F.struct(
+        *order[:-1], block_of(order[-1], max(1, hot_rows // BLOCKS_PER_HOT_GROUP)).alias("_number")
+    )
+    hot = hot_keys(df, keys, hot_rows) if hot is None else hot
+    hot_by = [c for c in hot.columns if c != "_hot"]
 
-    cells = rows.groupBy(*cell).agg(
-        *[agg[fn](f"_m_{n}").alias(f"_c_{n}") for n, (fn, _) in measures.items()]
+    cells = (
+        df.join(hot, hot_by)
+        .withColumns({"_block": block, **{f"_m_{n}": c for n, (_, c) in measures.items()}})
+        .groupBy(*cell)
+        .agg(*[agg[fn](f"_m_{n}").alias(f"_c_{n}") for n, (fn, _) in measures.items()])
     )
     earlier_cells = (
-        Window.partitionBy(*keys)
-        .orderBy(*order[:-1], "_block")
-        .rowsBetween(Window.unboundedPreceding, -1)
+        Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     )
     offsets = cells.select(
         *cell,
@@ -59,11 +67,16 @@ def prefix(
     )
 
     earlier_rows = (
-        Window.partitionBy(*cell)
-        .orderBy(order[-1])
-        .rowsBetween(Window.unboundedPreceding, -1)
+        Window.partitionBy(*cell).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    )
+    out = (
+        df.join(hot, hot_by, "left")
+        .withColumns(
+            {"_block": F.when(F.col("_hot"), block), **{f"_m_{n}": c for n, (_, c) in measures.items()}}
+        )
+        .drop("_hot")
+        .join(offsets, cell, "left")
     )
-    out = rows.join(offsets, cell)
     for name, (fn, _) in measures.items():
         local, before = agg[fn](f"_m_{name}").over(earlier_rows), F.col(f"_o_{name}")
         if fn == "sum":
@@ -71,8 +84,7 @@ def prefix(
         else:
             value = F.greatest(before, local)
         out = out.withColumn(name, value)
-    drop = ["_block"] + [f"_{t}_{n}" for n in measures for t in "mo"]
-    return out.drop(*drop)
+    return out.drop("_block", *[f"_{t}_{n}" for n in measures for t in "mo"])
 
 
 def ordered_text(order: str, text: str) -> Column:

@@ -1,14 +1,10 @@
-"""Joins of a large side with a side that has one row per key, safe for hot keys.
+"""Hot keys: found by counting, split only where they occur.
 
-``lookup_join``: the rows of a key are spread over up to ``salts`` salted keys,
-and the unique side is repeated only for the (key, salt) pairs that occur. Those
-pairs come from a map-side combined distinct over the key columns, so a key with
-a third of all rows contributes at most ``salts`` of them, cold keys are hardly
-repeated, and no task of the final join holds a whole hot key.
-
-The large side is read twice; where it is costly to compute, put an aggregate
-under both uses so that Spark reuses its exchange. No broadcast is forced: Spark
-picks one only when statistics or adaptive execution show that a side is small.
+A key is hot when it has more than ``hot_rows`` rows. Counting is a map-side
+combined aggregate over the key columns alone. There are at most
+(rows / hot_rows) hot keys, a million at 10^12 rows, which is what bounds the
+one broadcast made here; with no hot key adaptive execution removes the joins
+on it altogether, so ordinary data pays for the count only.
 """
 
 from __future__ import annotations
@@ -18,17 +14,33 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+HOT_ROWS = 1_000_000
 SALTS = 4096
 
 
+def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Keys with more than ``hot_rows`` rows, marked ``_hot``; safe to broadcast."""
+    counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > hot_rows)
+    return F.broadcast(counted.select(*keys, F.lit(True).alias("_hot")))
+
+
 def lookup_join(
     large: DataFrame,
     unique: DataFrame,
     on: Sequence[str],
     spread: Column,
     how: str = "left",
-    salts: int = SALTS,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    salted = large.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
-    pairs = salted.select(*on, "_salt").distinct().join(unique, list(on))
-    return salted.join(pairs, [*on, "_salt"], how).drop("_salt")
+    """Join ``large`` with a side that has one row per key.
+
+    Rows of a hot key go to one of ``SALTS`` salts by the hash of ``spread``,
+    and only the hot keys of the unique side are repeated, once per salt.
+    """
+    on = list(on)
+    hot = hot_keys(large, on, hot_rows)
+    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")).otherwise(0)
+    copies = F.sequence(F.lit(0), F.when(F.col("_hot"), SALTS - 1).otherwise(0))
+    salted = large.join(hot, on, "left").withColumn("_salt", salt).drop("_hot")
+    repeated = unique.join(hot, on, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
+    return salted.join(repeated, [*on, "_salt"], how).drop("_salt")

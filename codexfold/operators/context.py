@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from codexfold.constants import CONTEXT_HEAD, CONTEXT_TAIL
-from codexfold.functions.prefix import BLOCK_ROWS, PART_CHARS, ordered_text, prefix
-from codexfold.functions.skew import lookup_join
+from codexfold.functions.prefix import PART_CHARS, ordered_text, prefix
+from codexfold.functions.skew import HOT_ROWS, hot_keys, lookup_join
 from codexfold.functions.text import is_blank, lossy_utf8, suffix
 
 DECODER_SUFFIXES = (".pdf", ".docx", ".doc")
@@ -81,7 +81,7 @@ def context_status_report(texts: DataFrame) -> DataFrame:
 
 
 def context_accumulate(
-    texts: DataFrame, part_chars: int = PART_CHARS, block: int = BLOCK_ROWS
+    texts: DataFrame, part_chars: int = PART_CHARS, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
     """Additional context per session in arrival order.
 
@@ -93,7 +93,8 @@ def context_accumulate(
         "_piece", F.concat(F.lit(CONTEXT_HEAD), F.col("name"), F.lit(CONTEXT_TAIL), F.col("text"))
     )
     placed = prefix(
-        kept, ["session_id"], "seq", {"_before": ("sum", F.length("_piece").cast("bigint"))}, block
+        kept, ["session_id"], "seq", {"_before": ("sum", F.length("_piece").cast("bigint"))},
+        hot=hot_keys(texts, ["session_id"], hot_rows), hot_rows=hot_rows,
     )
     return (
         placed.groupBy("session_id", F.floor(F.col("_before") / part_chars).alias("part"))

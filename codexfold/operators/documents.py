@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codexfold.constants import DISPLAY_LANGUAGE, FALLBACK_SUFFIX, FALLBACK_SUFFIX_OTHER
-from codexfold.functions.prefix import BLOCK_ROWS, prefix
+from codexfold.functions.prefix import prefix
+from codexfold.functions.skew import HOT_ROWS
 from codexfold.functions.text import basename, dirname, lookup, nonempty, strip
 
 # Python's \s is Unicode white space plus U+001C to U+001F, and
@@ -199,7 +200,7 @@ def test_ratio(files: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def merge_by_path(original: DataFrame, fixes: DataFrame, block: int = BLOCK_ROWS) -> DataFrame:
+def merge_by_path(original: DataFrame, fixes: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Upsert fixes into original, both (repo_id, ord, path, content).
 
     The last writer of a path gives its content, the first its position; new
@@ -218,7 +219,7 @@ def merge_by_path(original: DataFrame, fixes: DataFrame, block: int = BLOCK_ROWS
     keys = rows.groupBy("repo_id", "path").agg(F.min(F.struct("src", "ord")).alias("_first")).select(
         "repo_id", "path", F.col("_first.src").alias("_src"), F.col("_first.ord").alias("_ord")
     )
-    ranked = prefix(keys, ["repo_id"], ["_src", "_ord"], {"ord": ("sum", F.lit(1).cast("bigint"))}, block)
+    ranked = prefix(keys, ["repo_id"], ["_src", "_ord"], {"ord": ("sum", F.lit(1).cast("bigint"))}, hot_rows)
     return merged.join(ranked.drop("_src", "_ord"), ["repo_id", "path"]).select(
         "repo_id", "ord", "path", "content"
     )

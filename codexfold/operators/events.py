@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from codexfold import constants as K
 from codexfold.functions.clock import micros
-from codexfold.functions.prefix import BLOCK_ROWS, PART_CHARS, ordered_text, prefix
-from codexfold.functions.skew import lookup_join
+from codexfold.functions.prefix import PART_CHARS, ordered_text, prefix
+from codexfold.functions.skew import HOT_ROWS, hot_keys, lookup_join
 from codexfold.functions.text import lookup
 
 EVENT_TYPE = (
@@ -74,7 +74,7 @@ def _flag(condition: Column) -> Column:
 
 
 def stream_segments(
-    events: DataFrame, part_chars: int = PART_CHARS, block: int = BLOCK_ROWS
+    events: DataFrame, part_chars: int = PART_CHARS, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
     """Streamed text per session, segment and run.
 
@@ -102,37 +102,37 @@ def stream_segments(
             "_chars": ("sum", chars),
             "_step": ("max", F.when(step_set_by().isNotNull(), F.struct("seq", step_set_by().alias("step")))),
         },
-        block,
+        hot_rows,
     ).where((F.col("_ended") == 0) & ~is_terminal())
 
-    # Empty chunks add no characters, so they must not be gathered either; the
-    # closing event is in a run's last part.
-    parts = log.groupBy("session_id", "segment", "run", F.floor(F.col("_chars") / part_chars).alias("part")).agg(
+    part = F.floor(F.col("_chars") / part_chars)
+    # Empty chunks add no characters, so they must not be gathered either.
+    parts = log.groupBy("session_id", "segment", "run", part.alias("part")).agg(
         F.expr(
             "listagg(CASE WHEN type LIKE '%-stream' AND content <> '' THEN content END, '') WITHIN GROUP (ORDER BY seq)"
         ).alias("_text"),
         F.count_if(chunk).alias("_chunks"),
         F.max("_step.step").alias("step"),
-        F.max(F.when(starts | ready, F.col("type"))).alias("_closed"),
-        F.max(F.when(ready, F.col("content"))).alias("_own"),
     )
-    closing = parts.where(F.col("_closed").isNotNull()).select(
-        "session_id", "run", F.col("_closed").alias("closed_by"), F.col("_own").alias("_ready_text"),
-        F.col("part").alias("_last"),
+    # One event closes a run; it reads the same exchange as the parts, and lies
+    # in the run's last part.
+    closing = log.where(starts | ready).select(
+        "session_id", "run", F.col("type").alias("closed_by"),
+        F.when(ready, F.col("content")).alias("_own"), part.alias("_last"),
     )
-    own = F.col("_ready_text").isNotNull()
+    own = F.col("_own").isNotNull()
     return (
-        parts.drop("_closed", "_own").join(closing, ["session_id", "run"], "left")
+        parts.join(closing, ["session_id", "run"], "left")
         .where((F.col("_chunks") > 0) | F.col("closed_by").isin(*K.READY_TYPES))
         .where(~own | (F.col("part") == F.col("_last")))
         .select(
             "session_id", "segment", "run", "part", "step", "closed_by",
-            F.when(own, F.col("_ready_text")).otherwise(F.coalesce("_text", F.lit(""))).alias("text"),
+            F.when(own, F.col("_own")).otherwise(F.coalesce("_text", F.lit(""))).alias("text"),
         )
     )
 
 
-def stream_progress(events: DataFrame, block: int = BLOCK_ROWS) -> DataFrame:
+def stream_progress(events: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Progress after each event that changes it: the k-th non-empty chunk of a
     segment gives min(5 + 3k, 92), a step change 0, a ready event 100."""
     starts, ready = _starts_segment(), F.col("type").isin(*K.READY_TYPES)
@@ -140,11 +140,12 @@ def stream_progress(events: DataFrame, block: int = BLOCK_ROWS) -> DataFrame:
     used = events.where(starts | ready | chunk | is_terminal()).select(
         "session_id", "seq", "type", _flag(chunk).alias("_chunk"), _flag(starts).alias("_starts")
     )
+    hot = hot_keys(used, ["session_id"], hot_rows)
     log = prefix(
         used, ["session_id"], "seq",
-        {"_ended": ("sum", _flag(is_terminal())), "_segment": ("sum", F.col("_starts"))}, block,
+        {"_ended": ("sum", _flag(is_terminal())), "_segment": ("sum", F.col("_starts"))}, hot_rows, hot,
     ).where((F.col("_ended") == 0) & ~is_terminal())
-    counted = prefix(log, ["session_id", "_segment"], "seq", {"_chunks": ("sum", F.col("_chunk"))}, block)
+    counted = prefix(log, ["session_id", "_segment"], "seq", {"_chunks": ("sum", F.col("_chunk"))}, hot_rows, hot)
     streamed = F.least(
         F.lit(K.PROGRESS_START) + F.lit(K.PROGRESS_STEP) * (F.col("_chunks") + 1), F.lit(K.PROGRESS_CAP)
     )
@@ -187,12 +188,12 @@ def status_reduce(events: DataFrame) -> DataFrame:
 
 
 def idle_heartbeat(
-    events: DataFrame, idle_seconds: int = K.HEARTBEAT_SECONDS, block: int = BLOCK_ROWS
+    events: DataFrame, idle_seconds: int = K.HEARTBEAT_SECONDS, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
     """Gaps of at least ``idle_seconds`` before an event, with the number of
     heartbeats a reader got meanwhile."""
     arrivals = events.select("session_id", "seq", micros(events, "ts").alias("_us"))
-    log = prefix(arrivals, ["session_id"], "seq", {"_last": ("max", F.struct("seq", "_us"))}, block)
+    log = prefix(arrivals, ["session_id"], "seq", {"_last": ("max", F.struct("seq", "_us"))}, hot_rows)
     return (
         log.withColumn("gap_us", F.col("_us") - F.col("_last._us"))
         .withColumn("heartbeats", F.floor(F.col("gap_us") / (idle_seconds * 1_000_000)))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codexfold.functions.prefix import BLOCK_ROWS, prefix
+from codexfold.functions.prefix import prefix
+from codexfold.functions.skew import HOT_ROWS
 from codexfold.functions.text import head
 
 ARTIFACT_KINDS = ("brd", "plan")
@@ -34,7 +35,7 @@ def write_artifacts(artifacts: DataFrame, location: str) -> None:
 
 
 def code_archive_export(
-    files: DataFrame, part_bytes: int = ARCHIVE_PART_BYTES, block: int = BLOCK_ROWS
+    files: DataFrame, part_bytes: int = ARCHIVE_PART_BYTES, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
     """Deflated ZIP of each session's files (session_id, pattern, ord, path, content).
 
@@ -43,7 +44,7 @@ def code_archive_export(
     task builds one bounded archive at a time and no file is left out.
     """
     size = (F.octet_length("content") + 2 * F.octet_length("path") + ENTRY_BYTES).cast("bigint")
-    placed = prefix(files, ["session_id"], "ord", {"_before": ("sum", size)}, block).withColumn(
+    placed = prefix(files, ["session_id"], "ord", {"_before": ("sum", size)}, hot_rows).withColumn(
         "part", F.floor(F.col("_before") / part_bytes)
     )
 

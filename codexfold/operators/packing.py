@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codexfold import constants as K
-from codexfold.functions.prefix import BLOCK_ROWS, ordered_text, with_block
+from codexfold.functions.prefix import BLOCK_ROWS, block_of, ordered_text
 from codexfold.functions.text import head, is_blank
 
 
@@ -42,7 +42,7 @@ def pack_budget(
     """
     content_chars = F.length("content") if chars is None else F.col(chars)
     length = frame_length(F.col("path"), content_chars)
-    sized = with_block(files, "ord", block).withColumn("chunk_chars", length)
+    sized = files.withColumns({"_block": block_of("ord", block), "chunk_chars": length})
 
     before = (
         Window.partitionBy("repo_id").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)

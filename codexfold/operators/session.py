@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from codexfold.constants import FEEDBACK_LEAD, SESSION_DEFAULTS
 from codexfold.functions.clock import micros
-from codexfold.functions.prefix import BLOCK_ROWS, PART_CHARS, ordered_text, prefix
-from codexfold.functions.skew import lookup_join
+from codexfold.functions.prefix import PART_CHARS, ordered_text, prefix
+from codexfold.functions.skew import HOT_ROWS, hot_keys, lookup_join
 from codexfold.functions.text import nonempty
 
 STATE_KEYS = tuple(SESSION_DEFAULTS)
@@ -99,7 +99,7 @@ def review_patch(
     stored: DataFrame | None = None,
     keep_edit: bool = False,
     part_chars: int = PART_CHARS,
-    block: int = BLOCK_ROWS,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Documents after all reviews: (session_id, stage, part, value).
 
@@ -119,12 +119,13 @@ def review_patch(
         )
     last = pieces.where(F.col("op") == "set").groupBy("session_id", "stage").agg(F.max("seq").alias("_from"))
     live = (
-        lookup_join(pieces, last, ["session_id", "stage"], F.col("seq"))
+        lookup_join(pieces, last, ["session_id", "stage"], F.col("seq"), hot_rows=hot_rows)
         .where(F.col("_from").isNull() | (F.col("seq") >= F.col("_from")))
         .drop("_from")
     )
     placed = prefix(
-        live, ["session_id", "stage"], "seq", {"_before": ("sum", F.length("text").cast("bigint"))}, block
+        live, ["session_id", "stage"], "seq", {"_before": ("sum", F.length("text").cast("bigint"))},
+        hot=hot_keys(reviews, ["session_id", "stage"], hot_rows), hot_rows=hot_rows,
     )
     return placed.groupBy(
         "session_id", "stage", F.floor(F.col("_before") / part_chars).alias("part")

@@ -34,12 +34,12 @@ def test_text_by_suffix(spark):
     assert got["t.md"] == ("extracted", " hi ")
 
 
-@pytest.mark.parametrize("part_chars,block", [(1 << 24, 4096), (40, 2)])
-def test_accumulate_in_parts(spark, part_chars, block):
+@pytest.mark.parametrize("part_chars,hot_rows", [(1 << 24, 10**6), (40, 2)])
+def test_accumulate_in_parts(spark, part_chars, hot_rows):
     texts = [(s, q, f"n{q}", "" if q % 4 == 0 else "x" * (q % 7 + 1)) for s in (1, 2) for q in range(20)]
     df = spark.createDataFrame(texts, "session_id bigint, seq bigint, name string, text string").repartition(7)
     got = {}
-    for r in C.context_accumulate(df, part_chars, block).orderBy("part").collect():
+    for r in C.context_accumulate(df, part_chars, hot_rows).orderBy("part").collect():
         value, count, names = got.get(r.session_id, ("", 0, []))
         got[r.session_id] = (value + r.additional_context, count + r.files_added, names + r.filenames.split(","))
     for s in (1, 2):

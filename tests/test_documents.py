@@ -110,9 +110,9 @@ def test_flags_and_languages(spark):
     assert [r.language for r in D.language_normalise(df).collect()] == ["go", "java", "kotlin", "go", "go"]
 
 
-@pytest.mark.parametrize("block", [1, 4096])
-def test_merge_equals_ordered_dictionary(spark, block):
-    rng = random.Random(block)
+@pytest.mark.parametrize("hot_rows", [1, 10**6])
+def test_merge_equals_ordered_dictionary(spark, hot_rows):
+    rng = random.Random(hot_rows)
     files = {s: [(f"r{rng.randrange(5)}", o, f"p{rng.randrange(12)}", f"{s}{o}") for o in range(120)] for s in "of"}
     schema = "repo_id string, ord bigint, path string, content string"
     frames = [spark.createDataFrame(rng.sample(files[s], 120), schema).repartition(7) for s in "of"]
@@ -121,6 +121,6 @@ def test_merge_equals_ordered_dictionary(spark, block):
         for repo, _, path, content in files[s]:
             expected.setdefault(repo, {})[path] = content
     got = {}
-    for r in D.merge_by_path(*frames, block).orderBy("repo_id", "ord").collect():
+    for r in D.merge_by_path(*frames, hot_rows).orderBy("repo_id", "ord").collect():
         got.setdefault(r.repo_id, []).append((r.ord, r.path, r.content))
     assert got == {repo: [(i, p, c) for i, (p, c) in enumerate(d.items())] for repo, d in expected.items()}

@@ -71,16 +71,16 @@ def reduce_model(log):
     return views
 
 
-@pytest.mark.parametrize("seed,block,part_chars", [(1, 4096, 1 << 24), (2, 3, 1 << 24), (3, 5, 6)])
-def test_segments_and_progress_equal_fold(spark, seed, block, part_chars):
+@pytest.mark.parametrize("seed,hot_rows,part_chars", [(1, 10**6, 1 << 24), (2, 3, 1 << 24), (3, 50, 6)])
+def test_segments_and_progress_equal_fold(spark, seed, hot_rows, part_chars):
     log = random_log(seed)
     df, views = frame(spark, log), reduce_model(log)
     runs = {}
-    for r in V.stream_segments(df, part_chars, block).orderBy("part").collect():
+    for r in V.stream_segments(df, part_chars, hot_rows).orderBy("part").collect():
         key = (r.session_id, r.segment, r.run, r.step, r.closed_by)
         runs[key] = runs.get(key, "") + r.text
     assert runs == {(sid, *run[:4]): run[4] for sid, v in views.items() for run in v["runs"]}
-    progress = {(r.session_id, r.seq): r.progress for r in V.stream_progress(df, block).collect()}
+    progress = {(r.session_id, r.seq): r.progress for r in V.stream_progress(df, hot_rows).collect()}
     assert progress == {(sid, seq): p for sid, v in views.items() for seq, p in v["progress"]}
 
 
@@ -102,14 +102,14 @@ def test_route(spark):
     assert got == {(s, q) for s, q, *_ in log if s % 2 == 0 and q <= end.get(s, 10**9)}
 
 
-@pytest.mark.parametrize("block", [2, 4096])
-def test_heartbeats(spark, block):
+@pytest.mark.parametrize("hot_rows", [2, 10**6])
+def test_heartbeats(spark, hot_rows):
     rows = [(1, 0, 0), (1, 1, 29_999_999), (1, 2, 60_000_000), (1, 3, 155_000_000), (2, 0, 0), (1, 9, 185_000_000)]
     df = spark.createDataFrame(rows, "session_id bigint, seq bigint, us bigint").selectExpr("session_id", "seq", "timestamp_micros(us) AS ts")
-    got = {(r.seq, r.gap_us, r.heartbeats) for r in V.idle_heartbeat(df, block=block).collect()}
+    got = {(r.seq, r.gap_us, r.heartbeats) for r in V.idle_heartbeat(df, hot_rows=hot_rows).collect()}
     assert got == {(2, 30_000_001, 1), (3, 95_000_000, 3), (9, 30_000_000, 1)}
     ntz = df.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
-    assert {(r.seq, r.gap_us, r.heartbeats) for r in V.idle_heartbeat(ntz, block=block).collect()} == got
+    assert {(r.seq, r.gap_us, r.heartbeats) for r in V.idle_heartbeat(ntz, hot_rows=hot_rows).collect()} == got
 
 
 def test_envelope_round_trip(spark):

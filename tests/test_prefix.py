@@ -17,11 +17,11 @@ def rows(seed, hot=True):
     return out
 
 
-@pytest.mark.parametrize("block", [1, 7, 4096])
-def test_prefix_equals_loop(spark, block):
-    data = rows(block)
+@pytest.mark.parametrize("hot_rows", [1, 39, 650, 10**6])
+def test_prefix_equals_loop(spark, hot_rows):
+    data = rows(hot_rows)
     df = spark.createDataFrame(data, "k string, o bigint, v bigint").repartition(7)
-    got = prefix(df, ["k"], "o", {"s": ("sum", F.col("v")), "m": ("max", F.struct("o", "v"))}, block)
+    got = prefix(df, ["k"], "o", {"s": ("sum", F.col("v")), "m": ("max", F.struct("o", "v"))}, hot_rows)
     assert got.columns == ["k", "o", "v", "s", "m"]
     expected, total, last = {}, {}, {}
     for k, o, v in sorted(data):
@@ -32,19 +32,21 @@ def test_prefix_equals_loop(spark, block):
     assert result == expected
 
 
-def test_prefix_over_two_order_columns(spark):
+@pytest.mark.parametrize("hot_rows", [1, 10**6])
+def test_prefix_over_two_order_columns(spark, hot_rows):
     df = spark.createDataFrame([("a", 1, 5), ("a", 0, 9), ("a", 0, 3), ("b", 1, 0)], "k string, src int, o bigint")
-    got = prefix(df, ["k"], ["src", "o"], {"n": ("sum", F.lit(1))}, 4).collect()
+    got = prefix(df, ["k"], ["src", "o"], {"n": ("sum", F.lit(1))}, hot_rows).collect()
     assert {(r.k, r.src, r.o): r.n for r in got} == {
         ("a", 0, 3): 0, ("a", 0, 9): 1, ("a", 1, 5): 2, ("b", 1, 0): 0
     }
 
 
+@pytest.mark.parametrize("hot_rows", [1, 100, 10**6])
 @pytest.mark.parametrize("how", ["left", "inner", "left_semi", "left_anti"])
-def test_spread_join_equals_plain_join(spark, how):
+def test_spread_join_equals_plain_join(spark, how, hot_rows):
     large = spark.createDataFrame([("hot" if i % 3 else f"k{i % 11}", i) for i in range(500)], "k string, i int")
     unique = spark.createDataFrame([("hot", 1), ("k3", 2), ("none", 3)], "k string, x int")
-    ours = lookup_join(large, unique, ["k"], F.col("i"), how).select(*large.join(unique, "k", how).columns)
+    ours = lookup_join(large, unique, ["k"], F.col("i"), how, hot_rows).select(*large.join(unique, "k", how).columns)
     assert sorted(map(repr, ours.collect())) == sorted(map(repr, large.join(unique, "k", how).collect()))
 
 
@@ -56,7 +58,7 @@ def test_hot_key_is_spread(spark):
         large = spark.range(20_000).select(F.lit("hot").alias("k"), F.col("id").alias("i"))
         unique = spark.createDataFrame([("hot", 1)], "k string, x int")
         sizes = (
-            lookup_join(large, unique, ["k"], F.col("i")).groupBy(F.spark_partition_id()).count().collect()
+            lookup_join(large, unique, ["k"], F.col("i"), hot_rows=1_000).groupBy(F.spark_partition_id()).count().collect()
         )
         assert len(sizes) == 8 and max(r["count"] for r in sizes) < 4_000
     finally:

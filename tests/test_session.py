@@ -36,7 +36,7 @@ def test_patch_equals_loop(spark, seed, keep_edit):
     stored = {(s, st): f"stored{s}" for s in range(3) for st in ("brd", "plan")}
     df = spark.createDataFrame(random.sample(reviews, len(reviews)), REVIEW).repartition(7)
     base = spark.createDataFrame([(s, st, v) for (s, st), v in stored.items()], "session_id bigint, stage string, value string")
-    rows = S.review_patch(df, base, keep_edit, part_chars=30, block=2).orderBy("part").collect()
+    rows = S.review_patch(df, base, keep_edit, part_chars=30, hot_rows=2).orderBy("part").collect()
     got = {}
     for r in rows:
         got[r.session_id, r.stage] = got.get((r.session_id, r.stage), "") + r.value
