@@ -239,10 +239,8 @@ def _tags(content: Column, names: str) -> Column:
 
 
 def _attribute(tag: Column, name: str) -> Column:
-    """Attribute value, NULL when the tag has none."""
-    quoted = rf"\s{name}\s*=\s*(?:\"([^\"]*)\"|'([^']*)')"
-    value = F.concat(F.regexp_extract(tag, quoted, 1), F.regexp_extract(tag, quoted, 2))
-    return F.when(tag.rlike(quoted), _resolved(value))
+    """Attribute value, NULL when it is absent or empty."""
+    return nonempty(_resolved(F.regexp_extract(tag, rf"\s{name}\s*=\s*([\"'])(.*?)\1", 2)))
 
 
 def _is_tag(tag: Column, name: str) -> Column:
@@ -429,17 +427,17 @@ def process_parts(files: DataFrame) -> DataFrame:
     ``call`` of a sub-process (an activity's ``processName``).
     """
     tag = F.col("_tag")
+    activity = _is_tag(tag, "activity")
 
-    def row(item: str, name: Column, detail: Column, keep: Column) -> Column:
-        return F.when(keep, F.struct(F.lit(item).alias("item"), name.alias("name"), detail.alias("detail")))
+    def row(item: str, name: str, detail: Column) -> Column:
+        present = F.col(name).isNotNull() & detail.isNotNull()
+        return F.when(present, F.struct(F.lit(item).alias("item"), F.col(name).alias("name"), detail.alias("detail")))
 
-    name, kind = _attribute(tag, "name"), _attribute(tag, "type")
-    source, target, called = _attribute(tag, "from"), _attribute(tag, "to"), _attribute(tag, "processName")
     rows = F.array_compact(
         F.array(
-            row("activity", name, kind, _is_tag(tag, "activity") & name.isNotNull() & kind.isNotNull()),
-            row("call", called, F.lit(""), _is_tag(tag, "activity") & called.isNotNull()),
-            row("transition", source, target, _is_tag(tag, "transition") & source.isNotNull() & target.isNotNull()),
+            row("activity", "_name", F.col("_type")),
+            row("call", "_called", F.lit("")),
+            row("transition", "_from", F.col("_to")),
         )
     )
     return (
@@ -450,6 +448,16 @@ def process_parts(files: DataFrame) -> DataFrame:
             F.regexp_replace(basename(F.col("path")), r"\.[^.]+\z", "").alias("process"),
             F.explode(_tags(F.col("content"), "activity|transition")).alias("_tag"),
         )
+        .select(
+            "repo_id",
+            "path",
+            "process",
+            F.when(activity, _attribute(tag, "name")).alias("_name"),
+            F.when(activity, _attribute(tag, "type")).alias("_type"),
+            F.when(activity, _attribute(tag, "processName")).alias("_called"),
+            F.when(~activity, _attribute(tag, "from")).alias("_from"),
+            F.when(~activity, _attribute(tag, "to")).alias("_to"),
+        )
         .select("repo_id", "path", "process", F.inline(rows))
     )
 

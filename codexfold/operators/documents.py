@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from codexfold.constants import DISPLAY_LANGUAGE, FALLBACK_SUFFIX, FALLBACK_SUFFIX_OTHER
 from codexfold.functions.prefix import prefix
-from codexfold.functions.skew import HOT_ROWS
+from codexfold.functions.skew import HOT_ROWS, hot_keys
 from codexfold.functions.text import basename, dirname, lookup, nonempty, strip
 
 # Python's \s is Unicode white space plus U+001C to U+001F, and
@@ -219,7 +219,10 @@ def merge_by_path(original: DataFrame, fixes: DataFrame, hot_rows: int = HOT_ROW
     keys = rows.groupBy("repo_id", "path").agg(F.min(F.struct("src", "ord")).alias("_first")).select(
         "repo_id", "path", F.col("_first.src").alias("_src"), F.col("_first.ord").alias("_ord")
     )
-    ranked = prefix(keys, ["repo_id"], ["_src", "_ord"], {"ord": ("sum", F.lit(1).cast("bigint"))}, hot_rows)
+    ranked = prefix(
+        keys, ["repo_id"], ["_src", "_ord"], {"ord": ("sum", F.lit(1).cast("bigint"))},
+        hot_rows, hot_keys(rows, ["repo_id"], hot_rows),
+    )
     return merged.join(ranked.drop("_src", "_ord"), ["repo_id", "path"]).select(
         "repo_id", "ord", "path", "content"
     )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,8 +28,11 @@ def use_rocksdb(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession, purpose: str) -> str:
-    """New folder below the cluster's ``spark.checkpoint.dir``."""
+    """New folder below the cluster's ``spark.checkpoint.dir``; a local session
+    without that setting gets a temporary one."""
     root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and spark.sparkContext.master.startswith("local"):
+        root = tempfile.mkdtemp(prefix="codexfold-")
     if not root:
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"

@@ -93,6 +93,27 @@ def test_heartbeats(spark, tmp_path):
     assert sorted(map(tuple, table.drop("batch_id").collect())) == sorted(map(tuple, batch.collect()))
 
 
+def test_live_heartbeats_come_during_silence(spark, tmp_path):
+    sources.use_rocksdb(spark)
+    feed = tmp_path / "feed"
+    schema = "session_id bigint, seq bigint, ts timestamp"
+    spark.sql("SELECT 1L AS session_id, 1L AS seq, current_timestamp() AS ts").coalesce(1).write.parquet(str(feed))
+    stream = stateful.heartbeat_stream(spark.readStream.schema(schema).parquet(str(feed)), idle_seconds=1, live=True)
+    query = (
+        stream.writeStream.format("memory").queryName("beats").outputMode("append")
+        .option("checkpointLocation", str(tmp_path / "state")).trigger(processingTime="500 milliseconds").start()
+    )
+    try:
+        for _ in range(60):
+            query.awaitTermination(1)
+            if spark.table("beats").count() >= 2:
+                break
+        rows = spark.table("beats").collect()
+    finally:
+        query.stop()
+    assert len(rows) >= 2 and {(r.session_id, r.seq, r.heartbeats) for r in rows} == {(1, None, 1)}
+
+
 def test_event_lines_drop_invalid(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.jsonl").write_text('{"type":"error","session_id":1,"seq":4}\n{oops\n{"type":"brd-ready","session_id":1,"seq":2}\n')
