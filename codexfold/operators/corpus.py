@@ -154,8 +154,14 @@ def type_declarations(files: DataFrame) -> DataFrame:
 
 
 def _distinct_types(files: DataFrame) -> DataFrame:
-    """Distinct declarations; every use below shares this exchange."""
-    return type_declarations(files).select("repo_id", "kind", "type", "parents").distinct()
+    """Distinct declarations. Every use below shares this exchange: the filter on
+    the count keeps Spark from folding the aggregate into the next one, and the
+    NULL test that joins would infer for one side only stands here for all."""
+    return (
+        type_declarations(files).where(F.col("repo_id").isNotNull() & F.col("type").isNotNull())
+        .groupBy("repo_id", "kind", "type", "parents")
+        .agg(F.count(F.lit(1)).alias("_count")).where(F.col("_count") > 0)
+    )
 
 
 def _hierarchy(types: DataFrame) -> DataFrame:

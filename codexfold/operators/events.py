@@ -89,7 +89,7 @@ def stream_segments(
     chunk = F.col("type").isin(*K.STREAM_TYPES)
     chars = F.when(chunk, F.length(F.coalesce("content", F.lit("")))).otherwise(0).cast("bigint")
     used = events.where(
-        starts | ready | chunk | is_terminal()
+        F.col("session_id").isNotNull() & (starts | ready | chunk | is_terminal())
     ).select("session_id", "seq", "type", "step", "content")
     log = prefix(
         used,
@@ -114,19 +114,19 @@ def stream_segments(
         F.count_if(chunk).alias("_chunks"),
         F.max("_step.step").alias("step"),
     )
-    # One event closes a run; it reads the same exchange as the parts, and lies
-    # in the run's last part.
+    # One event closes a run and lies in its last part. It takes every column of
+    # the log, so that both sides read one exchange.
     closing = log.where(starts | ready).select(
-        "session_id", "run", F.col("type").alias("closed_by"),
+        "session_id", "segment", "run", F.col("type").alias("closed_by"), F.col("_step.step").alias("_closing_step"),
         F.when(ready, F.col("content")).alias("_own"), part.alias("_last"),
     )
     own = F.col("_own").isNotNull()
     return (
-        parts.join(closing, ["session_id", "run"], "left")
+        parts.join(closing, ["session_id", "segment", "run"], "left")
         .where((F.col("_chunks") > 0) | F.col("closed_by").isin(*K.READY_TYPES))
         .where(~own | (F.col("part") == F.col("_last")))
         .select(
-            "session_id", "segment", "run", "part", "step", "closed_by",
+            "session_id", "segment", "run", "part", F.coalesce("step", "_closing_step").alias("step"), "closed_by",
             F.when(own, F.col("_own")).otherwise(F.coalesce("_text", F.lit(""))).alias("text"),
         )
     )
