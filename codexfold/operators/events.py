@@ -115,8 +115,9 @@ def stream_segments(
         F.max("_step.step").alias("step"),
     )
     # One event closes a run and lies in its last part. It takes every column of
-    # the log, so that both sides read one exchange.
-    closing = log.where(starts | ready).select(
+    # the log, and of step changes only those with a step are left, so that both
+    # sides read one exchange.
+    closing = log.where((F.col("type") == "step-change") | ready).select(
         "session_id", "segment", "run", F.col("type").alias("closed_by"), F.col("_step.step").alias("_closing_step"),
         F.when(ready, F.col("content")).alias("_own"), part.alias("_last"),
     )
