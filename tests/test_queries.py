@@ -3,12 +3,16 @@
 import pytest
 
 import __spark_entry__ as registry
+from codexfold.plans.catalog import QUERIES as CATALOG
+from codexfold.plans.oracles import ORACLES as SQL
+from codexfold.streaming.live import LIVE
 
-QUERIES, SQL = registry.queries(), registry.oracle_sql()
+QUERIES = {**CATALOG, **LIVE}
 
 
 def test_every_query_has_sql():
     assert set(QUERIES) == set(SQL)
+    assert set(QUERIES) <= set(registry.queries())
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
