@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 300_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -25,9 +25,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 def written(df: DataFrame) -> DataFrame:
     """``df`` as a table in the shared folder: computed once, lineage cut,
-    readable by every executor, its size known to the optimizer."""
+    readable by every executor, its size known to the optimizer.
+
+    Spark drops shuffle files once the driver has collected the plan they belong to,
+    which may take long on a large heap; so the driver collects after each write.
+    """
     path = f"{shared_dir(df.sparkSession)}/codexfold-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    df.sparkSession.sparkContext._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -64,3 +69,26 @@ def text_chunks(
         hi = min(max(hi, lo + 1), n)
         yield lo, hi, body[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
         lo = hi
+
+
+def sorted_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Tables of equal ``keys`` out of the batches of a partition sorted by them."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [np.asarray(batch.column(k)) for k in keys]
+        change = np.zeros(batch.num_rows, bool)
+        for c in columns:
+            change[1:] |= c[1:] != c[:-1]
+        cuts = [0, *np.flatnonzero(change).tolist(), batch.num_rows]
+        for lo, hi in zip(cuts, cuts[1:]):
+            name = tuple(c[lo] for c in columns)
+            if name != last and held:
+                yield pa.Table.from_batches(held)
+                held = []
+            last = name
+            held.append(batch.slice(lo, hi - lo))
+    if held:
+        yield pa.Table.from_batches(held)

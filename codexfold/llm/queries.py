@@ -3,8 +3,18 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from codexfold.llm.decontaminate import contained_items
+from codexfold.llm.image_copies import image_copies, pictures
 from codexfold.llm.jaccard_forest import jaccard_components
+from codexfold.llm.packing import best_fit_packing
+from codexfold.llm.pii import pseudonymised
+from codexfold.llm.sentence_spans import without_repeated_spans
+from codexfold.llm.sharding import uniform_shards
+from codexfold.llm.suffix_buckets import without_repeats
+from codexfold.llm.toxicity import toxicity
+from codexfold.llm.warc import archive_round_trip
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,5 +25,53 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
-LLM_QUERIES = {f.__name__: f for f in (op3_jaccard_join,)}
+def op1_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return without_repeated_spans(table(spark, sf_dir, "documents"))
+
+
+def op2_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonymised(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_replaced")
+
+
+def op4_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    body = F.coalesce(F.col("text"), F.lit(""))
+    digest = table(spark, sf_dir, "documents").select(
+        "doc_id", (F.octet_length(body) + 16).cast("long").alias("size"), F.crc32(body.cast("binary")).alias("text_crc32")
+    )
+    return uniform_shards(digest, 40).select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
+def op5_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_round_trip(table(spark, sf_dir, "pages"))
+
+
+def op6_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return image_copies(pictures(table(spark, sf_dir, "embeddings")))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit_packing(table(spark, sf_dir, "documents"), with_ids=False)
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op10_suffix_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return without_repeats(table(spark, sf_dir, "documents"))
+
+
+LLM_QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_sentence_spans, op2_pii_surrogates, op3_jaccard_join, op4_hypergeometric_shards, op5_warc_normaliser,
+        op6_image_copies, op7_toxicity, op8_best_fit_packing, op9_decontamination, op10_suffix_buckets,
+    )
+}
 LLM_ORACLES: dict[str, str] = {}
