@@ -109,3 +109,8 @@ REQUIRED_OUTPUTS = (
     ("tibco-to-springboot", "pom.xml"),
     ("tibco-to-springboot", "src/main/resources/application.properties"),
 )
+
+# The line that opens a section, and the field that holds a ready
+# event's own text (a ready event of another type clears the streamed text).
+SECTION_MARKER = "<!-- SECTION: {} -->"
+READY_TEXT = {"brd-ready": "brd", "plan-ready": "content"}

@@ -2,11 +2,11 @@
 
 A plain window over ``partitionBy(keys)`` puts a whole group in one task, so a
 repository or session holding a third of all rows would be one giant sort.
-Groups of ordinary size take exactly that window. The order column of a hot
-group is cut into blocks of consecutive values: blocks are summarised with
-map-side combining, only the summaries are scanned per group, and the row-level
-window runs per (group, block), which holds a bounded number of rows because
-the order column is unique in its group.
+Groups of ordinary size take exactly that window. A hot group's range of order
+values, from its smallest to its largest, is cut into as many blocks as its row
+count asks for, whatever the values are (dense numbers, snowflake ids,
+microseconds): blocks are summarised with map-side combining, only the summaries
+are scanned per group, and the row-level window runs per (group, block).
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from codexfold.functions.skew import HOT_ROWS, hot_keys
 
 BLOCK_ROWS = 4096
-BLOCKS_PER_HOT_GROUP = 256
+BLOCKS_PER_HOT_GROUP = 256  # for a group of hot_rows rows, and in proportion
 PART_CHARS = 16 * 1024 * 1024
 
 
@@ -46,14 +46,17 @@ def prefix(
     keys = list(keys)
     cell = [*keys, "_block"]
     agg = {"sum": F.sum, "max": F.max}
-    block = F.struct(
-        *order[:-1], block_of(order[-1], max(1, hot_rows // BLOCKS_PER_HOT_GROUP)).alias("_number")
-    )
     hot = hot_keys(df, keys, hot_rows) if hot is None else hot
     hot_by = [c for c in hot.columns if c != "_hot"]
+    last = F.col(order[-1])
+    ranges = df.join(hot, hot_by).groupBy(*keys).agg(
+        F.min(last).alias("_least"), (F.max(last) - F.min(last) + 1).cast("double").alias("_span"), F.count(F.lit(1)).alias("_size")
+    )
+    blocks = F.greatest(F.lit(1), F.ceil(F.col("_size") * BLOCKS_PER_HOT_GROUP / hot_rows))
+    block = F.struct(*order[:-1], F.floor((last - F.col("_least")) / F.col("_span") * blocks).alias("_number"))
 
     cells = (
-        df.join(hot, hot_by)
+        df.join(ranges, keys)
         .withColumns({"_block": block, **{f"_m_{n}": c for n, (_, c) in measures.items()}})
         .groupBy(*cell)
         .agg(*[agg[fn](f"_m_{n}").alias(f"_c_{n}") for n, (fn, _) in measures.items()])
@@ -70,11 +73,11 @@ def prefix(
         Window.partitionBy(*cell).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     )
     out = (
-        df.join(hot, hot_by, "left")
+        df.join(ranges, keys, "left")
         .withColumns(
-            {"_block": F.when(F.col("_hot"), block), **{f"_m_{n}": c for n, (_, c) in measures.items()}}
+            {"_block": F.when(F.col("_size").isNotNull(), block), **{f"_m_{n}": c for n, (_, c) in measures.items()}}
         )
-        .drop("_hot")
+        .drop("_least", "_span", "_size")
         .join(offsets, cell, "left")
     )
     for name, (fn, _) in measures.items():

@@ -1,10 +1,10 @@
 """Hot keys: found by counting, split only where they occur.
 
 A key is hot when it has more than ``hot_rows`` rows. Counting is a map-side
-combined aggregate over the key columns alone. There are at most
-(rows / hot_rows) hot keys, a million at 10^12 rows, which is what bounds the
-one broadcast made here; with no hot key adaptive execution removes the joins
-on it altogether, so ordinary data pays for the count only.
+combined aggregate over the key columns alone. The list of hot keys grows with the data, so
+nothing here asks for a broadcast: Spark decides by its size. With no hot key
+adaptive execution removes the joins on it altogether, so ordinary data pays for
+the count only.
 """
 
 from __future__ import annotations
@@ -19,9 +19,9 @@ SALTS = 4096
 
 
 def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Keys with more than ``hot_rows`` rows, marked ``_hot``; safe to broadcast."""
+    """Keys with more than ``hot_rows`` rows, marked ``_hot``."""
     counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > hot_rows)
-    return F.broadcast(counted.select(*keys, F.lit(True).alias("_hot")))
+    return counted.select(*keys, F.lit(True).alias("_hot"))
 
 
 def lookup_join(

@@ -16,14 +16,18 @@ from codexfold.functions.skew import lookup_join
 from codexfold.functions.text import basename, nonempty, strip, suffix
 
 JAVA = (".java",)
-PACKAGE = r"(?m)^\s*package\s+([\w.]+)"
-IMPORT = r"(?m)^\s*import\s+(?:static\s+)?([\w.]+)"
-# kind, name, rest of the header up to the brace
-TYPE_DECLARATION = r"(?m)^\s*(?:(?:public|protected|private|abstract|final|static|sealed)\s+)*(class|interface|enum|record)\s+(\w+)([^{]*)\{"
-SPRING_PREFIX = r"@RequestMapping\(\s*(?:(?:value|path)\s*=\s*)?\"([^\"]*)\"\s*\)\s*(?:@[^\n]*\s*)*(?:public\s+)?(?:class|interface)"
-SPRING_METHOD = r"@(Get|Post|Put|Delete|Patch)Mapping\b(?:\(\s*(?:(?:value|path)\s*=\s*)?\"([^\"]*)\")?"
-JAXRS_PREFIX = r"@Path\(\s*\"([^\"]*)\"\s*\)\s*(?:@[^\n]*\s*)*(?:public\s+)?(?:class|interface)"
-JAXRS_METHOD = r"@(GET|POST|PUT|DELETE|PATCH)\b(?:\s*@Path\(\s*\"([^\"]*)\"\s*\))?"
+# No pattern repeats a group over lines or starts with white space that may run
+# over line ends: on hostile text the first overflows the stack, the second is quadratic.
+PACKAGE = r"(?m)^[ \t]*package[ \t]+([\w.]+)"
+IMPORT = r"(?m)^[ \t]*import[ \t]+((?:static[ \t]+)?[\w.]+)"
+# kind, name, rest of the header up to the brace (4,000 characters at most); before
+# the kind the line may hold modifiers and annotations without strings
+TYPE_DECLARATION = r"(?m)^[\w@.() \t-]*?(?<![\w.@-])(class|interface|enum|record)[ \t]+(\w+)([^{;]{0,4000})\{"
+# an annotation with its argument list (strings may hold any sign), a sign that ends
+# a member, or the keyword of a type
+MEMBER_TOKEN = r"@(?!interface\b)[\w.]+(?:[ \t]*\([^()\"]*+(?:\"[^\"\n]*+\"[^()\"]*+){0,200}\))?|[;{}]|(?<![\w.])(?:class|interface)(?=[ \t]+\w)"
+SPRING_VERBS = {"GetMapping": "GET", "PostMapping": "POST", "PutMapping": "PUT", "DeleteMapping": "DELETE", "PatchMapping": "PATCH"}
+JAXRS_VERBS = ("GET", "POST", "PUT", "DELETE", "PATCH", "HEAD", "OPTIONS")
 RELATION = r"@(OneToMany|ManyToOne|OneToOne|ManyToMany)\b[^;{]*?\b(\w+)(?:>)?\s+\w+\s*;"
 ANNOTATION = r"@(\w+)"
 
@@ -78,11 +82,17 @@ def package_inventory(files: DataFrame) -> DataFrame:
 def dependency_edges(files: DataFrame) -> DataFrame:
     """Package-to-package edges of the import lines.
 
-    The target is the import without its last component. ``weight`` counts
+    The target is the import without its last component, of a static import without
+    its last two (member and type). ``weight`` counts
     import lines; ``internal`` says that a file of the same repository declares
     the target package. Imports of the own package are left out.
     """
-    imported = F.regexp_replace(F.col("_import"), r"\.?[^.]*\z", "")
+    def outer(name: Column) -> Column:
+        return F.regexp_replace(name, r"\.?[^.]*\z", "")
+
+    static = F.startswith("_import", F.lit("static"))
+    imported = outer(F.regexp_replace("_import", r"\Astatic[ \t]+", ""))
+    imported = F.when(static, outer(imported)).otherwise(imported)
     # Both sides of the lookup below come out of this one aggregate, whose
     # exchange Spark reuses, so the text is scanned once; the filters read
     # aggregate results so that they stay above it.
@@ -191,33 +201,81 @@ def hierarchy_roots(files: DataFrame) -> DataFrame:
     return types.select("repo_id", "type").distinct().join(children, ["repo_id", "type"], "left_anti")
 
 
+def _members(content: Column) -> Column:
+    """Annotations by member: one string each, tokens after a mark, the keyword of a
+    type included. Argument lists are cut out first, so their signs end no member."""
+    tokens = F.regexp_extract_all(content, F.lit(MEMBER_TOKEN), F.lit(0))
+    marked = F.transform(tokens, lambda t: F.when(t.isin(";", "{", "}"), "\u0002").otherwise(F.concat(F.lit("\u0001"), t)))
+    return F.filter(F.split(F.array_join(marked, ""), "\u0002"), lambda m: m != "")
+
+
+def _paths(annotation: Column) -> Column:
+    """Paths of an annotation: the strings of ``value`` or ``path``, of whatever place
+    and as a list too, or of an argument without a name; '' where there is none."""
+    named = F.regexp_extract(annotation, r'[(,{]\s*(?:value|path)\s*=\s*(\{[^{}"]*(?:"[^"\n]*"[^{}"]*){1,50}\}|"[^"\n]*")', 1)
+    plain = F.regexp_extract(annotation, r'\(\s*(\{[^{}"]*(?:"[^"\n]*"[^{}"]*){1,50}\}|"[^"\n]*")', 1)
+    found = F.regexp_extract_all(F.when(named != "", named).otherwise(plain), F.lit('"([^"\n]*)"'), F.lit(1))
+    return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("")))
+
+
 def endpoints(files: DataFrame) -> DataFrame:
     """Distinct (repo_id, path, verb, route) of each file.
 
-    Spring mappings and JAX-RS annotations; the class-level prefix of the same
-    file goes in front. Everything is read inside the row.
+    Spring: the verb mappings, and ``@RequestMapping`` of a method with the verbs of
+    its ``method`` (``ANY`` without one). JAX-RS: a verb and ``@Path`` of one method,
+    in any order. A file's first type gives the prefixes of its routes. Everything is
+    read inside the row.
     """
-    content = F.col("content")
-
-    def routes(prefix_pattern: str, method_pattern: str) -> Column:
-        base = F.regexp_extract(content, prefix_pattern, 1)
-        return F.transform(
-            all_matches(content, method_pattern, (1, 2)),
-            lambda m: F.struct(
-                F.upper(m["g1"]).alias("verb"),
-                F.regexp_replace(F.concat_ws("/", F.lit(""), base, m["g2"]), r"/{2,}", "/").alias("route"),
-            ),
-        )
+    members = F.col("_members")
+
+    def annotations(member: Column, name: str) -> Column:
+        return F.filter(F.split(member, "\u0001"), lambda t: t.rlike(rf"\A@{name}(?![\w.])"))
+
+    def is_type(member: Column) -> Column:
+        return member.rlike(r"\x01(?:class|interface)\z")
+
+    kind = F.get(F.filter(members, is_type), F.lit(0))
+    prefixes = F.flatten(F.transform(annotations(kind, "(?:RequestMapping|Path)"), _paths))
+    prefixes = F.when(F.size(prefixes) > 0, prefixes).otherwise(F.array(F.lit("")))
+
+    def verbs(member: Column) -> Column:
+        def mapped(name: str, verb: str) -> Column:
+            return F.flatten(F.transform(annotations(member, name), lambda t: F.transform(_paths(t), lambda p: F.named_struct(F.lit("verb"), F.lit(verb), F.lit("at"), p))))
+
+        spring = F.concat(*[mapped(name, verb) for name, verb in SPRING_VERBS.items()])
 
-    found = F.array_distinct(F.concat(routes(SPRING_PREFIX, SPRING_METHOD), routes(JAXRS_PREFIX, JAXRS_METHOD)))
+        def methods(t: Column) -> Column:
+            named = F.regexp_extract_all(t, F.lit(r"RequestMethod\.(\w+)"), F.lit(1))
+            return F.when(F.size(named) > 0, named).otherwise(F.array(F.lit("ANY")))
+
+        request = F.flatten(F.transform(
+            annotations(member, "RequestMapping"),
+            lambda t: F.flatten(F.transform(_paths(t), lambda p: F.transform(methods(t), lambda v: F.named_struct(F.lit("verb"), v, F.lit("at"), p)))),
+        ))
+        own = F.flatten(F.transform(annotations(member, "Path"), _paths))
+        own = F.when(F.size(own) > 0, own).otherwise(F.array(F.lit("")))
+        jaxrs = F.flatten(F.transform(
+            annotations(member, f"(?:{'|'.join(JAXRS_VERBS)})"),
+            lambda t: F.transform(own, lambda p: F.named_struct(F.lit("verb"), F.substring(t, 2, 10), F.lit("at"), p)),
+        ))
+        return F.concat(spring, request, jaxrs)
+
+    methods = F.flatten(F.transform(F.filter(members, lambda m: ~is_type(m)), verbs))
     tidy = F.when(F.length("route") > 1, F.regexp_replace("route", r"/\z", "")).otherwise(F.col("route"))
-    return of_suffix(files, JAVA).select("repo_id", "path", F.inline(found)).withColumn("route", tidy)
+    return (
+        of_suffix(files, JAVA).where(F.col("content").rlike(r"Mapping\b|@(?:" + "|".join(JAXRS_VERBS) + r")\b"))
+        .select("repo_id", "path", _members(F.col("content")).alias("_members"))
+        .select("repo_id", "path", F.explode(prefixes).alias("_prefix"), methods.alias("_found"))
+        .select("repo_id", "path", "_prefix", F.inline("_found"))
+        .select("repo_id", "path", "verb", F.regexp_replace(F.concat_ws("/", F.lit(""), "_prefix", "at"), r"/{2,}", "/").alias("route"))
+        .withColumn("route", tidy).distinct()
+    )
 
 
 def endpoint_inventory(files: DataFrame) -> DataFrame:
     """Files per (repo_id, verb, route); ``duplicated`` when more than one."""
     return (
-        endpoints(files).distinct().groupBy("repo_id", "verb", "route")
+        endpoints(files).groupBy("repo_id", "verb", "route")
         .agg(F.count(F.lit(1)).alias("files"))
         .withColumn("duplicated", F.col("files") > 1)
     )
@@ -303,7 +361,7 @@ def config_inventory(files: DataFrame) -> DataFrame:
 
 
 POM_DEPENDENCY = r"(?s)<dependency>.*?</dependency>"
-GRADLE_DEPENDENCY = r"(?m)^\s*(?:implementation|api|compileOnly|runtimeOnly|testImplementation|compile)\s*\(?\s*[\"']([^:\"']+):([^:\"']+):([^:\"']+)[\"']"
+GRADLE_DEPENDENCY = r"(?m)^[ \t]*(?:implementation|api|compileOnly|runtimeOnly|testImplementation|compile)\s*\(?\s*[\"']([^:\"']+):([^:\"']+):([^:\"']+)[\"']"
 
 
 def libraries(files: DataFrame) -> DataFrame:
@@ -383,27 +441,37 @@ def unmapped_annotations(files: DataFrame, mapped: Sequence[str]) -> DataFrame:
     )
 
 
-ENTITY = r"@Entity\b[^{;]*?\b(?:class|record)\s+(\w+)"
-TABLE = r"@Table\(\s*name\s*=\s*\"([^\"]*)\""
-
-
 def entity_model(files: DataFrame) -> DataFrame:
-    """Rows (repo_id, path, item, name, detail): entities with their table name
-    (or ''), relations of an entity file, and the named elements and complex
-    types of schemas."""
-    content = F.col("content")
-    entity = nonempty(F.regexp_extract(content, ENTITY, 1))
+    """Rows (repo_id, path, item, name, detail): every entity with its table name
+    (or ''), its relations up to the next entity, and the named elements and complex
+    types of schemas. The table's name is the ``name`` of ``@Table`` itself, at any
+    place of its arguments, before or after ``@Entity``.
+    """
+    pieces, piece = F.split("content", r"@Entity\b"), F.col("_piece")
+    # @Table right before @Entity stands at the end of the piece before: no type or member follows it
+    before = F.regexp_extract(F.substring("_before", -2000, 2000), r"(?s).*@Table\s*\(([^;]*)\z", 1)
+    before = F.when(~before.rlike(r"\b(?:class|record|interface|enum)\b"), before).otherwise("")
+    head = F.regexp_extract(piece, r"(?s)\A(.{0,4000}?)\b(?:class|record)[ \t]", 1)
+    after = F.regexp_extract(head, r"(?s)@Table\s*\((.*)", 1)
+    arguments = F.when(after != "", after).otherwise(before)
+    own = F.regexp_replace(arguments, r"@\w+\s*\([^()]*\)", "")
+    table = F.regexp_extract(own, r'\A[^)"]*(?:"[^"]*"[^)"]*){0,50}?\bname\s*=\s*"([^"]*)"', 1)
     java = (
-        of_suffix(files, JAVA).where(content.rlike(ENTITY))
+        of_suffix(files, JAVA).where(F.col("content").rlike(r"@Entity\b"))
+        .select("repo_id", "path", pieces.alias("_pieces"))
+        .select("repo_id", "path", F.posexplode("_pieces").alias("_at", "_piece"), "_pieces")
+        .where("_at > 0").withColumn("_before", F.get("_pieces", F.col("_at") - 1)).drop("_pieces")
+        .select("repo_id", "path", "_piece", F.regexp_extract(piece, r"\b(?:class|record)[ \t]+(\w+)", 1).alias("_name"), table.alias("_table"))
+        .where(F.col("_name") != "")
         .select(
             "repo_id",
             "path",
             F.inline(
                 F.concat(
-                    F.array(F.struct(F.lit("entity").alias("item"), entity.alias("name"), F.regexp_extract(content, TABLE, 1).alias("detail"))),
+                    F.array(F.struct(F.lit("entity").alias("item"), F.col("_name").alias("name"), F.col("_table").alias("detail"))),
                     F.transform(
-                        all_matches(content, RELATION, (1, 2)),
-                        lambda m: F.struct(m["g1"].alias("item"), entity.alias("name"), m["g2"].alias("detail")),
+                        all_matches(piece, RELATION, (1, 2)),
+                        lambda m: F.struct(m["g1"].alias("item"), F.col("_name").alias("name"), m["g2"].alias("detail")),
                     ),
                 )
             ),
@@ -413,7 +481,7 @@ def entity_model(files: DataFrame) -> DataFrame:
     tag = F.col("_tag")
     schemas = (
         of_suffix(files, (".xsd",))
-        .select("repo_id", "path", F.explode(_tags(content, "element|complexType")).alias("_tag"))
+        .select("repo_id", "path", F.explode(_tags(F.col("content"), "element|complexType")).alias("_tag"))
         .select(
             "repo_id",
             "path",
@@ -426,43 +494,52 @@ def entity_model(files: DataFrame) -> DataFrame:
     return java.unionByName(schemas)
 
 
+# Self-closing or with children, up to the closing tag of the same name.
+ACTIVITY = r"(?s)<(?:[\w.-]+:)?activity\b[^<>]*/>|<(?:[\w.-]+:)?activity\b[^<>]*>.*?</(?:[\w.-]+:)?activity\s*>"
+TRANSITION = ACTIVITY.replace("activity", "transition")
+
+
 def process_parts(files: DataFrame) -> DataFrame:
     """Rows (repo_id, path, process, item, name, detail) of process files.
 
-    Items: ``activity`` with its type, ``transition`` from name to detail, and
-    ``call`` of a sub-process (an activity's ``processName``).
+    Items: ``activity`` with its type ('' without one), ``transition`` from name to
+    detail, and ``call`` of a sub-process (``processName``). Names, types and ends are
+    child elements, as the tool writes them, or attributes. A called process counts
+    by the base name of its path, as a process does.
     """
-    tag = F.col("_tag")
-    activity = _is_tag(tag, "activity")
+    block = F.col("_block")
+    first = F.regexp_extract(block, r"\A<[^<>]*>", 0)
 
-    def row(item: str, name: str, detail: Column) -> Column:
-        present = F.col(name).isNotNull() & detail.isNotNull()
-        return F.when(present, F.struct(F.lit(item).alias("item"), F.col(name).alias("name"), detail.alias("detail")))
+    def value(name: str) -> Column:
+        return F.coalesce(_attribute(first, name), nonempty(strip(_element(block, name))))
 
+    activity = _is_tag(first, "activity")
+    called = F.regexp_replace(value("processName"), r"\A.*/|\.[^./]+\z", "")
     rows = F.array_compact(
         F.array(
-            row("activity", "_name", F.col("_type")),
-            row("call", "_called", F.lit("")),
-            row("transition", "_from", F.col("_to")),
+            F.when(F.col("_name").isNotNull(), F.struct(F.lit("activity").alias("item"), F.col("_name").alias("name"), F.coalesce("_type", F.lit("")).alias("detail"))),
+            F.when(F.col("_called").isNotNull(), F.struct(F.lit("call").alias("item"), F.col("_called").alias("name"), F.lit("").alias("detail"))),
+            F.when(F.col("_from").isNotNull() & F.col("_to").isNotNull(), F.struct(F.lit("transition").alias("item"), F.col("_from").alias("name"), F.col("_to").alias("detail"))),
         )
     )
+    clean = F.regexp_replace("content", XML_NOISE, "")
     return (
         of_suffix(files, (".bwp", ".process"))
         .select(
             "repo_id",
             "path",
             F.regexp_replace(basename(F.col("path")), r"\.[^.]+\z", "").alias("process"),
-            F.explode(_tags(F.col("content"), "activity|transition")).alias("_tag"),
+            F.explode(F.concat(F.regexp_extract_all(clean, F.lit(ACTIVITY), F.lit(0)), F.regexp_extract_all(clean, F.lit(TRANSITION), F.lit(0)))).alias("_block"),
         )
         .select(
             "repo_id",
             "path",
             "process",
-            F.when(activity, _attribute(tag, "name")).alias("_name"),
-            F.when(activity, _attribute(tag, "type")).alias("_type"),
-            F.when(activity, _attribute(tag, "processName")).alias("_called"),
-            F.when(~activity, _attribute(tag, "from")).alias("_from"),
-            F.when(~activity, _attribute(tag, "to")).alias("_to"),
+            F.when(activity, value("name")).alias("_name"),
+            F.when(activity, value("type")).alias("_type"),
+            F.when(activity, called).alias("_called"),
+            F.when(~activity, value("from")).alias("_from"),
+            F.when(~activity, value("to")).alias("_to"),
         )
         .select("repo_id", "path", "process", F.inline(rows))
     )

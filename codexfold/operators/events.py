@@ -13,8 +13,8 @@ from codexfold.functions.skew import HOT_ROWS, hot_keys, lookup_join
 from codexfold.functions.text import lookup
 
 EVENT_TYPE = (
-    "type string, step string, content string, progress int, message string, "
-    "files array<struct<path:string,content:string,language:string>>, session_id bigint, seq bigint"
+    "type string, step string, content string, brd string, technical_spec string, progress int, message string, "
+    "files array<struct<path:string,content:string,language:string>>, session_id string, seq bigint"
 )
 
 
@@ -24,7 +24,8 @@ def event_encode(events: DataFrame) -> DataFrame:
 
 
 def event_decode(lines: DataFrame, schema: str = EVENT_TYPE) -> DataFrame:
-    """Parse ``line``; ``valid`` is false for text that is not a JSON value.
+    """Parse ``line``; ``valid`` is false for text that is not a JSON value. Session
+    ids are text, as numbers are too once they are decoded.
 
     Readers drop such lines silently: filter on ``valid`` for the events,
     aggregate it for the number of drops.
@@ -34,6 +35,15 @@ def event_decode(lines: DataFrame, schema: str = EVENT_TYPE) -> DataFrame:
     )
 
 
+def ready_text(events: DataFrame) -> Column:
+    """A ready event's own text: its field by type, '' where the type has none."""
+    own = None
+    for kind, field in K.READY_TEXT.items():
+        value = F.col(field) if field in events.columns else F.lit(None).cast("string")
+        own = F.when(F.col("type") == kind, value) if own is None else own.when(F.col("type") == kind, value)
+    return own.otherwise(F.lit(""))
+
+
 def is_terminal() -> Column:
     return F.col("type").isin(*K.TERMINAL_STEP)
 
@@ -80,7 +90,8 @@ def stream_segments(
 
     ``step-change`` opens a segment; ``step-change`` and ``*-ready`` both end
     the current run of stream chunks. A run's text is its chunks in order; a
-    ``*-ready`` replaces it by its own content unless that is NULL. Rows:
+    ``*-ready`` replaces it by its own text unless that is NULL: the document of
+    ``brd-ready``, the content of ``plan-ready``, nothing for ``code-ready``. Rows:
     (session_id, segment, run, part, step, closed_by, text); the open run has
     closed_by NULL, runs without chunks or ready event have no row, and events
     after the first terminal one do not count.
@@ -90,7 +101,7 @@ def stream_segments(
     chars = F.when(chunk, F.length(F.coalesce("content", F.lit("")))).otherwise(0).cast("bigint")
     used = events.where(
         F.col("session_id").isNotNull() & (starts | ready | chunk | is_terminal())
-    ).select("session_id", "seq", "type", "step", "content")
+    ).select("session_id", "seq", "type", "step", "content", ready_text(events).alias("_own_text"))
     log = prefix(
         used,
         ["session_id"],
@@ -119,7 +130,7 @@ def stream_segments(
     # sides read one exchange.
     closing = log.where((F.col("type") == "step-change") | ready).select(
         "session_id", "segment", "run", F.col("type").alias("closed_by"), F.col("_step.step").alias("_closing_step"),
-        F.when(ready, F.col("content")).alias("_own"), part.alias("_last"),
+        F.when(ready, F.col("_own_text")).alias("_own"), part.alias("_last"),
     )
     own = F.col("_own").isNotNull()
     return (
@@ -192,11 +203,14 @@ def idle_heartbeat(
     events: DataFrame, idle_seconds: int = K.HEARTBEAT_SECONDS, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
     """Gaps of at least ``idle_seconds`` before an event, with the number of
-    heartbeats a reader got meanwhile."""
-    arrivals = events.select("session_id", "seq", micros(events, "ts").alias("_us"))
-    log = prefix(arrivals, ["session_id"], "seq", {"_last": ("max", F.struct("seq", "_us"))}, hot_rows)
+    heartbeats a reader got meanwhile; after the first terminal event none is sent.
+    Events without a ``type`` column have no terminal one."""
+    ends = _flag(is_terminal()) if "type" in events.columns else F.lit(0).cast("bigint")
+    arrivals = events.select("session_id", "seq", micros(events, "ts").alias("_us"), ends.alias("_end"))
+    measures = {"_last": ("max", F.struct("seq", "_us")), "_ended": ("sum", F.col("_end"))}
+    log = prefix(arrivals, ["session_id"], "seq", measures, hot_rows)
     return (
-        log.withColumn("gap_us", F.col("_us") - F.col("_last._us"))
+        log.where(F.col("_ended") == 0).withColumn("gap_us", F.col("_us") - F.col("_last._us"))
         .withColumn("heartbeats", F.floor(F.col("gap_us") / (idle_seconds * 1_000_000)))
         .where(F.col("heartbeats") > 0)
         .select("session_id", "seq", "gap_us", "heartbeats")

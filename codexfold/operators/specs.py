@@ -33,6 +33,9 @@ def impact_rows(specs: DataFrame, keys: Sequence[str] = ("doc_id",)) -> DataFram
     header name, because they differ per pattern: ``subject`` is the first
     column, ``change_type`` is NULL when there is no such column.
     """
+    # Lines outside a table become a mark, and the text is cut at the marks: no
+    # expression runs over several lines.
+    marked = F.transform(lines(F.col("text")), lambda l: F.when(l.rlike(r"\A[ \t]*\|"), l).otherwise("\u0002"))
     table = F.col("_table")
     header = F.transform(_cells(table[0]), F.lower)
 
@@ -42,7 +45,8 @@ def impact_rows(specs: DataFrame, keys: Sequence[str] = ("doc_id",)) -> DataFram
     effort = F.array_position(F.transform(header, lambda h: F.startswith(h, F.lit("effort"))), True).cast("int")
     change = F.array_position(header, F.lit("change type")).cast("int")
     return (
-        specs.select(*keys, F.explode(F.regexp_extract_all("text", F.lit(r"(?m)(?:^[ \t]*\|[^\n]*(?:\n|\z))+"), F.lit(0))).alias("_block"))
+        specs.select(*keys, F.explode(F.split(F.array_join(marked, "\n"), "\u0002")).alias("_block"))
+        .where(F.contains(F.lower("_block"), F.lit("effort")))
         .select(*keys, F.filter(lines(F.col("_block")), lambda l: ~is_blank(l)).alias("_table"))
         .select(*keys, "_table", effort.alias("_effort"), change.alias("_change"))
         .where(F.col("_effort") > 0)
@@ -105,11 +109,14 @@ def plan_tasks(plans: DataFrame, keys: Sequence[str] = ("session_id",)) -> DataF
 
 
 def manifest_paths(plans: DataFrame, keys: Sequence[str] = ("session_id",)) -> DataFrame:
-    """Paths named by the tasks under the manifest heading: the first word of
-    an item, back-ticks removed."""
+    """Paths named by the tasks under the manifest heading: right of an arrow if there
+    is one, the first back-ticked word, else the first word with a suffix or a slash."""
+    item = F.col("item")
+    target = F.when(item.rlike("→|->"), F.regexp_extract(item, r"(?:→|->)(?!.*(?:→|->))[ \t]*(.*)", 1)).otherwise(item)
+    ticked, named = F.regexp_extract(target, r"`([^`\s]+)`", 1), F.regexp_extract(target, r"(?:\A|\s)`?([\w.@/-]*[\w@-](?:\.\w+|/[\w.@/-]+))(?![\w/])", 1)
     return (
         plan_items(plans, keys).where(F.startswith("phase", F.lit(MANIFEST_HEADING)))
-        .select(*keys, F.regexp_extract("item", r"\A`?([^\s`]+)", 1).alias("path"))
+        .select(*keys, F.when(ticked != "", ticked).otherwise(named).alias("path"))
         .where(F.col("path") != "")
     )
 
@@ -205,7 +212,9 @@ def endpoint_drift(documents: DataFrame, code: DataFrame) -> DataFrame:
 
 
 ARROW = r"-->[ \t]*(?:\|[^|\n]*\|)?"
-NODE = r"(?mU)^[ \t]*([\w.]+)[\[({]"
+# a node's name may hold dots and single hyphens; a label makes it declared, at any place
+NAME = r"[\w.]+(?:-(?!-)[\w.]+){0,20}"
+NODE = rf"(?U)(?<![\w.-])({NAME})[\[({{]"
 
 
 def diagram_edges(docs: DataFrame, keys: Sequence[str] = ("doc_id",)) -> DataFrame:
@@ -214,7 +223,7 @@ def diagram_edges(docs: DataFrame, keys: Sequence[str] = ("doc_id",)) -> DataFra
     A line is cut at its arrows; each piece's first word is a node, and
     neighbours are edges, so a chain ``A --> B --> C`` gives two.
     """
-    node = F.transform(F.split("_line", ARROW), lambda p: F.regexp_extract(p, r"(?U)([\w.]+)", 1))
+    node = F.transform(F.split("_line", ARROW), lambda p: F.regexp_extract(p, rf"(?U)({NAME})", 1))
     pairs = F.transform(
         F.sequence(F.lit(1), F.size("_nodes") - 1),
         lambda i: F.struct(F.get("_nodes", i - 1).alias("source"), F.get("_nodes", i).alias("target")),
@@ -239,7 +248,7 @@ def diagram_nodes(docs: DataFrame, keys: Sequence[str] = ("doc_id",)) -> DataFra
     )
     declared = (
         diagram_blocks(docs, keys).where(F.col("kind").isin("graph", "flowchart"))
-        .select(*keys, F.explode(F.regexp_extract_all("body", F.lit(NODE), F.lit(1))).alias("node"))
+        .select(*keys, F.explode(F.regexp_extract_all(F.regexp_replace("body", r"\[[^\]\n]*\]", "[]"), F.lit(NODE), F.lit(1))).alias("node"))
         .select(*keys, "node", F.lit(0).alias("o"), F.lit(0).alias("i"), F.lit(1).alias("d"))
     )
     return (

@@ -12,6 +12,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from codexfold.constants import SECTION_MARKER
 from codexfold.streaming.sources import read_table_stream
 
 ID = "CAST({} AS VARCHAR(20))"
@@ -22,13 +23,13 @@ def _id(expression: str) -> str:
 
 
 def _marker(word: str) -> str:
-    return f"'<!-- ' || 'SECTION: {word}' || ' -->'"
+    return "'" + SECTION_MARKER.format(word) + "'"
 
 
 NL, FENCE3 = "chr(10)", "'```'"
 
 FILES = f"""
-SELECT source AS repo_id, doc_id AS ord,
+SELECT 'src' || {_id('doc_id % 4')} AS repo_id, doc_id AS ord,
   CASE CAST(floor(doc_id / 20.0) AS BIGINT) % 7 WHEN 0 THEN 'src/main/java/' WHEN 1 THEN 'src/test/java/' WHEN 2 THEN 'target/' WHEN 3 THEN 'lib/build/' WHEN 4 THEN '' WHEN 5 THEN 'docs/' ELSE '.git/' END
   || 'F' || {_id('doc_id')} ||
   CASE CAST(floor(doc_id / 20.0) AS BIGINT) % 5 WHEN 0 THEN '.java' WHEN 1 THEN '.XML' WHEN 2 THEN '.txt' WHEN 3 THEN '.go' ELSE '' END AS path,
@@ -59,10 +60,10 @@ SELECT doc_id, source AS repo_id,
 FROM $documents"""
 
 SESSIONS = f"""
-SELECT c_custkey AS session_id,
+SELECT c_custkey + 3 AS session_id,
   CASE c_nationkey % 4 WHEN 0 THEN 'java17-to-java25' WHEN 1 THEN 'java-to-go' WHEN 2 THEN 'java-to-quarkus' ELSE 'tibco-to-springboot' END AS pattern,
   c_name AS source_code
-FROM $customer WHERE c_mktsegment <> 'BUILDING'"""
+FROM $customer"""
 
 DELTAS = """
 SELECT user_id AS session_id, event_id AS seq, ts,
@@ -71,16 +72,16 @@ SELECT user_id AS session_id, event_id AS seq, ts,
 FROM $events"""
 
 STAGE_STARTS = """
-SELECT user_id AS session_id, event_id AS seq, CASE event_type WHEN 'signup' THEN 'plan' ELSE 'code' END AS stage
-FROM $events WHERE event_type IN ('signup', 'purchase')"""
+SELECT user_id AS session_id, event_id AS seq, CASE WHEN event_type IN ('signup', 'view') THEN 'plan' ELSE 'code' END AS stage
+FROM $events"""
 
 REVIEWS = f"""
 SELECT user_id AS session_id, event_id AS seq, ts,
-  CASE WHEN event_type = 'purchase' THEN 'plan' ELSE 'brd' END AS stage,
+  CASE WHEN event_type IN ('purchase', 'view') THEN 'plan' ELSE 'brd' END AS stage,
   CASE WHEN event_id % 3 = 0 THEN NULL ELSE 'edit ' || {_id('event_id')} END AS content,
   CASE WHEN event_id % 4 = 0 THEN 'spec ' || {_id('event_id')} END AS tech,
   CASE event_id % 5 WHEN 0 THEN 'fb ' || {_id('event_id')} WHEN 1 THEN '' WHEN 2 THEN 'more ' || {_id('event_id')} END AS feedback
-FROM $events WHERE event_type IN ('purchase', 'signup')"""
+FROM $events"""
 
 EVENT_LOG = f"""
 SELECT user_id AS session_id, event_id AS seq, ts,
@@ -88,6 +89,7 @@ SELECT user_id AS session_id, event_id AS seq, ts,
     ELSE CASE event_id % 50 WHEN 0 THEN 'error' WHEN 1 THEN 'workflow-complete' ELSE 'step-start' END END AS type,
   CASE WHEN event_type = 'signup' THEN CASE event_id % 5 WHEN 0 THEN 'reverse-engineering' WHEN 1 THEN 'plan-generation' WHEN 2 THEN 'code-generation' WHEN 3 THEN 'brd-generation' ELSE '' END END AS step,
   CASE event_id % 7 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE props END AS content,
+  CASE WHEN event_type = 'purchase' AND event_id % 2 = 0 THEN 'brd ' || {_id('event_id')} END AS brd,
   CASE WHEN event_type = 'error' AND event_id % 100 = 0 THEN 'm' || {_id('event_id')} END AS message
 FROM $events"""
 
@@ -172,12 +174,12 @@ SELECT session_id, 'Intro' || chr(10) || '- [ ] before' || chr(10) || $join(line
 
 MANIFEST_DOCS = f"""
 SELECT session_id, '## Phase 1' || chr(10) || '- [ ] src/Other.java' || chr(10) || '## File Change Manifest' || chr(10) || $join(line; n) AS text FROM (
-  SELECT l_orderkey * 100 + CAST(floor(l_linenumber / 50.0) AS BIGINT) AS session_id, CAST(l_linenumber AS BIGINT) * 1000000000 + l_partkey AS n, '- [ ] src/F' || {_id('l_partkey')} || '.java changes' AS line
+  SELECT l_orderkey * 100 + CAST(floor(l_linenumber / 50.0) AS BIGINT) AS session_id, CAST(l_linenumber AS BIGINT) * 1000000000 + l_partkey AS n, CASE l_partkey % 3 WHEN 0 THEN '- [ ] src/F' || {_id('l_partkey')} || '.java changes' WHEN 1 THEN '- [ ] Create `src/F' || {_id('l_partkey')} || '.java` anew' ELSE '- [x] Order.process → src/F' || {_id('l_partkey')} || '.java' END AS line
   FROM $lineitem) x GROUP BY session_id"""
 
 GENERATED_FILES = f"""
 SELECT l_orderkey * 100 + CAST(floor(l_linenumber / 50.0) AS BIGINT) AS session_id, 'src/F' || {_id("l_partkey + CASE WHEN l_linestatus = 'O' THEN 0 ELSE 1 END")} || '.java' AS path
-FROM $lineitem WHERE l_returnflag <> 'R'"""
+FROM $lineitem"""
 
 IMPACT_DOCS = f"""
 SELECT doc_id, 'Spec' || chr(10) ||
@@ -218,7 +220,7 @@ BINDINGS = {
     "impact_docs": IMPACT_DOCS,
     "openapi_docs": OPENAPI_DOCS,
     "ready": "SELECT o_orderkey AS session_id, 'brd' AS stage, o_orderdate AS ts FROM $orders",
-    "confirms": "SELECT l_orderkey AS session_id, 'brd' AS stage, l_shipdate AS ts FROM $lineitem WHERE l_returnflag = 'R'",
+    "confirms": "SELECT l_orderkey + CASE WHEN l_returnflag = 'R' THEN 0 ELSE 1000000000 END AS session_id, 'brd' AS stage, l_shipdate AS ts FROM $lineitem",
 }
 
 _JOIN = re.compile(r"\$join\((\w+); (\w+)\)")

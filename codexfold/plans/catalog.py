@@ -13,9 +13,6 @@ from codexfold.operators import context, corpus, documents, events, exports, int
 from codexfold.plans.bindings import bind
 from codexfold.sources.archives import archive_explode
 
-# Small enough to cut the test tables' repositories.
-QUERY_BUDGET = 20_000
-
 MARKERS = (
     ("controller", r"@RestController\b", "@Path"),
     ("get_mapping", r"@GetMapping\b", "@GET"),
@@ -38,7 +35,7 @@ def _kept(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _packed(spark: SparkSession, sf: str) -> DataFrame:
-    return packing.pack_budget(_kept(spark, sf), QUERY_BUDGET, chars="n_chars")
+    return packing.pack_budget(_kept(spark, sf), chars="n_chars")
 
 
 def _digests(spark: SparkSession, sf: str) -> DataFrame:
@@ -467,6 +464,11 @@ def required_outputs(spark, sf):
 
 @query
 def migrated_markers(spark, sf):
+    return specs.migrated_markers(bind(spark, sf, "java_files"))
+
+
+@query
+def top_reasons(spark, sf):
     return specs.top_reasons(bind(spark, sf, "java_files"), 3).withColumn("rank", F.col("rank").cast("bigint"))
 
 

@@ -11,7 +11,6 @@ import re
 from codexfold import constants as K
 from codexfold.functions.text import WHITESPACE
 from codexfold.plans.bindings import BINDINGS, check_sql
-from codexfold.plans.catalog import QUERY_BUDGET
 
 
 def lit(text: str) -> str:
@@ -63,7 +62,7 @@ SHARED = {
     "kept": f"""SELECT *, length(path) + length(content) + {HEADER} AS chars FROM files
 WHERE {SUFFIX.format('path')} IN ({quoted(K.SOURCE_SUFFIXES)}) AND NOT list_has_any(string_split(path, '/'), [{quoted(K.VENDORED_DIRS)}])""",
     "packed": f"""SELECT * FROM (SELECT *, CAST(sum(chars) OVER (PARTITION BY repo_id ORDER BY ord ROWS UNBOUNDED PRECEDING) AS BIGINT) AS running_chars FROM kept)
-WHERE running_chars <= {QUERY_BUDGET}""",
+WHERE running_chars <= {K.PACK_BUDGET}""",
     "digests": f"""SELECT repo_id, string_agg({lit(K.FRAME_HEAD)} || path || {lit(K.FRAME_TAIL)} || content, '' ORDER BY ord) AS digest, count(*) AS files_packed FROM packed GROUP BY repo_id""",
     "gen": f"""SELECT doc_id, repo_id, pattern, ord, {strip("coalesce(p, 'output.' || coalesce(l, target_lang))")} AS path, {strip('c')} AS content, coalesce(l, target_lang) AS language
 FROM (SELECT doc_id, repo_id, pattern, target_lang, nullif(l, '') AS l, nullif(p, '') AS p, c, i - 1 AS ord FROM (
@@ -169,7 +168,7 @@ def _optional(lead: str, text: str, chars: int) -> str:
     return f"CASE WHEN {strip(text)} <> '' THEN {lit(lead)} || substring({text}, 1, {chars}) END"
 
 
-def _segments(log: str, ends: str, part_chars: int) -> str:
+def _segments(log: str, ends: str, part_chars: int, own: str) -> str:
     chunk = "type LIKE '%-stream'"
     ready = f"type IN ({quoted(K.READY_TYPES)})"
     starts = "(type = 'step-change' AND coalesce(step, '') <> '')"
@@ -184,7 +183,7 @@ FROM (SELECT session_id, segment, run, CAST(floor(chars / {part_chars}.0) AS BIG
       CAST(coalesce(sum(CASE WHEN {chunk} THEN length(coalesce(content, '')) ELSE 0 END) {before}, 0) AS BIGINT) AS chars,
       last_value({new_step} IGNORE NULLS) {before} AS at_step
     FROM {log} l WHERE ({chunk} OR {ready} OR {starts}) {ends}) GROUP BY 1, 2, 3, 4) p
-LEFT JOIN (SELECT session_id, run, type AS closed_by, CASE WHEN {ready} THEN content END AS own, CAST(floor(chars / {part_chars}.0) AS BIGINT) AS last_part
+LEFT JOIN (SELECT session_id, run, type AS closed_by, CASE WHEN {ready} THEN {own} END AS own, CAST(floor(chars / {part_chars}.0) AS BIGINT) AS last_part
   FROM (SELECT *, CAST(coalesce(sum(CASE WHEN {starts} OR {ready} THEN 1 ELSE 0 END) {before}, 0) AS BIGINT) AS run,
       CAST(coalesce(sum(CASE WHEN {chunk} THEN length(coalesce(content, '')) ELSE 0 END) {before}, 0) AS BIGINT) AS chars
     FROM {log} l WHERE ({chunk} OR {ready} OR {starts}) {ends}) WHERE {starts} OR {ready}) c ON c.session_id = p.session_id AND c.run = p.run
@@ -260,14 +259,15 @@ FROM state s LEFT JOIN (SELECT doc_id, count(*) AS files, string_agg(path, ',' O
     "event_envelope": "SELECT seq, json_valid(line) AS valid, CASE WHEN json_valid(line) THEN CAST(json_extract_string(line, '$.k') AS BIGINT) END AS k FROM lines",
     "event_encode": """SELECT '{"type":"' || type || '","session_id":' || CAST(session_id AS VARCHAR) || ',"seq":' || CAST(seq AS VARCHAR) || CASE WHEN step IS NULL THEN '' ELSE ',"step":"' || step || '"' END || CASE WHEN message IS NULL THEN '' ELSE ',"message":"' || message || '"' END || '}' AS line FROM event_log""",
     "event_route": "SELECT l.session_id, l.seq, l.type FROM event_log l LEFT JOIN ends e ON e.session_id = l.session_id WHERE (e.last IS NULL OR l.seq <= e.last) AND l.session_id IN (SELECT session_id FROM sessions)",
-    "stream_segments": _segments("live", "", 16 * 1024 * 1024),
-    "stream_segments_chat": _segments("chat_log", "", 2000),
+    "stream_segments": _segments("live", "", 16 * 1024 * 1024, "CASE type WHEN 'brd-ready' THEN brd WHEN 'plan-ready' THEN content ELSE '' END"),
+    "stream_segments_chat": _segments("chat_log", "", 2000, "content"),
     "stream_progress": f"""SELECT session_id, seq, type, CAST(CASE WHEN type = 'step-change' THEN 0 WHEN type LIKE '%-ready' THEN 100 ELSE least(5 + 3 * k, 92) END AS BIGINT) AS progress
 FROM (SELECT *, sum(CASE WHEN type LIKE '%-stream' THEN 1 ELSE 0 END) OVER (PARTITION BY session_id, segment ORDER BY seq ROWS UNBOUNDED PRECEDING) AS k
   FROM (SELECT session_id, seq, type, sum(CASE WHEN type = 'step-change' THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS segment
     FROM live WHERE (type = 'step-change' AND step <> '') OR type IN ({quoted(K.READY_TYPES)}) OR (type IN ({quoted(K.STREAM_TYPES)}) AND content <> '')))""",
     "status_reduce": "SELECT * FROM status",
-    "idle_heartbeat": """SELECT session_id, seq, gap_us, gap_us // 30000000 AS heartbeats FROM (SELECT session_id, seq, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY session_id ORDER BY seq) AS gap_us FROM event_log) WHERE gap_us >= 30000000""",
+    "idle_heartbeat": """SELECT session_id, seq, gap_us, gap_us // 30000000 AS heartbeats FROM (SELECT l.session_id, seq, last, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY l.session_id ORDER BY seq) AS gap_us FROM event_log l LEFT JOIN ends e ON e.session_id = l.session_id)
+WHERE gap_us >= 30000000 AND (last IS NULL OR seq <= last)""",
     "step_flags": "SELECT * FROM flags",
     "step_funnel": "SELECT step, idx, count(*) FILTER (WHERE is_complete) AS completed, count(*) FILTER (WHERE is_current) AS current, count(*) FILTER (WHERE is_pending) AS pending FROM flags GROUP BY step, idx",
     "artifact_export": """SELECT session_id, kind, kind || '-' || substring(CAST(session_id AS VARCHAR), 1, 8) || '.md' AS filename, content FROM (SELECT session_id, 'brd' AS kind, brd AS content FROM state UNION ALL SELECT session_id, 'plan', plan FROM state) WHERE content <> ''""",
@@ -298,12 +298,13 @@ UNION ALL SELECT repo_id, path, 'OneToMany', regexp_extract(content, 'class (\w+
     "impact_matrix": """SELECT change_type, effort, CAST(grouping(change_type, effort) AS BIGINT) AS level, count(*) AS items, CASE WHEN grouping(change_type, effort) = 0 THEN effort IN ('S', 'M', 'L') END AS valid_effort FROM impact GROUP BY ROLLUP (change_type, effort)""",
     "plan_tasks": "SELECT session_id, phase, count(*) FILTER (WHERE l LIKE '- [ ]%') AS open, count(*) FILTER (WHERE l LIKE '- [x]%') AS done FROM items WHERE l LIKE '- [%' GROUP BY session_id, phase",
     "manifest_coverage": r"""SELECT coalesce(m.session_id, g.session_id) AS session_id, coalesce(m.path, g.path) AS path, CASE WHEN g.path IS NULL THEN 'missing' WHEN m.path IS NULL THEN 'extra' ELSE 'matched' END AS status
-FROM (SELECT DISTINCT session_id, regexp_extract(l, '\] (\S+)', 1) AS path FROM items WHERE phase = 'File Change Manifest' AND l LIKE '- [%') m
+FROM (SELECT DISTINCT session_id, regexp_extract(l, '(src/\w+\.java)', 1) AS path FROM items WHERE phase = 'File Change Manifest' AND l LIKE '- [%') m
 FULL JOIN (SELECT DISTINCT session_id, path FROM generated_files) g ON g.session_id = m.session_id AND g.path = m.path""",
     "required_outputs": "SELECT d.doc_id AS session_id, d.pattern, r.path FROM fenced_docs d JOIN (VALUES "
     + ", ".join(f"('{p}', '{path}')" for p, path in K.REQUIRED_OUTPUTS)
     + ") r(pattern, path) ON r.pattern = d.pattern WHERE NOT EXISTS (SELECT 1 FROM gen g WHERE g.doc_id = d.doc_id AND g.path = r.path)",
-    "migrated_markers": r"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY repo_id, kind ORDER BY occurrences DESC, reason) AS rank FROM (
+    "migrated_markers": r"""SELECT repo_id, path, 'reason' AS kind, unnest(regexp_extract_all(content, '// MIGRATED: ([^\n]*)', 1)) AS reason FROM java_files""",
+    "top_reasons": r"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY repo_id, kind ORDER BY occurrences DESC, reason) AS rank FROM (
   SELECT repo_id, 'reason' AS kind, m AS reason, count(*) AS occurrences FROM (SELECT repo_id, unnest(regexp_extract_all(content, '// MIGRATED: ([^\n]*)', 1)) AS m FROM java_files) GROUP BY ALL)) WHERE rank <= 3""",
     "endpoint_drift": """SELECT coalesce(s.repo_id, c.repo_id) AS repo_id, coalesce(s.verb, c.verb) AS verb, coalesce(s.route, c.route) AS route, CASE WHEN c.verb IS NULL THEN 'only_in_spec' WHEN s.verb IS NULL THEN 'only_in_code' ELSE 'both' END AS status
 FROM (SELECT DISTINCT repo_id, verb, route FROM (SELECT repo_id, 'GET' AS verb, json_keys(text, '$.paths')[1] AS route FROM openapi_docs UNION ALL SELECT repo_id, unnest(['GET', 'POST']), '/health' FROM openapi_docs)) s
@@ -319,7 +320,7 @@ _BODIES |= {
     "live_status_reduce": _BODIES["status_reduce"],
     "live_state_fold": "SELECT session_id, key, arg_max(value, seq) AS value FROM deltas GROUP BY ALL",
     "live_stream_progress": _BODIES["stream_progress"],
-    "live_stream_segments": "SELECT session_id, segment, run, step, closed_by, text FROM (" + _BODIES["stream_segments"] + ") WHERE closed_by IS NOT NULL",
+    "live_stream_segments": "SELECT session_id, segment, run, step, closed_by, text FROM (" + _BODIES["stream_segments"] + ")",
     "live_idle_heartbeat": _BODIES["idle_heartbeat"],
     "live_review_deltas": f"""WITH RECURSIVE r AS (SELECT *, row_number() OVER (PARTITION BY session_id, stage ORDER BY seq) AS n FROM reviews),
 walk AS (SELECT session_id, stage, CAST(0 AS BIGINT) AS n, CAST(-1 AS BIGINT) AS seq, '' AS value, FALSE AS written FROM (SELECT DISTINCT session_id, stage FROM reviews)

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from codexfold.plans.bindings import bind_stream
@@ -41,11 +40,8 @@ LIVE = {
     "live_status_reduce": _updated("live_status_reduce", "event_log", ["session_id"], stateful.status_stream),
     "live_state_fold": _updated("live_state_fold", "deltas", ["session_id", "key"], stateful.fold_stream),
     "live_stream_progress": _appended("live_stream_progress", "event_log", stateful.progress_stream),
-    "live_stream_segments": _appended(
-        "live_stream_segments",
-        "event_log",
-        # an open run of a session that has not ended is not final yet
-        lambda log: stateful.segments_stream(log).where(F.col("closed_by").isNotNull()),
+    "live_stream_segments": _updated(
+        "live_stream_segments", "event_log", ["session_id", "segment", "run"], stateful.segments_stream
     ),
     "live_idle_heartbeat": _appended("live_idle_heartbeat", "event_log", stateful.heartbeat_stream),
     "live_review_deltas": _appended("live_review_deltas", "reviews", stateful.review_stream),

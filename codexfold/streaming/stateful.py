@@ -5,7 +5,7 @@ batch operators get from windows live in keyed state. A session's events come in
 order across micro-batches (the log is append-only); inside a micro-batch they
 are put in order here, which holds one session's share of one trigger.
 State of a session is dropped at its terminal event except for a flag that makes
-later events no-ops, and that flag expires.
+later events no-ops.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 from codexfold.constants import (
     FEEDBACK_LEAD, HEARTBEAT_SECONDS, PROGRESS_CAP, PROGRESS_READY, PROGRESS_START, PROGRESS_STEP,
-    READY_STEP, READY_TYPES, STREAM_TYPES, TERMINAL_STEP,
+    READY_STEP, READY_TEXT, READY_TYPES, STREAM_TYPES, TERMINAL_STEP,
 )
 from codexfold.functions.clock import micros
 from codexfold.operators.events import is_terminal, status_aggregates, status_columns
@@ -28,8 +28,6 @@ from codexfold.operators.events import is_terminal, status_aggregates, status_co
 # Processors travel with the job, whether or not executors have the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-ENDED_TTL_MS = 7 * 24 * 3600 * 1000
-
 SEGMENT_ROWS = "session_id bigint, segment bigint, run bigint, step string, closed_by string, text string"
 PROGRESS_ROWS = "session_id bigint, seq bigint, type string, progress bigint"
 HEARTBEAT_ROWS = "session_id bigint, seq bigint, gap_us bigint, heartbeats bigint"
@@ -70,12 +68,12 @@ class SessionProcessor(StatefulProcessor):
             else:
                 self.apply(key[0], event, out)
         if not over:
-            self.save()
+            self.save(key[0], out)
         yield from emitted(out, self.schema)
 
     def load(self) -> None: ...
 
-    def save(self) -> None: ...
+    def save(self, session_id, out: list[tuple]) -> None: ...
 
     def apply(self, session_id, event: dict, out: list[tuple]) -> None: ...
 
@@ -105,10 +103,11 @@ class Segments(SessionProcessor):
         self.segment, self.run, self.step = self.counters.get() or (0, 0, None)
         self.pending: list[str] = []
 
-    def save(self):
+    def save(self, session_id, out):
         self.counters.update((self.segment, self.run, self.step))
         if self.pending:
             self.texts.appendList([(t,) for t in self.pending])
+            out.append((session_id, self.segment, self.run, self.step, None, "".join(t for (t,) in self.texts.get())))
 
     def collected(self) -> list[str]:
         chunks = [t for (t,) in self.texts.get()] + self.pending
@@ -127,8 +126,9 @@ class Segments(SessionProcessor):
         chunks = self.collected()
         if chunks or kind in READY_TYPES:
             text = "".join(chunks)
-            if kind in READY_TYPES and event["content"] is not None:
-                text = event["content"]
+            if kind in READY_TYPES:
+                own = event[READY_TEXT[kind]] if kind in READY_TEXT else ""
+                text = text if own is None else own
             out.append((session_id, self.segment, self.run, self.step, kind, text))
         self.run += 1
         self.segment += starts
@@ -151,7 +151,7 @@ class Progress(SessionProcessor):
     def load(self):
         self.chunks = (self.counter.get() or (0,))[0]
 
-    def save(self):
+    def save(self, session_id, out):
         self.counter.update((self.chunks,))
 
     def apply(self, session_id, event, out):
@@ -172,8 +172,8 @@ class Progress(SessionProcessor):
 
 
 class Heartbeats(StatefulProcessor):
-    """Gaps before each event; with ``live`` a timer also reports the silence
-    while it lasts (one row per beat, seq NULL)."""
+    """Gaps before each event up to the terminal one; with ``live`` a timer reports the
+    silence while it lasts instead (one row per beat, seq NULL)."""
 
     def __init__(self, idle_seconds: int, live: bool) -> None:
         self.idle_seconds, self.live = idle_seconds, live
@@ -181,21 +181,30 @@ class Heartbeats(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.last = handle.getValueState("last", "us bigint")
+        self.ended = handle.getValueState("ended", "ended boolean")
 
     def handleInputRows(self, key, rows, timerValues):
         out = []
+        over = self.ended.exists()
         last = (self.last.get() or (None,))[0]
         for event in in_order(rows):
+            if over:
+                break
             if last is not None:
                 gap = event["us"] - last
                 beats = gap // (self.idle_seconds * 1_000_000)
                 if beats > 0 and not self.live:
                     out.append((key[0], event["seq"], gap, beats))
-            last = event["us"]
-        self.last.update((last,))
+            last, over = event["us"], event["type"] in TERMINAL_STEP
+        if over:
+            self.last.clear()
+            self.ended.update((True,))
+        else:
+            self.last.update((last,))
         if self.live:
             for timer in list(self.handle.listTimers()):
                 self.handle.deleteTimer(timer)
+        if self.live and not over:
             self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_seconds * 1000)
         yield from emitted(out, HEARTBEAT_ROWS)
 
@@ -238,9 +247,16 @@ class Reviews(StatefulProcessor):
     def close(self) -> None: ...
 
 
-def _per_session(events: DataFrame, processor: StatefulProcessor, schema: str, time_mode: str = "None") -> DataFrame:
+def _typed(schema: str, events: DataFrame) -> str:
+    """The rows' schema with session ids of the type the events have."""
+    return schema.replace("session_id bigint", f"session_id {dict(events.dtypes)['session_id']}")
+
+
+def _per_session(
+    events: DataFrame, processor: StatefulProcessor, schema: str, time_mode: str = "None", mode: str = "Append"
+) -> DataFrame:
     return events.groupBy("session_id").transformWithState(
-        statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode=time_mode
+        statefulProcessor=processor, outputStructType=_typed(schema, events), outputMode=mode, timeMode=time_mode
     )
 
 
@@ -251,8 +267,10 @@ def route_stream(events: DataFrame, sessions: DataFrame) -> DataFrame:
 
 
 def segments_stream(events: DataFrame) -> DataFrame:
-    """Closed runs of streamed text, plus the open run of an ended session."""
-    return _per_session(events.select("session_id", "seq", "type", "step", "content"), Segments(), SEGMENT_ROWS)
+    """Runs of streamed text, in update mode: a closed run once; the open run of a session
+    (closed_by NULL) with its text so far, again whenever it grows."""
+    brd = F.col("brd") if "brd" in events.columns else F.lit(None).cast("string").alias("brd")
+    return _per_session(events.select("session_id", "seq", "type", "step", "content", brd), Segments(), SEGMENT_ROWS, mode="Update")
 
 
 def progress_stream(events: DataFrame) -> DataFrame:
@@ -260,7 +278,8 @@ def progress_stream(events: DataFrame) -> DataFrame:
 
 
 def heartbeat_stream(events: DataFrame, idle_seconds: int = HEARTBEAT_SECONDS, live: bool = False) -> DataFrame:
-    arrivals = events.select("session_id", "seq", micros(events, "ts").alias("us"))
+    kind = F.col("type") if "type" in events.columns else F.lit(None).cast("string").alias("type")
+    arrivals = events.select("session_id", "seq", kind, micros(events, "ts").alias("us"))
     return _per_session(
         arrivals, Heartbeats(idle_seconds, live), HEARTBEAT_ROWS, "ProcessingTime" if live else "None"
     )
@@ -270,7 +289,7 @@ def review_stream(reviews: DataFrame, keep_edit: bool = False) -> DataFrame:
     return reviews.select("session_id", "stage", "seq", "content", "tech", "feedback").groupBy(
         "session_id", "stage"
     ).transformWithState(
-        statefulProcessor=Reviews(keep_edit), outputStructType=REVIEW_ROWS, outputMode="Append", timeMode="None"
+        statefulProcessor=Reviews(keep_edit), outputStructType=_typed(REVIEW_ROWS, reviews), outputMode="Append", timeMode="None"
     )
 
 

@@ -39,10 +39,10 @@ def test_dependencies_and_degrees(spark):
     df = files(spark, ("A.java", SPRING), ("B.java", JAXRS), ("C.txt", SPRING))
     edges = C.dependency_edges(df)
     assert {(r.source, r.target, r.weight, r.internal) for r in edges.collect()} == {
-        ("com.x.api", "com.x.core", 1, True), ("com.x.api", "java.util.List", 1, False)
+        ("com.x.api", "com.x.core", 1, True), ("com.x.api", "java.util", 1, False)
     }
     degrees = {r.package: (r.fan_out, r.fan_in) for r in C.dependency_degrees(edges).collect()}
-    assert degrees == {"com.x.api": (2, 0), "com.x.core": (0, 1), "java.util.List": (0, 1)}
+    assert degrees == {"com.x.api": (2, 0), "com.x.core": (0, 1), "java.util": (0, 1)}
     packages = {r.package: (r.files, r.types) for r in C.package_inventory(df).collect()}
     assert packages == {"com.x.api": (1, 4), "com.x.core": (1, 1)}
 
@@ -162,3 +162,59 @@ def test_diagrams(spark):
     assert edges == {("A", "B", 1), ("B", "C", 1), ("A", "C", 1)}
     nodes = {r.node: (r.out_degree, r.in_degree, r.declared) for r in P.diagram_nodes(docs).collect()}
     assert nodes == {"A": (2, 0, True), "B": (1, 1, False), "C": (0, 2, False), "D": (0, 0, True)}
+
+
+def test_annotations_of_any_shape(spark):
+    text = '''package p;
+@RequestMapping(produces = "x/y", value = {"/o", "/alt"})
+@RestController
+public class A {
+  @GetMapping(produces = "a;b", value = "/x/{id}") A one(@PathVariable("id") int i) { return null; }
+  @PostMapping({"/p", "/q"}) void two() {}
+  @RequestMapping(path = "/r", method = {RequestMethod.PUT, RequestMethod.GET}) void three() {}
+  @RequestMapping("/any") void four() {}
+  @Deprecated void five() {}
+}
+'''
+    jaxrs = '''@Path("/j") @Singleton class B { @Path("/x") @GET void a() {} @GET @Produces("t") @Path("/y") void b() {} @DELETE void c() {} }'''
+    got = {(r.path, r.verb, r.route) for r in C.endpoints(files(spark, ("A.java", text), ("B.java", jaxrs))).collect()}
+    both = lambda verb, *ends: {("A.java", verb, p + e) for p in ("/o", "/alt") for e in ends}
+    assert got == both("GET", "/x/{id}", "/r") | both("POST", "/p", "/q") | both("PUT", "/r") | both("ANY", "/any") | {
+        ("B.java", "GET", "/j/x"), ("B.java", "GET", "/j/y"), ("B.java", "DELETE", "/j")
+    }
+
+
+def test_entities_in_one_file_and_nested_annotations(spark):
+    text = '''@Table(indexes = {@Index(name = "i", columnList = "a")}, schema = "s", name = "t")
+@Entity
+public class A { @OneToMany(mappedBy = "a") List<B> bs; }
+@Entity @Table(name = "u", indexes = {@Index(name = "k")}) class B { @ManyToOne A a; }
+@Entity class D {}
+'''
+    got = [(r.item, r.name, r.detail) for r in C.entity_model(files(spark, ("A.java", text))).collect()]
+    assert sorted(got) == [("ManyToOne", "B", "A"), ("OneToMany", "A", "B"), ("entity", "A", "t"), ("entity", "B", "u"), ("entity", "D", "")]
+
+
+def test_annotated_and_rare_types(spark):
+    text = "@Data public class A extends B {}\n@Foo(1) non-sealed class D extends B {}\nstrictfp class E {}\n// class No {}\n * class No {}\nreturn X.class;\n"
+    assert {r.type for r in C.type_declarations(files(spark, ("A.java", text))).collect()} == {"A", "D", "E"}
+
+
+def test_processes_as_the_tool_writes_them(spark):
+    text = '''<pd:process xmlns:pd="u"><pd:activity name="Read"><pd:type>com.JDBC</pd:type><config/></pd:activity>
+<pd:activity name="Sub"><pd:type>CallProcess</pd:type><config><processName>/Processes/In/Child.process</processName></config></pd:activity>
+<pd:activity name="Plain"/><pd:transition><pd:from>Read</pd:from><pd:to>Sub</pd:to></pd:transition></pd:process>'''
+    got = {(r.item, r.name, r.detail) for r in C.process_parts(files(spark, ("P/Main.process", text))).collect()}
+    assert got == {("activity", "Read", "com.JDBC"), ("activity", "Sub", "CallProcess"), ("activity", "Plain", ""), ("call", "Child", ""), ("transition", "Read", "Sub")}
+
+
+def test_hostile_texts_take_seconds(spark):
+    import time
+
+    blank, notes = "\n" * 100_000, "@A(\"x\")\n" * 100_000
+    df = files(spark, ("A.java", blank + "package p;\nclass X {}"), ("B.java", notes + "class Y {}"), ("C.java", "@A " * 50_000 + "class Z {}"), ("build.gradle", blank))
+    start = time.time()
+    assert {r.type for r in C.type_declarations(df).collect()} >= {"X", "Y"}
+    for operator in (C.package_inventory, C.dependency_edges, C.endpoints, C.entity_model, C.libraries):
+        operator(df).collect()
+    assert time.time() - start < 60

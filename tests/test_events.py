@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from codexfold import constants as K
 from codexfold.operators import events as V
 
-LOG = "session_id bigint, seq bigint, type string, step string, content string, message string"
+LOG = "session_id bigint, seq bigint, type string, step string, content string, message string, brd string"
 TYPES = ["step-change", "plan-stream", "code-stream", "re-stream", "brd-ready", "plan-ready", "code-ready", "step-start", "connected"]
 
 
@@ -18,7 +18,7 @@ def random_log(seed, sessions=8, n=400):
         out.append(
             (rng.randrange(sessions), seq, kind,
              rng.choice(["", "plan-generation", "code-generation", "odd", None]) if kind == "step-change" else None,
-             rng.choice([None, "", f"c{seq} ", "😀"]), rng.choice([None, "boom"]))
+             rng.choice([None, "", f"c{seq} ", "😀"]), rng.choice([None, "boom"]), rng.choice([None, f"b{seq}"]))
         )
     return out
 
@@ -30,7 +30,7 @@ def frame(spark, log):
 def reduce_model(log):
     """Fold of one event after the other, as a reader of the stream does it."""
     views = {}
-    for sid, seq, kind, step, content, message in sorted(log, key=lambda e: e[1]):
+    for sid, seq, kind, step, content, message, brd in sorted(log, key=lambda e: e[1]):
         v = views.setdefault(
             sid, dict(step="upload", error=None, text="", chunks=0, segment=0, run=0, runs=[], progress=[], k=0, over=False)
         )
@@ -46,7 +46,8 @@ def reduce_model(log):
         elif kind in K.READY_TYPES or (kind == "step-change" and step):
             ready = kind in K.READY_TYPES
             if v["chunks"] or ready:
-                text = content if ready and content is not None else v["text"]
+                own = {"brd-ready": brd, "plan-ready": content}.get(kind, "") if ready else None
+                text = v["text"] if own is None else own
                 v["runs"].append((v["segment"], v["run"], step_before, kind, text))
             v["text"], v["chunks"] = "", 0
             v["run"] += 1

@@ -29,7 +29,7 @@ def test_query(name, spark, tables_dir, check_db):
 
 
 def test_entry(spark):
-    assert registry.entry(spark).count() == 20
+    assert registry.entry(spark).count() == 4
 
 
 @pytest.mark.parametrize("name", sorted(n for n in QUERIES if not n.startswith("live_")))
