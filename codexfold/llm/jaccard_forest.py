@@ -11,14 +11,18 @@ become roots. Tokens with the same texts below them count once.
 In a tree, texts lie in order of size; a node holds the OR of its texts' token
 bitmaps, its size range and the largest number of tokens lost to shared bits. A
 pair of nodes is visited only if their sizes allow the threshold, their texts
-are not already linked, and the largest possible overlap,
-popcount(a & b) + lost, reaches it. Leaf pairs are verified on whole sets.
-
-Trees larger than ``chunk`` texts are split. In the first round every text goes
-to one chunk of its largest tree, together with that tree's pivot; copies of one
-text thus become a component with few comparisons. In the second round the trees
-that still hold several components are traversed over pairs of chunks, leaving
-out pairs inside the largest component.
+are not already joined, and the largest possible overlap,
+popcount(a & b) + lost, reaches it.
+
+Two searches follow. The first works on bitmaps alone and joins what may be
+similar; this gives clusters, and every text is in one cluster at most. The second
+takes each cluster as a tree, now with the whole sets, and verifies leaf pairs on
+them; so sets are read for possible duplicates only. Each search has two steps.
+First every text goes to its largest tree, to one of its chunks of bounded size,
+together with the tree's pivot: most copies of one text become one component with
+few comparisons. Then the trees that still hold several components are traversed
+over pairs of chunks, but for pairs inside the largest component. The number of
+shuffled rows thus follows the number of texts, not that of the trees they are in.
 """
 
 from __future__ import annotations
@@ -26,73 +30,70 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codexfold.llm.common import partitions_for, written
+from codexfold.llm.common import partitions_for, sorted_groups, written
 from codexfold.llm.components import connected_components
 from codexfold.llm.kernels import distinct, mix, set_key, shingle_sets
 
 LEAF, FANOUT = 16, 4
+LEAST_BITS, MOST_BITS = 256, 1 << 18
 
 
-class Forest:
-    """Links found by the dual traversal of one tree's chunks; ``root`` is a union-find."""
+def width_for(n: int) -> int:
+    """Bits of the bitmap of a set of ``n`` tokens: two to four times as many."""
+    width = LEAST_BITS
+    while width < 2 * n and width < MOST_BITS:
+        width *= 2
+    return width
 
-    def __init__(self, sets: list[np.ndarray], components: np.ndarray, percent: int):
-        self.percent = percent
-        self.sets = sets
-        self.sizes = np.array([len(s) for s in sets], np.int64)
-        self.order = np.lexsort((np.arange(len(sets)), self.sizes))
-        width = 64
-        while width < min(4 * int(self.sizes.max(initial=1)), 1 << 16):
-            width *= 2
-        self.maps = np.zeros((len(sets), width // 64), np.uint64)
-        for i, s in enumerate(sets):
-            bit = (s >> np.uint64(17)) & np.uint64(width - 1)
-            np.bitwise_or.at(self.maps[i], (bit >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63)))
-        self.lost = self.sizes - np.bitwise_count(self.maps).sum(axis=1, dtype=np.int64)
-        self.root = np.arange(len(sets))
-        first: dict = {}
-        for i, c in enumerate(components):
-            self.root[i] = first.setdefault(c, i)
-        self.start = self.root.copy()
 
-    def find(self, i: int) -> int:
-        root = self.root
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = int(root[i])
-        return i
+def bitmap(tokens: np.ndarray, width: int) -> np.ndarray:
+    bits = np.zeros(width, bool)
+    bits[((tokens >> np.uint64(17)) & np.uint64(width - 1)).astype(np.int64)] = True
+    return np.packbits(bits, bitorder="little").view(np.uint64)
+
+
+def folded(bits: np.ndarray, words: int) -> np.ndarray:
+    """A bitmap at a smaller power-of-two width."""
+    return np.bitwise_or.reduce(bits.reshape(-1, words), axis=0)
+
+
+class Tree:
+    """Sets by bitmap and size; a dual traversal that visits what may still matter."""
+
+    def __init__(self, sizes: np.ndarray, maps: np.ndarray, percent: int):
+        self.sizes, self.maps, self.percent = sizes, maps, percent
+        self.lost = sizes - np.bitwise_count(maps).sum(axis=1, dtype=np.int64)
 
-    def tree(self, members: np.ndarray) -> tuple:
+    def node(self, members: np.ndarray) -> tuple:
         """(texts, bitmap, smallest, largest, lost, children) of members in order of size."""
         if len(members) > LEAF:
-            children = [self.tree(part) for part in np.array_split(members, FANOUT)]
-            bitmap = np.bitwise_or.reduce([c[1] for c in children])
+            children = [self.node(part) for part in np.array_split(members, FANOUT)]
+            bits = np.bitwise_or.reduce([c[1] for c in children])
         else:
-            children, bitmap = None, np.bitwise_or.reduce(self.maps[members], axis=0)
+            children, bits = None, np.bitwise_or.reduce(self.maps[members], axis=0)
         sizes = self.sizes[members]
-        return members, bitmap, int(sizes.min()), int(sizes.max()), int(self.lost[members].max()), children
+        return members, bits, int(sizes[0]), int(sizes[-1]), int(self.lost[members].max()), children
 
-    def one_component(self, a: tuple, b: tuple) -> bool:
-        top = self.find(int(a[0][0]))
-        return all(self.find(int(i)) == top for i in (*a[0], *b[0]))
-
-    def traverse(self, a: tuple, b: tuple) -> None:
-        stack = [(a, b)]
+    def traverse(self, left: np.ndarray, right: np.ndarray | None) -> None:
+        a = self.node(left)
+        stack = [(a, a if right is None else self.node(right))]
         while stack:
             a, b = stack.pop()
             if 100 * a[3] < self.percent * b[2] or 100 * b[3] < self.percent * a[2]:
                 continue
-            overlap = min(a[3], b[3], int(np.bitwise_count(a[1] & b[1]).sum()) + min(a[4], b[4]))
-            if (100 + self.percent) * overlap < self.percent * (a[2] + b[2]) or self.one_component(a, b):
+            if a is not b:
+                overlap = min(a[3], b[3], int(np.bitwise_count(a[1] & b[1]).sum()) + min(a[4], b[4]))
+                if (100 + self.percent) * overlap < self.percent * (a[2] + b[2]):
+                    continue
+            if self.settled(a[0], b[0]):
                 continue
             if a is b:
                 if a[5] is None:
-                    self.leaves(a[0], a[0])
+                    self.leaves(a[0], None)
                 else:
                     stack += [(x, y) for i, x in enumerate(a[5]) for y in a[5][i:]]
             elif a[5] is None and b[5] is None:
@@ -102,18 +103,71 @@ class Forest:
             else:
                 stack += [(a, y) for y in b[5]]
 
-    def leaves(self, a: np.ndarray, b: np.ndarray) -> None:
-        for i in a:
-            others = b[b > i] if a is b else b
+    def leaves(self, a: np.ndarray, b: np.ndarray | None) -> None:
+        for at, i in enumerate(a):
+            others = a[at + 1 :] if b is None else b
             if not len(others):
                 continue
             n, sizes = self.sizes[i], self.sizes[others]
             shared = np.bitwise_count(self.maps[others] & self.maps[i]).sum(axis=1, dtype=np.int64)
             overlap = np.minimum(np.minimum(n, sizes), shared + np.minimum(self.lost[i], self.lost[others]))
-            for j in others[(100 + self.percent) * overlap >= self.percent * (n + sizes)]:
-                x, y = self.find(int(i)), self.find(int(j))
-                if x != y and self.similar(int(i), int(j)):
-                    self.root[max(x, y)] = min(x, y)
+            near = others[(100 + self.percent) * overlap >= self.percent * (n + sizes)]
+            if len(near):
+                self.meet(int(i), near)
+
+
+class Linking(Tree):
+    """A traversal that joins sets; ``root`` is a union-find over them."""
+
+    def __init__(self, sizes: np.ndarray, maps: np.ndarray, percent: int, components: list | None = None):
+        super().__init__(sizes, maps, percent)
+        first: dict = {}
+        self.root = [first.setdefault(c, i) for i, c in enumerate(components)] if components else list(range(len(sizes)))
+        self.start = list(self.root)
+
+    def find(self, i: int) -> int:
+        root = self.root
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    def settled(self, a: np.ndarray, b: np.ndarray) -> bool:
+        top = self.find(int(a[0]))
+        return all(self.find(i) == top for i in a.tolist()) and all(self.find(i) == top for i in b.tolist())
+
+    def join(self, x: int, y: int) -> None:
+        self.root[max(x, y)] = min(x, y)
+
+    def links(self) -> list[tuple[int, int]]:
+        """(text, root) for texts whose component changed."""
+        return [(i, r) for i in range(len(self.root)) if (r := self.find(i)) != self.start[i] and r != i]
+
+
+class Possible(Linking):
+    """Joins sets that may be similar by their bitmaps."""
+
+    def meet(self, i: int, others: np.ndarray) -> None:
+        for j in others.tolist():
+            x, y = self.find(i), self.find(j)
+            if x != y:
+                self.join(x, y)
+
+
+class Similar(Linking):
+    """Joins similar sets."""
+
+    def __init__(self, sets: list[np.ndarray], components: list, percent: int):
+        sizes = np.array([len(s) for s in sets], np.int64)
+        width = min(2 * width_for(int(sizes.max())), 1 << 16)
+        super().__init__(sizes, np.stack([bitmap(s, width) for s in sets]), percent, components)
+        self.sets = sets
+
+    def meet(self, i: int, others: np.ndarray) -> None:
+        for j in others.tolist():
+            x, y = self.find(i), self.find(j)
+            if x != y and self.similar(i, j):
+                self.join(x, y)
 
     def similar(self, i: int, j: int) -> bool:
         small, large = sorted((self.sets[i], self.sets[j]), key=len)
@@ -121,34 +175,65 @@ class Forest:
         both = int((large[at] == small).sum())
         return 100 * both >= self.percent * (len(small) + len(large) - both)
 
-    def links(self) -> list[tuple[int, int]]:
-        """(text, root) for texts whose component changed."""
-        return [(i, r) for i in range(len(self.root)) if (r := self.find(i)) != self.start[i] and r != i]
 
+def _sides(order: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
+    """Left and right members; right is None where a cell is compared within itself."""
+    left, right = order[side[order] == 0], order[side[order] == 1]
+    return left, right if len(right) else None
+
+
+def _unique(group: pa.Table) -> np.ndarray:
+    """The first row of every (key, side), in order of size."""
+    key, side = np.asarray(group.column("key")), np.asarray(group.column("side"))
+    order = np.lexsort((side, key))
+    again = np.r_[False, (key[order][1:] == key[order][:-1]) & (side[order][1:] == side[order][:-1])]
+    return order[~again]
+
+
+def _links_of(tree: Linking, keys: np.ndarray) -> Iterator[pa.RecordBatch]:
+    pairs = tree.links()
+    if pairs:
+        yield pa.RecordBatch.from_arrays([pa.array(keys[[i for i, _ in pairs]]), pa.array(keys[[j for _, j in pairs]])], ["a", "b"])
+
+
+def _possible(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Links (a, b) that join what may be similar in rows (tree, width, i, j, side, key, n, bits)."""
+    for group in sorted_groups(batches, ["tree", "width", "i", "j"]):
+        rows = _unique(group)
+        words = int(group.column("width")[0].as_py()) // 64
+        bits = group.column("bits")
+        maps = np.stack([folded(np.frombuffer(bits[r].as_buffer(), np.uint64), words) for r in rows.tolist()])
+        components = group.column("component").to_pylist()
+        tree = Possible(np.asarray(group.column("n"))[rows].astype(np.int64), maps, percent, [components[r] for r in rows.tolist()])
+        left, right = _sides(np.lexsort((np.arange(len(rows)), tree.sizes)), np.asarray(group.column("side"))[rows])
+        if len(left) > 1 or (len(left) and right is not None):
+            tree.traverse(left, right)
+        yield from _links_of(tree, np.asarray(group.column("key"))[rows])
 
-def linked(frame: pd.DataFrame, percent: int) -> pd.DataFrame:
-    """Links between the rows (key, component, side, tokens) of one chunk or chunk pair.
+
+def _linked(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Links (a, b) in the cells of rows (tree, i, j, side, key, component, tokens).
 
     Side 0 is compared within itself, or with side 1 where there is one.
     """
-    frame = frame.drop_duplicates(["key", "side"])
-    forest = Forest([np.frombuffer(t, np.uint64) for t in frame["tokens"]], frame["component"].to_numpy(), percent)
-    side = frame["side"].to_numpy()[forest.order]
-    left, right = forest.order[side == 0], forest.order[side == 1]
-    if len(left) and len(right):
-        forest.traverse(forest.tree(left), forest.tree(right))
-    elif len(left):
-        whole = forest.tree(left)
-        forest.traverse(whole, whole)
-    keys, pairs = frame["key"].to_numpy(), forest.links()
-    return pd.DataFrame({"a": [keys[i] for i, _ in pairs], "b": [keys[j] for _, j in pairs]}, dtype="int64")
+    for group in sorted_groups(batches, ["tree", "i", "j"]):
+        rows = _unique(group)
+        if len(rows) < 2:
+            continue
+        tokens, components = group.column("tokens"), group.column("component").to_pylist()
+        tree = Similar([np.frombuffer(tokens[r].as_py(), np.uint64) for r in rows.tolist()], [components[r] for r in rows.tolist()], percent)
+        order = np.lexsort((np.arange(len(rows)), tree.sizes))
+        left, right = _sides(order, np.asarray(group.column("side"))[rows])
+        if len(left):
+            tree.traverse(left, right)
+        yield from _links_of(tree, np.asarray(group.column("key"))[rows])
 
 
 def _sketch(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     """Per text its id, set size and set key; per chunk the tokens in many of its texts."""
     for batch in batches:
         ids = batch.column("doc_id")
-        sizes, keys, held = np.zeros(len(ids), np.int64), [None] * len(ids), []
+        sizes, keys, maps, held = np.zeros(len(ids), np.int64), [None] * len(ids), [None] * len(ids), []
         common: dict = {}
 
         def count(held=held, common=common):
@@ -158,27 +243,30 @@ def _sketch(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Record
                     common[t] = common.get(t, 0) + c
                 held.clear()
 
-        total = 0
+        total, seen = 0, set()
         for row, tokens in shingle_sets(batch.column("text"), width):
             if len(tokens):
                 sizes[row], keys[row] = len(tokens), set_key(tokens)
-                held.append(tokens)
-                total += len(tokens)
-                if total > 500_000:
+                maps[row] = bitmap(tokens, width_for(len(tokens))).tobytes()
+                if keys[row] not in seen:  # copies of one text do not make its tokens common
+                    seen.add(keys[row])
+                    held.append(tokens)
+                    total += len(tokens)
+                if total > 6_000_000:
                     count()
                     total = 0
         count()
         nothing = pa.nulls(len(ids), pa.int64())
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.zeros(len(ids), np.int32)), ids, pa.array(sizes), pa.array(keys, pa.int64()), nothing],
-            ["kind", "doc_id", "n_shingles", "key", "times"],
+            [pa.array(np.zeros(len(ids), np.int32)), ids, pa.array(sizes), pa.array(keys, pa.int64()), nothing, pa.array(maps, pa.binary())],
+            ["kind", "doc_id", "n_shingles", "key", "times", "bits"],
         )
         if common:
             n = len(common)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.ones(n, np.int32)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()),
-                 pa.array(list(common), pa.int64()), pa.array(list(common.values()), pa.int64())],
-                ["kind", "doc_id", "n_shingles", "key", "times"],
+                 pa.array(list(common), pa.int64()), pa.array(list(common.values()), pa.int64()), pa.nulls(n, pa.binary())],
+                ["kind", "doc_id", "n_shingles", "key", "times", "bits"],
             )
 
 
@@ -289,6 +377,56 @@ def _whole_sets(batches: Iterator[pa.RecordBatch], width: int, bloom: np.ndarray
             yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.binary())], ["key", "tokens"])
 
 
+def one_tree_each(trees: DataFrame, chunk: int) -> DataFrame:
+    """Cells (tree, i, j, side, key, component): every text in a chunk of its largest tree,
+    together with that tree's pivot; every text is a component of its own."""
+    sizes = trees.groupBy("tree").agg(F.count("*").alias("m"), F.min("key").alias("pivot"))
+    chosen = trees.join(sizes, "tree").groupBy("key").agg(F.max_by(F.struct("tree", "pivot", "m"), F.struct("m", "tree")).alias("t"))
+    spread = chosen.select("t.tree", F.pmod(F.xxhash64("key"), F.ceil(F.col("t.m") / chunk)).cast("int").alias("i"), "key", "t.pivot")
+    cells = spread.select("tree", "i", F.explode(F.array("key", "pivot")).alias("key")).distinct()
+    return cells.select("tree", "i", F.lit(0).alias("j"), F.lit(0).alias("side"), "key", F.col("key").alias("component"))
+
+
+def between_components(trees: DataFrame, components: DataFrame, lengths: DataFrame, percent: int, chunk: int) -> DataFrame:
+    """Cells (tree, i, j, side, key, component) of the trees that hold several components.
+
+    The largest component of a tree is its main one. Cell (i, j) holds chunk i of the
+    other texts and chunk j of the main component; with j from -1 down, chunks of the
+    others among themselves. Texts whose size no partner can have are left out.
+    """
+    now = written(
+        trees.join(components.withColumnRenamed("node", "key"), "key", "left").join(lengths, "key")
+        .select("tree", "key", F.coalesce("component", "key").alias("component"), "n")
+    )
+    parts = now.groupBy("tree", "component").agg(F.count("*").alias("m"))
+    largest = parts.groupBy("tree").agg(F.max_by("component", F.struct("m", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
+    sides = now.join(largest, "tree").withColumn("side", F.when(F.col("component") == F.col("main"), 1).otherwise(0))
+    other, main = F.col("side") == 0, F.col("side") == 1
+    ranges = sides.groupBy("tree").agg(
+        F.min(F.when(other, F.col("n"))).alias("lo0"), F.max(F.when(other, F.col("n"))).alias("hi0"),
+        F.min(F.when(main, F.col("n"))).alias("lo1"), F.max(F.when(main, F.col("n"))).alias("hi1"),
+        F.count_if(other).alias("m0"), F.count_if(main).alias("m1"),
+    )
+
+    def fits(lo: str, hi: str) -> Column:
+        return (100 * F.col("n") >= percent * F.col(lo)) & (percent * F.col("n") <= 100 * F.col(hi))
+
+    near = sides.join(ranges, "tree").where((other & ((F.col("m0") > 1) | fits("lo1", "hi1"))) | (main & fits("lo0", "hi0")))
+    b0, b1 = F.ceil(F.col("m0") / chunk).cast("int"), F.ceil(F.col("m1") / chunk).cast("int")
+    own = F.pmod(F.xxhash64("key"), F.when(other, b0).otherwise(b1)).cast("int")
+    with_main = F.transform(F.sequence(F.lit(0), b1 - 1), lambda j: F.struct(own.alias("i"), j.alias("j"), F.lit(0).alias("s")))
+    with_own = F.transform(
+        F.sequence(F.lit(0), b0 - 1),
+        lambda k: F.struct(F.least(own, k).alias("i"), (-1 - F.greatest(own, k)).alias("j"), F.when(own > k, 1).otherwise(0).alias("s")),
+    )
+    as_main = F.transform(F.sequence(F.lit(0), b0 - 1), lambda i: F.struct(i.alias("i"), own.alias("j"), F.lit(1).alias("s")))
+    cells = near.withColumn("cell", F.explode(F.when(other, F.concat(with_main, with_own)).otherwise(as_main)))
+    cells = cells.select("tree", "cell.i", "cell.j", F.col("cell.s").alias("side"), "key", "component")
+    useful = cells.groupBy("tree", "i", "j").agg(F.count_if(other).alias("x"), F.count_if(main).alias("y"))
+    useful = useful.where("(j >= 0 and x > 0 and y > 0) or (j < 0 and i = -1 - j and x > 1) or (j < 0 and i < -1 - j and x > 0 and y > 0)")
+    return cells.join(useful.select("tree", "i", "j"), ["tree", "i", "j"])
+
+
 def jaccard_components(
     docs: DataFrame, percent: int = 80, width: int = 5, chunk: int = 400, common_limit: int = 65_536, filter_bits: int = 1 << 24
 ) -> DataFrame:
@@ -308,7 +446,7 @@ def jaccard_components(
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
-    shape = "kind int, doc_id long, n_shingles long, key long, times long"
+    shape = "kind int, doc_id long, n_shingles long, key long, times long, bits binary"
     sketch = written(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lambda it: _sketch(it, width), shape))
     nodes = sketch.where("kind = 0").select("doc_id", "n_shingles", "key")
     often = sketch.where("kind = 1").groupBy("key").agg(F.sum("times").alias("n")).orderBy(F.desc("n"), "key").limit(common_limit)
@@ -319,58 +457,40 @@ def jaccard_components(
         docs.select("text").mapInArrow(lambda it: _prefixes(it, width, percent, common, buckets), "bucket long, tokens binary, keys binary")
         .repartition(buckets, "bucket").mapInArrow(_roots, "tree long, key long").distinct()
     )
-    bits = min(filter_bits, max(1 << 12, 1 << (16 * trees.count()).bit_length()))
-    words = trees.select("key").mapInArrow(lambda it: _filter_bits(it, bits), "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits"))
+
+    signatures = written(
+        sketch.where("kind = 0 and key is not null").select("key", F.col("n_shingles").alias("n"), "bits")
+        .join(trees.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"])
+    )
+    lengths = signatures.select("key", "n")
+    wide = F.octet_length("bits") * 8
+    # partners may be one width smaller; there the bitmap is folded
+    widths = F.when((wide > LEAST_BITS) & (percent * F.col("n") <= 100 * wide / 4), F.array(wide, (wide / 2).cast("int"))).otherwise(F.array(wide))
+
+    def possible(cells: DataFrame) -> DataFrame:
+        """Links of what may be similar in each cell (tree, i, j, side, key, component)."""
+        rows = cells.join(signatures, "key").withColumn("width", F.explode(widths))
+        rows = rows.repartition("tree", "width", "i", "j").sortWithinPartitions("tree", "width", "i", "j")
+        return written(rows.mapInArrow(lambda it: _possible(it, percent), "a long, b long").distinct())
+
+    links = possible(one_tree_each(trees, 5 * chunk))
+    links = links.unionByName(possible(between_components(trees, connected_components(links), lengths, percent, 5 * chunk)))
+    clusters = written(connected_components(links).select(F.col("component").alias("tree"), F.col("node").alias("key")))
+
+    bits = min(filter_bits, max(1 << 12, 1 << (16 * clusters.count()).bit_length()))
+    words = clusters.select("key").mapInArrow(lambda it: _filter_bits(it, bits), "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits"))
     bloom = np.zeros(bits // 64, np.uint64)
     for r in words.collect():
         bloom[r.word] = np.uint64(r.bits & (1 << 64) - 1)
     sets = written(docs.select("text").mapInArrow(lambda it: _whole_sets(it, width, bloom), "key long, tokens binary").dropDuplicates(["key"]))
 
-    def compare(rows: DataFrame) -> DataFrame:
-        """Links inside each (tree, i, j) of rows (tree, i, j, side, key, component)."""
-        whole = rows.join(sets, "key")
-        return written(whole.groupBy("tree", "i", "j").applyInPandas(lambda f: linked(f, percent), "a long, b long"))
-
-    sizes = trees.groupBy("tree").agg(F.count("*").alias("n"), F.min("key").alias("pivot"))
-    chosen = trees.join(sizes, "tree").groupBy("key").agg(F.max_by(F.struct("tree", "pivot", "n"), F.struct("n", "tree")).alias("t"))
-    spread = chosen.select("t.tree", F.pmod(F.xxhash64("key"), F.ceil(F.col("t.n") / chunk)).cast("int").alias("i"), "key", "t.pivot")
-    first = spread.select("tree", "i", F.explode(F.array("key", "pivot")).alias("key")).distinct()
-    links = compare(first.select("tree", "i", F.lit(0).alias("j"), F.lit(0).alias("side"), "key", F.col("key").alias("component")))
-    found = connected_components(links)
+    def similar(cells: DataFrame) -> DataFrame:
+        """Links of similar sets in each cell."""
+        whole = cells.join(sets, "key").repartition("tree", "i", "j").sortWithinPartitions("tree", "i", "j")
+        return written(whole.mapInArrow(lambda it: _linked(it, percent), "a long, b long"))
 
-    lengths = sets.select("key", (F.octet_length("tokens") / 8).cast("long").alias("n"))
-    now = written(
-        trees.join(found.withColumnRenamed("node", "key"), "key", "left").join(lengths, "key")
-        .select("tree", "key", F.coalesce("component", "key").alias("component"), "n")
-    )
-    parts = now.groupBy("tree", "component").agg(F.count("*").alias("m"), F.min("n").alias("lo"), F.max("n").alias("hi"))
-    largest = parts.groupBy("tree").agg(F.max_by("component", F.struct("m", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
-    sides = now.join(largest, "tree").withColumn("side", F.when(F.col("component") == F.col("main"), 1).otherwise(0))
-    ranges = (
-        sides.groupBy("tree").agg(
-            F.min(F.when(F.col("side") == 0, F.col("n"))).alias("lo0"), F.max(F.when(F.col("side") == 0, F.col("n"))).alias("hi0"),
-            F.min(F.when(F.col("side") == 1, F.col("n"))).alias("lo1"), F.max(F.when(F.col("side") == 1, F.col("n"))).alias("hi1"),
-            F.count_if(F.col("side") == 0).alias("m0"), F.count_if(F.col("side") == 1).alias("m1"),
-        )
-    )
-    near = sides.join(ranges, "tree").where(
-        ((F.col("side") == 0) & ((F.col("m0") > 1) | ((100 * F.col("n") >= percent * F.col("lo1")) & (percent * F.col("n") <= 100 * F.col("hi1")))))
-        | ((F.col("side") == 1) & (100 * F.col("n") >= percent * F.col("lo0")) & (percent * F.col("n") <= 100 * F.col("hi0")))
-    )
-    b0, b1 = F.ceil(F.col("m0") / chunk).cast("int"), F.ceil(F.col("m1") / chunk).cast("int")
-    own = F.pmod(F.xxhash64("key"), F.when(F.col("side") == 0, b0).otherwise(b1)).cast("int")
-    # cell (i, j): chunk i of the others with chunk j of the largest component, or, from -1 down, with another of their own
-    with_main = F.transform(F.sequence(F.lit(0), b1 - 1), lambda j: F.struct(own.alias("i"), j.alias("j"), F.lit(0).alias("s")))
-    with_own = F.transform(
-        F.sequence(F.lit(0), b0 - 1),
-        lambda k: F.struct(F.least(own, k).alias("i"), (-1 - F.greatest(own, k)).alias("j"), F.when(own > k, 1).otherwise(0).alias("s")),
-    )
-    as_main = F.transform(F.sequence(F.lit(0), b0 - 1), lambda i: F.struct(i.alias("i"), own.alias("j"), F.lit(1).alias("s")))
-    cells = near.withColumn("cell", F.explode(F.when(F.col("side") == 0, F.concat(with_main, with_own)).otherwise(as_main)))
-    cells = cells.select("tree", "cell.i", "cell.j", F.col("cell.s").alias("side"), "key", "component")
-    useful = cells.groupBy("tree", "i", "j").agg(F.count_if(F.col("side") == 0).alias("x"), F.count_if(F.col("side") == 1).alias("y"))
-    useful = useful.where("(j >= 0 and x > 0 and y > 0) or (j < 0 and i = -1 - j and x > 1) or (j < 0 and i < -1 - j and x > 0 and y > 0)")
-    links = links.unionByName(compare(cells.join(useful.select("tree", "i", "j"), ["tree", "i", "j"])))
+    links = similar(one_tree_each(clusters, chunk))
+    links = links.unionByName(similar(between_components(clusters, connected_components(links), lengths, percent, chunk)))
     found = connected_components(links)
 
     classes = nodes.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("least"))
