@@ -16,8 +16,11 @@ underfull give their documents to the next level, until one block is left.
 from __future__ import annotations
 
 import bisect
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -29,7 +32,7 @@ from codexfold.llm.common import written
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
-CACHE_WORDS = 400_000
+CACHE_WORDS, CACHE_CHARS = 1_200_000, 64  # entries of a worker's cache, and their length
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -38,11 +41,17 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+# letters and then ASCII signs but the apostrophe, which starts contractions: the
+# tokenizer takes the two apart, and no normalisation joins them
+_ENDED = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-^`{-~]+)")
+
+
 class WordIds:
     """Token ids of whole texts, one word after the other.
 
     The tokenizer drops white space and never joins across it, so the ids of a text
-    are those of its words; words seen before are looked up in a bounded cache.
+    are those of its words; words seen before are looked up in a bounded cache. Ids are
+    kept as the machine's unsigned 32-bit numbers, little-endian on Spark's platforms.
     """
 
     def __init__(self, path: str):
@@ -53,31 +62,51 @@ class WordIds:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of every text, with the end id."""
-        split = [t.replace("\n", " ").split(" ") for t in texts]
+        # the tokenizer lower-cases; doing it for A-Z here makes more words equal, but
+        # must not spell a special token
+        lowered = [t if "<|" in t else t.encode().lower().decode() for t in texts]
+        split = [t.replace("\n", " ").split(" ") for t in lowered]
         cache = self.cache
-        new = list({w for words in split for w in words if w not in cache})
-        if len(cache) + len(new) > CACHE_WORDS:
+        if len(cache) > CACHE_WORDS:
             cache.clear()
-            new = list({w for words in split for w in words})
-        for lo in range(0, len(new), 10_000):
-            part = new[lo : lo + 10_000]
-            for word, coded in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False)):
-                cache[word] = np.array(coded.ids, "<u4").tobytes()
+        new = list(set().union(*split).difference(cache))
+        joined = [m for m in map(_ENDED.fullmatch, new) if m]
+        stems = {part for m in joined for part in m.groups()}
+        whole = stems.union(new).difference(m[0] for m in joined).difference(cache)
+        self.add(list(whole))
+        for m in joined:
+            cache[m[0]] = cache[m[1]] + cache[m[2]]
         end = np.array([END_ID], "<u4").tobytes()
-        return [b"".join([cache[w] for w in words]) + end for words in split]
+        out = [b"".join(map(cache.__getitem__, words)) + end for words in split]
+        for word in whole.union(new):
+            if len(word) > CACHE_CHARS:
+                del cache[word]
+        return out
+
+    def add(self, words: list[str]) -> None:
+        for lo in range(0, len(words), 10_000):
+            part = words[lo : lo + 10_000]
+            for word, coded in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
+                self.cache[word] = array("I", coded.ids).tobytes()
+
+
+@lru_cache(maxsize=1)
+def word_ids(path: str) -> WordIds:
+    """One cache for all tasks of a Python worker."""
+    return WordIds(path)
 
 
 def token_pieces(docs: DataFrame, limit: int, path: str) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, ids) of every row, cut at ``limit``."""
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordIds(path)
+        words = word_ids(path)
         for batch in batches:
             ids, texts = batch.column("doc_id").to_pylist(), batch.column("text")
             lo = 0
             while lo < len(ids):
                 hi, size = lo, 0
-                while hi < len(ids) and (hi == lo or size < 2_000_000):
+                while hi < len(ids) and (hi == lo or size < 1_000_000):
                     size += len(texts[hi].as_py() or "")
                     hi += 1
                 out: dict = {c: [] for c in ("doc_id", "piece", "start", "length", "ids_crc32", "ids")}
