@@ -1,0 +1,75 @@
+"""Packing: exact token ids, gapless sequences, steps that save bins."""
+
+import random
+import zlib
+from collections import defaultdict
+
+import numpy as np
+import pytest
+
+from codexfold.llm.packing import WordIds, best_fit, best_fit_packing, local_search, vocabulary_path
+
+
+def tokenizer():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(vocabulary_path())
+
+
+def checked(rows, found, limit):
+    """The pieces are those of the tokenizer and lie gapless in their sequences; the number of sequences."""
+    whole, expected = tokenizer(), []
+    for doc, text in rows:
+        ids = [*whole.encode(text or "", add_special_tokens=False).ids, 1]
+        for piece, at in enumerate(range(0, len(ids), limit)):
+            part = np.array(ids[at : at + limit], "<u4").tobytes()
+            expected.append((doc, piece, at, len(part) // 4, zlib.crc32(part)))
+    assert sorted(((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in found), key=repr) == sorted(expected, key=repr)
+    sequences = defaultdict(list)
+    for r in found:
+        sequences[r.sequence_id].append((r.offset, r.length))
+    for places in sequences.values():
+        places.sort()
+        assert [o for o, _ in places] == [sum(n for _, n in places[:k]) for k in range(len(places))] and sum(n for _, n in places) <= limit
+    return len(sequences)
+
+
+def test_documents(small_docs):
+    rows, table = small_docs
+    found = best_fit_packing(table).collect()
+    n = checked(rows, found, 4096)
+    assert n == -(-sum(r.length for r in found) // 4096)
+    assert all(zlib.crc32(bytes(r.ids)) == r.ids_crc32 for r in found)
+
+
+def test_edge_cases_over_levels(docs_of):
+    odd = "İstanbul ΑΣ ΣΑΣ it's don'T <|endoftext|> a<|startoftext|>b x\xa0y\x1cz é ́a 12345 ½ 漢字 🙂\r\n\tq ' s"
+    rows = [(None, None), (None, odd), (1, ""), (2, odd), (2, odd), (3, " \n\n "), (4, "ab " * 9000)] + [(k, f"w{k} " * random.Random(k).randint(1, 60)) for k in range(5, 250)]
+    found = best_fit_packing(docs_of(rows), limit=64, block_items=40, with_ids=False).collect()
+    n = checked(rows, found, 64)
+    assert n <= 1.05 * -(-sum(r.length for r in found) // 64)
+    assert best_fit_packing(docs_of([]).limit(0)).collect() == []
+
+
+def test_words_alone_give_the_ids_of_the_text(small_docs):
+    rows, _ = small_docs
+    words, whole = WordIds(vocabulary_path()), tokenizer()
+    texts = [t for _, t in rows[:80]]
+    assert words.encode(texts) == [np.array([*whole.encode(t, add_special_tokens=False).ids, 1], "<u4").tobytes() for t in texts]
+
+
+def test_search_saves_a_bin_by_swaps():
+    lengths = np.array([6, 6, 6, 5, 5, 5, 4, 4, 4])
+    packed = best_fit(lengths, 15)
+    assert len(packed) == 4 and len(local_search(packed, lengths, 15)) == 3
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_search_keeps_all_items_and_never_adds_bins(seed):
+    lengths = np.random.default_rng(seed).integers(20, 60, 150)
+    packed = best_fit(lengths, 100)
+    squares = sum(int(lengths[b].sum()) ** 2 for b in packed)
+    n = len(packed)
+    better = local_search([list(b) for b in packed], lengths, 100)
+    assert sorted(sum(better, [])) == list(range(150)) and len(better) <= n and max(int(lengths[b].sum()) for b in better) <= 100
+    assert sum(int(lengths[b].sum()) ** 2 for b in better) >= squares
