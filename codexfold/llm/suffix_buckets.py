@@ -14,8 +14,8 @@ of bucket identifiers, and the identifiers it gives are what the next step reads
 from 50-byte buckets two steps reach 200. Positions that are alone leave.
 
 Large buckets are split at random into parts that are refined apart; windows that
-stay alone in their part are compared between parts by a hash of their bytes. A
-window counts as repeated wherever it starts twice, in one document or two.
+stay alone in their part are compared by a hash of their bytes with those of the other
+parts, of which each names every different one once. A window counts as repeated wherever it starts twice, in one document or two.
 """
 
 from __future__ import annotations
@@ -168,9 +168,10 @@ def refined(body: np.ndarray, usable: np.ndarray, start: np.ndarray, length: int
         h *= 2
 
 
-def _repeated(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
+def _repeated(batches: Iterator[pa.RecordBatch], length: int, gram: int, solve_bytes: int) -> Iterator[pa.RecordBatch]:
     """(doc, start, stop, window): runs of bytes covered by repeated windows, with a null window;
-    for windows alone in one of several parts, a row with the hash of the window.
+    for parts of a split bucket, a row with the hash of each different window, whose doc is
+    null where the window is repeated here and so covered already.
     """
     types = pa.schema([("doc", pa.int64()), ("start", pa.int32()), ("stop", pa.int32()), ("window", pa.int64())])
 
@@ -193,18 +194,19 @@ def _repeated(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iter
             yield pa.RecordBatch.from_arrays(
                 [pa.array(doc[rows[lo]]), pa.array(at[lo].astype(np.int32)), pa.array((at[hi] + length).astype(np.int32)), pa.nulls(len(lo), pa.int64())], schema=types
             )
-        alone = np.flatnonzero(~same & (np.asarray(table.column("part"))[rows] >= 0))
-        if len(alone):
-            window = gram_hashes(body, length)[start[alone]]
+        split = np.flatnonzero(np.asarray(table.column("part"))[rows] >= 0)
+        if len(split):
+            window, one = np.unique(gram_hashes(body, length)[start[split]], return_index=True)
+            one = split[one]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(doc[rows[alone]]), pa.array(at[alone].astype(np.int32)), pa.array((at[alone] + length).astype(np.int32)), pa.array(window.view(np.int64))], schema=types
+                [pa.array(doc[rows[one]], mask=same[one]), pa.array(at[one].astype(np.int32)), pa.array((at[one] + length).astype(np.int32)), pa.array(window.view(np.int64))], schema=types
             )
 
     held, size = [], 0
     for group in sorted_groups(batches, ["bucket", "part"]):
         held.append(group)
         size += group.nbytes
-        if size > 2 << 20:
+        if size > solve_bytes:
             yield from solved(held)
             held, size = [], 0
     if held:
@@ -236,7 +238,7 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def without_repeats(docs: DataFrame, length: int = 200, halvings: int = 2, hot_bucket: int = 2_000) -> DataFrame:
+def without_repeats(docs: DataFrame, length: int = 200, halvings: int = 2, hot_bucket: int = 2_000, solve_bytes: int = 2 << 20) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every row of ``docs`` (doc_id, text).
 
     Removed is every byte of the UTF-8 text that a string of ``length`` bytes covers
@@ -246,7 +248,8 @@ def without_repeats(docs: DataFrame, length: int = 200, halvings: int = 2, hot_b
     not matter, ids may be null. An empty table gives an empty result; other columns
     are ignored. Texts and strings are compared by 64-bit hashes within buckets.
     ``length`` must be ``2 ** halvings`` times the size of the initial buckets and
-    longer than an anchor.
+    longer than an anchor. ``hot_bucket`` anchors are refined together at most, and
+    groups of about ``solve_bytes``; neither changes the result.
     """
     if length % (1 << halvings) or length < GRAM:
         raise ValueError("length does not fit the anchors or the refinement")
@@ -269,10 +272,10 @@ def without_repeats(docs: DataFrame, length: int = 200, halvings: int = 2, hot_b
         .mapInArrow(lambda it: _contexts(it, length), "bucket long, part int, doc long, first int, back int, bytes binary")
         .repartition("bucket", "part").sortWithinPartitions("bucket", "part")
     )
-    runs = written(windows.mapInArrow(lambda it: _repeated(it, length, gram), "doc long, start int, stop int, window long"))
+    runs = written(windows.mapInArrow(lambda it: _repeated(it, length, gram, solve_bytes), "doc long, start int, stop int, window long"))
     single = runs.where("window is not null")
     twice = written(single.groupBy("window").agg(F.count("*").alias("n")).where("n > 1").select("window"))
-    covered = runs.where("window is null").unionByName(single.join(twice, "window").select(runs.columns))
+    covered = runs.where("window is null").unionByName(single.where("doc is not null").join(twice, "window").select(runs.columns))
     per_doc = covered.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("runs"))
     everything = F.array(F.struct(F.lit(0).alias("start"), F.octet_length("text").alias("stop")))
     cut = flagged.join(per_doc, "doc", "left").select("doc_id", "text", F.when(F.col("copied"), everything).otherwise(F.col("runs")).alias("found"))

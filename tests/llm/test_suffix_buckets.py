@@ -48,6 +48,17 @@ def test_edge_cases_and_hot_buckets(docs_of, hot):
     assert result(without_repeats(docs_of(rows), hot_bucket=hot)) == brute(rows)
 
 
+def test_windows_repeated_in_one_part_and_alone_in_another(docs_of):
+    rng = random.Random(11)
+    draw = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    common = draw(199)
+    rows = []
+    for k in range(12):
+        before, after = draw(40), draw(40)
+        rows += [(3 * k + i, f"{draw(30)}{i}{before}{common}{after}{i}{draw(30)}") for i in range(3)]
+    assert result(without_repeats(docs_of(rows), hot_bucket=5, solve_bytes=0)) == brute(rows)
+
+
 def test_segments_of_a_long_text(docs_of, monkeypatch):
     text = "".join(random.Random(9).choice("abcd") for _ in range(3_000))
     rows = [(1, text + text[700:1_100]), (2, text[2_500:2_800])]
