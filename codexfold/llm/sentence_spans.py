@@ -1,16 +1,20 @@
 """Removal of repeated runs of sentences.
 
 A sentence ends after a full stop, exclamation or question mark before white space,
-at a line break, or after ``MOST_WORDS`` words. From every sentence starts one run:
-the shortest with at least two sentences and ``least_words`` words. Runs are hashed
-and compared over the whole corpus; the first place of a repeated run keeps it, and
-at all others its sentences are removed. Places are ordered by doc_id and position.
+at a line break. One with more than ``MOST_WORDS`` words is cut before the words whose
+pair with the word before has the smallest hash, and so are its parts, so that a passage
+is cut alike wherever it stands. Every sentence starts one run and ends one, the shortest
+with at least two sentences and ``least_words`` words. Together
+they cover every sentence of any longer repeated run. Runs are hashed and compared over
+the whole corpus; the first place of a repeated run keeps it, and at all others its
+sentences are removed. Places are ordered by doc_id and position.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 import xxhash
@@ -31,9 +35,10 @@ def sentences(text: str) -> list[tuple[int, int, int]]:
     for lo, hi in zip(cuts, cuts[1:]):
         n = len(text[lo:hi].split()) if hi > lo else 0
         if n > MOST_WORDS:
-            starts = [lo + m.start() for m in _WORD.finditer(text[lo:hi])][::MOST_WORDS]
-            starts[0] = lo
-            out += [(a, b, min(MOST_WORDS, n - k * MOST_WORDS)) for k, (a, b) in enumerate(zip(starts, [*starts[1:], hi]))]
+            found = list(_WORD.finditer(text, lo, hi))
+            firsts = word_cuts([m[0] for m in found])
+            starts = [lo, *(found[k].start() for k in firsts[1:])]
+            out += [(a, b, j - i) for a, b, i, j in zip(starts, [*starts[1:], hi], firsts, [*firsts[1:], n])]
         elif n:
             out.append((lo, hi, n))
         elif out and hi > lo:
@@ -43,19 +48,44 @@ def sentences(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
+def word_cuts(words: list[str]) -> list[int]:
+    """The first words of the parts of an overlong sentence.
+
+    Two sentences with a passage in common cut it at the same places, but for up to
+    ``MOST_WORDS`` words at its ends: what is cut is cut at all its smallest hashes, and
+    while it reaches over the passage, that is outside or at the smallest in the passage.
+    """
+    hashes = [0, *(xxhash.xxh3_64_intdigest(f"{a} {b}") for a, b in zip(words, words[1:]))]
+    firsts, waiting = [0], [(0, len(words))]
+    while waiting:
+        lo, hi = waiting.pop()
+        if hi - lo > MOST_WORDS:
+            least = min(hashes[lo + 1 : hi])
+            at = [k for k in range(lo + 1, hi) if hashes[k] == least]
+            firsts += at
+            waiting += zip([lo, *at], [*at, hi])
+    return sorted(firsts)
+
+
 def runs(text: str, least_words: int) -> Iterator[tuple[int, int, int]]:
-    """(hash, first sentence, sentences) of the run from every sentence that has one."""
+    """(hash, first sentence, sentences) of the runs from and to every sentence that has one, by place."""
     parts = sentences(text)
     digests = [xxhash.xxh3_64_digest(" ".join(text[a:b].split())) for a, b, _ in parts]
-    stop, words = 0, 0
-    for first in range(len(parts)):
-        while stop < len(parts) and (stop - first < LEAST_SENTENCES or words < least_words):
-            words += parts[stop][2]
+    before = [0, *accumulate(n for *_, n in parts)]
+    spans, first, stop = set(), 0, 0
+    for k in range(len(parts)):
+        while stop < len(parts) and (stop - k < LEAST_SENTENCES or before[stop] - before[k] < least_words):
             stop += 1
-        if stop - first < LEAST_SENTENCES or words < least_words:
-            return
+        if stop - k < LEAST_SENTENCES or before[stop] - before[k] < least_words:
+            break
+        spans.add((k, stop))
+    for k in range(LEAST_SENTENCES, len(parts) + 1):
+        while k - first > LEAST_SENTENCES and before[k] - before[first + 1] >= least_words:
+            first += 1
+        if before[k] - before[first] >= least_words:
+            spans.add((first, k))
+    for first, stop in sorted(spans):
         yield int.from_bytes(xxhash.xxh3_64_digest(b"".join(digests[first:stop])), "little", signed=True), first, stop - first
-        words -= parts[first][2]
 
 
 def _run_rows(batches: Iterator[pa.RecordBatch], least_words: int) -> Iterator[pa.RecordBatch]:

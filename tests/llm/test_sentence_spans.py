@@ -1,5 +1,7 @@
 """Repeated runs of sentences against a search in order."""
 
+import random
+
 from codexfold.llm.sentence_spans import sentences, without_repeated_spans
 
 
@@ -41,6 +43,42 @@ def test_edge_cases(docs_of):
     assert result(without_repeated_spans(docs_of(rows))) == brute(rows)
 
 
+def every_run(rows, least_words=15):
+    """Removed sentences when runs of all lengths are compared."""
+    seen, out = {}, {}
+    for place, text in sorted(rows):
+        parts, gone, own = sentences(text), set(), set()
+        for k in range(len(parts)):
+            for e in range(k + 2, len(parts) + 1):
+                if sum(w for *_, w in parts[k:e]) >= least_words:
+                    run = tuple(" ".join(text[a:b].split()) for a, b, _ in parts[k:e])
+                    if run in own or seen.get(run, place) < place:
+                        gone |= set(range(k, e))
+                    own.add(run)
+                    seen.setdefault(run, place)
+        out[place] = sorted(gone)
+    return out
+
+
+def test_runs_of_all_lengths(docs_of):
+    rng = random.Random(5)
+    pool = [" ".join(f"w{rng.randint(0, 99)}" for _ in range(rng.choice([1, 2, 3, 5, 9, 14]))) + ". " for _ in range(60)]
+    passages = [[rng.choice(pool) for _ in range(rng.randint(2, 9))] for _ in range(8)]
+    rows = [(k, "".join(s for _ in range(5) for s in rng.choice([rng.choice(passages), [rng.choice(pool)]]))) for k in range(60)]
+    rows += [(100, "A b c d e f g h i j. K l m n o p q r s t. U v w. Other end."), (101, "A b c d e f g h i j. K l m n o p q r s t. U v w. Unlike words.")]
+    found = {r.doc_id: list(r.removed) for r in without_repeated_spans(docs_of(rows)).collect()}
+    assert found == every_run(rows) and found[101] == [0, 1, 2]
+
+
+def test_a_passage_without_sentence_ends_at_another_offset(docs_of):
+    rng = random.Random(6)
+    draw = lambda n: " ".join(f"w{rng.randint(0, 9999)}" for _ in range(n))
+    passage, before = draw(400), draw(17)
+    frame = without_repeated_spans(docs_of([(1, f"{draw(60)} {passage} {draw(50)}"), (2, f"{before} {passage} {draw(30)}"), (3, "v " * 500)]))
+    left = {r.doc_id: r.text.split() for r in frame.collect()}
+    assert len(left[1]) == 510 and len(left[2]) <= 17 + 30 + 2 * 40 and left[2][:17] == before.split()
+
+
 def test_a_passage_many_share_stays_once(docs_of):
     passage = " ".join(f"Word{k} and more of it here, then an end." for k in range(8))
     frame = without_repeated_spans(docs_of([(k, f"Own start {k} goes here. {passage} Own end {k} comes here.") for k in range(200)]))
