@@ -2,15 +2,15 @@
 
 Texts become token ids; longer texts are cut into full sequences and a rest. The
 rests are packed: placed by best fit in order of falling length, then improved.
-The local search gives documents of emptier bins to fuller ones, the emptiest bin
-first: a document moves into another bin, changes place with a shorter one there,
-two documents change place with one there, or one with two there. Every step makes
-the fuller bin fuller, so the sum of squared fills rises and the search ends; where
-a bin runs empty, a sequence is saved. A block that already has the fewest bins its
+The local search takes the emptiest bin first: a document moves into another bin,
+changes place with a shorter one there, two documents change place with one there, or
+one with two there. Every step raises the sum of squared fills, and the search goes on
+until none does; where a bin runs empty, a sequence is saved. A block that already has the fewest bins its
 tokens allow needs no search.
 
 Rests are packed in blocks of bounded size, dealt by hash; bins that stay
-underfull give their documents to the next level, until one block is left.
+underfull are dealt again at the next level, until one block is left or a level saves
+no bin.
 """
 
 from __future__ import annotations
@@ -154,83 +154,103 @@ def best_fit(lengths: np.ndarray, limit: int) -> list[list[int]]:
     return bins
 
 
-def _pairs(items: list[int], lengths: np.ndarray, most: int = 24) -> tuple[np.ndarray, np.ndarray]:
-    """Sums and members of the pairs among the ``most`` shortest items."""
-    short = np.array(sorted(items, key=lambda x: lengths[x])[:most], np.int64)
-    i, j = np.triu_indices(len(short), 1)
-    return lengths[short[i]] + lengths[short[j]], np.stack([short[i], short[j]], axis=1)
+def _pairs(items: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, list[list[int]]]:
+    """The different sums of two of ``items``, rising, and a pair for each."""
+    _, one = np.unique(lengths[items], return_index=True)
+    twice = np.setdiff1d(np.arange(len(items)), one)
+    _, other = np.unique(lengths[items[twice]], return_index=True)
+    few = items[np.r_[one, twice[other]]]  # two of a length are enough
+    i, j = np.triu_indices(len(few), 1)
+    sums, first = np.unique(lengths[few[i]] + lengths[few[j]], return_index=True)
+    return sums, np.stack([few[i[first]], few[j[first]]], axis=1).tolist()
 
 
-def _best_exchange(give: np.ndarray, take: np.ndarray, free: np.ndarray) -> tuple[int, int] | None:
-    """Positions in ``give`` (sorted) and ``take`` of the exchange with the largest gain that
-    is above 0 and fits into the room of the taking side's bin."""
-    if not len(give) or not len(take):
-        return None
-    at = np.searchsorted(give, take + free, "right") - 1
-    gain = np.where(at >= 0, give[np.maximum(at, 0)] - take, 0)
-    best = int(np.argmax(gain))
-    return (int(at[best]), best) if gain[best] > 0 else None
-
-
-def local_search(bins: list[list[int]], lengths: np.ndarray, limit: int, steps: int = 2_000) -> list[list[int]]:
-    """Moves and swaps among underfull bins, from emptier to fuller ones, until no step
-    raises the sum of squared fills, no bin is left to save, or ``steps`` are done."""
-    fill = [int(lengths[b].sum()) for b in bins]
+def local_search(bins: list[list[int]], lengths: np.ndarray, limit: int) -> list[list[int]]:
+    """Moves and swaps among underfull bins until no step raises the sum of squared fills
+    or no bin is left to save. An item's length stays and its bin changes, so one array of
+    items serves all steps; full bins take part in none."""
+    fill = np.array([lengths[b].sum() for b in bins], np.int64)
     fewest = -(-int(lengths.sum()) // limit)
-
-    def step(donor: int, others: list[int]) -> bool:
-        mine = sorted(bins[donor], key=lambda x: lengths[x])
-        own = lengths[mine]
-        room = np.array([limit - fill[i] for i in others])
-        members = [np.array(bins[i], np.int64) for i in others]
-        item, owner = np.concatenate(members), np.repeat(np.arange(len(others)), [len(m) for m in members])
-        fitting = _best_exchange(own, np.zeros(len(others), np.int64), room)  # a move
-        if fitting:
-            return exchange(donor, others[fitting[1]], [mine[fitting[0]]], [])
-        found = _best_exchange(own, lengths[item], room[owner])
-        if found:
-            return exchange(donor, others[owner[found[1]]], [mine[found[0]]], [int(item[found[1]])])
+    owner = np.zeros(len(lengths), np.int64)
+    for k, b in enumerate(bins):
+        owner[b] = k
+    members = [set(b) for b in bins]
+    left = len(bins)
+
+    def exchange(donor: int, taker: int, out: list[int], back: list[int]) -> None:
+        nonlocal left
+        members[donor].difference_update(out)
+        members[donor].update(back)
+        members[taker].difference_update(back)
+        members[taker].update(out)
+        owner[out], owner[back] = taker, donor
+        gain = int(lengths[out].sum() - lengths[back].sum())
+        fill[taker] += gain
+        fill[donor] -= gain
+        left -= not members[donor]
+
+    def best(gain: np.ndarray, donors: np.ndarray | int, takers: np.ndarray | int) -> int | None:
+        """The step that raises the squares most, if one does."""
+        rise = np.where(gain > 0, gain * (fill[takers] - fill[donors] + gain), 0)
+        rise[np.broadcast_to(donors == takers, rise.shape)] = 0
+        at = int(np.argmax(rise)) if len(rise) else 0
+        return at if len(rise) and rise[at] > 0 else None
+
+    def largest(give: np.ndarray, most: np.ndarray) -> np.ndarray:
+        return np.searchsorted(give, most, "right") - 1
+
+    def step(k: int, others: np.ndarray, items: np.ndarray) -> bool:
+        mine = np.array(sorted(members[k], key=lambda x: (lengths[x], x)), np.int64)
+        own, whose, size = lengths[mine], owner[items], lengths[items]
+        at = largest(own, limit - fill[others])  # a move
+        found = best(np.where(at >= 0, own[at], 0), k, others)
+        if found is not None:
+            exchange(k, int(others[found]), [int(mine[at[found]])], [])
+            return True
+        most = size + limit - fill[whose]
+        at = largest(own, most)  # one for one
+        found = best(np.where(at >= 0, own[at] - size, 0), k, whose)
+        if found is not None:
+            exchange(k, int(whose[found]), [int(mine[at[found]])], [int(items[found])])
+            return True
+        if len(mine) < 2:
+            return False
         sums, pairs = _pairs(mine, lengths)
-        order = np.argsort(sums, kind="stable")
-        found = _best_exchange(sums[order], lengths[item], room[owner])
-        if found:
-            return exchange(donor, others[owner[found[1]]], pairs[order[found[0]]].tolist(), [int(item[found[1]])])
-        theirs = [_pairs(bins[i], lengths) for i in others]
-        whose = np.repeat(np.arange(len(others)), [len(t[0]) for t in theirs])
-        found = _best_exchange(own, np.concatenate([t[0] for t in theirs]), room[whose])
-        if found:
-            first = int(np.searchsorted(whose, whose[found[1]]))
-            return exchange(donor, others[whose[found[1]]], [mine[found[0]]], theirs[whose[found[1]]][1][found[1] - first].tolist())
+        at = largest(sums, most)  # two of this bin for one
+        found = best(np.where(at >= 0, sums[at] - size, 0), k, whose)
+        if found is not None:
+            exchange(k, int(whose[found]), pairs[at[found]], [int(items[found])])
+            return True
+        at = np.searchsorted(sums, size - (limit - int(fill[k])))  # one for two of this bin
+        found = best(np.where(at < len(sums), size - sums[np.minimum(at, len(sums) - 1)], 0), whose, k)
+        if found is not None:
+            exchange(int(whose[found]), k, [int(items[found])], pairs[at[found]])
+            return True
         return False
 
-    def exchange(donor: int, bin_: int, out: list[int], back: list[int]) -> bool:
-        bins[donor] = [x for x in bins[donor] if x not in out] + back
-        bins[bin_] = [x for x in bins[bin_] if x not in back] + out
-        gain = int(lengths[out].sum() - (lengths[back].sum() if back else 0))
-        fill[bin_] += gain
-        fill[donor] -= gain
-        return True
-
-    left = sum(1 for b in bins if b)
-    while left > fewest and steps > 0:
-        under = sorted((f, i) for i, f in enumerate(fill) if 0 < f < limit)
-        for at, (_, donor) in enumerate(under[:-1]):
-            steps -= 1
-            if step(donor, [i for _, i in under[at + 1 :]]):
-                left -= not bins[donor]
-                break
-            if steps <= 0:
-                break
-        else:
-            break
-    return [b for b in bins if b]
+    changed = True
+    while changed and left > fewest:
+        changed = False
+        under = np.flatnonzero((fill > 0) & (fill < limit))
+        items = np.flatnonzero(np.isin(owner, under))
+        for k in under[np.argsort(fill[under], kind="stable")].tolist():
+            while left > fewest and 0 < fill[k] < limit and step(k, under, items):
+                changed = True
+    return [sorted(b) for b in members if b]
 
 
 def _packed(frame: pd.DataFrame, limit: int) -> pd.DataFrame:
-    """Bins of one block; ``open`` marks those whose documents go to the next level."""
+    """Bins of one block; ``open`` marks those whose documents go to the next level.
+
+    ``held`` names the bins of the level before. They are searched as they are, too, so
+    that no level makes more bins than came to it.
+    """
     frame = frame.sort_values("item", ignore_index=True)
     lengths = frame["length"].to_numpy(np.int64)
-    bins = local_search(best_fit(lengths, limit), lengths, limit)
+    starts = [best_fit(lengths, limit)]
+    if frame["held"].notna().all():
+        starts.append([list(b) for b in frame.groupby("held").indices.values()])
+    bins = min((local_search(b, lengths, limit) for b in starts), key=len)
     order = np.concatenate([np.array(b, np.int64) for b in bins])
     out = frame.iloc[order].reset_index(drop=True)
     counts = [len(b) for b in bins]
@@ -258,18 +278,20 @@ def best_fit_packing(
     pieces = written((pieces if with_ids else pieces.drop("ids")).withColumn("item", F.monotonically_increasing_id()))
     rest = pieces.where(F.col("length") < limit).select("item", "length")
     shape = "block long, item long, length long, bin long, offset long, open boolean"
-    placed, level, left = [], 0, rest.count()
+    rest = rest.withColumn("held", F.lit(None).cast("long"))
+    placed, level, left, before = [], 0, rest.count(), None
     while True:
         blocks = max(1, -(-left // block_items))
-        dealt = rest.withColumn("block", F.pmod(F.xxhash64("item", F.lit(level)), F.lit(blocks)))
-        done = written(dealt.groupBy("block").applyInPandas(lambda f: _packed(f, limit), shape))
-        again = done.where("open").count()
-        last = blocks == 1 or 2 * again > left  # another deal would not help
+        dealt = rest.withColumn("block", F.pmod(F.xxhash64(F.coalesce("held", "item"), F.lit(level)), F.lit(blocks)))
         number = F.lit(level << 56) + F.col("block") * (1 << 24) + F.col("bin")
-        placed.append((done if last else done.where("not open")).select("item", number.alias("sequence_id"), "offset"))
+        done = written(dealt.groupBy("block").applyInPandas(lambda f: _packed(f, limit), shape).withColumn("sequence_id", number))
+        first = F.col("offset") == 0  # one document of every bin
+        bins, underfull, left = done.agg(F.count_if(first), F.count_if(first & F.col("open")), F.count_if("open")).first()
+        last = blocks == 1 or before is not None and bins >= before
+        placed.append((done if last else done.where("not open")).select("item", "sequence_id", "offset"))
         if last:
             break
-        rest, level, left = done.where("open").select("item", "length"), level + 1, again
+        rest, level, before = done.where("open").select("item", "length", F.col("sequence_id").alias("held")), level + 1, underfull
     places = placed[0]
     for more in placed[1:]:
         places = places.unionByName(more)

@@ -1,5 +1,6 @@
 """Packing: exact token ids, gapless sequences, steps that save bins."""
 
+import itertools
 import random
 import zlib
 from collections import defaultdict
@@ -7,7 +8,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from codexfold.llm.packing import WordIds, best_fit, best_fit_packing, local_search, vocabulary_path
+from codexfold.llm.packing import WordIds, _pairs, best_fit, best_fit_packing, local_search, vocabulary_path
 
 
 def tokenizer():
@@ -64,6 +65,46 @@ def test_search_saves_a_bin_by_swaps():
     assert len(packed) == 4 and len(local_search(packed, lengths, 15)) == 3
 
 
+def rising_step(bins, lengths, limit):
+    """A move or a swap of one or two for one that raises the squared fills, looked for among all."""
+    fill = [int(lengths[b].sum()) for b in bins]
+    some = [[(), *((x,) for x in b), *itertools.combinations(b, 2)] for b in bins]
+    for d, t in itertools.permutations(range(len(bins)), 2):
+        for out in some[d]:
+            for back in some[t]:
+                if (len(out), len(back)) in ((1, 0), (1, 1), (2, 1), (1, 2)):
+                    gain = int(sum(lengths[list(out)]) - sum(lengths[list(back)]))
+                    if 0 < gain <= limit - fill[t] and gain > fill[d] - fill[t]:
+                        return d, t, out, back
+    return None
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_search_ends_where_no_step_helps(seed):
+    lengths = np.random.default_rng(seed).integers(*((20, 60), (34, 70), (26, 45), (3, 48))[seed], 40)
+    packed = best_fit(lengths, 100)
+    better = local_search([list(b) for b in packed], lengths, 100)
+    assert len(better) == -(-int(lengths.sum()) // 100) or rising_step(better, lengths, 100) is None
+
+
+def test_search_of_many_half_full_bins_goes_to_its_end():
+    lengths = np.r_[np.full(4_000, 51), np.full(2_400, 39), np.full(2_400, 10)]
+    packed = [[k] for k in range(4_000)] + [[4_000 + k, 6_400 + k] for k in range(2_400)]
+    assert len(local_search(packed, lengths, 100)) == 4_000
+
+
+def test_pairs_come_from_whole_bins():
+    lengths = np.array([*range(1, 31), 200, 100])
+    assert 300 in _pairs(np.arange(32), lengths)[0].tolist()
+
+
+def test_bins_of_blocks_are_exchanged(docs_of):
+    rows = [(k, "a " * (57 if k % 2 else 37)) for k in range(400)]
+    found = best_fit_packing(docs_of(rows), limit=100, block_items=20, with_ids=False).collect()
+    n = checked(rows, found, 100)
+    assert n <= 208
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_search_keeps_all_items_and_never_adds_bins(seed):
     lengths = np.random.default_rng(seed).integers(20, 60, 150)
