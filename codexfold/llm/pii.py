@@ -42,6 +42,18 @@ PATTERNS = {
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 
 
+#: Pools of letters that LETTERS lacks, by script.
+OTHER_LETTERS = {
+    r"^\p{IsArabic}$": "ابتثجحخدذرزسشصضطظعغفقكلمنهوي",
+    r"^\p{IsHebrew}$": "אבגדהוזחטיכלמנסעפצקרשת",
+    r"^\p{IsDevanagari}$": "अआइईउऊएऐओऔकखगघचछजझटठडढणतथदधनपफबभमयरलवशषसह",
+    r"^\p{IsHangul}$": "가나다라마바사아자차카타파하고노도로모보소오조초코토포호",
+    r"^\p{IsHan}$": "王李张刘陈杨黄赵周吴徐孙马朱胡林郭何高罗郑梁谢宋唐许韩冯邓曹",
+    r"^\p{Lu}$": "ABCDEFGHIKLMNOPRSTUVZ",
+    r"^\p{L}$": "abcdefghiklmnoprstuvz",
+}
+
+
 def kind_of(mention: Column) -> Column:
     """The type of a mention, by its own shape."""
     digits = F.regexp_replace(mention, "[^0-9]", "")
@@ -61,12 +73,15 @@ def _draw(seed: Column, place: Column, n: int | Column) -> Column:
 
 
 def _letter(c: Column, seed: Column, i: Column) -> Column:
-    """Another letter of the same script and class, digits for digits, else ``c``."""
+    """Another letter of the same script and class, digits for digits, else ``c``; a letter
+    without a pool is drawn from one of its script, or else from Latin letters."""
     out = F.when(c.rlike("^[0-9]$"), _draw(seed, i, F.lit(10)).cast("string"))
     for vowels, consonants in LETTERS.values():
         for pool in (vowels, consonants):
             out = out.when(F.instr(F.lit(pool), c) > 0, F.substring(F.lit(pool), _draw(seed, i, F.lit(len(pool))) + 1, F.lit(1)))
     out = out.when(F.instr(F.lit("jqwxy"), c) > 0, F.substring(F.lit("jqwxy"), _draw(seed, i, F.lit(5)) + 1, F.lit(1)))
+    for shape, pool in OTHER_LETTERS.items():
+        out = out.when(c.rlike(shape), F.substring(F.lit(pool), _draw(seed, i, F.lit(len(pool))) + 1, F.lit(1)))
     return out.otherwise(c)
 
 
@@ -95,6 +110,8 @@ def _surrogate(kind: Column, value: Column, key: str, attempt: int) -> Column:
     email = _shaped(value, seed, lambda i: (i == at) | (i > n - tail))
     email = F.concat(F.lit("x" * (attempt // 20)), email)
     octet = lambda o, i: F.when(F.length(o) == 3, 100 + _draw(seed, i, F.lit(156))).when(F.length(o) == 2, 10 + _draw(seed, i, F.lit(90))).otherwise(_draw(seed, i, F.lit(10))).cast("string")
+    if attempt >= 20:  # few values have short octets
+        octet = lambda o, i: _draw(seed, i, F.lit(256)).cast("string")
     ip = F.array_join(F.transform(F.split(value, r"\."), octet), ".")
     phone = _shaped(value, seed, lambda i: i == 1)
     card = _shaped(value, seed, lambda i: i == 1)

@@ -85,3 +85,15 @@ def test_collisions_draw_again(spark):
 def test_pools_keep_scripts():
     for vowels, consonants in LETTERS.values():
         assert not set(vowels) & set(consonants) and (vowels + consonants).islower()
+
+
+def test_letters_of_any_script_and_short_addresses(spark):
+    mails = ["محمد@شركة.com", "דוד@חברה.com", "王小明@公司.com", "김철수@회사.com", "राम@घर.com"]
+    names = ["åøãõ"]
+    ips = [f"{k // 1000}.{k // 100 % 10}.{k // 10 % 10}.{k % 10}" for k in range(6_000)]
+    rows = [("email", v) for v in mails] + [("name", v) for v in names] + [("ip", v) for v in ips]
+    found = {(r.kind, r.value): r.surrogate for r in surrogates(spark.createDataFrame(rows, "kind string, value string"), "k").collect()}
+    assert len(found) == len(rows) == len({(k, s) for (k, _), s in found.items()})
+    assert all(v not in found["email", v] and len(found["email", v]) == len(v) for v in mails)
+    assert not set("åøã") & set(found["name", "åøãõ"])
+    assert all(all(0 <= int(o) < 256 for o in s.split(".")) for (k, _), s in found.items() if k == "ip")
