@@ -1,29 +1,42 @@
 """Repeated runs of sentences against a search in order."""
 
 import random
+from collections import Counter
 
 from codexfold.llm.sentence_spans import sentences, without_repeated_spans
 
 
 def brute(rows, least_words=15):
-    seen, out = {}, []
+    """Runs of all lengths, length by length; what occurs once has no longer repeat."""
     places = sorted({(-1 if d is None else d, t or "") for d, t in rows})
+    parts = [sentences(text) for _, text in places]
+    names: dict = {}
+    said = [[names.setdefault(" ".join(text[a:b].split()), len(names)) for a, b, _ in p] for (_, text), p in zip(places, parts)]
+    gone = [set() for _ in places]
+    runs, n = {(i, k): s for i, p in enumerate(said) for k, s in enumerate(p)}, 1
+    while runs:
+        n += 1
+        longer, names, times = {}, {}, Counter()
+        for (i, k), run in sorted(runs.items()):
+            if k + n <= len(said[i]):
+                longer[i, k] = name = names.setdefault((run, said[i][k + n - 1]), len(names))
+                times[name] += 1
+        seen, own = {}, set()
+        for (i, k), run in longer.items():
+            if sum(w for *_, w in parts[i][k : k + n]) >= least_words:
+                place = places[i][0]
+                if (i, run) in own or seen.get(run, place) < place:
+                    gone[i] |= set(range(k, k + n))
+                own.add((i, run))
+                seen.setdefault(run, place)
+        runs = {at: run for at, run in longer.items() if times[run] > 1}
     cut = {}
-    for place, text in places:
-        parts, gone, own = sentences(text), set(), set()
-        for k in range(len(parts)):
-            for e in range(k + 2, len(parts) + 1):
-                if sum(w for *_, w in parts[k:e]) >= least_words:
-                    run = tuple(" ".join(text[a:b].split()) for a, b, _ in parts[k:e])
-                    if run in own or seen.get(run, place) < place:
-                        gone |= set(range(k, e))
-                    own.add(run)
-                    seen.setdefault(run, place)
-                    break
-        cut[place, text] = len(parts), sorted(gone), "".join(text[a:b] for k, (a, b, _) in enumerate(parts) if k not in gone) if gone else text
+    for (place, text), p, g in zip(places, parts, gone):
+        cut[place, text] = len(p), sorted(g), "".join(text[a:b] for k, (a, b, _) in enumerate(p) if k not in g) if g else text
+    out = []
     for d, t in rows:
-        n, gone, left = cut[-1 if d is None else d, t or ""]
-        out.append((d, n, len(gone), gone, t if t is None else left))
+        n, g, left = cut[-1 if d is None else d, t or ""]
+        out.append((d, n, len(g), g, t if t is None else left))
     return sorted(out, key=repr)
 
 
