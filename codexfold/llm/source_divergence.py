@@ -128,7 +128,9 @@ def _level(batches: Iterator[pa.RecordBatch], low: int, high: int, bloom: np.nda
         lang, source = (np.asarray(n.indices).astype(np.int64) for n in names)
         sources = max(len(names[1].dictionary), 1)
         hashed = np.array([_language(x) for x in names[0].dictionary.to_pylist()], np.uint64)
-        for lo, hi, body, offsets in text_chunks(batch.column("text"), CHUNK):
+        order = np.argsort(lang * sources + source, kind="stable")  # a chunk holds few groups, so that its rows add up
+        lang, source = lang[order], source[order]
+        for lo, hi, body, offsets in text_chunks(batch.column("text").take(pa.array(order)), CHUNK):
             body = _LOWER[body]
             starts, stops, text = spans(_TERM[body], offsets)
             lengths = stops - starts
