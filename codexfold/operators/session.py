@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codexfold.constants import FEEDBACK_LEAD, SESSION_DEFAULTS
@@ -132,6 +132,37 @@ def review_patch(
     ).agg(ordered_text("seq", "text").alias("value"))
 
 
+def review_writes(
+    reviews: DataFrame, log: DataFrame | None = None, keep_edit: bool = False, hot_rows: int = HOT_ROWS
+) -> DataFrame:
+    """The deltas that reviews write: (session_id, stage, seq, key, value), every value a whole document.
+
+    ``log`` (session_id, seq, key, value) has the other writes to the documents, such as
+    the stored ones and the answers reviewed; of the same ``seq``, they come first. A
+    document is what was set last with all later appends, so its rows fall into runs that
+    start with a set, and a value is the concatenation of its run up to its own row. The
+    starts of runs are a running maximum that splits hot sessions; only runs are sorted whole.
+    """
+    ops = review_deltas(reviews, keep_edit)
+    pieces = ops.where(F.col("key") == F.col("stage")).select(
+        "session_id", "stage", (2 * F.col("seq") + 1).alias("_at"), "op", "text", F.lit(True).alias("_review")
+    )
+    if log is not None:
+        reviewed = F.col("key").isin("brd", "plan")
+        pieces = pieces.unionByName(log.where(reviewed).select(
+            "session_id", F.col("key").alias("stage"), (2 * F.col("seq")).alias("_at"), F.lit("set").alias("op"),
+            F.coalesce("value", F.lit("")).alias("text"), F.lit(False).alias("_review"),
+        ))
+    start = F.when(F.col("op") == "set", F.col("_at"))
+    placed = prefix(pieces, ["session_id", "stage"], "_at", {"_before": ("max", start)}, hot_rows).withColumn("_run", F.coalesce(start, "_before"))
+    so_far = Window.partitionBy("session_id", "stage", "_run").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    documents = placed.withColumn("value", F.array_join(F.collect_list("text").over(so_far), "")).where("_review").select(
+        "session_id", "stage", ((F.col("_at") - 1) / 2).cast("bigint").alias("seq"), F.col("stage").alias("key"), "value"
+    )
+    others = ops.where(F.col("key") != F.col("stage")).select("session_id", "stage", "seq", "key", F.col("text").alias("value"))
+    return documents.unionByName(others)
+
+
 def review_spec(reviews: DataFrame) -> DataFrame:
     """Last non-NULL specification edit of the first review stage."""
     return (

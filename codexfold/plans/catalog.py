@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from codexfold.constants import EMPTY_DIGEST
 from codexfold.functions.text import lossy_utf8
 from codexfold.operators import context, corpus, documents, events, exports, intake, packing, session, specs
+from codexfold.plans import flow
 from codexfold.plans.bindings import bind
 from codexfold.sources.archives import archive_explode
 
@@ -265,6 +266,25 @@ def review_patch_keep_edit(spark, sf):
     return session.review_patch(bind(spark, sf, "reviews"), keep_edit=True)
 
 
+@query
+def review_writes(spark, sf):
+    """Reviews of documents that were stored before."""
+    stored = _stored(spark, sf).select("session_id", F.lit(-1).cast("bigint").alias("seq"), F.col("stage").alias("key"), "value")
+    return session.review_writes(bind(spark, sf, "reviews"), stored)
+
+
+@query
+def reviewed_code_message(spark, sf):
+    """Answers, their reviews and the context uploads folded as of the start of the code stage."""
+    sessions, reviews = bind(spark, sf, "sessions"), bind(spark, sf, "reviews").drop("ts")
+    apart = lambda df, step: df.withColumn("seq", 4 * F.col("seq") + step)  # noqa: E731, events make several rows
+    deltas = apart(bind(spark, sf, "deltas").drop("ts"), 0).where("key != 'additional_context'")
+    files = apart(bind(spark, sf, "context_files").withColumn("content", F.col("content").cast("binary")), 1)
+    confirms = apart(reviews, 2).where((F.col("stage") == "plan") & (F.col("seq") % 7 == 0))
+    log = flow.reviewed_deltas(deltas, apart(reviews, 2)).unionByName(flow.context_deltas(files, confirms, sessions))
+    return flow.stage_messages(sessions, log, apart(bind(spark, sf, "stage_starts"), 3), "code")
+
+
 @query
 def review_spec(spark, sf):
     return session.review_spec(bind(spark, sf, "reviews"))

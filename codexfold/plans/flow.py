@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from codexfold.constants import EMPTY_DIGEST, PACK_BUDGET
 from codexfold.functions.text import is_blank, lossy_utf8
-from codexfold.operators import documents, intake, packing, session
+from codexfold.operators import context, documents, intake, packing, session
 from codexfold.sources.archives import pack_archives
 
 
@@ -66,6 +66,26 @@ def answer_deltas(answers: DataFrame, key: str) -> DataFrame:
     return answers.select("session_id", "seq", F.lit(key).alias("key"), F.col("text").alias("value"))
 
 
+def context_deltas(context_files: DataFrame, confirms: DataFrame, sessions: DataFrame) -> DataFrame:
+    """``additional_context`` of each session from the uploads accepted before its first
+    confirmation, at the number of the last of them. The first part of the text is
+    enough: messages read far less of it."""
+    accepted = context.context_before_gate(context_files, confirms, sessions).where("accepted")
+    texts = context.context_text(accepted.drop("accepted", "reason"))
+    last = texts.groupBy("session_id").agg(F.max("seq").alias("seq"))
+    whole = context.context_accumulate(texts).where("part = 0").select("session_id", "additional_context")
+    return whole.join(last, "session_id").select(
+        "session_id", "seq", F.lit("additional_context").alias("key"), F.col("additional_context").alias("value")
+    )
+
+
+def reviewed_deltas(deltas: DataFrame, reviews: DataFrame, keep_edit: bool = False) -> DataFrame:
+    """``deltas`` and what the reviews of their documents write."""
+    log = deltas.select("session_id", "seq", "key", "value")
+    writes = session.review_writes(reviews, log, keep_edit)
+    return log.unionByName(writes.drop("stage"))
+
+
 def stage_messages(
     sessions: DataFrame, deltas: DataFrame, stage_starts: DataFrame, stage: str
 ) -> DataFrame:

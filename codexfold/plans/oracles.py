@@ -323,13 +323,35 @@ _BODIES |= {
     "live_stream_segments": "SELECT session_id, segment, run, step, closed_by, text FROM (" + _BODIES["stream_segments"] + ")",
     "live_idle_heartbeat": _BODIES["idle_heartbeat"],
     "live_review_deltas": f"""WITH RECURSIVE r AS (SELECT *, row_number() OVER (PARTITION BY session_id, stage ORDER BY seq) AS n FROM reviews),
-walk AS (SELECT session_id, stage, CAST(0 AS BIGINT) AS n, CAST(-1 AS BIGINT) AS seq, '' AS value, FALSE AS written FROM (SELECT DISTINCT session_id, stage FROM reviews)
+walk AS (SELECT d.session_id, d.stage, CAST(0 AS BIGINT) AS n, CAST(-1 AS BIGINT) AS seq, coalesce(s.source_code, '') AS value, FALSE AS written FROM (SELECT DISTINCT session_id, stage FROM reviews) d LEFT JOIN sessions s ON s.session_id = d.session_id AND d.stage = 'brd'
 UNION ALL SELECT w.session_id, w.stage, r.n, r.seq, CASE WHEN coalesce(r.feedback, '') <> '' THEN w.value || {lit(K.FEEDBACK_LEAD)} || r.feedback ELSE coalesce(r.content, w.value) END, coalesce(r.feedback, '') <> '' OR r.content IS NOT NULL
 FROM walk w JOIN r ON r.session_id = w.session_id AND r.stage = w.stage AND r.n = w.n + 1)
 SELECT session_id, stage, seq, stage AS key, value FROM walk WHERE written
 UNION ALL SELECT session_id, stage, seq, 'technical_spec', tech FROM reviews WHERE stage = 'brd' AND tech IS NOT NULL""",
 }
 
+_BODIES |= {
+    "live_pending_review": _BODIES["pending_review"],
+    "live_event_route": _BODIES["event_route"],
+    "live_context_before_gate": _BODIES["context_before_gate"],
+    "review_writes": _BODIES["live_review_deltas"],
+    "reviewed_code_message": f"""SELECT b.session_id, concat_ws(chr(10) || chr(10), {lit(K.CODE_LEAD)}, {_optional(K.CODE_BRD_LEAD, 'brd', K.CODE_BRD_CHARS)}, {_optional(K.CODE_SPEC_LEAD, 'technical_spec', K.CODE_SPEC_CHARS)},
+{_optional(K.CODE_CONTEXT_LEAD, 'additional_context', K.CODE_CONTEXT_CHARS)}, {lit(K.CODE_PLAN_LEAD)} || substring(plan, 1, {K.CODE_PLAN_CHARS}), {lit(K.CODE_SOURCE_LEAD)} || substring(source_code, 1, {K.CODE_SOURCE_CHARS})) AS message
+FROM (SELECT s.session_id, s.source_code, {', '.join(f"coalesce(arg_max(l.value, l.spot) FILTER (WHERE l.key = '{k}'), '') AS {k}" for k in ('brd', 'technical_spec', 'plan', 'additional_context'))}
+  FROM sessions s JOIN (SELECT session_id, 4 * min(seq) + 3 AS start FROM stage_starts WHERE stage = 'code' GROUP BY session_id) t ON t.session_id = s.session_id
+  LEFT JOIN (SELECT session_id, 4 * seq AS spot, key, value FROM deltas WHERE key <> 'additional_context'
+    UNION ALL SELECT session_id, 4 * seq + 2, 'technical_spec', tech FROM reviews WHERE stage = 'brd' AND tech IS NOT NULL
+    UNION ALL SELECT session_id, spot, key, value FROM (SELECT *, string_agg(piece, '') OVER (PARTITION BY session_id, key, run ORDER BY spot ROWS UNBOUNDED PRECEDING) AS value
+      FROM (SELECT *, sum(CASE WHEN reset THEN 1 ELSE 0 END) OVER (PARTITION BY session_id, key ORDER BY spot ROWS UNBOUNDED PRECEDING) AS run
+        FROM (SELECT session_id, 4 * seq AS spot, key, TRUE AS reset, coalesce(value, '') AS piece, FALSE AS review FROM deltas WHERE key IN ('brd', 'plan')
+          UNION ALL SELECT session_id, 4 * seq + 2, stage, coalesce(feedback, '') = '', CASE WHEN coalesce(feedback, '') = '' THEN content ELSE {lit(K.FEEDBACK_LEAD)} || feedback END, TRUE
+          FROM reviews WHERE coalesce(feedback, '') <> '' OR content IS NOT NULL))) WHERE review
+    UNION ALL SELECT session_id, max(4 * seq + 1), 'additional_context', string_agg({lit(K.CONTEXT_HEAD)} || name || {lit(K.CONTEXT_TAIL)} || text, '' ORDER BY seq)
+    FROM (SELECT f.* FROM texts f LEFT JOIN (SELECT session_id, min(seq) AS gate FROM reviews WHERE stage = 'plan' AND (4 * seq + 2) % 7 = 0 GROUP BY session_id) g ON g.session_id = f.session_id WHERE g.gate IS NULL OR g.gate >= f.seq)
+    WHERE {strip('text')} <> '' GROUP BY session_id
+  ) l ON l.session_id = s.session_id AND l.spot <= t.start GROUP BY s.session_id, s.source_code) b""",
+}
+
 _DOCS = {"plan_tasks": "plan_docs", "manifest_coverage": "manifest_docs"}
 
 ORACLES = {

@@ -1,7 +1,6 @@
-"""Review gates as stream-stream joins; watermarks bound the join state.
+"""Review gates of sessions that may wait for any time.
 
-The inputs have event times (``ts``). A row without a partner comes out once the
-watermark has passed the end of its interval, so a later batch has to move it.
+State is kept per gate, not per interval: a confirmation counts however late it comes.
 """
 
 from __future__ import annotations
@@ -9,38 +8,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codexfold.operators import session
+from codexfold.streaming.stateful import LATENESS, ContextGate, in_order
 
-def pending_review_stream(
-    ready: DataFrame, confirms: DataFrame, wait: str = "7 days", lateness: str = "1 hour"
-) -> DataFrame:
-    """Each ready gate with the confirmation that follows within ``wait``, or
-    with none (status ``waiting``). One ready and one confirmation per gate."""
-    opened = ready.select("session_id", "stage", F.col("ts").alias("ready_ts")).withWatermark("ready_ts", lateness)
-    closed = confirms.select(
-        F.col("session_id").alias("c_session"), F.col("stage").alias("c_stage"), F.col("ts").alias("confirm_ts")
-    ).withWatermark("confirm_ts", lateness)
-    on = F.expr(
-        "session_id = c_session AND stage = c_stage AND confirm_ts >= ready_ts "
-        f"AND confirm_ts <= ready_ts + INTERVAL {wait}"
-    )
-    return opened.join(closed, on, "left_outer").select(
-        "session_id", "stage", "ready_ts", "confirm_ts",
-        F.when(F.col("confirm_ts").isNull(), "waiting").otherwise("confirmed").alias("status"),
-    )
+
+def pending_review_stream(ready: DataFrame, confirms: DataFrame) -> DataFrame:
+    """``session.pending_review`` in update mode: a gate's row comes when it opens and
+    again when it is confirmed. A union and one aggregate; two numbers of state a gate."""
+    return session.pending_review(ready, confirms)
 
 
 def context_gate_stream(
-    context_files: DataFrame, confirms: DataFrame, window: str = "7 days", lateness: str = "1 hour"
+    context_files: DataFrame, confirms: DataFrame, sessions: DataFrame, lateness: str = LATENESS, **settings
 ) -> DataFrame:
-    """Context uploads with whether the session's one confirmation came before
-    them, looking back over ``window``."""
-    uploads = context_files.select("session_id", "seq", "name", "ts").withWatermark("ts", lateness)
-    gate = confirms.select(
-        F.col("session_id").alias("c_session"), F.col("seq").alias("c_seq"), F.col("ts").alias("c_ts")
-    ).withWatermark("c_ts", lateness)
-    on = F.expr(
-        f"session_id = c_session AND c_seq < seq AND c_ts <= ts AND c_ts >= ts - INTERVAL {window}"
+    """Context uploads (session_id, seq, name, ts) with whether their session is known (a
+    static table) and not confirmed before them: confirms(session_id, seq, ts). Once
+    confirmed, a session's gate stays closed."""
+    none = F.lit(None)
+    uploads = context_files.select("session_id", "seq", "ts", F.lit("context").alias("type"), "name").join(
+        sessions.select("session_id", F.lit(True).alias("known")), "session_id", "left"
     )
-    return uploads.join(gate, on, "left_outer").select(
-        "session_id", "seq", "name", "ts", F.col("c_seq").isNull().alias("accepted")
+    closing = confirms.select(
+        "session_id", "seq", "ts", F.lit("confirm").alias("type"), none.cast("string").alias("name"), none.cast("boolean").alias("known")
     )
+    return in_order(uploads.unionByName(closing), ContextGate(**settings), lateness=lateness)

@@ -18,13 +18,19 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 # Bounds what one session can bring into a task per micro-batch; use the batch
 # operators to work off a long history.
 BYTES_PER_TRIGGER = 1024 * 1024 * 1024
+CLOSED = "9999-01-01 00:00:00"  # later than any event
 
 
-def use_rocksdb(spark: SparkSession) -> None:
-    """State of many sessions lives in RocksDB, off the executors' heap, with
-    changelog checkpoints in the shared checkpoint folder."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
+def stream_session(spark: SparkSession) -> SparkSession:
+    """A session like ``spark`` whose streams keep their state in RocksDB, off the
+    executors' heap, with changelog checkpoints; the caller's settings stay as they are."""
+    own = spark.newSession()
+    for key, value in spark.conf.getAll.items():
+        if key.startswith("spark.sql.") and own.conf.isModifiable(key) and own.conf.get(key, None) != value:
+            own.conf.set(key, value)
+    own.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    own.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
+    return own
 
 
 def shared_folder(spark: SparkSession, purpose: str) -> str:
@@ -38,6 +44,20 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
+def with_close(events: DataFrame, folder: str) -> DataFrame:
+    """``events`` and the markers in ``folder``: rows of a time alone, no session."""
+    spark = events.sparkSession
+    spark.createDataFrame([], "marked string").coalesce(1).write.mode("append").parquet(folder)
+    marks = spark.readStream.schema("marked string").parquet(folder)
+    kind = dict(events.dtypes)["ts"]
+    return events.unionByName(marks.select(F.col("marked").cast(kind).alias("ts")), allowMissingColumns=True)
+
+
+def close_log(spark: SparkSession, folder: str, after: str = CLOSED) -> None:
+    """Marks that no event before ``after`` is still to come."""
+    spark.createDataFrame([(after,)], "marked string").coalesce(1).write.mode("append").parquet(folder)
+
+
 def read_event_lines(spark: SparkSession, location: str, bytes_per_trigger: int = BYTES_PER_TRIGGER) -> DataFrame:
     """Events of a folder of JSON-lines files; invalid lines are dropped."""
     lines = (

@@ -1,11 +1,17 @@
 """Event-log operators on unbounded input, one state per session.
 
 Row windows are not available on streams, so the counters and texts that the
-batch operators get from windows live in keyed state. A session's events come in
-order across micro-batches (the log is append-only); inside a micro-batch they
-are put in order here, which holds one session's share of one trigger.
-State of a session is dropped at its terminal event except for a flag that makes
-later events no-ops.
+batch operators get from windows live in keyed state. What arrives out of order
+waits there: events are applied in the order of their numbers, an event once the
+watermark has passed it and all lower numbers of its session that are waiting.
+So the result depends neither on how files are ordered nor on how many go into a
+micro-batch, as long as nothing is later than ``lateness``. With ``dense_from``,
+the number of a session's first event, numbers have no gaps and need no clock: an
+event waits for the one before it, however long that takes.
+
+A log that ends is closed by a marker (``sources.close_log``), which moves the
+watermark past everything. A session's state is dropped at its terminal event, but
+for a flag that makes later events no-ops; the flag goes ``keep_days`` after the end.
 """
 
 from __future__ import annotations
@@ -14,7 +20,7 @@ import sys
 from collections.abc import Iterator
 
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import Column, DataFrame, GroupedData, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -33,10 +39,9 @@ PROGRESS_ROWS = "session_id bigint, seq bigint, type string, progress bigint"
 HEARTBEAT_ROWS = "session_id bigint, seq bigint, gap_us bigint, heartbeats bigint"
 REVIEW_ROWS = "session_id bigint, stage string, seq bigint, key string, value string"
 ROUTED_ROWS = "session_id bigint, seq bigint, type string"
-
-
-def in_order(rows: Iterator[Row]) -> list[dict]:
-    return sorted((row.asDict() for row in rows), key=lambda event: event["seq"])
+GATED_ROWS = "session_id bigint, seq bigint, name string, reason string, accepted boolean"
+LATENESS = "1 hour"
+DAY_US = 86_400_000_000
 
 
 def emitted(rows: list[tuple], schema: str) -> Iterator[Row]:
@@ -45,53 +50,127 @@ def emitted(rows: list[tuple], schema: str) -> Iterator[Row]:
         yield Row(**dict(zip(names, values)))
 
 
-class SessionProcessor(StatefulProcessor):
-    """Shared part: the ended flag and the loop over ordered events."""
+class InOrder(StatefulProcessor):
+    """A session's events one after the other, in order of ``seq``.
+
+    ``fields`` are the columns of an event, the first two ``seq`` and ``us``; ``schema``
+    those of the output. Subclasses keep their state between ``load`` and ``save``.
+    """
+
+    fields, schema = "seq bigint, us bigint, type string", ""
 
-    schema = ""
+    def __init__(self, dense_from: int | None = None, keep_days: int = 30) -> None:
+        self.dense_from, self.keep_days = dense_from, keep_days
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.ended = handle.getValueState("ended", "ended boolean")
+        self.handle = handle
+        self.names = [field.split()[0] for field in self.fields.split(", ")]
+        self.waiting = handle.getListState("waiting", self.fields)
+        self.ended = handle.getValueState("ended", "us bigint")
+        if self.dense_from is not None:
+            self.next = handle.getValueState("next", "seq bigint")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        if key[0] is not None:
+            yield from self.work(key, [tuple(row[n] for n in self.names) for row in rows], timerValues)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        if key[0] is not None:
+            yield from self.work(key, [], timerValues)
+
+    def ready(self, events: list[tuple], timers) -> tuple[list[tuple], list[tuple]]:
+        """The sorted events that can be applied, and those that wait."""
+        n = 0
+        if self.dense_from is None:
+            limit = timers.getCurrentWatermarkInMs() * 1000
+            while n < len(events) and (events[n][1] is None or events[n][1] <= limit):
+                n += 1
+            return events[:n], events[n:]
+        due, following = [], (self.next.get() or (self.dense_from,))[0]
+        for n, event in enumerate(events):
+            if event[0] > following:
+                break
+            if event[0] == following:  # a lower number has been delivered before
+                due.append(event)
+                following += 1
+        else:
+            n = len(events)
+        self.next.update((following,))
+        return due, events[n:]
+
+    def work(self, key, new: list[tuple], timers) -> Iterator[Row]:
+        if self.ended.exists():
+            new = self.after(self.ended.get()[0], new)
+            if self.dense_from is not None or timers.getCurrentWatermarkInMs() * 1000 < self.until(self.ended.get()[0]):
+                if new:
+                    self.waiting.appendList(new)
+                return
+            self.ended.clear()
+        events = sorted([*self.waiting.get(), *new], key=lambda e: (e[0], e[1] or 0))
+        due, rest = self.ready(events, timers)
         out: list[tuple] = []
-        over = self.ended.exists()
-        if not over:
+        over = None
+        if due:
             self.load()
-        for event in in_order(rows):
-            if over:
-                continue
-            if event["type"] in TERMINAL_STEP:
-                over = True
-                self.finish(key[0], event, out)
-                self.ended.update((True,))
+            for values in due:
+                event = dict(zip(self.names, values))
+                if event.get("type") in TERMINAL_STEP:
+                    over = event
+                    self.finish(key, event, out)
+                    break
+                self.apply(key, event, out)
+            if over is None:
+                self.save(key, out)
+        if over is not None:
+            end = over["us"] or 0
+            self.ended.update((end,))
+            later = self.after(end, events)
+            if later:
+                self.waiting.put(later)
             else:
-                self.apply(key[0], event, out)
-        if not over:
-            self.save(key[0], out)
+                self.waiting.clear()
+            self.wake(self.until(end))
+        elif rest:
+            if new or due:
+                self.waiting.put(rest)
+            self.wake(rest[0][1])
+        elif len(events) > len(new):
+            self.waiting.clear()
         yield from emitted(out, self.schema)
 
+    def wake(self, us: int) -> None:
+        if self.dense_from is None:
+            self.handle.registerTimer(us // 1000 + 1)
+
+    def until(self, end: int) -> int:
+        return end + self.keep_days * DAY_US
+
+    def after(self, end: int, events: list[tuple]) -> list[tuple]:
+        """Events of a new life of a session that ended long before."""
+        return [e for e in events if self.dense_from is None and e[1] is not None and e[1] >= self.until(end)]
+
     def load(self) -> None: ...
 
-    def save(self, session_id, out: list[tuple]) -> None: ...
+    def save(self, key, out: list[tuple]) -> None: ...
 
-    def apply(self, session_id, event: dict, out: list[tuple]) -> None: ...
+    def apply(self, key, event: dict, out: list[tuple]) -> None: ...
 
-    def finish(self, session_id, event: dict, out: list[tuple]) -> None: ...
+    def finish(self, key, event: dict, out: list[tuple]) -> None: ...
 
     def close(self) -> None: ...
 
 
-class Router(SessionProcessor):
+class Router(InOrder):
     schema = ROUTED_ROWS
 
-    def apply(self, session_id, event, out):
-        out.append((session_id, event["seq"], event["type"]))
+    def apply(self, key, event, out):
+        out.append((key[0], event["seq"], event["type"]))
 
     finish = apply
 
 
-class Segments(SessionProcessor):
+class Segments(InOrder):
+    fields = "seq bigint, us bigint, type string, step string, content string, brd string"
     schema = SEGMENT_ROWS
 
     def init(self, handle):
@@ -103,11 +182,11 @@ class Segments(SessionProcessor):
         self.segment, self.run, self.step = self.counters.get() or (0, 0, None)
         self.pending: list[str] = []
 
-    def save(self, session_id, out):
+    def save(self, key, out):
         self.counters.update((self.segment, self.run, self.step))
         if self.pending:
             self.texts.appendList([(t,) for t in self.pending])
-            out.append((session_id, self.segment, self.run, self.step, None, "".join(t for (t,) in self.texts.get())))
+            out.append((key[0], self.segment, self.run, self.step, None, "".join(t for (t,) in self.texts.get())))
 
     def collected(self) -> list[str]:
         chunks = [t for (t,) in self.texts.get()] + self.pending
@@ -115,7 +194,7 @@ class Segments(SessionProcessor):
         self.pending = []
         return chunks
 
-    def apply(self, session_id, event, out):
+    def apply(self, key, event, out):
         kind, step = event["type"], event.get("step")
         if kind in STREAM_TYPES:
             self.pending.append(event["content"] or "")
@@ -129,19 +208,20 @@ class Segments(SessionProcessor):
             if kind in READY_TYPES:
                 own = event[READY_TEXT[kind]] if kind in READY_TEXT else ""
                 text = text if own is None else own
-            out.append((session_id, self.segment, self.run, self.step, kind, text))
+            out.append((key[0], self.segment, self.run, self.step, kind, text))
         self.run += 1
         self.segment += starts
         self.step = step if starts else READY_STEP.get(kind, self.step)
 
-    def finish(self, session_id, event, out):
+    def finish(self, key, event, out):
         chunks = self.collected()
         if chunks:
-            out.append((session_id, self.segment, self.run, self.step, None, "".join(chunks)))
+            out.append((key[0], self.segment, self.run, self.step, None, "".join(chunks)))
         self.counters.clear()
 
 
-class Progress(SessionProcessor):
+class Progress(InOrder):
+    fields = "seq bigint, us bigint, type string, step string, content string"
     schema = PROGRESS_ROWS
 
     def init(self, handle):
@@ -151,10 +231,10 @@ class Progress(SessionProcessor):
     def load(self):
         self.chunks = (self.counter.get() or (0,))[0]
 
-    def save(self, session_id, out):
+    def save(self, key, out):
         self.counter.update((self.chunks,))
 
-    def apply(self, session_id, event, out):
+    def apply(self, key, event, out):
         kind = event["type"]
         if kind in STREAM_TYPES and event["content"]:
             self.chunks += 1
@@ -165,48 +245,62 @@ class Progress(SessionProcessor):
             progress = PROGRESS_READY
         else:
             return
-        out.append((session_id, event["seq"], kind, progress))
+        out.append((key[0], event["seq"], kind, progress))
 
-    def finish(self, session_id, event, out):
+    def finish(self, key, event, out):
         self.counter.clear()
 
 
-class Heartbeats(StatefulProcessor):
-    """Gaps before each event up to the terminal one; with ``live`` a timer reports the
-    silence while it lasts instead (one row per beat, seq NULL)."""
+class Heartbeats(InOrder):
+    """Gaps before each event up to the terminal one."""
+
+    schema = HEARTBEAT_ROWS
 
-    def __init__(self, idle_seconds: int, live: bool) -> None:
-        self.idle_seconds, self.live = idle_seconds, live
+    def __init__(self, idle_seconds: int, **settings) -> None:
+        super().__init__(**settings)
+        self.idle_us = idle_seconds * 1_000_000
+
+    def init(self, handle):
+        super().init(handle)
+        self.last = handle.getValueState("last", "us bigint")
+
+    def load(self):
+        self.before = (self.last.get() or (None,))[0]
+
+    def save(self, key, out):
+        self.last.update((self.before,))
+
+    def apply(self, key, event, out):
+        if self.before is not None:
+            gap = event["us"] - self.before
+            if gap >= self.idle_us:
+                out.append((key[0], event["seq"], gap, gap // self.idle_us))
+        self.before = event["us"]
+
+    def finish(self, key, event, out):
+        self.apply(key, event, out)
+        self.last.clear()
+
+
+class LiveHeartbeats(StatefulProcessor):
+    """Reports the silence while it lasts, by the clock: one row per beat, seq NULL."""
+
+    def __init__(self, idle_seconds: int) -> None:
+        self.idle_seconds = idle_seconds
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.last = handle.getValueState("last", "us bigint")
         self.ended = handle.getValueState("ended", "ended boolean")
 
     def handleInputRows(self, key, rows, timerValues):
-        out = []
-        over = self.ended.exists()
-        last = (self.last.get() or (None,))[0]
-        for event in in_order(rows):
-            if over:
-                break
-            if last is not None:
-                gap = event["us"] - last
-                beats = gap // (self.idle_seconds * 1_000_000)
-                if beats > 0 and not self.live:
-                    out.append((key[0], event["seq"], gap, beats))
-            last, over = event["us"], event["type"] in TERMINAL_STEP
-        if over:
-            self.last.clear()
-            self.ended.update((True,))
-        else:
-            self.last.update((last,))
-        if self.live:
+        if not self.ended.exists():
             for timer in list(self.handle.listTimers()):
                 self.handle.deleteTimer(timer)
-        if self.live and not over:
-            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_seconds * 1000)
-        yield from emitted(out, HEARTBEAT_ROWS)
+            if any(row["type"] in TERMINAL_STEP for row in rows):
+                self.ended.update((True,))
+            else:
+                self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_seconds * 1000)
+        yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         self.handle.registerTimer(expiredTimerInfo.getExpiryTimeInMs() + self.idle_seconds * 1000)
@@ -215,36 +309,65 @@ class Heartbeats(StatefulProcessor):
     def close(self) -> None: ...
 
 
-class Reviews(StatefulProcessor):
-    """Current document per (session, stage); every confirmation gives the
-    deltas it writes, with the full new value."""
+class Reviews(InOrder):
+    """Current document per (session, stage), from the stored one on; every confirmation
+    gives the deltas it writes, with the full new value."""
+
+    fields, schema = "seq bigint, us bigint, content string, tech string, feedback string", REVIEW_ROWS
 
-    def __init__(self, keep_edit: bool) -> None:
+    def __init__(self, keep_edit: bool, **settings) -> None:
+        super().__init__(**settings)
         self.keep_edit = keep_edit
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
+    def init(self, handle):
+        super().init(handle)
         self.document = handle.getValueState("document", "value string")
 
-    def handleInputRows(self, key, rows, timerValues):
-        out = []
-        session_id, stage = key
-        stored = (self.document.get() or ("",))[0]
-        for review in in_order(rows):
-            content, feedback, tech = review["content"], review["feedback"], review["tech"]
-            if feedback:
-                base = content if self.keep_edit and content is not None else stored
-                value = base + FEEDBACK_LEAD + feedback
-            else:
-                value = content
-            if value is not None:
-                stored = value
-                out.append((session_id, stage, review["seq"], stage, value))
-            if stage == "brd" and tech is not None:
-                out.append((session_id, stage, review["seq"], "technical_spec", tech))
-        self.document.update((stored,))
-        yield from emitted(out, REVIEW_ROWS)
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        self.document.update((initialState["value"],))
+
+    def load(self):
+        self.stored = (self.document.get() or ("",))[0] or ""
+
+    def save(self, key, out):
+        self.document.update((self.stored,))
+
+    def apply(self, key, event, out):
+        content, feedback, stage = event["content"], event["feedback"], key[1]
+        if feedback:
+            base = content if self.keep_edit and content is not None else self.stored
+            value = base + FEEDBACK_LEAD + feedback
+        else:
+            value = content
+        if value is not None:
+            self.stored = value
+            out.append((key[0], stage, event["seq"], stage, value))
+        if stage == "brd" and event["tech"] is not None:
+            out.append((key[0], stage, event["seq"], "technical_spec", event["tech"]))
 
-    def close(self) -> None: ...
+
+class ContextGate(InOrder):
+    """Uploads (``type`` context) up to the session's first confirmation (``type`` confirm)."""
+
+    fields, schema = "seq bigint, us bigint, type string, name string, known boolean", GATED_ROWS
+
+    def init(self, handle):
+        super().init(handle)
+        self.closed = handle.getValueState("closed", "seq bigint")
+
+    def load(self):
+        self.over = self.closed.exists()
+
+    def apply(self, key, event, out):
+        if event["type"] == "confirm":
+            if not self.over:
+                self.closed.update((event["seq"],))
+            self.over = True
+            return
+        reason = None if event["known"] else "unknown session"
+        if reason is None and self.over:
+            reason = "already confirmed"
+        out.append((key[0], event["seq"], event["name"], reason, reason is None))
 
 
 def _typed(schema: str, events: DataFrame) -> str:
@@ -252,45 +375,70 @@ def _typed(schema: str, events: DataFrame) -> str:
     return schema.replace("session_id bigint", f"session_id {dict(events.dtypes)['session_id']}")
 
 
-def _per_session(
-    events: DataFrame, processor: StatefulProcessor, schema: str, time_mode: str = "None", mode: str = "Append"
+def in_order(
+    events: DataFrame,
+    processor: InOrder,
+    keys: tuple[str, ...] = ("session_id",),
+    mode: str = "Append",
+    lateness: str = LATENESS,
+    stored: GroupedData | None = None,
 ) -> DataFrame:
-    return events.groupBy("session_id").transformWithState(
-        statefulProcessor=processor, outputStructType=_typed(schema, events), outputMode=mode, timeMode=time_mode
+    """``processor`` over ``events``, which have its fields (absent ones are NULL) and a
+    time ``ts``, or none where the processor counts dense numbers."""
+    dense = processor.dense_from is not None
+    if not dense:
+        if "ts" not in events.columns:
+            raise ValueError("events need a time column ts, or numbers without gaps (dense_from)")
+        events = events.withColumn("us", micros(events, "ts"))
+        events = events.withColumn("ts", F.timestamp_micros("us")).withWatermark("ts", lateness)
+    names = [field.split() for field in processor.fields.split(", ")]
+
+    def column(name: str, kind: str) -> Column:
+        return F.col(name) if name in events.columns else F.lit(None).cast(kind).alias(name)
+
+    used = events.select(*keys, *([] if dense else ["ts"]), *(column(*n) for n in names))
+    return used.groupBy(*keys).transformWithState(
+        statefulProcessor=processor, outputStructType=_typed(processor.schema, events), outputMode=mode,
+        timeMode="None" if dense else "EventTime", initialState=stored,
     )
 
 
-def route_stream(events: DataFrame, sessions: DataFrame) -> DataFrame:
+def route_stream(events: DataFrame, sessions: DataFrame, lateness: str = LATENESS, **settings) -> DataFrame:
     """Events of known sessions (a static table) up to the terminal event."""
-    known = events.select("session_id", "seq", "type").join(sessions.select("session_id"), "session_id", "left_semi")
-    return _per_session(known, Router(), ROUTED_ROWS)
+    known = sessions.select("session_id", F.lit(True).alias("known"))
+    # an outer join, so that the marker of a closed log comes through
+    marked = events.join(known, "session_id", "left").where(F.col("known") | F.col("session_id").isNull())
+    return in_order(marked, Router(**settings), lateness=lateness)
 
 
-def segments_stream(events: DataFrame) -> DataFrame:
+def segments_stream(events: DataFrame, lateness: str = LATENESS, **settings) -> DataFrame:
     """Runs of streamed text, in update mode: a closed run once; the open run of a session
     (closed_by NULL) with its text so far, again whenever it grows."""
-    brd = F.col("brd") if "brd" in events.columns else F.lit(None).cast("string").alias("brd")
-    return _per_session(events.select("session_id", "seq", "type", "step", "content", brd), Segments(), SEGMENT_ROWS, mode="Update")
+    return in_order(events, Segments(**settings), mode="Update", lateness=lateness)
 
 
-def progress_stream(events: DataFrame) -> DataFrame:
-    return _per_session(events.select("session_id", "seq", "type", "step", "content"), Progress(), PROGRESS_ROWS)
+def progress_stream(events: DataFrame, lateness: str = LATENESS, **settings) -> DataFrame:
+    return in_order(events, Progress(**settings), lateness=lateness)
 
 
-def heartbeat_stream(events: DataFrame, idle_seconds: int = HEARTBEAT_SECONDS, live: bool = False) -> DataFrame:
+def heartbeat_stream(events: DataFrame, idle_seconds: int = HEARTBEAT_SECONDS, live: bool = False, lateness: str = LATENESS) -> DataFrame:
+    """Gaps between a session's events; with ``live``, beats while a silence lasts."""
+    if not live:
+        return in_order(events, Heartbeats(idle_seconds), lateness=lateness)
     kind = F.col("type") if "type" in events.columns else F.lit(None).cast("string").alias("type")
-    arrivals = events.select("session_id", "seq", kind, micros(events, "ts").alias("us"))
-    return _per_session(
-        arrivals, Heartbeats(idle_seconds, live), HEARTBEAT_ROWS, "ProcessingTime" if live else "None"
+    return events.select("session_id", kind).where("session_id IS NOT NULL").groupBy("session_id").transformWithState(
+        statefulProcessor=LiveHeartbeats(idle_seconds), outputStructType=_typed(HEARTBEAT_ROWS, events), outputMode="Append", timeMode="ProcessingTime"
     )
 
 
-def review_stream(reviews: DataFrame, keep_edit: bool = False) -> DataFrame:
-    return reviews.select("session_id", "stage", "seq", "content", "tech", "feedback").groupBy(
-        "session_id", "stage"
-    ).transformWithState(
-        statefulProcessor=Reviews(keep_edit), outputStructType=_typed(REVIEW_ROWS, reviews), outputMode="Append", timeMode="None"
-    )
+def review_stream(
+    reviews: DataFrame, keep_edit: bool = False, stored: DataFrame | None = None, lateness: str = LATENESS, **settings
+) -> DataFrame:
+    """Full-value deltas of every review. ``stored`` (session_id, stage, value), a static
+    table, has the documents before the first review."""
+    keys = ("session_id", "stage")
+    first = None if stored is None else stored.select(*keys, "value").groupBy(*keys)
+    return in_order(reviews, Reviews(keep_edit, **settings), keys, lateness=lateness, stored=first)
 
 
 def fold_stream(deltas: DataFrame) -> DataFrame:

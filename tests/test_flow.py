@@ -3,10 +3,8 @@
 import io
 import zipfile
 
-from pyspark.sql import functions as F
-
 from codexfold import constants as K
-from codexfold.operators import exports, session
+from codexfold.operators import exports
 from codexfold.plans import flow
 from test_archives import ENTRIES, archive
 
@@ -37,12 +35,20 @@ def test_flow(spark):
     text = "<!-- SECTION: ANALYSIS -->a<!-- SECTION: BRD -->brd1<!-- SECTION: TECHNICAL_SPECIFICATION -->spec1<!-- SECTION: END -->"
     deltas = flow.analysis_deltas(spark.createDataFrame([(1, 10, text), (2, 10, "whole")], ANSWER))
     reviews = spark.createDataFrame([(1, 20, "brd", "lost", None, "note")], "session_id bigint, seq bigint, stage string, content string, tech string, feedback string")
-    stored = spark.createDataFrame([(1, "brd", "brd1")], "session_id bigint, stage string, value string")
-    patched = session.review_patch(reviews, stored).select("session_id", F.lit(20).cast("bigint").alias("seq"), F.col("stage").alias("key"), "value")
-    deltas = deltas.unionByName(patched).unionByName(flow.answer_deltas(spark.createDataFrame([(1, 40, "the plan")], ANSWER), "plan"))
+    deltas = flow.reviewed_deltas(deltas, reviews).unionByName(flow.answer_deltas(spark.createDataFrame([(1, 40, "the plan")], ANSWER), "plan"))
+    files = spark.createDataFrame(
+        [(1, 12, "a.md", bytearray(b"first")), (1, 13, "b.json", bytearray(b"[1]")), (1, 25, "late.md", bytearray(b"x")), (7, 1, "n.md", bytearray(b"y"))],
+        "session_id bigint, seq bigint, name string, content binary",
+    )
+    added = flow.context_deltas(files, reviews, sessions)
+    assert [tuple(r) for r in added.collect()] == [
+        (1, 13, "additional_context", f"{K.CONTEXT_HEAD}a.md{K.CONTEXT_TAIL}first{K.CONTEXT_HEAD}b.json{K.CONTEXT_TAIL}[\n  1\n]")
+    ]
+    deltas = deltas.unionByName(added)
     starts = spark.createDataFrame([(1, 15, "plan"), (1, 50, "code"), (2, 30, "plan")], "session_id bigint, seq bigint, stage string")
     plan = {r.session_id: r.message for r in flow.stage_messages(sessions, deltas, starts, "plan").collect()}
-    assert plan == {1: K.PLAN_LEAD + "brd1" + K.PLAN_SPEC_LEAD + "spec1", 2: K.PLAN_LEAD + "whole"}
+    assert plan[1].startswith(K.PLAN_LEAD + "brd1" + K.PLAN_SPEC_LEAD + "spec1" + K.PLAN_CONTEXT_LEAD) and "first" in plan[1] and "late" not in plan[1]
+    assert plan[2] == K.PLAN_LEAD + "whole" and set(plan) == {1, 2}
     code = {r.session_id: r.message for r in flow.stage_messages(sessions, deltas, starts, "code").collect()}
     assert set(code) == {1}
     assert K.CODE_BRD_LEAD + "brd1" + K.FEEDBACK_LEAD + "note" in code[1] and K.CODE_PLAN_LEAD + "the plan" in code[1]

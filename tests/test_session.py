@@ -51,6 +51,49 @@ def test_edit_with_feedback_is_lost(spark):
     assert S.review_spec(df).first().technical_spec == "spec"
 
 
+def writes_model(reviews, log, keep_edit):
+    """Every write in order, as the session's handler does it."""
+    docs, out = {}, []
+    steps = [(q, 0, s, k, v) for s, q, k, v in log] + [(r[1], 1, r) for r in reviews]
+    for step in sorted(steps, key=lambda x: x[:2]):
+        if step[1] == 0:
+            docs[step[2], step[3]] = step[4] or ""
+            continue
+        sid, seq, stage, content, tech, feedback = step[2]
+        before = docs.get((sid, stage), "")
+        value = content
+        if feedback:
+            value = (content if keep_edit and content is not None else before) + K.FEEDBACK_LEAD + feedback
+        if value is not None:
+            docs[sid, stage] = value
+            out.append((sid, stage, seq, stage, value))
+        if stage == "brd" and tech is not None:
+            out.append((sid, stage, seq, "technical_spec", tech))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("keep_edit", [False, True])
+@pytest.mark.parametrize("hot_rows", [2, 10**6])
+def test_writes_fold_to_the_document(spark, keep_edit, hot_rows):
+    rng = random.Random(8)
+    reviews = random_reviews(8)
+    log = [(s, q, k, rng.choice([None, "", f"answer{q}"])) for s in range(4) for k in ("brd", "plan", "analysis") for q in (-1, 30, 31, 77)]
+    df = spark.createDataFrame(random.sample(reviews, len(reviews)), REVIEW).repartition(7)
+    deltas = spark.createDataFrame(log, "session_id bigint, seq bigint, key string, value string")
+    writes = S.review_writes(df, deltas, keep_edit, hot_rows)
+    assert sorted(map(tuple, writes.collect())) == writes_model(reviews, log, keep_edit)
+    alone = S.review_writes(df, keep_edit=keep_edit)
+    assert sorted(map(tuple, alone.collect())) == writes_model(reviews, [], keep_edit)
+
+
+def test_feedback_on_a_stored_document_folds_to_both(spark):
+    df = spark.createDataFrame([(1, 5, "brd", None, None, "note")], REVIEW)
+    log = spark.createDataFrame([(1, 0, "brd", "ORIGINAL")], "session_id bigint, seq bigint, key string, value string")
+    sessions = spark.createDataFrame([(1, "java-to-go", "src")], "session_id bigint, pattern string, source_code string")
+    state = S.state_fold(log.unionByName(S.review_writes(df, log).drop("stage")), sessions).first()
+    assert state.brd == "ORIGINAL" + K.FEEDBACK_LEAD + "note"
+
+
 def test_fold_and_defaults(spark):
     sessions = spark.createDataFrame([(1, "java-to-go", "src"), (2, None, "s2")], "session_id bigint, pattern string, source_code string")
     deltas = spark.createDataFrame(
