@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from codexfold.functions.java import java_types
 from codexfold.functions.skew import lookup_join
 from codexfold.functions.text import basename, nonempty, strip, suffix
 
@@ -23,12 +24,9 @@ IMPORT = r"(?m)^[ \t]*import[ \t]+((?:static[ \t]+)?[\w.]+)"
 # kind, name, rest of the header up to the brace (4,000 characters at most); before
 # the kind the line may hold modifiers and annotations without strings
 TYPE_DECLARATION = r"(?m)^[\w@.() \t-]*?(?<![\w.@-])(class|interface|enum|record)[ \t]+(\w+)([^{;]{0,4000})\{"
-# an annotation with its argument list (strings may hold any sign), a sign that ends
-# a member, or the keyword of a type
-MEMBER_TOKEN = r"@(?!interface\b)[\w.]+(?:[ \t]*\([^()\"]*+(?:\"[^\"\n]*+\"[^()\"]*+){0,200}\))?|[;{}]|(?<![\w.])(?:class|interface)(?=[ \t]+\w)"
 SPRING_VERBS = {"GetMapping": "GET", "PostMapping": "POST", "PutMapping": "PUT", "DeleteMapping": "DELETE", "PatchMapping": "PATCH"}
 JAXRS_VERBS = ("GET", "POST", "PUT", "DELETE", "PATCH", "HEAD", "OPTIONS")
-RELATION = r"@(OneToMany|ManyToOne|OneToOne|ManyToMany)\b[^;{]*?\b(\w+)(?:>)?\s+\w+\s*;"
+RELATIONS = ("OneToMany", "ManyToOne", "OneToOne", "ManyToMany")
 ANNOTATION = r"@(\w+)"
 
 
@@ -135,32 +133,15 @@ def dependency_degrees(edges: DataFrame) -> DataFrame:
     )
 
 
-def _names(clause: Column) -> Column:
-    """Simple type names of a comma list, type arguments removed."""
-    plain = F.regexp_replace(clause, r"<[^<>]*>", "")
-    return F.filter(F.transform(F.split(plain, ","), strip), lambda n: n != "")
+def _java_types(files: DataFrame) -> DataFrame:
+    """(repo_id, path, _t): one row per type, read by the lexer, with annotations and members."""
+    return of_suffix(files, JAVA).select("repo_id", "path", F.explode(java_types(F.col("content"))).alias("_t"))
 
 
 def type_declarations(files: DataFrame) -> DataFrame:
-    """(repo_id, path, kind, type, parents[relation, parent]) per declaration."""
-    declaration = F.col("_d")
-    rest = F.regexp_replace(declaration["g3"], r"\([^)]*\)", "")
-    # an interface may extend several types, a class one
-    parents = F.concat(
-        F.transform(
-            _names(F.regexp_extract(rest, r"(?s)\bextends\s+(.+?)(?:\bimplements\b|\bpermits\b|\z)", 1)),
-            lambda n: F.struct(F.lit("extends").alias("relation"), n.alias("parent")),
-        ),
-        F.transform(
-            _names(F.regexp_extract(rest, r"(?s)\bimplements\s+(.+?)(?:\bpermits\b|\z)", 1)),
-            lambda n: F.struct(F.lit("implements").alias("relation"), n.alias("parent")),
-        ),
-    )
-    return (
-        of_suffix(files, JAVA)
-        .select("repo_id", "path", F.explode(all_matches(F.col("content"), TYPE_DECLARATION, (1, 2, 3))).alias("_d"))
-        .select("repo_id", "path", declaration["g1"].alias("kind"), declaration["g2"].alias("type"), parents.alias("parents"))
-    )
+    """(repo_id, path, kind, type, parents[relation, parent]) per declaration: comments and
+    strings do not count, parents stand without their type arguments."""
+    return _java_types(files).select("repo_id", "path", "_t.kind", "_t.type", "_t.parents")
 
 
 def _distinct_types(files: DataFrame) -> DataFrame:
@@ -201,21 +182,22 @@ def hierarchy_roots(files: DataFrame) -> DataFrame:
     return types.select("repo_id", "type").distinct().join(children, ["repo_id", "type"], "left_anti")
 
 
-def _members(content: Column) -> Column:
-    """Annotations by member: one string each, tokens after a mark, the keyword of a
-    type included. Argument lists are cut out first, so their signs end no member."""
-    tokens = F.regexp_extract_all(content, F.lit(MEMBER_TOKEN), F.lit(0))
-    marked = F.transform(tokens, lambda t: F.when(t.isin(";", "{", "}"), "\u0002").otherwise(F.concat(F.lit("\u0001"), t)))
-    return F.filter(F.split(F.array_join(marked, ""), "\u0002"), lambda m: m != "")
+def _annotated(annotations: Column, *names: str) -> Column:
+    return F.filter(annotations, lambda a: a["name"].isin(*names))
 
 
-def _paths(annotation: Column) -> Column:
-    """Paths of an annotation: the strings of ``value`` or ``path``, of whatever place
-    and as a list too, or of an argument without a name; '' where there is none."""
-    named = F.regexp_extract(annotation, r'[(,{]\s*(?:value|path)\s*=\s*(\{[^{}"]*(?:"[^"\n]*"[^{}"]*){1,50}\}|"[^"\n]*")', 1)
-    plain = F.regexp_extract(annotation, r'\(\s*(\{[^{}"]*(?:"[^"\n]*"[^{}"]*){1,50}\}|"[^"\n]*")', 1)
-    found = F.regexp_extract_all(F.when(named != "", named).otherwise(plain), F.lit('"([^"\n]*)"'), F.lit(1))
-    return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("")))
+def _argument(annotation: Column, *keys: str) -> Column:
+    """Values of the arguments with one of ``keys``; '' is the key of one without a name."""
+    return F.flatten(F.transform(F.filter(annotation["arguments"], lambda x: x["key"].isin(*keys)), lambda x: x["values"]))
+
+
+def _or_empty(values: Column) -> Column:
+    return F.when(F.size(values) > 0, values).otherwise(F.array(F.lit("")))
+
+
+def _paths(annotations: Column) -> Column:
+    """Paths of annotations: ``value``, ``path`` or the argument without a name."""
+    return F.flatten(F.transform(annotations, lambda a: _argument(a, "", "value", "path")))
 
 
 def endpoints(files: DataFrame) -> DataFrame:
@@ -223,51 +205,30 @@ def endpoints(files: DataFrame) -> DataFrame:
 
     Spring: the verb mappings, and ``@RequestMapping`` of a method with the verbs of
     its ``method`` (``ANY`` without one). JAX-RS: a verb and ``@Path`` of one method,
-    in any order. A file's first type gives the prefixes of its routes. Everything is
-    read inside the row.
+    in any order. The type around a method gives the prefixes of its routes. A path that
+    is no string stands as ``${its name}``, so that it is seen to be unresolved.
     """
-    members = F.col("_members")
-
-    def annotations(member: Column, name: str) -> Column:
-        return F.filter(F.split(member, "\u0001"), lambda t: t.rlike(rf"\A@{name}(?![\w.])"))
-
-    def is_type(member: Column) -> Column:
-        return member.rlike(r"\x01(?:class|interface)\z")
-
-    kind = F.get(F.filter(members, is_type), F.lit(0))
-    prefixes = F.flatten(F.transform(annotations(kind, "(?:RequestMapping|Path)"), _paths))
-    prefixes = F.when(F.size(prefixes) > 0, prefixes).otherwise(F.array(F.lit("")))
-
-    def verbs(member: Column) -> Column:
-        def mapped(name: str, verb: str) -> Column:
-            return F.flatten(F.transform(annotations(member, name), lambda t: F.transform(_paths(t), lambda p: F.named_struct(F.lit("verb"), F.lit(verb), F.lit("at"), p))))
-
-        spring = F.concat(*[mapped(name, verb) for name, verb in SPRING_VERBS.items()])
-
-        def methods(t: Column) -> Column:
-            named = F.regexp_extract_all(t, F.lit(r"RequestMethod\.(\w+)"), F.lit(1))
-            return F.when(F.size(named) > 0, named).otherwise(F.array(F.lit("ANY")))
-
-        request = F.flatten(F.transform(
-            annotations(member, "RequestMapping"),
-            lambda t: F.flatten(F.transform(_paths(t), lambda p: F.transform(methods(t), lambda v: F.named_struct(F.lit("verb"), v, F.lit("at"), p)))),
-        ))
-        own = F.flatten(F.transform(annotations(member, "Path"), _paths))
-        own = F.when(F.size(own) > 0, own).otherwise(F.array(F.lit("")))
-        jaxrs = F.flatten(F.transform(
-            annotations(member, f"(?:{'|'.join(JAXRS_VERBS)})"),
-            lambda t: F.transform(own, lambda p: F.named_struct(F.lit("verb"), F.substring(t, 2, 10), F.lit("at"), p)),
-        ))
-        return F.concat(spring, request, jaxrs)
-
-    methods = F.flatten(F.transform(F.filter(members, lambda m: ~is_type(m)), verbs))
+    annotation, own = F.col("_a"), F.col("_own")
+    name = annotation["name"]
+    methods = F.transform(_argument(annotation, "method"), lambda v: F.regexp_extract(v, r"(\w+)\W*\z", 1))
+    verbs = (
+        F.when(name.isin(*JAXRS_VERBS), F.array(name))
+        .when(name == "RequestMapping", F.when(F.size(methods) > 0, methods).otherwise(F.array(F.lit("ANY"))))
+        .otherwise(F.array(F.element_at(F.create_map(*[F.lit(x) for pair in SPRING_VERBS.items() for x in pair]), name)))
+    )
+    at = _or_empty(F.when(name.isin(*JAXRS_VERBS), own).otherwise(_argument(annotation, "", "value", "path")))
     tidy = F.when(F.length("route") > 1, F.regexp_replace("route", r"/\z", "")).otherwise(F.col("route"))
+    members = (
+        _java_types(files.where(F.col("content").rlike(r"Mapping\b|@(?:" + "|".join(JAXRS_VERBS) + r")\b")))
+        .select("repo_id", "path", _or_empty(_paths(_annotated(F.col("_t.annotations"), "RequestMapping", "Path"))).alias("_prefixes"), F.explode("_t.members").alias("_m"))
+    )
     return (
-        of_suffix(files, JAVA).where(F.col("content").rlike(r"Mapping\b|@(?:" + "|".join(JAXRS_VERBS) + r")\b"))
-        .select("repo_id", "path", _members(F.col("content")).alias("_members"))
-        .select("repo_id", "path", F.explode(prefixes).alias("_prefix"), methods.alias("_found"))
-        .select("repo_id", "path", "_prefix", F.inline("_found"))
-        .select("repo_id", "path", "verb", F.regexp_replace(F.concat_ws("/", F.lit(""), "_prefix", "at"), r"/{2,}", "/").alias("route"))
+        members.select("repo_id", "path", "_prefixes", _paths(_annotated(F.col("_m.annotations"), "Path")).alias("_own"), F.explode("_m.annotations").alias("_a"))
+        .where(name.isin(*JAXRS_VERBS, *SPRING_VERBS, "RequestMapping"))
+        .select("repo_id", "path", "_prefixes", at.alias("_at"), F.explode(verbs).alias("verb"))
+        .select("repo_id", "path", "verb", "_prefixes", F.explode("_at").alias("_at"))
+        .select("repo_id", "path", "verb", "_at", F.explode("_prefixes").alias("_prefix"))
+        .select("repo_id", "path", "verb", F.regexp_replace(F.concat_ws("/", F.lit(""), "_prefix", "_at"), r"/{2,}", "/").alias("route"))
         .withColumn("route", tidy).distinct()
     )
 
@@ -443,39 +404,20 @@ def unmapped_annotations(files: DataFrame, mapped: Sequence[str]) -> DataFrame:
 
 def entity_model(files: DataFrame) -> DataFrame:
     """Rows (repo_id, path, item, name, detail): every entity with its table name
-    (or ''), its relations up to the next entity, and the named elements and complex
-    types of schemas. The table's name is the ``name`` of ``@Table`` itself, at any
-    place of its arguments, before or after ``@Entity``.
+    (or ''), its relations with their target, and the named elements and complex types
+    of schemas. The table's name is the ``name`` of ``@Table`` itself; a relation's
+    target is the type of its field or getter, or that type's last type argument.
     """
-    pieces, piece = F.split("content", r"@Entity\b"), F.col("_piece")
-    # @Table right before @Entity stands at the end of the piece before: no type or member follows it
-    before = F.regexp_extract(F.substring("_before", -2000, 2000), r"(?s).*@Table\s*\(([^;]*)\z", 1)
-    before = F.when(~before.rlike(r"\b(?:class|record|interface|enum)\b"), before).otherwise("")
-    head = F.regexp_extract(piece, r"(?s)\A(.{0,4000}?)\b(?:class|record)[ \t]", 1)
-    after = F.regexp_extract(head, r"(?s)@Table\s*\((.*)", 1)
-    arguments = F.when(after != "", after).otherwise(before)
-    own = F.regexp_replace(arguments, r"@\w+\s*\([^()]*\)", "")
-    table = F.regexp_extract(own, r'\A[^)"]*(?:"[^"]*"[^)"]*){0,50}?\bname\s*=\s*"([^"]*)"', 1)
+    own = F.col("_t")
+    table = F.flatten(F.transform(_annotated(own["annotations"], "Table"), lambda a: _argument(a, "name")))
+    relations = F.flatten(F.transform(own["members"], lambda m: F.transform(
+        _annotated(m["annotations"], *RELATIONS), lambda a: F.struct(a["name"].alias("item"), own["type"].alias("name"), m["target"].alias("detail"))
+    )))
+    entity = F.struct(F.lit("entity").alias("item"), own["type"].alias("name"), F.coalesce(F.get(table, F.lit(0)), F.lit("")).alias("detail"))
     java = (
-        of_suffix(files, JAVA).where(F.col("content").rlike(r"@Entity\b"))
-        .select("repo_id", "path", pieces.alias("_pieces"))
-        .select("repo_id", "path", F.posexplode("_pieces").alias("_at", "_piece"), "_pieces")
-        .where("_at > 0").withColumn("_before", F.get("_pieces", F.col("_at") - 1)).drop("_pieces")
-        .select("repo_id", "path", "_piece", F.regexp_extract(piece, r"\b(?:class|record)[ \t]+(\w+)", 1).alias("_name"), table.alias("_table"))
-        .where(F.col("_name") != "")
-        .select(
-            "repo_id",
-            "path",
-            F.inline(
-                F.concat(
-                    F.array(F.struct(F.lit("entity").alias("item"), F.col("_name").alias("name"), F.col("_table").alias("detail"))),
-                    F.transform(
-                        all_matches(piece, RELATION, (1, 2)),
-                        lambda m: F.struct(m["g1"].alias("item"), F.col("_name").alias("name"), m["g2"].alias("detail")),
-                    ),
-                )
-            ),
-        )
+        _java_types(files.where(F.col("content").rlike(r"@(?:[\w.]+\.)?Entity\b")))
+        .where(own["kind"].isin("class", "record") & (F.size(_annotated(own["annotations"], "Entity")) > 0))
+        .select("repo_id", "path", F.inline(F.concat(F.array(entity), relations)))
     )
 
     tag = F.col("_tag")

@@ -208,11 +208,54 @@ def test_processes_as_the_tool_writes_them(spark):
     assert got == {("activity", "Read", "com.JDBC"), ("activity", "Sub", "CallProcess"), ("activity", "Plain", ""), ("call", "Child", ""), ("transition", "Read", "Sub")}
 
 
+NESTED = '''package p; // @GetMapping("/old") class No {}
+/* class No2 { @GetMapping("/older") } */
+@RequestMapping("/a") @RestController
+public class A<T extends Comparable<T>> extends Base<Map<String, List<X>>> implements I<T>, q.J {
+  @GetMapping(Routes.LIST) A one(@PathVariable("id") int i) { int[] x = {1, 2}; if (a < b) { } return null; }
+  @PostMapping({"/p", "/q" + V.x}) void two() { class Local extends Z {} }
+  @OneToMany(mappedBy = "o") private java.util.List<Line<T>> lines = new ArrayList<>();
+  @interface Ann { String value() default "class Fake {"; }
+  static class In { @GetMapping("/in") void q() {} }
+  @DeleteMapping(value = "/d", produces = {"a", "b"}) void z();
+}
+@RequestMapping(path = "/b") class B { @GetMapping void g() {} @RequestMapping(method = GET, value = "/h") void h() {} }
+class X { Object o = X.class; char c = '"'; record R2(int a) {} }
+class Box<T extends Comparable<T>> extends Base<T> {}
+'''
+
+
+def test_type_arguments_comments_and_strings(spark):
+    got = {(r.type, p.relation, p.parent) for r in C.type_declarations(files(spark, ("A.java", NESTED))).collect() for p in r.parents or [None] if p}
+    assert got == {("A", "extends", "Base"), ("A", "implements", "I"), ("A", "implements", "q.J"), ("Local", "extends", "Z"), ("Box", "extends", "Base")}
+    assert {r.type for r in C.type_declarations(files(spark, ("A.java", NESTED))).collect()} == {"A", "Local", "In", "B", "X", "R2", "Box"}
+
+
+def test_routes_of_every_type_and_unresolved_paths(spark):
+    got = {(r.verb, r.route) for r in C.endpoints(files(spark, ("A.java", NESTED))).collect()}
+    assert got == {
+        ("GET", "/a/${Routes.LIST}"), ("POST", "/a/p"), ("POST", "/a/q${V.x}"), ("GET", "/in"), ("DELETE", "/a/d"), ("GET", "/b"), ("GET", "/b/h")
+    }
+    many = "class M { @GetMapping({" + ", ".join(f'"/m{k}"' for k in range(600)) + "}) void m() {} }"
+    assert C.endpoints(files(spark, ("M.java", many))).count() == 600
+
+
+def test_relations_of_every_shape(spark):
+    members = """@OneToMany List<Line<T>> a = new X<>(); @ManyToMany Map<K, ? extends q.Role> b; @OneToOne q.Addr getC() { return null; }
+ @ManyToOne(targetEntity = Z.class, cascade = {A, B}) @JoinColumn(name = ";{") private final Customer d; @Column int e;"""
+    text = '@Entity @Table(name = "' + "n" * 5_000 + '") ' + "@Meta(\"x\") " * 2_000 + "class E { " + members + "}"
+    got = {(r.item, r.name, r.detail) for r in C.entity_model(files(spark, ("E.java", text))).collect()}
+    assert got == {
+        ("entity", "E", "n" * 5_000), ("OneToMany", "E", "Line"), ("ManyToMany", "E", "Role"), ("OneToOne", "E", "Addr"), ("ManyToOne", "E", "Customer")
+    }
+
+
 def test_hostile_texts_take_seconds(spark):
     import time
 
     blank, notes = "\n" * 100_000, "@A(\"x\")\n" * 100_000
-    df = files(spark, ("A.java", blank + "package p;\nclass X {}"), ("B.java", notes + "class Y {}"), ("C.java", "@A " * 50_000 + "class Z {}"), ("build.gradle", blank))
+    df = files(spark, ("A.java", blank + "package p;\nclass X {}"), ("B.java", notes + "class Y {}"), ("C.java", "@A " * 50_000 + "class Z {}"), ("build.gradle", blank),
+               *((f"D{k}.java", t) for k, t in enumerate(["class A extends " + "<" * 100_000, "@A(" * 100_000, "{" * 100_000, '"' * 99_999, "/*" * 99_999])))
     start = time.time()
     assert {r.type for r in C.type_declarations(df).collect()} >= {"X", "Y"}
     for operator in (C.package_inventory, C.dependency_edges, C.endpoints, C.entity_model, C.libraries):
