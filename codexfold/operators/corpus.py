@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codexfold.functions.java import java_types
+from codexfold.functions.processes import process_items
+from codexfold.functions.settings import key_of, properties_entries, resolved, yaml_entries
 from codexfold.functions.skew import lookup_join
 from codexfold.functions.text import basename, nonempty, strip, suffix
 
@@ -277,21 +279,30 @@ def _element(block: Column, name: str) -> Column:
     return _resolved(F.regexp_extract(block, rf"(?s)<(?:[\w.-]+:)?{name}(?:\s[^<>]*)?>([^<]*)</", 1))
 
 
+def _config_rows(files: DataFrame) -> DataFrame:
+    """(repo_id, path, entry) of properties and YAML files, unread lines included."""
+    def rows(suffixes: Sequence[str], reader) -> DataFrame:
+        return of_suffix(files, suffixes).select("repo_id", "path", F.explode(reader(F.col("content"))).alias("entry"))
+
+    return rows((".properties",), properties_entries).unionByName(rows((".yml", ".yaml"), yaml_entries))
+
+
+def config_unread(files: DataFrame) -> DataFrame:
+    """(repo_id, path, line, text) of the lines that ``config_entries`` could not read."""
+    return _config_rows(files).where(~F.col("entry.read")).select("repo_id", "path", "entry.line", F.col("entry.value").alias("text"))
+
+
 def config_entries(files: DataFrame) -> DataFrame:
     """(repo_id, path, profile, key, value) rows.
 
-    ``.properties``: every line ``key=value`` or ``key:value`` that does not
-    start with ``#`` or ``!``; the first separator counts. ``.substvar``: name
-    and value of every ``globalVariable``. The profile is
-    the part of the file name after ``-``, or ``default``.
+    ``.properties``: logical lines with continuations and escapes; the key ends at ``=``,
+    ``:`` or white space. ``.yml`` and ``.yaml``: every scalar, its key ``a.b[0].c``.
+    ``.substvar``: name and value of every ``globalVariable``. The profile is the one a
+    YAML document is for, or the part of the file name after ``-``, or ``default``.
     """
-    line = F.col("_line")
-    split_at = r"\A\s*([^#!=:\s][^=:]*?)\s*[=:]\s*(.*?)\s*\z"
-    properties = (
-        of_suffix(files, (".properties",))
-        .select("repo_id", "path", F.explode(F.split("content", "\n")).alias("_line"))
-        .where(line.rlike(split_at))
-        .select("repo_id", "path", F.regexp_extract(line, split_at, 1).alias("key"), F.regexp_extract(line, split_at, 2).alias("value"))
+    entry = F.col("entry")
+    read = _config_rows(files).where(entry["read"]).select(
+        "repo_id", "path", entry["document"].alias("_document"), key_of(entry["path"]).alias("key"), entry["value"].alias("value")
     )
     # One block per variable, so an empty value stays with its own name.
     block = F.col("_block")
@@ -299,13 +310,17 @@ def config_entries(files: DataFrame) -> DataFrame:
     variables = (
         of_suffix(files, (".substvar",))
         .select("repo_id", "path", F.explode(F.regexp_extract_all(clean, F.lit(VARIABLE), F.lit(0))).alias("_block"))
-        .select("repo_id", "path", _element(block, "name").alias("key"), _element(block, "value").alias("value"))
+        .select("repo_id", "path", F.lit(0).alias("_document"), _element(block, "name").alias("key"), _element(block, "value").alias("value"))
         .where(F.col("key") != "")
     )
-    profile = F.coalesce(
-        nonempty(F.regexp_extract(basename(F.col("path")), r"-([^-.]+)\.[^.]+\z", 1)), F.lit("default")
-    )
-    return properties.unionByName(variables).withColumn("profile", profile)
+    of_name = nonempty(F.regexp_extract(basename(F.col("path")), r"-([^-.]+)\.[^.]+\z", 1))
+    named = F.when(F.col("key").isin("spring.config.activate.on-profile", "spring.profiles") & suffix(F.col("path")).isin(".yml", ".yaml"), F.col("value"))
+    document = Window.partitionBy("repo_id", "path", "_document")
+    rows = read.unionByName(variables)
+    # only YAML has profiles inside; the other files need no exchange
+    inside = rows.where(suffix(F.col("path")).isin(".yml", ".yaml")).withColumn("profile", F.coalesce(F.max(named).over(document), of_name, F.lit("default")))
+    others = rows.where(~suffix(F.col("path")).isin(".yml", ".yaml")).withColumn("profile", F.coalesce(of_name, F.lit("default")))
+    return inside.unionByName(others).drop("_document")
 
 
 def config_inventory(files: DataFrame) -> DataFrame:
@@ -322,31 +337,78 @@ def config_inventory(files: DataFrame) -> DataFrame:
 
 
 POM_DEPENDENCY = r"(?s)<dependency>.*?</dependency>"
-GRADLE_DEPENDENCY = r"(?m)^[ \t]*(?:implementation|api|compileOnly|runtimeOnly|testImplementation|compile)\s*\(?\s*[\"']([^:\"']+):([^:\"']+):([^:\"']+)[\"']"
+# configuration, then group:artifact[:version], also inside platform(..); or named parts
+GRADLE_DEPENDENCY = (
+    r"(?m)^[ \t]*(?:[a-z]\w*(?:[iI]mplementation|Api|Only|Processor|Classpath|ompile|untime)|implementation|api|compile|runtime|kapt|ksp|classpath)"
+    r"[ \t]*\(?[ \t]*(?:(?:enforcedP|p)latform[ \t]*\([ \t]*)?[\"']([^:\"'\s]+):([^:\"'\s]+)(?::([^:\"'@\s]+))?[^\"'\n]*[\"']"
+)
+GRADLE_NAMED = r"""(?m)^[ \t]*[a-z]\w*[ \t]*\(?[ \t]*group[ \t]*[:=][ \t]*["']([^"'\n]+)["'][ \t]*,[ \t]*name[ \t]*[:=][ \t]*["']([^"'\n]+)["'](?:[ \t]*,[ \t]*version[ \t]*[:=][ \t]*["']([^"'\n]+)["'])?"""
+GRADLE_VALUE = r"""(?m)^[ \t]*(?:def[ \t]+|val[ \t]+|ext\.|extra\[")?(\w[\w.]*)(?:"\])?[ \t]*=[ \t]*["']([^"'\n]*)["'][ \t]*;?[ \t]*$"""
+CODE_NOISE = r"(?s)/\*.*?(?:\*/|\z)|(?<![:\"'])//[^\n]*"
+BUILD_NAMES = ("pom.xml", "gradle.properties")
 
 
-def libraries(files: DataFrame) -> DataFrame:
-    """(repo_id, path, group_id, artifact_id, version) from ``pom.xml`` and
-    Gradle files; a missing version is ''."""
-    def tag(block: Column, name: str) -> Column:
-        return strip(F.regexp_extract(block, rf"(?s)<{name}>(.*?)</{name}>", 1))
+def _build_files(files: DataFrame) -> DataFrame:
+    """(repo_id, path, dir, kind, content) of build files, without comments."""
+    name = basename(F.col("path"))
+    kind = F.when(name == "pom.xml", "pom").when(name == "gradle.properties", "properties").when(
+        name.endswith(".gradle") | name.endswith(".gradle.kts"), "gradle"
+    )
+    clean = F.when(kind == "pom", F.regexp_replace("content", XML_NOISE, "")).when(kind == "gradle", F.regexp_replace("content", CODE_NOISE, "")).otherwise(F.col("content"))
+    return files.where(kind.isNotNull()).select(
+        "repo_id", "path", F.regexp_replace("path", r"/?[^/]*\z", "").alias("dir"), kind.alias("kind"), clean.alias("content")
+    )
+
+
+def _tag(block: Column, name: str) -> Column:
+    return strip(F.regexp_extract(block, rf"(?s)<{name}>(.*?)</{name}>", 1))
+
 
+def build_definitions(files: DataFrame) -> DataFrame:
+    """(repo_id, dir, name, value): what a build file gives a name to. ``<properties>`` and the
+    project's own version of a ``pom.xml``, strings assigned in Gradle files, and
+    ``gradle.properties``."""
+    built = _build_files(files)
+    body = F.regexp_extract("content", r"(?s)<properties>(.*?)</properties>", 1)
+    pairs = all_matches(body, r"(?s)<([\w.-]+)>([^<]*)</", (1, 2))
+    head = F.regexp_replace("content", r"(?s)<(parent|dependencies|dependencyManagement|dependency|build|profiles|properties)>.*?</\1>", "")
+    own = F.array(F.struct(F.lit("project.version").alias("g1"), F.coalesce(nonempty(_tag(head, "version")), _tag(F.col("content"), "version")).alias("g2")))
+    gradle = all_matches(F.col("content"), GRADLE_VALUE, (1, 2))
+    found = F.when(F.col("kind") == "pom", F.concat(pairs, own)).when(F.col("kind") == "gradle", gradle)
+    rows = built.where("kind != 'properties'").select("repo_id", "dir", F.explode(found).alias("_p")).select(
+        "repo_id", "dir", F.regexp_replace("_p.g1", r"\Aext\.", "").alias("name"), strip(F.col("_p.g2")).alias("value")
+    )
+    entry = F.col("_e")
+    listed = built.where("kind = 'properties'").select("repo_id", "dir", F.explode(properties_entries(F.col("content"))).alias("_e"))
+    return rows.unionByName(listed.where(entry["read"]).select("repo_id", "dir", key_of(entry["path"]).alias("name"), entry["value"].alias("value"))).where("value != ''")
+
+
+def libraries(files: DataFrame) -> DataFrame:
+    """(repo_id, path, group_id, artifact_id, version) from ``pom.xml`` and Gradle files; a
+    missing version is ''. Dependencies of every configuration count, platforms and
+    processors too. Names in a version are resolved by the definitions of the file's folder
+    and then of the folders above it, and definitions by definitions; unknown names stay."""
+    built = _build_files(files).where("kind != 'properties'")
     pom = F.transform(
         F.regexp_extract_all("content", F.lit(POM_DEPENDENCY), F.lit(0)),
-        lambda b: F.struct(
-            tag(b, "groupId").alias("group_id"), tag(b, "artifactId").alias("artifact_id"), tag(b, "version").alias("version")
-        ),
+        lambda b: F.struct(_tag(b, "groupId").alias("group_id"), _tag(b, "artifactId").alias("artifact_id"), _tag(b, "version").alias("version")),
     )
     gradle = F.transform(
-        all_matches(F.col("content"), GRADLE_DEPENDENCY, (1, 2, 3)),
+        F.concat(all_matches(F.col("content"), GRADLE_DEPENDENCY, (1, 2, 3)), all_matches(F.col("content"), GRADLE_NAMED, (1, 2, 3))),
         lambda m: F.struct(m["g1"].alias("group_id"), m["g2"].alias("artifact_id"), m["g3"].alias("version")),
     )
-    is_pom = basename(F.col("path")) == "pom.xml"
-    is_gradle = suffix(F.col("path")) == ".gradle"
-    kts = F.col("path").endswith(".gradle.kts")
-    return files.where(is_pom | is_gradle | kts).select(
-        "repo_id", "path", F.inline(F.when(is_pom, pom).otherwise(gradle))
+    used = built.select("repo_id", "path", "dir", F.inline(F.when(F.col("kind") == "pom", pom).otherwise(gradle)))
+    named = F.concat_ws(" ", "group_id", "artifact_id", "version").contains("$")
+    # only the few rows with a name in them meet the definitions
+    folders = used.where(named).select("repo_id", "dir").distinct()
+    parts = F.split("dir", "/")
+    above = folders.select("repo_id", "dir", F.explode(F.transform(F.sequence(F.lit(0), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))).alias("_above")).distinct()
+    known = above.join(build_definitions(files).withColumnRenamed("dir", "_above"), ["repo_id", "_above"]).groupBy("repo_id", "dir").agg(
+        F.sort_array(F.collect_set(F.struct((-F.length("_above")).alias("far"), "name", "value"))).alias("_known")
     )
+    names = ("group_id", "artifact_id", "version")
+    open_rows = used.where(named).join(known, ["repo_id", "dir"], "left").select("repo_id", "path", *(resolved(F.col(c), F.col("_known")).alias(c) for c in names))
+    return used.where(~named).select("repo_id", "path", *names).unionByName(open_rows)
 
 
 def library_inventory(files: DataFrame, replacements: DataFrame | None = None) -> DataFrame:
@@ -436,63 +498,24 @@ def entity_model(files: DataFrame) -> DataFrame:
     return java.unionByName(schemas)
 
 
-# Self-closing or with children, up to the closing tag of the same name.
-ACTIVITY = r"(?s)<(?:[\w.-]+:)?activity\b[^<>]*/>|<(?:[\w.-]+:)?activity\b[^<>]*>.*?</(?:[\w.-]+:)?activity\s*>"
-TRANSITION = ACTIVITY.replace("activity", "transition")
-
-
 def process_parts(files: DataFrame) -> DataFrame:
-    """Rows (repo_id, path, process, item, name, detail) of process files.
+    """Rows (repo_id, path, process, item, name, detail) of process files in both forms.
 
-    Items: ``activity`` with its type ('' without one), ``transition`` from name to
-    detail, and ``call`` of a sub-process (``processName``). Names, types and ends are
-    child elements, as the tool writes them, or attributes. A called process counts
-    by the base name of its path, as a process does.
+    Items: ``activity`` and ``starter`` with their type ('' without one), ``transition``
+    from name to detail (links of the executable form are joined source to target), and
+    ``call`` of a process, by the base name of its path.
     """
-    block = F.col("_block")
-    first = F.regexp_extract(block, r"\A<[^<>]*>", 0)
-
-    def value(name: str) -> Column:
-        return F.coalesce(_attribute(first, name), nonempty(strip(_element(block, name))))
-
-    activity = _is_tag(first, "activity")
-    called = F.regexp_replace(value("processName"), r"\A.*/|\.[^./]+\z", "")
-    rows = F.array_compact(
-        F.array(
-            F.when(F.col("_name").isNotNull(), F.struct(F.lit("activity").alias("item"), F.col("_name").alias("name"), F.coalesce("_type", F.lit("")).alias("detail"))),
-            F.when(F.col("_called").isNotNull(), F.struct(F.lit("call").alias("item"), F.col("_called").alias("name"), F.lit("").alias("detail"))),
-            F.when(F.col("_from").isNotNull() & F.col("_to").isNotNull(), F.struct(F.lit("transition").alias("item"), F.col("_from").alias("name"), F.col("_to").alias("detail"))),
-        )
-    )
-    clean = F.regexp_replace("content", XML_NOISE, "")
-    return (
-        of_suffix(files, (".bwp", ".process"))
-        .select(
-            "repo_id",
-            "path",
-            F.regexp_replace(basename(F.col("path")), r"\.[^.]+\z", "").alias("process"),
-            F.explode(F.concat(F.regexp_extract_all(clean, F.lit(ACTIVITY), F.lit(0)), F.regexp_extract_all(clean, F.lit(TRANSITION), F.lit(0)))).alias("_block"),
-        )
-        .select(
-            "repo_id",
-            "path",
-            "process",
-            F.when(activity, value("name")).alias("_name"),
-            F.when(activity, value("type")).alias("_type"),
-            F.when(activity, called).alias("_called"),
-            F.when(~activity, value("from")).alias("_from"),
-            F.when(~activity, value("to")).alias("_to"),
-        )
-        .select("repo_id", "path", "process", F.inline(rows))
+    return of_suffix(files, (".bwp", ".process")).select(
+        "repo_id", "path", F.regexp_replace(basename(F.col("path")), r"\.[^.]+\z", "").alias("process"), F.inline(process_items(F.col("content")))
     )
 
 
 def bw_process_inventory(files: DataFrame) -> DataFrame:
-    """Activities, transitions, calls and callers (fan-in) per process."""
+    """Activities (starters too), transitions, calls and callers (fan-in) per process."""
     parts = process_parts(files)
     own = F.struct(
         F.col("process"),
-        (F.col("item") == "activity").cast("int").alias("a"),
+        F.col("item").isin("activity", "starter").cast("int").alias("a"),
         (F.col("item") == "transition").cast("int").alias("t"),
         (F.col("item") == "call").cast("int").alias("c"),
         F.lit(0).alias("f"),
@@ -514,7 +537,7 @@ def bw_process_inventory(files: DataFrame) -> DataFrame:
 
 def activity_types(files: DataFrame) -> DataFrame:
     return (
-        process_parts(files).where(F.col("item") == "activity")
+        process_parts(files).where(F.col("item").isin("activity", "starter"))
         .groupBy("repo_id", F.col("detail").alias("activity_type"))
         .agg(F.count(F.lit(1)).alias("activities"))
     )

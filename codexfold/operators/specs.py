@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codexfold.constants import REQUIRED_OUTPUTS
+from codexfold.functions.settings import yaml_entries
 from codexfold.functions.text import is_blank, strip
 from codexfold.operators.documents import diagram_blocks
 
@@ -185,15 +186,22 @@ HTTP_VERBS = ("get", "put", "post", "delete", "options", "head", "patch", "trace
 
 
 def openapi_endpoints(documents: DataFrame) -> DataFrame:
-    """(repo_id, verb, route) of OpenAPI JSON documents(repo_id, text); the
+    """(repo_id, verb, route) of OpenAPI documents(repo_id, text), JSON or YAML; the
     other keys of a path item (parameters, servers, ...) are no verbs."""
-    return (
-        documents.select("repo_id", F.from_json("text", "struct<paths: map<string, map<string, string>>>")["paths"].alias("_paths"))
+    is_json = F.startswith(F.ltrim("text"), F.lit("{"))
+    of_json = (
+        documents.where(is_json)
+        .select("repo_id", F.from_json("text", "struct<paths: map<string, map<string, string>>>")["paths"].alias("_paths"))
         .select("repo_id", F.explode("_paths").alias("route", "_verbs"))
         .select("repo_id", "route", F.explode(F.map_keys("_verbs")).alias("verb"))
-        .where(F.lower("verb").isin(*HTTP_VERBS))
-        .select("repo_id", F.upper("verb").alias("verb"), "route")
     )
+    path = F.col("_e.path")
+    of_yaml = (
+        documents.where(~is_json).select("repo_id", F.explode(yaml_entries(F.col("text"))).alias("_e"))
+        .where(F.col("_e.read") & (F.get(path, F.lit(0)) == "paths") & (F.size(path) > 2))
+        .select("repo_id", F.get(path, F.lit(1)).alias("route"), F.get(path, F.lit(2)).alias("verb")).distinct()
+    )
+    return of_json.unionByName(of_yaml).where(F.lower("verb").isin(*HTTP_VERBS)).select("repo_id", F.upper("verb").alias("verb"), "route")
 
 
 def endpoint_drift(documents: DataFrame, code: DataFrame) -> DataFrame:

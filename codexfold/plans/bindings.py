@@ -122,10 +122,11 @@ JAVA_FILES = f"""
 SELECT 'r' || {_id('v.s_nationkey % 5')} AS repo_id, t.s * 100000 + t.c AS ord,
   CASE t.s % 3 WHEN 0 THEN 'src/test/java/' ELSE 'src/main/java/' END || 'S' || {_id('t.s')} || '_' || {_id('t.c')} || '.java' AS path,
   'package com.n' || {_id('v.s_nationkey')} || ';' || chr(10) || t.imports || chr(10) ||
+  '/* class Ghost extends Nothing {{' || chr(10) || ' @GetMapping("/ghost") }} */' || chr(10) || '// @PostMapping("/older")' || chr(10) ||
   '@RestController' || chr(10) || '@RequestMapping("/s/' || {_id('t.s % 40')} || '")' || chr(10) ||
   CASE WHEN t.s % 2 = 0 THEN '@Entity' || chr(10) || '@Table(name = "t' || {_id('t.s')} || '")' || chr(10) ELSE '' END ||
   'public class S' || {_id('t.s')} || '_' || {_id('t.c')} || ' extends ' ||
-  CASE WHEN t.c % 3 = 1 THEN 'S' || {_id('t.s')} || '_' || {_id('t.c - 1')} ELSE 'Base' || {_id('t.s % 7')} END ||
+  CASE WHEN t.c % 3 = 1 THEN 'S' || {_id('t.s')} || '_' || {_id('t.c - 1')} ELSE 'Base' || {_id('t.s % 7')} || CASE WHEN t.s % 2 = 0 THEN '<Map<String, List<X>>, Y>' ELSE '' END END ||
   ' implements Api, Closeable {{' || chr(10) || t.body || chr(10) || '}}' AS content
 FROM (
   SELECT s, c, $join(import_line; n) AS imports, $join(body_line; n) AS body FROM (
@@ -143,18 +144,22 @@ CONFIG_FILES = f"""
 SELECT 'n' || {_id('c_nationkey')} AS repo_id,
   CASE WHEN c_custkey % 3 = 2 THEN 'defaultVars/c' || {_id('c_custkey')} || '.substvar' ELSE 'conf/application' || CASE WHEN c_custkey % 3 = 0 THEN '' ELSE '-' || lower(c_mktsegment) END || '.properties' END AS path,
   CASE WHEN c_custkey % 3 = 2 THEN '<repository><globalVariables><globalVariable><name>k' || {_id('c_custkey % 10')} || '</name><value>' || c_mktsegment || '</value></globalVariable><globalVariable><name>only' || {_id('c_custkey')} || '</name><value></value></globalVariable></globalVariables></repository>'
-  ELSE '# ' || c_name || chr(10) || 'k' || {_id('c_custkey % 10')} || ' = ' || c_mktsegment || chr(10) || chr(10) || 'id.' || {_id('c_custkey')} || ':a=b' END AS content
+  ELSE '# ' || c_name || chr(10) || 'k' || {_id('c_custkey % 10')} || ' = ' || c_mktsegment || chr(10) || chr(10) || 'id.' || {_id('c_custkey')} || ':a=b' || chr(10) || 'esc' || chr(92) || ':k = a' || chr(92) || chr(10) || '    b' || {_id('c_custkey')} END AS content
+FROM $customer
+UNION ALL
+SELECT 'y' || {_id('c_nationkey')}, 'conf/app' || {_id('c_custkey')} || CASE WHEN c_custkey % 2 = 0 THEN '.yml' ELSE '-' || lower(c_mktsegment) || '.yaml' END,
+  'server: # main' || chr(10) || '  k' || {_id('c_custkey % 10')} || ': ' || c_mktsegment || chr(10) || '  list:' || chr(10) || '  - x' || chr(10) || '  - name: "n' || {_id('c_custkey')} || '"' || chr(10) || 'flow: {{a: [1, ' || {_id('c_custkey % 3')} || ']}}'
 FROM $customer"""
 
 POM_FILES = f"""
 SELECT 'p' || {_id('c')} AS repo_id, 'pom.xml' AS path,
-  '<project><dependencies>' || chr(10) || body || chr(10) || '</dependencies></project>' AS content
+  '<project><properties><v.a>4$' || '{{v.b}}</v.a><v.b>.0</v.b></properties><dependencies>' || chr(10) || body || chr(10) || '</dependencies></project>' AS content
 FROM (SELECT CAST(floor(p_partkey / 16.0) AS BIGINT) AS c, $join(line; n) AS body FROM (
-  SELECT p_partkey, p_partkey AS n, '<dependency><groupId>org.' || lower(replace(p_brand, '#', '')) || '</groupId><artifactId>' || lower(p_type) || '</artifactId><version>' || {_id('p_size % 5')} || '.0</version></dependency>' AS line
+  SELECT p_partkey, p_partkey AS n, '<dependency><groupId>org.' || lower(replace(p_brand, '#', '')) || '</groupId><artifactId>' || lower(p_type) || '</artifactId><version>' || CASE WHEN p_size % 5 = 4 THEN '$' || '{{v.a}}' ELSE {_id('p_size % 5')} || '.0' END || '</version></dependency>' AS line
   FROM $part) x GROUP BY CAST(floor(p_partkey / 16.0) AS BIGINT)) t
 UNION ALL
 SELECT 'g' || {_id('p_partkey % 50')}, 'm' || {_id('p_partkey')} || '/build.gradle',
-  'dependencies {{' || chr(10) || '    implementation ''org.' || lower(replace(p_brand, '#', '')) || ':' || lower(p_type) || ':' || {_id('p_size % 5')} || '.0''' || chr(10) || '}}'
+  'dependencies {{' || chr(10) || '    implementation ''org.' || lower(replace(p_brand, '#', '')) || ':' || lower(p_type) || ':' || {_id('p_size % 5')} || '.0''' || chr(10) || '    api platform("org.bom:all:' || {_id('p_size % 2')} || '")' || chr(10) || '}}'
 FROM $part"""
 
 PROCESS_FILES = f"""
@@ -164,7 +169,12 @@ FROM (SELECT s, c, $join(line; n) AS body FROM (
   SELECT s, CAST(floor(n / 64.0) AS BIGINT) AS c, n,
     CASE WHEN n % 5 = 0 THEN '<pd:activity name="call' || {_id('n')} || '" type="CallProcess" processName="P' || {_id('s')} || '_' || {_id('n % 7')} || '"/>'
     ELSE '<pd:activity name="a' || {_id('n')} || '" type="' || CASE n % 3 WHEN 0 THEN 'JDBC' WHEN 1 THEN 'HTTP' ELSE 'JMS' END || '"/><pd:transition from="a' || {_id('n')} || '" to="End"/>' END AS line
-  FROM (SELECT DISTINCT l_suppkey AS s, l_partkey AS n FROM $lineitem) l) x GROUP BY s, c) t"""
+  FROM (SELECT DISTINCT l_suppkey AS s, l_partkey AS n FROM $lineitem) l) x GROUP BY s, c) t
+UNION ALL
+SELECT 'x' || {_id('s_nationkey % 5')}, 'Processes/X' || {_id('s_suppkey')} || '.bwp',
+  '<bpws:process xmlns:bpws="b"><bpws:flow><bpws:receive name="Start" createInstance="yes"><bpws:sources><bpws:source linkName="l"/></bpws:sources></bpws:receive><bpws:scope name="g"><bpws:extensionActivity><t:activityExtension name="Log" activityTypeID="bw.log"><bpws:targets><bpws:target linkName="l"/></bpws:targets></t:activityExtension></bpws:extensionActivity></bpws:scope>' ||
+  '<t:extActivity name="Sub" type="sub"><t:CallProcess subProcessName="X' || {_id('s_suppkey % 3')} || '"/></t:extActivity></bpws:flow></bpws:process>'
+FROM $supplier"""
 
 PLAN_DOCS = f"""
 SELECT session_id, 'Intro' || chr(10) || '- [ ] before' || chr(10) || $join(line; n) AS text FROM (
@@ -194,10 +204,16 @@ FROM (SELECT doc_id, $join(line; n) AS body FROM (
 
 OPENAPI_DOCS = f"""
 SELECT 'r' || {_id('s_nationkey % 5')} AS repo_id,
-  '{{"openapi": "3.0.0", "paths": {{"/s/' || {_id('s_suppkey % 40')} || '/p/' || {_id('s_suppkey % 64')} || '": {{"get": {{"summary": "x"}}, "parameters": []}}, "/health": {{"get": {{}}, "post": {{}}}}}}}}' AS text
+  CASE WHEN s_suppkey % 2 = 0 THEN 'openapi: 3.0.0' || chr(10) || 'paths:' || chr(10) || '  /s/' || {_id('s_suppkey % 40')} || '/p/' || {_id('s_suppkey % 64')} || ':' || chr(10) || '    get:' || chr(10) || '      summary: x' || chr(10) || '    parameters: []' || chr(10) || '  "/health":' || chr(10) || '    get: {{}}' || chr(10) || '    post: {{}}' || chr(10) ELSE
+  '{{"openapi": "3.0.0", "paths": {{"/s/' || {_id('s_suppkey % 40')} || '/p/' || {_id('s_suppkey % 64')} || '": {{"get": {{"summary": "x"}}, "parameters": []}}, "/health": {{"get": {{}}, "post": {{}}}}}}}}' END AS text
 FROM $supplier"""
 
+REPLACEMENTS = """
+SELECT DISTINCT 'org.' || lower(replace(p_brand, '#', '')) AS group_id, lower(p_type) AS artifact_id, 'new:' || lower(p_type) AS replacement
+FROM $part WHERE p_type LIKE '%STEEL%' OR p_type LIKE '%e%'"""
+
 BINDINGS = {
+    "replacements": REPLACEMENTS,
     "files": FILES,
     "section_docs": SECTION_DOCS,
     "fenced_docs": FENCED_DOCS,

@@ -433,6 +433,19 @@ def library_inventory(spark, sf):
     return corpus.library_inventory(bind(spark, sf, "pom_files"))
 
 
+@query
+def library_replacements(spark, sf):
+    """The inventory with what each library is to be replaced by."""
+    return corpus.library_inventory(bind(spark, sf, "pom_files"), bind(spark, sf, "replacements"))
+
+
+@query
+def config_unread(spark, sf):
+    """Lines of settings that could not be read: every file with a reference at its end."""
+    broken = bind(spark, sf, "config_files").where("path LIKE '%.y%ml'").withColumn("content", F.concat("content", F.lit("\nref: *other")))
+    return corpus.config_unread(broken)
+
+
 @query
 def feature_markers(spark, sf):
     return corpus.feature_markers(bind(spark, sf, "java_files"), MARKERS)

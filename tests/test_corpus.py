@@ -82,10 +82,110 @@ def test_config_of_properties_and_variables(spark):
     got = {(r.profile, r.key): (r.entries, r.lowest, r.highest, r.conflicting) for r in C.config_inventory(df).collect()}
     assert got == {
         ("default", "a"): (3, "", "9", True), ("default", "b.c"): (1, "x=y", "x=y", False), ("dev", "a"): (1, "2", "2", False),
-        ("default", "b"): (1, "1 & 2", "1 & 2", False), ("default", "z"): (1, "", "", False),
+        ("default", "b"): (1, "1 & 2", "1 & 2", False), ("default", "z"): (1, "", "", False), ("default", "novalue"): (1, "", "", False),
     }
 
 
+def test_properties_lines(spark):
+    text = "k=a\\\n   b\\\n#c\nx y\na\\:b=c\np = C:\\\\dir\n# no \\\nu=\\u00e9\\n!\nlast=\\"
+    df = files(spark, ("a.properties", text))
+    assert {(r.key, r.value) for r in C.config_entries(df).collect()} == {
+        ("k", "ab#c"), ("x", "y"), ("a:b", "c"), ("p", "C:\\dir"), ("u", "é\n!"), ("last", "")
+    }
+    assert C.config_unread(df).count() == 0 and C.config_unread(files(spark, ("b.properties", "=v"))).first().line == 1
+
+
+YAML = """# c
+server:
+  port: 8080   # note
+  hosts:
+  - a
+  - b # x
+  nested:
+    - name: n1
+      url: "http://x/#y"
+      tags: [p, 'q r', "s,t"]
+    - empty:
+spring: {datasource: {url: jdbc:x}, list: []}
+text: |
+  one
+    two
+fold: >-
+  a
+  b
+plain: this goes
+  on here
+'quoted key': 'it''s'
+ref: *A
+matrix:
+  - - 1
+    - 2
+---
+spring.config.activate.on-profile: dev
+server:
+  port: 9
+"""
+
+
+def test_yaml(spark):
+    df = files(spark, ("conf/app.yml", YAML), ("app-prod.yaml", "server:\n  port: 1\n"), ("bad.yml", "a: [1\n\tb: 2\nc: 3"), ("none.yml", ""))
+    got = {(r.path, r.profile, r.key, r.value) for r in C.config_entries(df).collect()}
+    own = {(k, v) for p, profile, k, v in got if p == "conf/app.yml" and profile == "default"}
+    assert own == {
+        ("server.port", "8080"), ("server.hosts[0]", "a"), ("server.hosts[1]", "b"), ("server.nested[0].name", "n1"), ("server.nested[0].url", "http://x/#y"),
+        ("server.nested[0].tags[0]", "p"), ("server.nested[0].tags[1]", "q r"), ("server.nested[0].tags[2]", "s,t"), ("server.nested[1].empty", ""),
+        ("spring.datasource.url", "jdbc:x"), ("spring.list", ""), ("text", "one\n  two"), ("fold", "a b"), ("plain", "this goes on here"),
+        ("quoted key", "it's"), ("matrix[0][0]", "1"), ("matrix[0][1]", "2"),
+    }
+    assert {x for x in got if x[1] != "default"} == {
+        ("conf/app.yml", "dev", "spring.config.activate.on-profile", "dev"), ("conf/app.yml", "dev", "server.port", "9"), ("app-prod.yaml", "prod", "server.port", "1")
+    }
+    assert {x for x in got if x[0] == "bad.yml"} == {("bad.yml", "default", "c", "3")}
+    unread = {(r.path, r.line, r.text) for r in C.config_unread(df).collect()}
+    assert unread == {("conf/app.yml", 22, "ref: *A"), ("bad.yml", 1, "a: [1"), ("bad.yml", 2, "\tb: 2")}
+
+
+def test_yaml_contracts(spark):
+    text = 'openapi: 3.0.0\npaths:\n  /o/{id}:\n    get:\n      summary: x\n    post: {}\n    parameters: []\n  "/h.x":\n    put:\ninfo:\n  get: no\n'
+    docs = spark.createDataFrame([("r", text), ("r", '{"paths": {"/j": {"get": {}}}}'), ("r", "plain"), ("r", None)], "repo_id string, text string")
+    assert {(r.verb, r.route) for r in P.openapi_endpoints(docs).collect()} == {("GET", "/o/{id}"), ("POST", "/o/{id}"), ("PUT", "/h.x"), ("GET", "/j")}
+
+
+def test_versions_by_name(spark):
+    root = "<project><version>9</version><properties><a>1${b}</a><b>.5</b><loop>${loop2}</loop><loop2>${loop}</loop2></properties><!-- <dependency><groupId>no</groupId></dependency> --></project>"
+    def dep(g, v):
+        return f"<dependency><groupId>{g}</groupId><artifactId>x</artifactId><version>{v}</version></dependency>"
+    child = "<project><parent><version>9</version></parent><properties><b>.7</b></properties>" + dep("near", "${a}") + dep("own", "${project.version}") + dep("loop", "${loop}") + dep("unknown", "${zz}") + "</project>"
+    gradle = 'def v = "2.0"\next.w = "3"\ndependencies {\n  implementation "g:a:$v"\n  annotationProcessor "g:c:${w}"\n  api platform("g:b:1")\n  testImplementation("g:d")\n' \
+        '  // implementation "no:no:1"\n  runtimeOnly group: "g", name: "e", version: "${p}"\n  kapt(\'g:f:1:cls@jar\')\n}\n'
+    df = files(spark, ("pom.xml", root), ("m/pom.xml", child), ("s/build.gradle", gradle), ("gradle.properties", "p=4"), ("other/pom.xml", dep("far", "${b}")))
+    got = {(r.path, r.group_id, r.artifact_id): r.version for r in C.libraries(df).collect()}
+    assert got == {
+        ("m/pom.xml", "near", "x"): "1.7", ("m/pom.xml", "own", "x"): "9", ("m/pom.xml", "loop", "x"): "${loop}", ("m/pom.xml", "unknown", "x"): "${zz}",
+        ("s/build.gradle", "g", "a"): "2.0", ("s/build.gradle", "g", "c"): "3", ("s/build.gradle", "g", "b"): "1", ("s/build.gradle", "g", "d"): "",
+        ("s/build.gradle", "g", "e"): "4", ("s/build.gradle", "g", "f"): "1", ("other/pom.xml", "far", "x"): ".5",
+    }
+
+
+def test_processes_of_the_executable_form(spark):
+    text = '''<bpws:process xmlns:bpws="b" xmlns:tibex="t"><bpws:links><bpws:link name="l1"/><bpws:link name="l2"/></bpws:links><bpws:flow>
+<bpws:receive name="Start" createInstance="yes"><bpws:sources><bpws:source linkName="l1"/></bpws:sources></bpws:receive>
+<bpws:scope name="Group"><bpws:extensionActivity><tibex:activityExtension name="Log" activityTypeID="bw.log"><bpws:targets><bpws:target linkName="l1"/></bpws:targets>
+<bpws:sources><bpws:source linkName="l2"/></bpws:sources></tibex:activityExtension></bpws:extensionActivity></bpws:scope>
+<bpws:extensionActivity><tibex:extActivity name="Sub" type="bw.internal.subprocess"><bpws:targets><bpws:target linkName="l2"/></bpws:targets><tibex:CallProcess subProcessName="in.Child"/></tibex:extActivity></bpws:extensionActivity>
+<bpws:invoke name="Ask" operation="o"/><!-- <bpws:invoke name="No"/> --></bpws:flow></bpws:process>'''
+    classic = '''<pd:process xmlns:pd="u"><pd:starter name="In"><pd:type>com.HTTP</pd:type></pd:starter><pd:group name="g"><pd:activity name="A"><pd:type>X</pd:type></pd:activity></pd:group>
+<pd:transition><pd:from>In</pd:from><pd:to>A</pd:to></pd:transition></pd:process>'''
+    rows = C.process_parts(files(spark, ("M.bwp", text), ("C.process", classic), ("bad.bwp", "<bpws:process><bpws:receive name=\"R\"><x"), ("e.bwp", "")))
+    got = {p: {(r.item, r.name, r.detail) for r in rows.collect() if r.process == p} for p in ("M", "C", "bad")}
+    assert got["M"] == {
+        ("starter", "Start", "receive"), ("activity", "Log", "bw.log"), ("activity", "Sub", "bw.internal.subprocess"), ("activity", "Ask", "invoke"),
+        ("call", "in.Child", ""), ("transition", "Start", "Log"), ("transition", "Log", "Sub"),
+    }
+    assert got["C"] == {("starter", "In", "com.HTTP"), ("activity", "A", "X"), ("transition", "In", "A")}
+    assert got["bad"] == {("starter", "R", "receive")}
+
+
 def test_libraries(spark):
     pom = "<dependency>\n <groupId> g </groupId><artifactId>a</artifactId>\n</dependency><dependency><groupId>g</groupId><artifactId>a</artifactId><version>2</version></dependency>"
     gradle = "dependencies {\n  implementation 'g:a:2'\n  testImplementation(\"h:b:1\")\n}"
@@ -258,6 +358,7 @@ def test_hostile_texts_take_seconds(spark):
                *((f"D{k}.java", t) for k, t in enumerate(["class A extends " + "<" * 100_000, "@A(" * 100_000, "{" * 100_000, '"' * 99_999, "/*" * 99_999])))
     start = time.time()
     assert {r.type for r in C.type_declarations(df).collect()} >= {"X", "Y"}
-    for operator in (C.package_inventory, C.dependency_edges, C.endpoints, C.entity_model, C.libraries):
+    df = df.unionByName(files(spark, *((f"h{k}.{x}", t) for k, t in enumerate(["- " * 20_000, "[" * 50_000, "a:\n" * 50_000, "{a: " * 20_000, "<activity " * 50_000, "<a>" * 50_000, "\\" * 99_999]) for x in ("yml", "bwp", "properties"))))
+    for operator in (C.package_inventory, C.dependency_edges, C.endpoints, C.entity_model, C.libraries, C.config_entries, C.process_parts):
         operator(df).collect()
     assert time.time() - start < 60
