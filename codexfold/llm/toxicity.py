@@ -1,19 +1,22 @@
 """Toxicity scores from the nearest labelled examples.
 
-Words are runs of letters, lower-cased. The vocabulary holds the words whose
-presence depends on the label among the labelled rows (chi-square); a text is its
-TF-IDF vector over that vocabulary, with (1 + log tf) * idf, idf from all texts,
-length 1. The examples with the largest cosine are found exactly with an
-inverted index in blocks: each posting list knows its largest weight per block of
-examples, blocks are scored in order of their upper bound, and the search ends
-when the next bound is below the k-th best cosine. Near examples vote with
-1 / (distance + 0.05); a monotone table, fitted on leave-one-out votes of the
-examples, turns votes into shares of label 1.
+Words are runs of letters, lower-cased. The vocabulary is that of all labelled rows
+used. A text is its TF-IDF vector, (1 + log tf) * idf, idf from all texts, every word
+weighed by how far its presence depends on the label among the labelled rows:
+(chi2 + 0.01) / (chi2 + 40), which drops no word; length 1. The examples with the largest cosine
+are found exactly with an inverted index in blocks of examples: each word knows its
+largest weight per block, so the product of a text with these maxima bounds the cosines
+of a block. The block with the largest bound is scored first; then every block whose
+bound reaches the k-th best cosine found there. Texts are searched in batches, so that
+a block is scored for all texts that need it at once: common words as a dense product,
+all others by their postings. Near examples vote with 1 / (distance + 0.05); a monotone
+table, fitted on leave-one-out votes of the examples, turns votes into shares of label 1.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,211 +28,266 @@ from pyspark.sql import functions as F
 from codexfold.llm.common import is_held_out
 
 WORD = re.compile(r"[^\W\d_]+")
-BLOCK = 64
+BLOCK, BATCH = 256, 256  # examples of a block, texts searched at once
+DENSE = 0.04  # share of the examples that makes a word common
+HALFWAY, LEAST = 40.0, 0.01  # chi-square at which a word counts half, and what every word has
 
 
 def words_of(text: str | None) -> list[str]:
     return WORD.findall(text.lower()) if text else []
 
 
-def _word_counts(batches: Iterator[pa.RecordBatch], vocabulary: frozenset | None) -> Iterator[pa.RecordBatch]:
-    """Per word: texts with it, and texts with it of label 1; partial sums of bounded size.
-
-    The empty word counts all texts. With a ``vocabulary``, only its words count.
-    """
-    seen: dict = {}
-    positive: dict = {}
-
-    def flush() -> pa.RecordBatch:
-        words = list(seen)
-        out = pa.RecordBatch.from_arrays(
-            [pa.array(words, pa.string()), pa.array([seen[w] for w in words], pa.int64()), pa.array([positive.get(w, 0) for w in words], pa.int64())],
-            ["word", "n", "n_1"],
+def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The different words of every labelled text, and how often each occurs."""
+    for batch in batches:
+        counts = [Counter(words_of(t.as_py())) for t in batch.column("text")]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("doc_id"), batch.column("label"), pa.array([list(c) for c in counts], pa.list_(pa.string())), pa.array([list(c.values()) for c in counts], pa.list_(pa.int32()))],
+            ["doc_id", "label", "words", "times"],
         )
-        seen.clear()
-        positive.clear()
-        return out
 
+
+def _document_counts(batches: Iterator[pa.RecordBatch], vocabulary: list[str]) -> Iterator[pa.RecordBatch]:
+    """Texts per word of the vocabulary; the last entry counts all texts."""
+    column = {w: i for i, w in enumerate(vocabulary)}
+    n = np.zeros(len(column) + 1, np.int64)
     for batch in batches:
-        labels = batch.column("label").to_pylist()
-        for text, label in zip(batch.column("text"), labels):
-            words = set(words_of(text.as_py()))
-            if vocabulary is not None:
-                words &= vocabulary
-            words.add("")
-            for w in words:
-                seen[w] = seen.get(w, 0) + 1
-            if label:
-                for w in words:
-                    positive[w] = positive.get(w, 0) + 1
-            if len(seen) > 200_000:
-                yield flush()
-    yield flush()
+        n[-1] += batch.num_rows
+        for text in batch.column("text"):
+            found = [column[w] for w in set(words_of(text.as_py())) if w in column]
+            n[found] += 1
+    some = np.flatnonzero(n)
+    yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some])], ["word", "n"])
 
 
 class Index:
-    """Labelled examples as blocks of unit vectors with block maxima per word."""
+    """Labelled examples as blocks of unit vectors, with block maxima per word."""
 
-    def __init__(self, idf: dict[str, float], examples: list[tuple[int, str, int]], k: int):
-        self.idf, self.k = idf, k
-        self.column = {w: i for i, w in enumerate(sorted(idf))}
-        self.weight = np.array([idf[w] for w in sorted(idf)])
-        vectors = [self.vector(words_of(text)) for _, text, _ in examples]
+    def __init__(self, weight: dict[str, float], examples: list[tuple[int, dict[str, int], int]], k: int):
+        self.k, self.words = k, sorted(weight)
+        self.weight = np.array([weight[w] for w in self.words])
+        self.column: dict = {}
+        vectors = [self.vector(counts) for _, counts, _ in examples]
         kept = [i for i, (at, _) in enumerate(vectors) if len(at)]
         # alike examples share blocks, so that block maxima are close to the members' weights
         kept.sort(key=lambda i: (int(vectors[i][0][np.argmax(vectors[i][1])]), examples[i][0]))
         self.ids = np.array([examples[i][0] for i in kept], np.int64)
         self.labels = np.array([examples[i][2] for i in kept], np.int64)
-        self.n_blocks = -(-len(kept) // BLOCK)
-        self.blocks: list[dict] = [{} for _ in range(self.n_blocks)]
-        bounds: dict = {}
-        for row, i in enumerate(kept):
-            block, slot = divmod(row, BLOCK)
-            for c, v in zip(*vectors[i]):
-                self.blocks[block].setdefault(int(c), ([], []))[0].append(slot)
-                self.blocks[block][int(c)][1].append(v)
-                most = bounds.setdefault(int(c), {})
-                most[block] = max(most.get(block, 0.0), v)
-        self.blocks = [{c: (np.array(s), np.array(v)) for c, (s, v) in b.items()} for b in self.blocks]
-        self.bounds = {c: (np.fromiter(m, np.int64), np.fromiter(m.values(), float)) for c, m in bounds.items()}
+        self.vectors = [vectors[i] for i in kept]
         empty = [label for (at, _), (_, _, label) in zip(vectors, examples) if not len(at)]
         self.prior = (sum(empty) + 0.5) / (len(empty) + 1)
         self.steps: tuple = (np.array([0.0]), np.array([0.0]))
-        self.vectors = [vectors[i] for i in kept]
-
-    def vector(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Columns and weights of a unit TF-IDF vector."""
-        counts: dict = {}
-        for w in words:
-            if w in self.column:
-                counts[self.column[w]] = counts.get(self.column[w], 0) + 1
-        at = np.array(sorted(counts), np.int64)
+        self.column = {}
+        n, m = len(kept), len(self.words)
+        self.n_blocks = -(-n // BLOCK)
+        cols = np.concatenate([v[0] for v in self.vectors]) if n else np.zeros(0, np.int64)
+        rows = np.repeat(np.arange(n), [len(v[0]) for v in self.vectors])
+        values = np.concatenate([v[1] for v in self.vectors]) if n else np.zeros(0)
+        self.most = np.zeros((m, self.n_blocks), np.float32)
+        np.maximum.at(self.most, (cols, rows // BLOCK), np.nextafter(values.astype(np.float32), np.float32(2)))
+        common = np.flatnonzero(np.bincount(cols, minlength=m) > max(DENSE * n, 8))
+        self.place = np.full(m, -1, np.int32)
+        self.place[common] = np.arange(len(common))
+        self.dense = np.zeros((self.n_blocks, len(common), BLOCK))
+        often = self.place[cols] >= 0
+        self.dense[rows[often] // BLOCK, self.place[cols[often]], rows[often] % BLOCK] = values[often]
+        cols, rows, values = cols[~often], rows[~often], values[~often]
+        order = np.lexsort((rows, cols, rows // BLOCK))
+        cols, rows, values = cols[order], rows[order], values[order]
+        self.slots, self.values = (rows % BLOCK).astype(np.int32), values
+        keys = rows // BLOCK * m + cols
+        self.starts = np.searchsorted(keys, np.arange(self.n_blocks * m + 1)).astype(np.int32)
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"column": {}}  # made again from the words where it is needed
+
+    def vector(self, counts: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+        """Columns and weights of a unit vector."""
+        if not self.column:
+            self.column = {w: i for i, w in enumerate(self.words)}
+        found = sorted((self.column[w], n) for w, n in counts.items() if w in self.column)
+        at = np.array([c for c, _ in found], np.int64)
         if not len(at):
             return at, np.zeros(0)
-        raw = (1 + np.log([counts[c] for c in at.tolist()])) * self.weight[at]
-        return at, raw / np.sqrt((raw * raw).sum())
-
-    def nearest(self, at: np.ndarray, weights: np.ndarray, without: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Rows and cosines of the k nearest examples with a cosine above 0; ties by row."""
-        most = np.zeros(self.n_blocks)
-        for c, w in zip(at.tolist(), weights.tolist()):
-            if c in self.bounds:
-                blocks, best = self.bounds[c]
-                most[blocks] += w * best
-        rows, cosines, limit = np.zeros(0, np.int64), np.zeros(0), 0.0
-        for block in np.argsort(-most, kind="stable").tolist():
-            if most[block] <= 0 or (len(rows) >= self.k and most[block] < limit - 1e-12):
-                break
-            score = np.zeros(BLOCK)
-            for c, w in zip(at.tolist(), weights.tolist()):
-                if c in self.blocks[block]:
-                    slots, values = self.blocks[block][c]
-                    score[slots] += w * values
-            hit = np.flatnonzero(score > 0)
-            new = hit + block * BLOCK
+        raw = (1 + np.log([n for _, n in found])) * self.weight[at]
+        size = np.sqrt((raw * raw).sum())
+        return (at, raw / size) if size > 0 else (at[:0], np.zeros(0))
+
+    def _score(self, block: int, of: np.ndarray, ptr: np.ndarray, cols: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """Cosines of the texts ``of`` with the examples of a block."""
+        sizes = np.diff(ptr)[of]
+        at = np.repeat(ptr[of] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+        owner, c, w = np.repeat(np.arange(len(of)), sizes), cols[at], weights[at]
+        place = self.place[c]
+        often = place >= 0
+        texts = np.zeros((len(of), self.dense.shape[1]))
+        texts[owner[often], place[often]] = w[often]
+        out = texts @ self.dense[block]
+        owner, c, w = owner[~often], c[~often], w[~often]
+        first = block * len(self.words) + c
+        lo, hi = self.starts[first].astype(np.int64), self.starts[first + 1].astype(np.int64)
+        n = hi - lo
+        post = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        hit = np.repeat(owner, n) * BLOCK + self.slots[post]
+        out += np.bincount(hit, weights=np.repeat(w, n) * self.values[post], minlength=len(of) * BLOCK).reshape(len(of), BLOCK)
+        return out
+
+    def nearest(self, queries: list[tuple[np.ndarray, np.ndarray]], without: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Rows and cosines of the k nearest examples of each text with a cosine above 0; ties by
+        row. ``without`` names an example that each text is not compared with."""
+        n = len(queries)
+        if not self.n_blocks or not n:
+            return [(np.zeros(0, np.int64), np.zeros(0))] * n
+        sizes = np.array([len(q[0]) for q in queries])
+        ptr = np.r_[0, np.cumsum(sizes)]
+        cols, weights = np.concatenate([q[0] for q in queries]), np.concatenate([q[1] for q in queries])
+        bounds = np.zeros((n, self.n_blocks))
+        some = np.flatnonzero(sizes)
+        if len(some):
+            bounds[some] = np.add.reduceat(self.most[cols] * weights[:, None], ptr[:-1][some], axis=0)
+        found = np.zeros((n, self.n_blocks, BLOCK))
+
+        def score(block: int, of: np.ndarray) -> None:
+            cosines = self._score(block, of, ptr, cols, weights).round(12)
             if without is not None:
-                hit, new = hit[new != without], new[new != without]
-            rows, cosines = np.r_[rows, new], np.r_[cosines, score[hit]]
-            if len(rows) > self.k:
-                best = np.lexsort((rows, -cosines.round(12)))[: self.k]
-                rows, cosines = rows[best], cosines[best]
-            limit = cosines.min() if len(rows) >= self.k else 0.0
-        best = np.lexsort((rows, -cosines.round(12)))
-        return rows[best], np.minimum(cosines[best], 1.0)
+                own = np.flatnonzero(without[of] // BLOCK == block)
+                cosines[own, without[of[own]] % BLOCK] = 0
+            found[of, block] = cosines
+
+        best = np.argmax(bounds, axis=1)
+        for block in np.unique(best).tolist():
+            score(block, np.flatnonzero(best == block))
+        limit = np.partition(found[np.arange(n), best], BLOCK - self.k, axis=1)[:, BLOCK - self.k] if self.k < BLOCK else np.zeros(n)
+        for block in range(self.n_blocks):
+            of = np.flatnonzero((bounds[:, block] >= limit - 1e-6) & (bounds[:, block] > 0) & (best != block))
+            if len(of):
+                score(block, of)
+        flat = found.reshape(n, -1)
+        if self.k < flat.shape[1]:
+            limit = np.partition(flat, flat.shape[1] - self.k, axis=1)[:, flat.shape[1] - self.k]
+        else:
+            limit = np.zeros(n)
+        of, rows = np.nonzero((flat >= limit[:, None]) & (flat > 0))
+        cosines = flat[of, rows]
+        order = np.lexsort((rows, -cosines, of))
+        of, rows, cosines = of[order], rows[order], cosines[order]
+        cuts = np.searchsorted(of, np.arange(n + 1))
+        return [(rows[a : min(b, a + self.k)], np.minimum(cosines[a : min(b, a + self.k)], 1.0)) for a, b in zip(cuts, cuts[1:])]
 
     def vote(self, rows: np.ndarray, cosines: np.ndarray) -> float:
-        votes = 1 / (1.05 - cosines)
-        return float((votes * self.labels[rows]).sum() / votes.sum())
-
-    def calibrate(self) -> None:
-        """Pools adjacent violators over leave-one-out votes, with half a count of each label."""
-        found = [self.nearest(at, w, without=row) for row, (at, w) in enumerate(self.vectors)]
-        pairs = sorted((self.vote(*f) if len(f[0]) else self.prior, int(label)) for f, label in zip(found, self.labels))
-        pools: list = []
+        """Share of label 1 among the votes; examples missing to k vote at distance 1, as all do on average."""
+        votes, rest = 1 / (1.05 - cosines), (self.k - len(rows)) / 1.05
+        return float(((votes * self.labels[rows]).sum() + rest * self.labels.mean()) / (votes.sum() + rest))
+
+    def left_out(self, rows: np.ndarray) -> np.ndarray:
+        """Votes of all other examples on some."""
+        return np.array([self.vote(*f) for f in self.nearest([self.vectors[r] for r in rows.tolist()], rows)])
+
+    def calibrate(self, votes: list[tuple[int, float]]) -> None:
+        """A rising curve through the pools of adjacent violators among leave-one-out votes (row,
+        vote), half a count of each label added."""
+        pairs = sorted((vote, int(self.labels[row])) for row, vote in votes)
+        pools: list = []  # sum of votes, texts of label 1, texts
         for vote, label in pairs:
             pools.append([vote, label, 1])
-            while len(pools) > 1 and (pools[-2][0] == pools[-1][0] or pools[-2][1] * pools[-1][2] >= pools[-1][1] * pools[-2][2]):
-                low, last = pools[-2], pools.pop()
-                pools[-1] = [max(low[0], last[0]), low[1] + last[1], low[2] + last[2]]
+            while len(pools) > 1 and pools[-2][1] * pools[-1][2] >= pools[-1][1] * pools[-2][2]:
+                last = pools.pop()
+                pools[-1] = [x + y for x, y in zip(pools[-1], last)]
         if pools:
-            self.steps = (np.array([p[0] for p in pools]), np.array([(p[1] + 0.5) / (p[2] + 1) for p in pools]))
-            self.steps = (self.steps[0], np.maximum.accumulate(self.steps[1]))
+            self.steps = (np.array([p[0] / p[2] for p in pools]), np.maximum.accumulate([(p[1] + 0.5) / (p[2] + 1) for p in pools]))
+
+    def score(self, texts: list[str | None]) -> list[tuple[float, list[int], list[float]]]:
+        """Share of label 1, and the ids and cosines of the three nearest examples, per text."""
+        out = []
+        for rows, cosines in self.nearest([self.vector(Counter(words_of(t))) for t in texts]):
+            if not len(rows):
+                out.append((self.prior, [], []))
+                continue
+            share = round(float(np.interp(self.vote(rows, cosines), *self.steps)), 9)
+            out.append((share, self.ids[rows[:3]].tolist(), cosines[:3].round(6).tolist()))
+        return out
 
-    def score(self, text: str | None) -> tuple[float, list[int], list[float]]:
-        """Share of label 1, and the ids and cosines of the three nearest examples."""
-        at, weights = self.vector(words_of(text))
-        if not len(at) or not self.n_blocks:
-            return self.prior, [], []
-        rows, cosines = self.nearest(at, weights)
-        if not len(rows):
-            return self.prior, [], []
-        place = min(int(np.searchsorted(self.steps[0], self.vote(rows, cosines) - 1e-12)), len(self.steps[0]) - 1)
-        return float(self.steps[1][place]), self.ids[rows[:3]].tolist(), cosines[:3].round(6).tolist()
+
+def _batches(texts: list) -> Iterator[list]:
+    for lo in range(0, len(texts), BATCH):
+        yield texts[lo : lo + BATCH]
 
 
 def _scores(batches: Iterator[pd.DataFrame], index: Index) -> Iterator[pd.DataFrame]:
     for frame in batches:
-        found = [index.score(t) for t in frame["text"]]
+        found = [f for part in _batches(frame["text"].tolist()) for f in index.score(part)]
         out = frame.drop(columns="text")
         out["score"] = [f[0] for f in found]
         out["evidence_ids"], out["evidence_cosines"] = [f[1] for f in found], [f[2] for f in found]
         yield out
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_words: int = 2_048, k: int = 15, least_chi2: float = 40.0) -> Index:
-    """An index fitted on labelled rows of ``docs`` outside the held-out fifth.
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = 6_000, k: int = 15) -> Index:
+    """An index fitted and calibrated on labelled rows of ``docs`` outside the held-out fifth.
 
     At most ``max_rows`` labelled rows are used, those with the smallest id hash, so
-    that their share of label 1 is that of all. Document frequencies of the chosen
-    words come from all of ``docs``. A doc_id with several labels counts as
-    toxic if one of them is 1. The sample and at most ``max_words`` words pass the driver.
+    that their share of label 1 is that of all; their words and counts pass the driver.
+    Document frequencies come from all of ``docs``. A doc_id with several labels counts
+    as toxic if one of them is 1.
     """
+    spark = docs.sparkSession
     clean = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~is_held_out(F.col("doc_id")))
     clean = clean.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label"))
     sample = F.broadcast(clean.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows))  # max_rows rows of two numbers
     rows = docs.select("doc_id", "text").join(sample, "doc_id")
-    shape = "word string, n long, n_1 long"
-    counts = rows.select("text", "label").mapInArrow(lambda it: _word_counts(it, None), shape).groupBy("word").agg(F.sum("n").alias("n"), F.sum("n_1").alias("n_1"))
-    everything = counts.where("word = ''").first()
-    total, ones = (everything.n or 0, everything.n_1 or 0) if everything else (0, 0)
+    shape = "doc_id long, label int, words array<string>, times array<int>"
+    told = rows.select("doc_id", "label", "text").mapInArrow(_vectors, shape).collect()
+    examples = sorted(((r.doc_id, dict(zip(r.words, r.times)), r.label) for r in told), key=lambda e: (e[0], sorted(e[1])))
+    total, ones = len(examples), sum(label for *_, label in examples)
     if not ones or ones == total:
         index = Index({}, [], k)
         index.prior = (ones + 0.5) / (total + 1)
         return index
-    a, b = F.col("n_1").cast("double"), (F.col("n") - F.col("n_1")).cast("double")
-    c, d = ones - a, total - ones - b
-    chi2 = total * F.pow(a * d - b * c, 2) / (ones * (total - ones) * F.col("n") * (total - F.col("n")))
-    told = counts.where((F.col("word") != "") & (F.col("n") < total) & (F.col("n") >= 4)).withColumn("chi2", chi2).where(F.col("chi2") >= least_chi2)
-    words = frozenset(r.word for r in told.orderBy(F.desc("chi2"), "word").limit(max_words).collect())
-    seen = docs.select("text", F.lit(0).alias("label")).mapInArrow(lambda it: _word_counts(it, words), shape).groupBy("word").agg(F.sum("n").alias("n"))
-    spread = {r.word: r.n for r in seen.collect()}
-    n = spread.pop("")
-    idf = {w: float(np.log((1 + n) / (1 + m)) + 1) for w, m in spread.items()}
-    told_rows = rows.mapInPandas(lambda it: _telling(it, words), "doc_id long, text string, label int")
-    return Index(idf, sorted((r.doc_id, r.text, r.label) for r in told_rows.collect()), k)
-
-
-def _telling(frames: Iterator[pd.DataFrame], vocabulary: frozenset) -> Iterator[pd.DataFrame]:
-    """The examples reduced to their words of the vocabulary."""
-    for frame in frames:
-        frame["text"] = [" ".join(w for w in words_of(t) if w in vocabulary) for t in frame["text"]]
-        yield frame[["doc_id", "text", "label"]]
+    n, n_1 = Counter(w for _, counts, _ in examples for w in counts), Counter(w for _, counts, label in examples if label for w in counts)
+    vocabulary = sorted(n)
+    given = spark.sparkContext.broadcast(vocabulary)  # the words of max_rows texts
+    seen = docs.select("text").mapInArrow(lambda it: _document_counts(it, given.value), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).toArrow()
+    texts = np.zeros(len(vocabulary) + 1, np.int64)
+    texts[np.asarray(seen.column("word"))] = np.asarray(seen.column("n"))
+    idf = np.log((1 + texts[-1]) / (1 + texts[:-1])) + 1
+    a, both = np.array([n_1[w] for w in vocabulary], float), np.array([n[w] for w in vocabulary], float)
+    b, c, d = both - a, ones - a, total - ones - both + a
+    # corrected for continuity, so that a word of one or two texts tells little by chance
+    chi2 = total * np.maximum(np.abs(a * d - b * c) - total / 2, 0) ** 2 / (ones * (total - ones) * both * np.maximum(total - both, 1))
+    weight = idf * (chi2 + LEAST) / (chi2 + HALFWAY)
+    index = Index(dict(zip(vocabulary, weight.tolist())), examples, k)
+    if index.n_blocks:
+        shared = spark.sparkContext.broadcast(index)
+
+        def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                rows = np.asarray(batch.column("id"))
+                for lo in range(0, len(rows), BATCH):
+                    part = rows[lo : lo + BATCH]
+                    yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(shared.value.left_out(part))], ["row", "vote"])
+
+        size = len(index.ids)
+        found = spark.range(0, size, 1, max(1, size // 1_000)).mapInArrow(votes, "row long, vote double").collect()
+        index.calibrate([(r.row, r.vote) for r in found])
+    return index
+
+
+def _index(docs: DataFrame, labels: DataFrame, **settings):
+    index = train(docs.select(F.col("doc_id").cast("long"), "text"), labels.select(F.col("doc_id").cast("long"), "toxic"), **settings)
+    return docs.sparkSession.sparkContext.broadcast(index)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, **settings) -> DataFrame:
     """(doc_id, held_out, score, predicted, evidence_ids, evidence_cosines) of every row of ``docs``.
 
     The score reads the text alone. Null and empty texts, and texts without a word
-    of the vocabulary, get the share of label 1 among such examples; so does every
+    of the examples, get the share of label 1 among such examples; so does every
     text where no labels are given. A null id is not held out. Rows may repeat;
     other columns are ignored; an empty table gives an empty result.
     """
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
-    index = train(docs, labels.select(F.col("doc_id").cast("long"), "toxic"), **settings)
-    index.calibrate()
-    shared = docs.sparkSession.sparkContext.broadcast(index)
+    shared = _index(docs, labels, **settings)
     shape = "doc_id long, score double, evidence_ids array<long>, evidence_cosines array<double>"
-    scored = docs.mapInPandas(lambda it: _scores(it, shared.value), shape)
+    scored = docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(lambda it: _scores(it, shared.value), shape)
     return scored.select(
         "doc_id", F.coalesce(is_held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score",
         (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence_ids", "evidence_cosines",
@@ -238,12 +296,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, **settings) -> DataFrame:
 
 def accepted(docs: DataFrame, labels: DataFrame, **settings) -> DataFrame:
     """The rows of ``docs`` with a score below 0.5; all columns and row multiplicities stay."""
-    index = train(docs.select(F.col("doc_id").cast("long"), "text"), labels.select(F.col("doc_id").cast("long"), "toxic"), **settings)
-    index.calibrate()
-    shared = docs.sparkSession.sparkContext.broadcast(index)
+    shared = _index(docs, labels, **settings)
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
-        return pd.Series([shared.value.score(t)[0] for t in texts], dtype="float64")
+        return pd.Series([f[0] for part in _batches(texts.tolist()) for f in shared.value.score(part)], dtype="float64")
 
     return docs.where(score(F.col("text")) < 0.5)

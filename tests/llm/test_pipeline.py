@@ -4,13 +4,13 @@ import zlib
 
 import corpus_pipeline
 
-from codexfold.llm.queries import LLM_ORACLES, LLM_QUERIES
+from codexfold.llm.queries import LLM_QUERIES
 from test_jaccard_forest import brute as brute_components
 
 
 def test_the_names_and_order():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "jaccard_join", "decontamination", "pii", "packing"]
-    assert corpus_pipeline.ORACLE_SQL is None and not LLM_ORACLES
+    assert corpus_pipeline.ORACLE_SQL is None
     assert len(LLM_QUERIES) == 10 and all(n.startswith("op") for n in LLM_QUERIES)
 
 

@@ -1,12 +1,15 @@
 """Nearest labelled examples: exact neighbours, held-out accuracy."""
 
+import pickle
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
 
 from codexfold.llm.queries import op7_toxicity
-from codexfold.llm.toxicity import Index, accepted, toxicity
+from codexfold.llm import toxicity as T
+from codexfold.llm.toxicity import accepted, toxicity
 
 
 def test_query_on_held_out_labels(spark):
@@ -21,21 +24,40 @@ def test_query_on_held_out_labels(spark):
 
 
 @pytest.mark.parametrize("k", [1, 5])
-def test_block_max_search_is_exact(k):
+@pytest.mark.parametrize("block", [8, 64])
+def test_block_max_search_is_exact(k, block, monkeypatch):
+    monkeypatch.setattr(T, "BLOCK", block)
     rng = np.random.default_rng(6)
-    words = [f"w{chr(97 + i)}" for i in range(20)]
-    draw = lambda: " ".join(rng.choice(words, rng.integers(1, 8)))
+    words = [f"w{chr(97 + i)}{chr(97 + j)}" for i in range(20) for j in range(20)]
+    often = rng.permutation(len(words))
+    draw = lambda: Counter(words[often[min(int(x), len(words) - 1)]] for x in rng.exponential(40, rng.integers(0, 30)))
     examples = [(i, draw(), int(rng.integers(2))) for i in range(400)]
-    index = Index({w: 1.0 + i / 7 for i, w in enumerate(words)}, examples, k)
+    index = T.Index({w: (1.0 + i % 7) * (i % 11 > 0) for i, w in enumerate(words)}, examples, k)
+    index = pickle.loads(pickle.dumps(index))
     dense = np.zeros((len(index.vectors), len(words)))
     for row, (at, v) in enumerate(index.vectors):
         dense[row, at] = v
-    for _ in range(50):
-        at, v = index.vector(draw().split())
-        cosine = dense[:, at] @ v
-        best = np.lexsort((np.arange(len(dense)), -cosine.round(12)))[:k]
-        rows, found = index.nearest(at, v)
-        assert rows.tolist() == [i for i in best.tolist() if cosine[i] > 0] and np.allclose(found, cosine[rows])
+    queries = [index.vector(draw()) for _ in range(60)] + index.vectors[:40]
+    left_out = np.r_[np.full(60, -1), np.arange(40)]
+    for without in (None, left_out):
+        for q, ((at, v), (rows, found)) in enumerate(zip(queries, index.nearest(queries, without))):
+            cosine = (dense[:, at] @ v).round(12)
+            if without is not None and without[q] >= 0:
+                cosine[without[q]] = 0
+            best = np.lexsort((np.arange(len(dense)), -cosine))[:k]
+            assert rows.tolist() == [i for i in best.tolist() if cosine[i] > 0] and np.allclose(found, cosine[rows])
+
+
+def test_few_labels_and_rare_words_tell_texts_apart(spark, docs_of):
+    rng = np.random.default_rng(9)
+    prose = lambda: " ".join(f"p{chr(97 + a)}{chr(97 + b)}" for a, b in rng.integers(0, 26, (30, 2)))
+    rows = [(i, prose() + (" scumword" if i % 4 == 0 else "")) for i in range(60)]
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(38)], "doc_id long, toxic int")  # about 30 are learned from
+    scores = {r.doc_id: r.score for r in toxicity(docs_of(rows), labels).collect()}
+    assert len(set(scores.values())) > 1
+    new = [(scores[i], i % 4 == 0) for i in range(38, 60)]
+    pairs = [(a > b) + 0.5 * (a == b) for a, x in new if x for b, y in new if not y]
+    assert sum(pairs) / len(pairs) > 0.85
 
 
 def test_labels_of_the_held_out_fifth_are_not_read(spark, docs_of):
