@@ -28,14 +28,14 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64; grown by doubling and kept per process."""
+    """base**0 .. base**(n-1) modulo 2**64; grown by doubling, up to 2**20 kept per process."""
     have = _powers.get(base)
     if have is None or len(have) < n:
         size = 1 << max(n - 1, 1).bit_length()
         have = np.ones(1, np.uint64)
         while len(have) < size:
             have = np.concatenate([have, have * np.uint64(pow(base, len(have), 1 << 64))])
-        if n <= 1 << 23:
+        if n <= 1 << 20:
             _powers[base] = have
     return have[:n]
 

@@ -18,9 +18,9 @@ from __future__ import annotations
 import bisect
 import re
 import zlib
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -32,7 +32,8 @@ from codexfold.llm.common import written
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
-CACHE_WORDS, CACHE_CHARS = 1_200_000, 64  # entries of a worker's cache, and their length
+CACHE_WORDS, KEPT_WORDS = 400_000, 200_000  # entries of a worker's cache, about 80 MB, and those left when it is full
+CACHE_CHARS = 64  # length of the longest entry
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -59,6 +60,8 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.cache: dict[str, bytes] = {}
+        special = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special}
+        self.mark, self.mark_id = min(special.items(), default=(None, None))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of every text, with the end id."""
@@ -68,7 +71,7 @@ class WordIds:
         split = [t.replace("\n", " ").split(" ") for t in lowered]
         cache = self.cache
         if len(cache) > CACHE_WORDS:
-            cache.clear()
+            cache = self.cache = dict(islice(cache.items(), KEPT_WORDS))  # met first, so the frequent ones are among them
         new = list(set().union(*split).difference(cache))
         joined = [m for m in map(_ENDED.fullmatch, new) if m]
         stems = {part for m in joined for part in m.groups()}
@@ -84,15 +87,23 @@ class WordIds:
         return out
 
     def add(self, words: list[str]) -> None:
-        for lo in range(0, len(words), 10_000):
-            part = words[lo : lo + 10_000]
-            for word, coded in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self.cache[word] = array("I", coded.ids).tobytes()
+        """Many words to a call, with a special token after each, which nothing is joined across."""
+        together = [w for w in words if self.mark and self.mark not in w]
+        for lo in range(0, len(together), 20_000):
+            parts = [together[k : k + 200] for k in range(lo, min(lo + 20_000, len(together)), 200)]
+            lines = [self.mark.join(part) + self.mark for part in parts]
+            for part, coded in zip(parts, self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)):
+                ids = np.array(coded.ids, "<u4")
+                ends, raw = np.flatnonzero(ids == self.mark_id) * 4, ids.tobytes()
+                for word, start, end in zip(part, [0, *(ends + 4).tolist()], ends.tolist()):
+                    self.cache[word] = raw[start:end]
+        for word in set(words).difference(together):
+            self.cache[word] = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
 
 
 @lru_cache(maxsize=1)
 def word_ids(path: str) -> WordIds:
-    """One cache for all tasks of a Python worker."""
+    """One tokenizer for all tasks of a Python worker; its cache is bounded by ``CACHE_WORDS``."""
     return WordIds(path)
 
 

@@ -26,7 +26,7 @@ from codexfold.llm.source_divergence import spans
 FOLDS, BINS, FAN_IN = 4, 2_048, 16
 FIT_ROWS = 65_536  # labelled rows to a partial sum
 PENALTIES = (1e-3, 1e-2, 1e-1, 1.0, 10.0, 100.0)
-CHUNK, SLICE = 1_000_000, 4_000_000  # bytes of text worked on at once
+CHUNK, SLICE = 500_000, 4_000_000  # bytes of text worked on at once
 RUN = 5  # words
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
