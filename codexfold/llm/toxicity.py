@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from codexfold.llm.common import is_held_out
 
 WORD = re.compile(r"[^\W\d_]+")
-BLOCK, BATCH = 256, 256  # examples of a block, texts searched at once
-DENSE = 0.04  # share of the examples that makes a word common
+BLOCK, BATCH = 1024, 256  # examples of a block, texts searched at once
+DENSE = 0.1  # share of the examples that makes a word common
 HALFWAY, LEAST = 40.0, 0.01  # chi-square at which a word counts half, and what every word has
 
 
@@ -42,8 +42,8 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         counts = [Counter(words_of(t.as_py())) for t in batch.column("text")]
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("label"), pa.array([list(c) for c in counts], pa.list_(pa.string())), pa.array([list(c.values()) for c in counts], pa.list_(pa.int32()))],
-            ["doc_id", "label", "words", "times"],
+            [batch.column("doc_id"), batch.column("label"), batch.column("place"), pa.array([list(c) for c in counts], pa.list_(pa.string())), pa.array([list(c.values()) for c in counts], pa.list_(pa.int32()))],
+            ["doc_id", "label", "place", "words", "times"],
         )
 
 
@@ -61,28 +61,36 @@ def _document_counts(batches: Iterator[pa.RecordBatch], vocabulary: list[str]) -
 
 
 class Index:
-    """Labelled examples as blocks of unit vectors, with block maxima per word."""
-
-    def __init__(self, weight: dict[str, float], examples: list[tuple[int, dict[str, int], int]], k: int):
-        self.k, self.words = k, sorted(weight)
-        self.weight = np.array([weight[w] for w in self.words])
-        self.column: dict = {}
-        vectors = [self.vector(counts) for _, counts, _ in examples]
-        kept = [i for i, (at, _) in enumerate(vectors) if len(at)]
+    """Labelled examples as blocks of unit vectors, with block maxima per word.
+
+    Example i has the words ``cols[ptr[i]:ptr[i + 1]]`` (numbers of ``words``), each ``times`` often.
+    """
+
+    def __init__(self, words: list[str], weight: np.ndarray, ptr: np.ndarray, cols: np.ndarray, times: np.ndarray, ids: np.ndarray, labels: np.ndarray, k: int):
+        self.k, self.words, self.weight, self.column = k, words, weight, {}
+        raw = (1 + np.log(times)) * weight[cols]
+        owner = np.repeat(np.arange(len(ids)), np.diff(ptr))
+        size = np.sqrt(np.bincount(owner, weights=raw * raw, minlength=len(ids)))
+        full = size > 0
+        unit = raw / np.where(full, size, 1)[owner]
+        heaviest = np.zeros(len(ids), np.int64)
+        order = np.lexsort((-cols, unit))  # the last entry of an example is its heaviest word
+        heaviest[owner[order]] = cols[order]
         # alike examples share blocks, so that block maxima are close to the members' weights
-        kept.sort(key=lambda i: (int(vectors[i][0][np.argmax(vectors[i][1])]), examples[i][0]))
-        self.ids = np.array([examples[i][0] for i in kept], np.int64)
-        self.labels = np.array([examples[i][2] for i in kept], np.int64)
-        self.vectors = [vectors[i] for i in kept]
-        empty = [label for (at, _), (_, _, label) in zip(vectors, examples) if not len(at)]
-        self.prior = (sum(empty) + 0.5) / (len(empty) + 1)
+        kept = np.lexsort((np.arange(len(ids)), heaviest))
+        kept = kept[full[kept]]
+        self.ids, self.labels = ids[kept], labels[kept]
+        at = np.concatenate([np.arange(ptr[i], ptr[i + 1]) for i in kept.tolist()]) if len(kept) else np.zeros(0, np.int64)
+        self.ptr, self.cols, self.units = np.r_[0, np.cumsum(np.diff(ptr)[kept])], cols[at].astype(np.int32), unit[at]
+        self.prior = (labels[~full].sum() + 0.5) / ((~full).sum() + 1)
         self.steps: tuple = (np.array([0.0]), np.array([0.0]))
-        self.column = {}
-        n, m = len(kept), len(self.words)
-        self.n_blocks = -(-n // BLOCK)
-        cols = np.concatenate([v[0] for v in self.vectors]) if n else np.zeros(0, np.int64)
-        rows = np.repeat(np.arange(n), [len(v[0]) for v in self.vectors])
-        values = np.concatenate([v[1] for v in self.vectors]) if n else np.zeros(0)
+        self.n_blocks = -(-len(kept) // BLOCK)
+        self.place: np.ndarray | None = None
+
+    def _build(self) -> None:
+        """The lists and maxima, made where the index is used: it travels as the examples alone."""
+        n, m = len(self.ids), len(self.words)
+        cols, values, rows = self.cols, self.units, np.repeat(np.arange(n), np.diff(self.ptr))
         self.most = np.zeros((m, self.n_blocks), np.float32)
         np.maximum.at(self.most, (cols, rows // BLOCK), np.nextafter(values.astype(np.float32), np.float32(2)))
         common = np.flatnonzero(np.bincount(cols, minlength=m) > max(DENSE * n, 8))
@@ -95,11 +103,19 @@ class Index:
         order = np.lexsort((rows, cols, rows // BLOCK))
         cols, rows, values = cols[order], rows[order], values[order]
         self.slots, self.values = (rows % BLOCK).astype(np.int32), values
-        keys = rows // BLOCK * m + cols
-        self.starts = np.searchsorted(keys, np.arange(self.n_blocks * m + 1)).astype(np.int32)
+        keys = rows // BLOCK * m + cols.astype(np.int64)
+        self.starts = np.r_[0, np.cumsum(np.bincount(keys, minlength=self.n_blocks * m))].astype(np.int32)
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"column": {}}  # made again from the words where it is needed
+        names = ("k", "weight", "ids", "labels", "ptr", "cols", "units", "prior", "steps", "n_blocks")
+        return {n: getattr(self, n) for n in names} | {"words": "\n".join(self.words)}  # words are letters
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state | {"words": state["words"].split("\n") if state["words"] else [], "column": {}, "place": None})
+
+    def example(self, row: int) -> tuple[np.ndarray, np.ndarray]:
+        """Columns and weights of an example."""
+        return self.cols[self.ptr[row] : self.ptr[row + 1]], self.units[self.ptr[row] : self.ptr[row + 1]]
 
     def vector(self, counts: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
         """Columns and weights of a unit vector."""
@@ -138,6 +154,8 @@ class Index:
         n = len(queries)
         if not self.n_blocks or not n:
             return [(np.zeros(0, np.int64), np.zeros(0))] * n
+        if self.place is None:
+            self._build()
         sizes = np.array([len(q[0]) for q in queries])
         ptr = np.r_[0, np.cumsum(sizes)]
         cols, weights = np.concatenate([q[0] for q in queries]), np.concatenate([q[1] for q in queries])
@@ -181,7 +199,7 @@ class Index:
 
     def left_out(self, rows: np.ndarray) -> np.ndarray:
         """Votes of all other examples on some."""
-        return np.array([self.vote(*f) for f in self.nearest([self.vectors[r] for r in rows.tolist()], rows)])
+        return np.array([self.vote(*f) for f in self.nearest([self.example(r) for r in rows.tolist()], rows)])
 
     def calibrate(self, votes: list[tuple[int, float]]) -> None:
         """A rising curve through the pools of adjacent violators among leave-one-out votes (row,
@@ -235,27 +253,35 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 6_000, k: int = 15
     clean = clean.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label"))
     sample = F.broadcast(clean.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows))  # max_rows rows of two numbers
     rows = docs.select("doc_id", "text").join(sample, "doc_id")
-    shape = "doc_id long, label int, words array<string>, times array<int>"
-    told = rows.select("doc_id", "label", "text").mapInArrow(_vectors, shape).collect()
-    examples = sorted(((r.doc_id, dict(zip(r.words, r.times)), r.label) for r in told), key=lambda e: (e[0], sorted(e[1])))
-    total, ones = len(examples), sum(label for *_, label in examples)
+    shape = "doc_id long, label int, place long, words array<string>, times array<int>"
+    told = rows.select("doc_id", "label", F.xxhash64("text").alias("place"), "text").mapInArrow(_vectors, shape).toArrow()
+    told = told.sort_by([("doc_id", "ascending"), ("place", "ascending")]).combine_chunks()
+    ids, labels = (np.asarray(told.column(c)).astype(np.int64) for c in ("doc_id", "label"))
+    lists = told.column("words").combine_chunks() if len(told) else pa.array([], pa.list_(pa.string()))
+    total, ones = len(ids), int(labels.sum())
+    ptr = np.r_[0, np.cumsum(np.asarray(lists.value_lengths(), dtype=np.int64))]
+    given_words = lists.flatten().dictionary_encode()
+    order = np.argsort(np.asarray(given_words.dictionary.to_pylist(), dtype=object), kind="stable")
+    vocabulary = [w.as_py() for w in given_words.dictionary.take(pa.array(order))]
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    cols = rank[np.asarray(given_words.indices)] if len(order) else np.zeros(0, np.int64)
+    times = np.concatenate([np.asarray(c.flatten()) for c in told.column("times").chunks] or [np.zeros(0)]).astype(np.int64)
     if not ones or ones == total:
-        index = Index({}, [], k)
+        index = Index([], np.zeros(0), np.zeros(total + 1, np.int64), cols[:0], times[:0], ids, labels, k)
         index.prior = (ones + 0.5) / (total + 1)
         return index
-    n, n_1 = Counter(w for _, counts, _ in examples for w in counts), Counter(w for _, counts, label in examples if label for w in counts)
-    vocabulary = sorted(n)
     given = spark.sparkContext.broadcast(vocabulary)  # the words of max_rows texts
     seen = docs.select("text").mapInArrow(lambda it: _document_counts(it, given.value), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).toArrow()
     texts = np.zeros(len(vocabulary) + 1, np.int64)
     texts[np.asarray(seen.column("word"))] = np.asarray(seen.column("n"))
     idf = np.log((1 + texts[-1]) / (1 + texts[:-1])) + 1
-    a, both = np.array([n_1[w] for w in vocabulary], float), np.array([n[w] for w in vocabulary], float)
+    both = np.bincount(cols, minlength=len(vocabulary)).astype(float)
+    a = np.bincount(cols, weights=np.repeat(labels, np.diff(ptr)), minlength=len(vocabulary))
     b, c, d = both - a, ones - a, total - ones - both + a
     # corrected for continuity, so that a word of one or two texts tells little by chance
     chi2 = total * np.maximum(np.abs(a * d - b * c) - total / 2, 0) ** 2 / (ones * (total - ones) * both * np.maximum(total - both, 1))
-    weight = idf * (chi2 + LEAST) / (chi2 + HALFWAY)
-    index = Index(dict(zip(vocabulary, weight.tolist())), examples, k)
+    index = Index(vocabulary, idf * (chi2 + LEAST) / (chi2 + HALFWAY), ptr, cols, times, ids, labels, k)
     if index.n_blocks:
         shared = spark.sparkContext.broadcast(index)
 

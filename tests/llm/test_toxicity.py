@@ -32,12 +32,20 @@ def test_block_max_search_is_exact(k, block, monkeypatch):
     often = rng.permutation(len(words))
     draw = lambda: Counter(words[often[min(int(x), len(words) - 1)]] for x in rng.exponential(40, rng.integers(0, 30)))
     examples = [(i, draw(), int(rng.integers(2))) for i in range(400)]
-    index = T.Index({w: (1.0 + i % 7) * (i % 11 > 0) for i, w in enumerate(words)}, examples, k)
+    words, column = sorted(words), {w: i for i, w in enumerate(sorted(words))}
+    weight = np.array([(1.0 + i % 7) * (i % 11 > 0) for i in range(len(words))])
+    ptr = np.cumsum([0] + [len(c) for _, c, _ in examples])
+    cols, times = (np.array([x for _, c, _ in examples for x in f(c)], np.int64) for f in (lambda c: [column[w] for w in c], lambda c: c.values()))
+    index = T.Index(words, weight, ptr, cols, times, np.arange(400), np.array([y for *_, y in examples]), k)
     index = pickle.loads(pickle.dumps(index))
-    dense = np.zeros((len(index.vectors), len(words)))
-    for row, (at, v) in enumerate(index.vectors):
+    dense = np.zeros((len(index.ids), len(words)))
+    for row, i in enumerate(index.ids.tolist()):
+        at, v = index.vector(examples[i][1])
         dense[row, at] = v
-    queries = [index.vector(draw()) for _ in range(60)] + index.vectors[:40]
+        own = np.zeros(len(words))
+        own[index.example(row)[0]] = index.example(row)[1]
+        assert np.allclose(own, dense[row])
+    queries = [index.vector(draw()) for _ in range(60)] + [index.example(r) for r in range(40)]
     left_out = np.r_[np.full(60, -1), np.arange(40)]
     for without in (None, left_out):
         for q, ((at, v), (rows, found)) in enumerate(zip(queries, index.nearest(queries, without))):
