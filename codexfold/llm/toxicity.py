@@ -113,6 +113,11 @@ class Index:
     def __setstate__(self, state: dict) -> None:
         self.__dict__.update(state | {"words": state["words"].split("\n") if state["words"] else [], "column": {}, "place": None})
 
+    def forget(self) -> None:
+        """Drops what can be made again, at the end of a task: a worker outlives it."""
+        self.place, self.column = None, {}
+        self.dense = self.most = self.starts = self.slots = self.values = None
+
     def example(self, row: int) -> tuple[np.ndarray, np.ndarray]:
         """Columns and weights of an example."""
         return self.cols[self.ptr[row] : self.ptr[row + 1]], self.units[self.ptr[row] : self.ptr[row + 1]]
@@ -232,12 +237,15 @@ def _batches(texts: list) -> Iterator[list]:
 
 
 def _scores(batches: Iterator[pd.DataFrame], index: Index) -> Iterator[pd.DataFrame]:
-    for frame in batches:
-        found = [f for part in _batches(frame["text"].tolist()) for f in index.score(part)]
-        out = frame.drop(columns="text")
-        out["score"] = [f[0] for f in found]
-        out["evidence_ids"], out["evidence_cosines"] = [f[1] for f in found], [f[2] for f in found]
-        yield out
+    try:
+        for frame in batches:
+            found = [f for part in _batches(frame["text"].tolist()) for f in index.score(part)]
+            out = frame.drop(columns="text")
+            out["score"] = [f[0] for f in found]
+            out["evidence_ids"], out["evidence_cosines"] = [f[1] for f in found], [f[2] for f in found]
+            yield out
+    finally:
+        index.forget()
 
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = 6_000, k: int = 15) -> Index:
@@ -273,6 +281,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 6_000, k: int = 15
         return index
     given = spark.sparkContext.broadcast(vocabulary)  # the words of max_rows texts
     seen = docs.select("text").mapInArrow(lambda it: _document_counts(it, given.value), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).toArrow()
+    given.unpersist()
     texts = np.zeros(len(vocabulary) + 1, np.int64)
     texts[np.asarray(seen.column("word"))] = np.asarray(seen.column("n"))
     idf = np.log((1 + texts[-1]) / (1 + texts[:-1])) + 1
@@ -286,11 +295,14 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 6_000, k: int = 15
         shared = spark.sparkContext.broadcast(index)
 
         def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                rows = np.asarray(batch.column("id"))
-                for lo in range(0, len(rows), BATCH):
-                    part = rows[lo : lo + BATCH]
-                    yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(shared.value.left_out(part))], ["row", "vote"])
+            try:
+                for batch in batches:
+                    rows = np.asarray(batch.column("id"))
+                    for lo in range(0, len(rows), BATCH):
+                        part = rows[lo : lo + BATCH]
+                        yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(shared.value.left_out(part))], ["row", "vote"])
+            finally:
+                shared.value.forget()
 
         size = len(index.ids)
         found = spark.range(0, size, 1, max(1, size // 1_000)).mapInArrow(votes, "row long, vote double").collect()
@@ -325,7 +337,11 @@ def accepted(docs: DataFrame, labels: DataFrame, **settings) -> DataFrame:
     shared = _index(docs, labels, **settings)
 
     @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        return pd.Series([f[0] for part in _batches(texts.tolist()) for f in shared.value.score(part)], dtype="float64")
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        try:
+            for texts in batches:
+                yield pd.Series([f[0] for part in _batches(texts.tolist()) for f in shared.value.score(part)], dtype="float64")
+        finally:
+            shared.value.forget()
 
     return docs.where(score(F.col("text")) < 0.5)
