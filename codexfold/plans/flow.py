@@ -72,7 +72,7 @@ def context_deltas(context_files: DataFrame, confirms: DataFrame, sessions: Data
     enough: messages read far less of it."""
     accepted = context.context_before_gate(context_files, confirms, sessions).where("accepted")
     texts = context.context_text(accepted.drop("accepted", "reason"))
-    last = texts.groupBy("session_id").agg(F.max("seq").alias("seq"))
+    last = texts.where(~is_blank(F.col("text"))).groupBy("session_id").agg(F.max("seq").alias("seq"))  # blank ones write nothing
     whole = context.context_accumulate(texts).where("part = 0").select("session_id", "additional_context")
     return whole.join(last, "session_id").select(
         "session_id", "seq", F.lit("additional_context").alias("key"), F.col("additional_context").alias("value")
