@@ -11,7 +11,7 @@ from test_jaccard_forest import brute as brute_components
 def test_the_names_and_order():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "jaccard_join", "decontamination", "pii", "packing"]
     assert corpus_pipeline.ORACLE_SQL is None
-    assert len(LLM_QUERIES) == 10 and all(n.startswith("op") for n in LLM_QUERIES)
+    assert len(LLM_QUERIES) == 13 and all(n.startswith("op") for n in LLM_QUERIES)
 
 
 def test_near_duplicates(spark, tables_dir, small_docs):
