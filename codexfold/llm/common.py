@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -41,6 +42,17 @@ def partitions_for(spark: SparkSession, n_bytes: int, target: int = 32 << 20) ->
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_bytes // target))
 
 
+def releasing(rows: Iterator) -> Iterator:
+    """``rows`` of a task; at its end a reused worker gives freed memory back to the system."""
+    try:
+        yield from rows
+    finally:
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library only
+        if trim:
+            trim(0)
+
+
 def is_held_out(doc_id) -> F.Column:
     """crc32 of the id as text, modulo 5, is 0."""
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0

@@ -2,11 +2,14 @@
 
 One tree over all texts saturates: near its root every bitmap is full, so the
 traversal would visit a quadratic number of node pairs. The trees are therefore
-planted where a link is possible at all. Two sets with Jaccard >= t share a
-token among the first ``n - ceil(t * n) + 1`` of each, under any one order of
-all tokens; each such shared token is the root of a tree. The order is by hash,
-with the most common tokens last, so that passages many texts share seldom
-become roots. Tokens with the same texts below them count once.
+planted where a link is possible at all. Under any one order of all tokens two sets
+with Jaccard >= t share a token among the first ``n - ceil(2t / (1 + t) * n) + 1`` of
+the smaller, its own tokens, and the first ``n - ceil(t * n) + 1`` of the larger; each
+such shared token is the root of a tree. Texts that only probe a tree, by a token that
+is not their own, are never compared with each other, and a tree that nobody owns is
+none. The order is by how often tokens occur, estimated in a sketch of fixed size, then
+by hash: a passage that many texts share comes last in all of them, and as long as it
+makes no two of them similar, it is nobody's own. Trees with the same texts count once.
 
 In a tree, texts lie in order of size; a node holds the OR of its texts' token
 bitmaps, its size range and the largest number of tokens lost to shared bits. A
@@ -34,12 +37,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codexfold.llm.common import partitions_for, sorted_groups, written
+from codexfold.llm.common import partitions_for, releasing, sorted_groups, written
 from codexfold.llm.components import connected_components
 from codexfold.llm.kernels import distinct, mix, set_key, shingle_sets
 
 LEAF, FANOUT = 16, 4
 LEAST_BITS, MOST_BITS = 256, 1 << 18
+COUNTERS = 4096  # of the order's sketch, in a row
 
 
 def width_for(n: int) -> int:
@@ -229,68 +233,87 @@ def _linked(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
         yield from _links_of(tree, np.asarray(group.column("key"))[rows])
 
 
-def _sketch(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """Per text its id, set size and set key; per chunk the tokens in many of its texts."""
-    for batch in batches:
-        ids = batch.column("doc_id")
-        sizes, keys, maps, held = np.zeros(len(ids), np.int64), [None] * len(ids), [None] * len(ids), []
-        common: dict = {}
+def slots_of(tokens: np.ndarray, slots: int) -> np.ndarray:
+    """The counter of each token."""
+    return (mix(tokens) % np.uint64(slots)).astype(np.int64)
 
-        def count(held=held, common=common):
-            if held:
-                tokens, n = np.unique(np.concatenate(held), return_counts=True)
-                for t, c in zip(tokens[n >= 4].view(np.int64).tolist(), n[n >= 4].tolist()):
-                    common[t] = common.get(t, 0) + c
-                held.clear()
 
-        total, seen = 0, set()
+def _sketch(batches: Iterator[pa.RecordBatch], width: int, slots: int) -> Iterator[pa.RecordBatch]:
+    """Per text its id, set size, set key and bitmap; per task its token counters in blocks."""
+    counters, held, total = np.zeros(slots, np.int64), [], 0
+    names = ["kind", "doc_id", "n_shingles", "key", "bits"]
+    for batch in batches:
+        ids = batch.column("doc_id")
+        sizes, keys, maps, seen = np.zeros(len(ids), np.int64), [None] * len(ids), [None] * len(ids), set()
         for row, tokens in shingle_sets(batch.column("text"), width):
-            if len(tokens):
-                sizes[row], keys[row] = len(tokens), set_key(tokens)
-                maps[row] = bitmap(tokens, width_for(len(tokens))).tobytes()
-                if keys[row] not in seen:  # copies of one text do not make its tokens common
-                    seen.add(keys[row])
-                    held.append(tokens)
-                    total += len(tokens)
-                if total > 6_000_000:
-                    count()
-                    total = 0
-        count()
-        nothing = pa.nulls(len(ids), pa.int64())
+            if not len(tokens):
+                continue
+            sizes[row], keys[row] = len(tokens), set_key(tokens)
+            maps[row] = bitmap(tokens, width_for(len(tokens))).tobytes()
+            if keys[row] not in seen:  # copies of one text do not make its tokens common
+                seen.add(keys[row])
+                held.append(slots_of(tokens, slots))
+                total += len(tokens)
+            if total > 500_000:
+                counters += np.bincount(np.concatenate(held), minlength=slots)
+                held, total = [], 0
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.zeros(len(ids), np.int32)), ids, pa.array(sizes), pa.array(keys, pa.int64()), nothing, pa.array(maps, pa.binary())],
-            ["kind", "doc_id", "n_shingles", "key", "times", "bits"],
+            [pa.array(np.zeros(len(ids), np.int32)), ids, pa.array(sizes), pa.array(keys, pa.int64()), pa.array(maps, pa.binary())], names
         )
-        if common:
-            n = len(common)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.ones(n, np.int32)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()),
-                 pa.array(list(common), pa.int64()), pa.array(list(common.values()), pa.int64()), pa.nulls(n, pa.binary())],
-                ["kind", "doc_id", "n_shingles", "key", "times", "bits"],
-            )
+    if held:
+        counters += np.bincount(np.concatenate(held), minlength=slots)
+    blocks = np.minimum(counters, 65_535).astype(np.uint16).reshape(-1, COUNTERS)
+    some = np.flatnonzero(blocks.any(axis=1))
+    if len(some):
+        nothing = pa.nulls(len(some), pa.int64())
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.ones(len(some), np.int32)), nothing, nothing, pa.array(some), pa.array([blocks[k].tobytes() for k in some], pa.binary())], names
+        )
+
+
+def _ranks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of counters (block, bits) added up, as quarters of their binary logarithm."""
+    sums: dict = {}
+    for batch in batches:
+        for block, counters in zip(batch.column("block").to_pylist(), batch.column("bits").to_pylist()):
+            sums[block] = sums.get(block, 0) + np.frombuffer(counters, np.uint16).astype(np.int64)
+    ranks = [np.minimum(4 * np.log2(1 + n), 255).astype(np.uint8).tobytes() for n in sums.values()]
+    yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array(ranks, pa.binary())], ["block", "ranks"])
+
 
+def token_ranks(sketch: DataFrame, slots: int) -> np.ndarray:
+    """How common the tokens of each counter are, 0 to 255; ``slots`` bytes pass the driver."""
+    ranks = np.zeros((slots // COUNTERS, COUNTERS), np.uint8)
+    counters = sketch.where("kind = 1").select(F.col("key").alias("block"), "bits").repartition("block")
+    for r in counters.mapInArrow(lambda it: releasing(_ranks(it)), "block long, ranks binary").collect():
+        ranks[r.block] = np.frombuffer(r.ranks, np.uint8)
+    return ranks.reshape(-1)
 
-def _prefixes(batches: Iterator[pa.RecordBatch], width: int, percent: int, common: np.ndarray, buckets: int):
-    """Per bucket of tokens a block of (token, set key) pairs from the prefixes of the sets."""
+
+def _prefixes(batches: Iterator[pa.RecordBatch], width: int, percent: int, ranks: np.ndarray, buckets: int):
+    """Per bucket of tokens a block of tokens, set keys and set sizes from the prefixes of the sets.
+
+    Within a bucket a token is known by 32 bits; tokens that are the same there share a
+    tree. The size is negative where the token is not the text's own.
+    """
+    names = ["bucket", "tokens", "keys", "sizes"]
     for batch in batches:
-        seen, tokens_of, key_of = set(), [], []
+        seen, tokens_of, sizes_of, key_of = set(), [], [], []
 
-        def blocks(tokens_of=tokens_of, key_of=key_of):
+        def blocks(tokens_of=tokens_of, sizes_of=sizes_of, key_of=key_of):
             if not tokens_of:
                 return
-            tokens = np.concatenate(tokens_of)
             keys = np.repeat(np.array(key_of, np.int64), [len(t) for t in tokens_of])
-            bucket = (mix(tokens) % np.uint64(buckets)).astype(np.int64)
+            tokens, sizes = mix(np.concatenate(tokens_of)), np.concatenate(sizes_of)
+            bucket = (tokens % np.uint64(buckets)).astype(np.int64)
+            tokens = (tokens >> np.uint64(32)).astype(np.uint32)
             order = np.argsort(bucket, kind="stable")
             cuts = np.flatnonzero(np.diff(bucket[order])) + 1
             parts = np.split(order, cuts)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(bucket[[p[0] for p in parts]]), pa.array([tokens[p].tobytes() for p in parts], pa.binary()),
-                 pa.array([keys[p].tobytes() for p in parts], pa.binary())],
-                ["bucket", "tokens", "keys"],
-            )
-            tokens_of.clear()
-            key_of.clear()
+            blobs = [pa.array([x[p].tobytes() for p in parts], pa.binary()) for x in (tokens, keys, sizes)]
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[[p[0] for p in parts]]), *blobs], names)
+            for x in (tokens_of, sizes_of, key_of):
+                x.clear()
 
         total = 0
         for _, tokens in shingle_sets(batch.column("text"), width):
@@ -298,52 +321,55 @@ def _prefixes(batches: Iterator[pa.RecordBatch], width: int, percent: int, commo
                 continue
             seen.add(key)
             n = len(tokens)
-            take = n - -(-percent * n // 100) + 1
-            if len(common):
-                often = common[np.minimum(np.searchsorted(common, tokens), len(common) - 1)] == tokens
-                tokens = np.concatenate([tokens[~often], tokens[often]])
-            tokens_of.append(tokens[:take])
+            probe, own = n - -(-percent * n // 100) + 1, n - -(-2 * percent * n // (100 + percent)) + 1
+            common = ranks[slots_of(tokens, len(ranks))].astype(np.uint64)
+            first = np.argsort(common << np.uint64(56) | tokens >> np.uint64(8), kind="stable")[:probe]
+            tokens_of.append(tokens[first])
+            sizes_of.append(np.where(np.arange(probe) < own, n, -n).astype(np.int32))
             key_of.append(key)
-            total += take
-            if total > 4_000_000:
+            total += probe
+            if total > 1_000_000:
                 yield from blocks()
                 total = 0
         yield from blocks()
 
 
-def _roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(tree, key) of every token with two or more texts; equal trees once."""
-    tokens, keys = [], []
+def _roots(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """(tree, key, own) of every token that a text owns and another, of a size that may
+    be similar, owns or probes; equal trees once."""
+    blobs: dict = {"tokens": [], "keys": [], "sizes": []}
     for batch in batches:
-        tokens += [np.frombuffer(x, np.uint64) for x in batch.column("tokens").to_pylist()]
-        keys += [np.frombuffer(x, np.int64) for x in batch.column("keys").to_pylist()]
-    if not tokens:
-        return
-    tokens, keys = np.concatenate(tokens), np.concatenate(keys)
-    order = np.argsort(tokens, kind="stable")
-    tokens, keys = tokens[order], keys[order]
-    shared = np.zeros(len(tokens), bool)
-    same = tokens[1:] == tokens[:-1]
-    shared[1:] |= same
-    shared[:-1] |= same
-    tokens, keys = tokens[shared], keys[shared]
-    order = np.lexsort((keys, tokens))
-    tokens, keys = tokens[order], keys[order]
-    again = np.zeros(len(tokens), bool)
-    again[1:] = (tokens[1:] == tokens[:-1]) & (keys[1:] == keys[:-1])
-    tokens, keys = tokens[~again], keys[~again]
+        for name, held in blobs.items():
+            held.extend(batch.column(name).to_pylist())
+    tokens, keys, sizes = (np.frombuffer(b"".join(blobs.pop(name)), t) for name, t in (("tokens", np.uint32), ("keys", np.int64), ("sizes", np.int32)))
     if not len(tokens):
         return
-    starts = np.flatnonzero(np.r_[True, tokens[1:] != tokens[:-1]])
-    sizes = np.diff(np.r_[starts, len(tokens)])
-    names = mix(np.add.reduceat(mix(keys.view(np.uint64)), starts) + sizes.astype(np.uint64))
-    _, first = np.unique(names, return_index=True)
-    for part in np.array_split(first[sizes[first] > 1], len(first) // 20_000 + 1):
-        if len(part):
-            rows = np.concatenate([np.arange(starts[i], starts[i] + sizes[i]) for i in part])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(names[part], sizes[part]).view(np.int64)), pa.array(keys[rows])], ["tree", "key"]
-            )
+    order = np.lexsort((-sizes, keys, tokens))  # own before probing
+    tokens, keys, sizes = tokens[order], keys[order], sizes[order].astype(np.int64)
+    new = np.r_[True, (tokens[1:] != tokens[:-1]) | (keys[1:] != keys[:-1])]
+    tokens, keys, sizes = tokens[new], keys[new], sizes[new]
+    begins = np.r_[True, tokens[1:] != tokens[:-1]]
+    starts, tree = np.flatnonzero(begins), np.cumsum(begins) - 1
+    own = sizes > 0
+    least = np.minimum.reduceat(np.where(own, sizes, np.iinfo(np.int64).max), starts)[tree]
+    most = np.maximum.reduceat(np.where(own, sizes, 0), starts)[tree]
+    kept = own | ((-sizes >= least) & (-sizes * percent <= 100 * most))
+    kept &= np.bincount(tree, kept)[tree] > 1
+    keys, own, tree = keys[kept], own[kept], tree[kept]
+    if not len(keys):
+        return
+    starts = np.flatnonzero(np.r_[True, tree[1:] != tree[:-1]])
+    counts = np.diff(np.r_[starts, len(tree)])
+    scrambled = mix(keys.view(np.uint64))
+    names = mix(np.add.reduceat(scrambled, starts) + counts.astype(np.uint64))
+    owners = mix(names + np.add.reduceat(np.where(own, scrambled, np.uint64(0)), starts))
+    once = np.zeros(len(starts), bool)
+    once[np.unique(owners, return_index=True)[1]] = True
+    rows = np.flatnonzero(np.repeat(once, counts))
+    names = np.repeat(names, counts).view(np.int64)
+    for lo in range(0, len(rows), 100_000):
+        part = rows[lo : lo + 100_000]
+        yield pa.RecordBatch.from_arrays([pa.array(names[part]), pa.array(keys[part]), pa.array(own[part])], ["tree", "key", "own"])
 
 
 def _filter_bits(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
@@ -377,58 +403,88 @@ def _whole_sets(batches: Iterator[pa.RecordBatch], width: int, bloom: np.ndarray
             yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.binary())], ["key", "tokens"])
 
 
+def planted(texts: DataFrame, tokens: int, ranks: np.ndarray, width: int, percent: int) -> DataFrame:
+    """Trees (tree, key, own) of ``texts`` (text) with about ``tokens`` tokens in their prefixes."""
+    spark = texts.sparkSession
+    buckets = partitions_for(spark, 16 * tokens, 16 << 20)
+    shared = spark.sparkContext.broadcast(ranks)  # one byte a counter
+    shape = "bucket long, tokens binary, keys binary, sizes binary"
+    prefixes = texts.mapInArrow(lambda it: releasing(_prefixes(it, width, percent, shared.value, buckets)), shape)
+    roots = prefixes.repartition(buckets, "bucket").mapInArrow(lambda it: releasing(_roots(it, percent)), "tree long, key long, own boolean")
+    return written(roots.groupBy("tree", "key").agg(F.bool_or("own").alias("own")))
+
+
 def one_tree_each(trees: DataFrame, chunk: int) -> DataFrame:
     """Cells (tree, i, j, side, key, component): every text in a chunk of its largest tree,
-    together with that tree's pivot; every text is a component of its own."""
-    sizes = trees.groupBy("tree").agg(F.count("*").alias("m"), F.min("key").alias("pivot"))
+    together with that tree's pivot, an owner; every text is a component of its own."""
+    sizes = trees.groupBy("tree").agg(F.count("*").alias("m"), F.min(F.when(F.col("own"), F.col("key"))).alias("pivot"))
     chosen = trees.join(sizes, "tree").groupBy("key").agg(F.max_by(F.struct("tree", "pivot", "m"), F.struct("m", "tree")).alias("t"))
     spread = chosen.select("t.tree", F.pmod(F.xxhash64("key"), F.ceil(F.col("t.m") / chunk)).cast("int").alias("i"), "key", "t.pivot")
     cells = spread.select("tree", "i", F.explode(F.array("key", "pivot")).alias("key")).distinct()
     return cells.select("tree", "i", F.lit(0).alias("j"), F.lit(0).alias("side"), "key", F.col("key").alias("component"))
 
 
+def _numbers(lo: Column | int, hi: Column) -> Column:
+    """lo, lo + 1, ... below hi."""
+    lo = F.lit(lo) if isinstance(lo, int) else lo
+    return F.when(hi > lo, F.sequence(lo, hi - 1)).otherwise(F.array().cast("array<int>"))
+
+
 def between_components(trees: DataFrame, components: DataFrame, lengths: DataFrame, percent: int, chunk: int) -> DataFrame:
     """Cells (tree, i, j, side, key, component) of the trees that hold several components.
 
-    The largest component of a tree is its main one. Cell (i, j) holds chunk i of the
-    other texts and chunk j of the main component; with j from -1 down, chunks of the
-    others among themselves. Texts whose size no partner can have are left out.
+    The largest component of a tree is its main one. Its texts are cut into chunks of
+    four kinds, numbered one after the other: 0 owners and 1 probing texts outside the
+    main component, 2 owners and 3 probing texts in it. Cell (i, j) holds chunks i <= j
+    on sides 0 and 1 (one side where they are the same) for every pair of chunks of
+    which one holds owners and one is outside the main component. Texts whose size no
+    partner can have are left out.
     """
     now = written(
         trees.join(components.withColumnRenamed("node", "key"), "key", "left").join(lengths, "key")
-        .select("tree", "key", F.coalesce("component", "key").alias("component"), "n")
+        .select("tree", "key", "own", F.coalesce("component", "key").alias("component"), "n")
     )
     parts = now.groupBy("tree", "component").agg(F.count("*").alias("m"))
     largest = parts.groupBy("tree").agg(F.max_by("component", F.struct("m", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
-    sides = now.join(largest, "tree").withColumn("side", F.when(F.col("component") == F.col("main"), 1).otherwise(0))
-    other, main = F.col("side") == 0, F.col("side") == 1
+    kind = F.when(F.col("component") == F.col("main"), 2).otherwise(0) + F.when(F.col("own"), 0).otherwise(1)
+    sides = now.join(largest, "tree").withColumn("kind", kind)
+    other, main, n = F.col("kind") < 2, F.col("kind") >= 2, F.col("n")
     ranges = sides.groupBy("tree").agg(
-        F.min(F.when(other, F.col("n"))).alias("lo0"), F.max(F.when(other, F.col("n"))).alias("hi0"),
-        F.min(F.when(main, F.col("n"))).alias("lo1"), F.max(F.when(main, F.col("n"))).alias("hi1"),
-        F.count_if(other).alias("m0"), F.count_if(main).alias("m1"),
+        F.min(F.when(other, n)).alias("lo0"), F.max(F.when(other, n)).alias("hi0"),
+        F.min(F.when(main, n)).alias("lo1"), F.max(F.when(main, n)).alias("hi1"),
+        *[F.count_if(F.col("kind") == k).alias(f"m{k}") for k in range(4)],
     )
 
     def fits(lo: str, hi: str) -> Column:
-        return (100 * F.col("n") >= percent * F.col(lo)) & (percent * F.col("n") <= 100 * F.col(hi))
-
-    near = sides.join(ranges, "tree").where((other & ((F.col("m0") > 1) | fits("lo1", "hi1"))) | (main & fits("lo0", "hi0")))
-    b0, b1 = F.ceil(F.col("m0") / chunk).cast("int"), F.ceil(F.col("m1") / chunk).cast("int")
-    own = F.pmod(F.xxhash64("key"), F.when(other, b0).otherwise(b1)).cast("int")
-    with_main = F.transform(F.sequence(F.lit(0), b1 - 1), lambda j: F.struct(own.alias("i"), j.alias("j"), F.lit(0).alias("s")))
-    with_own = F.transform(
-        F.sequence(F.lit(0), b0 - 1),
-        lambda k: F.struct(F.least(own, k).alias("i"), (-1 - F.greatest(own, k)).alias("j"), F.when(own > k, 1).otherwise(0).alias("s")),
+        return (100 * n >= percent * F.col(lo)) & (percent * n <= 100 * F.col(hi))
+
+    useful_row = (
+        F.when(F.col("kind") == 0, (F.col("m0") + F.col("m1") > 1) | fits("lo1", "hi1"))
+        .when(F.col("kind") == 1, (F.col("m0") > 0) | ((F.col("m2") > 0) & fits("lo1", "hi1")))
+        .when(F.col("kind") == 2, fits("lo0", "hi0"))
+        .otherwise((F.col("m0") > 0) & fits("lo0", "hi0"))
+    )
+    near = sides.join(ranges, "tree").where(useful_row)
+    chunks = [F.ceil(F.col(f"m{k}") / chunk).cast("int") for k in range(4)]
+    near = near.withColumns({"_1": chunks[0], "_2": chunks[0] + chunks[1], "_3": chunks[0] + chunks[1] + chunks[2], "_4": sum(chunks[1:], chunks[0])})
+    starts, hashed = [F.lit(0), F.col("_1"), F.col("_2"), F.col("_3")], F.xxhash64("key")
+    place = [start + F.pmod(hashed, count).cast("int") for start, count in zip(starts, chunks)]
+    partners = [_numbers(0, F.col("_4")), F.concat(_numbers(0, F.col("_1")), _numbers(F.col("_2"), F.col("_3"))), _numbers(0, F.col("_2")), _numbers(0, F.col("_1"))]
+
+    def by_kind(values: list[Column]) -> Column:
+        return F.when(F.col("kind") == 0, values[0]).when(F.col("kind") == 1, values[1]).when(F.col("kind") == 2, values[2]).otherwise(values[3])
+
+    cells = near.withColumn("x", by_kind(place)).withColumn("y", F.explode(by_kind(partners)))
+    cells = cells.select(
+        "tree", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), F.when(F.col("x") > F.col("y"), 1).otherwise(0).alias("side"), "key", "component"
     )
-    as_main = F.transform(F.sequence(F.lit(0), b0 - 1), lambda i: F.struct(i.alias("i"), own.alias("j"), F.lit(1).alias("s")))
-    cells = near.withColumn("cell", F.explode(F.when(other, F.concat(with_main, with_own)).otherwise(as_main)))
-    cells = cells.select("tree", "cell.i", "cell.j", F.col("cell.s").alias("side"), "key", "component")
-    useful = cells.groupBy("tree", "i", "j").agg(F.count_if(other).alias("x"), F.count_if(main).alias("y"))
-    useful = useful.where("(j >= 0 and x > 0 and y > 0) or (j < 0 and i = -1 - j and x > 1) or (j < 0 and i < -1 - j and x > 0 and y > 0)")
+    useful = cells.groupBy("tree", "i", "j").agg(F.count_if(F.col("side") == 0).alias("x"), F.count_if(F.col("side") == 1).alias("y"))
+    useful = useful.where("(i = j and x > 1) or (i < j and x > 0 and y > 0)")
     return cells.join(useful.select("tree", "i", "j"), ["tree", "i", "j"])
 
 
 def jaccard_components(
-    docs: DataFrame, percent: int = 80, width: int = 5, chunk: int = 400, common_limit: int = 65_536, filter_bits: int = 1 << 24
+    docs: DataFrame, percent: int = 80, width: int = 5, chunk: int = 400, order_slots: int = 1 << 20, filter_bits: int = 1 << 24
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id, set_key) of every row of ``docs`` (doc_id, text).
 
@@ -440,23 +496,17 @@ def jaccard_components(
     repeat or be null; a component of null ids only has a null id. An empty table
     gives an empty result; other columns are ignored.
 
-    Shingles and sets are known by 64-bit hashes. ``common_limit`` bounds the list
-    of tokens put last and ``filter_bits`` a filter that spares reading sets that
-    are in no tree; both go to the executors, and neither changes the result.
+    Shingles and sets are known by 64-bit hashes. ``order_slots`` (a multiple of 4096)
+    is the number of counters that order the tokens, ``filter_bits`` the size of a
+    filter that spares reading sets that are in no tree; both go to the executors, and
+    neither changes the result.
     """
-    spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
-    shape = "kind int, doc_id long, n_shingles long, key long, times long, bits binary"
-    sketch = written(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lambda it: _sketch(it, width), shape))
+    shape = "kind int, doc_id long, n_shingles long, key long, bits binary"
+    sketch = written(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lambda it: releasing(_sketch(it, width, order_slots)), shape))
     nodes = sketch.where("kind = 0").select("doc_id", "n_shingles", "key")
-    often = sketch.where("kind = 1").groupBy("key").agg(F.sum("times").alias("n")).orderBy(F.desc("n"), "key").limit(common_limit)
-    common = np.sort(np.array([r.key for r in often.collect()], np.int64).view(np.uint64))
     tokens = nodes.agg(F.sum(F.ceil(F.col("n_shingles") * (100 - percent) / 100) + 1)).first()[0] or 0
-    buckets = partitions_for(spark, 16 * tokens)
-    trees = written(
-        docs.select("text").mapInArrow(lambda it: _prefixes(it, width, percent, common, buckets), "bucket long, tokens binary, keys binary")
-        .repartition(buckets, "bucket").mapInArrow(_roots, "tree long, key long").distinct()
-    )
+    trees = planted(docs.select("text"), tokens, token_ranks(sketch, order_slots), width, percent)
 
     signatures = written(
         sketch.where("kind = 0 and key is not null").select("key", F.col("n_shingles").alias("n"), "bits")
@@ -471,23 +521,23 @@ def jaccard_components(
         """Links of what may be similar in each cell (tree, i, j, side, key, component)."""
         rows = cells.join(signatures, "key").withColumn("width", F.explode(widths))
         rows = rows.repartition("tree", "width", "i", "j").sortWithinPartitions("tree", "width", "i", "j")
-        return written(rows.mapInArrow(lambda it: _possible(it, percent), "a long, b long").distinct())
+        return written(rows.mapInArrow(lambda it: releasing(_possible(it, percent)), "a long, b long").distinct())
 
     links = possible(one_tree_each(trees, 5 * chunk))
     links = links.unionByName(possible(between_components(trees, connected_components(links), lengths, percent, 5 * chunk)))
-    clusters = written(connected_components(links).select(F.col("component").alias("tree"), F.col("node").alias("key")))
+    clusters = written(connected_components(links).select(F.col("component").alias("tree"), F.col("node").alias("key"), F.lit(True).alias("own")))
 
     bits = min(filter_bits, max(1 << 12, 1 << (16 * clusters.count()).bit_length()))
-    words = clusters.select("key").mapInArrow(lambda it: _filter_bits(it, bits), "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    words = clusters.select("key").mapInArrow(lambda it: releasing(_filter_bits(it, bits)), "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits"))
     bloom = np.zeros(bits // 64, np.uint64)
     for r in words.collect():
         bloom[r.word] = np.uint64(r.bits & (1 << 64) - 1)
-    sets = written(docs.select("text").mapInArrow(lambda it: _whole_sets(it, width, bloom), "key long, tokens binary").dropDuplicates(["key"]))
+    sets = written(docs.select("text").mapInArrow(lambda it: releasing(_whole_sets(it, width, bloom)), "key long, tokens binary").dropDuplicates(["key"]))
 
     def similar(cells: DataFrame) -> DataFrame:
         """Links of similar sets in each cell."""
         whole = cells.join(sets, "key").repartition("tree", "i", "j").sortWithinPartitions("tree", "i", "j")
-        return written(whole.mapInArrow(lambda it: _linked(it, percent), "a long, b long"))
+        return written(whole.mapInArrow(lambda it: releasing(_linked(it, percent)), "a long, b long"))
 
     links = similar(one_tree_each(clusters, chunk))
     links = links.unionByName(similar(between_components(clusters, connected_components(links), lengths, percent, chunk)))

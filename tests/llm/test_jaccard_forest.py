@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 
 from codexfold.llm.components import connected_components
-from codexfold.llm.jaccard_forest import Possible, Similar, bitmap, folded, jaccard_components, width_for
+from codexfold.llm.common import written
+from codexfold.llm.jaccard_forest import Possible, Similar, _sketch, bitmap, folded, jaccard_components, planted, token_ranks, width_for
 
 WORD = re.compile(rb"[^\x20\x09-\x0d]+")
 
@@ -75,8 +76,25 @@ def test_families_over_chunks(docs_of, chunk):
 def test_common_tokens_change_nothing(docs_of):
     line = " ".join(f"common{k}" for k in range(12))
     rows = [(k, f"{line} own{k} tail{k} more{k}" if k % 3 else line) for k in range(60)]
-    for limit in (1, 65_536):
-        assert result(jaccard_components(docs_of(rows), common_limit=limit, filter_bits=64)) == brute(rows)
+    for slots in (4096, 1 << 20):
+        assert result(jaccard_components(docs_of(rows), order_slots=slots, filter_bits=64)) == brute(rows)
+
+
+def test_a_shared_passage_below_the_threshold_plants_no_trees(spark, docs_of):
+    passage = " ".join(f"shared{k}" for k in range(260))
+    rows = [(k, f"{passage} " + " ".join(f"own{k}_{j}" for j in range(60))) for k in range(400)]
+    docs = docs_of(rows)
+    sketch = written(docs.mapInArrow(lambda it: _sketch(it, 5, 1 << 20), "kind int, doc_id long, n_shingles long, key long, bits binary"))
+    assert planted(docs.select("text"), 30_000, token_ranks(sketch, 1 << 20), 5, 80).count() < 100
+    assert result(jaccard_components(docs, chunk=20)) == brute(rows)
+
+
+def test_smaller_texts_own_and_larger_ones_probe(docs_of):
+    rng = np.random.default_rng(11)
+    base = [f"w{k}" for k in range(400)]
+    rows = [(k, " ".join(base[: int(n)] + [f"x{k}_{j}" for j in range(int(m))])) for k, (n, m) in enumerate(zip(rng.integers(250, 400, 60), rng.integers(0, 60, 60)))]
+    for slots in (4096, 1 << 20):
+        assert result(jaccard_components(docs_of(rows), chunk=5, order_slots=slots)) == brute(rows)
 
 
 def test_empty_table(docs_of):
