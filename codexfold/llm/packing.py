@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codexfold.llm.common import written
+from codexfold.llm.common import releasing, written
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
@@ -135,7 +135,7 @@ def token_pieces(docs: DataFrame, limit: int, path: str) -> DataFrame:
                 lo = hi
 
     shape = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary"
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(pieces, shape)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lambda it: releasing(pieces(it)), shape)
 
 
 def best_fit(lengths: np.ndarray, limit: int) -> list[list[int]]:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codexfold.llm.common import is_held_out
+from codexfold.llm.common import is_held_out, releasing
 
 WORD = re.compile(r"[^\W\d_]+")
 BLOCK, BATCH = 1024, 256  # examples of a block, texts searched at once
@@ -262,7 +262,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 6_000, k: int = 15
     sample = F.broadcast(clean.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows))  # max_rows rows of two numbers
     rows = docs.select("doc_id", "text").join(sample, "doc_id")
     shape = "doc_id long, label int, place long, words array<string>, times array<int>"
-    told = rows.select("doc_id", "label", F.xxhash64("text").alias("place"), "text").mapInArrow(_vectors, shape).toArrow()
+    told = rows.select("doc_id", "label", F.xxhash64("text").alias("place"), "text").mapInArrow(lambda it: releasing(_vectors(it)), shape).toArrow()
     told = told.sort_by([("doc_id", "ascending"), ("place", "ascending")]).combine_chunks()
     ids, labels = (np.asarray(told.column(c)).astype(np.int64) for c in ("doc_id", "label"))
     lists = told.column("words").combine_chunks() if len(told) else pa.array([], pa.list_(pa.string()))
@@ -280,7 +280,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 6_000, k: int = 15
         index.prior = (ones + 0.5) / (total + 1)
         return index
     given = spark.sparkContext.broadcast(vocabulary)  # the words of max_rows texts
-    seen = docs.select("text").mapInArrow(lambda it: _document_counts(it, given.value), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).toArrow()
+    seen = docs.select("text").mapInArrow(lambda it: releasing(_document_counts(it, given.value)), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).toArrow()
     given.unpersist()
     texts = np.zeros(len(vocabulary) + 1, np.int64)
     texts[np.asarray(seen.column("word"))] = np.asarray(seen.column("n"))
@@ -305,7 +305,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 6_000, k: int = 15
                 shared.value.forget()
 
         size = len(index.ids)
-        found = spark.range(0, size, 1, max(1, size // 1_000)).mapInArrow(votes, "row long, vote double").collect()
+        found = spark.range(0, size, 1, max(1, size // 1_000)).mapInArrow(lambda it: releasing(votes(it)), "row long, vote double").collect()
         index.calibrate([(r.row, r.vote) for r in found])
     return index
 
@@ -325,7 +325,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, **settings) -> DataFrame:
     """
     shared = _index(docs, labels, **settings)
     shape = "doc_id long, score double, evidence_ids array<long>, evidence_cosines array<double>"
-    scored = docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(lambda it: _scores(it, shared.value), shape)
+    scored = docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(lambda it: releasing(_scores(it, shared.value)), shape)
     return scored.select(
         "doc_id", F.coalesce(is_held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score",
         (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence_ids", "evidence_cosines",
@@ -336,12 +336,15 @@ def accepted(docs: DataFrame, labels: DataFrame, **settings) -> DataFrame:
     """The rows of ``docs`` with a score below 0.5; all columns and row multiplicities stay."""
     shared = _index(docs, labels, **settings)
 
-    @F.pandas_udf("double")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         try:
             for texts in batches:
                 yield pd.Series([f[0] for part in _batches(texts.tolist()) for f in shared.value.score(part)], dtype="float64")
         finally:
             shared.value.forget()
 
+    @F.pandas_udf("double")
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        yield from releasing(scores(batches))
+
     return docs.where(score(F.col("text")) < 0.5)
