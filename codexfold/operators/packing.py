@@ -9,6 +9,8 @@ from codexfold import constants as K
 from codexfold.functions.prefix import BLOCK_ROWS, block_of, ordered_text
 from codexfold.functions.text import head, is_blank
 
+FILTER_WORDS = 1 << 18  # 2 MB of bits
+
 
 def frame(path: Column, content: Column) -> Column:
     return F.concat(F.lit(K.FRAME_HEAD), path, F.lit(K.FRAME_TAIL), content)
@@ -28,21 +30,28 @@ def pack_budget(
     budget: int = K.PACK_BUDGET,
     block: int = BLOCK_ROWS,
     chars: str | None = None,
+    filter_words: int = FILTER_WORDS,
 ) -> DataFrame:
     """Files kept while the running framed length stays within ``budget``.
 
     Stopping at the first overflow equals ``running total <= budget`` because
-    every chunk has a positive length. A repository is cut into blocks of
-    consecutive ``ord``: the first pass adds up lengths per block (combined on
-    the map side, no text is shuffled), blocks that start at or beyond the
-    budget are dropped, and only the surviving blocks carry text into the exact
-    window. A repository keeps at most budget / 20 files, whatever its size.
-    ``chars`` names a stored column equal to ``length(content)``: with it the
-    first pass does not read the text at all.
+    every chunk has a positive length; ``ord`` is unique within a repository. The
+    cut is made on numbers alone: lengths are added up per block of consecutive
+    ``ord`` (combined on the map side), blocks that start at or beyond the budget
+    are dropped, and the rest are windowed row by row. Only then does the text
+    move, and only of rows that a Bloom filter over the kept (repository, ord)
+    lets through: ``filter_words`` rows of 64 bits at most, whatever the corpus,
+    so it is sent to every task. What it lets through by mistake the exact join
+    removes; once far more files are kept than it has bits it lets everything
+    through, and a larger ``filter_words`` is worth its memory. ``chars`` names a
+    stored column equal to ``length(content)``: with it the cut does not read the
+    text at all.
     """
     content_chars = F.length("content") if chars is None else F.col(chars)
-    length = frame_length(F.col("path"), content_chars)
-    sized = files.withColumns({"_block": block_of("ord", block), "chunk_chars": length})
+    sized = files.select(
+        "repo_id", "ord", block_of("ord", block).alias("_block"),
+        frame_length(F.col("path"), content_chars).alias("chunk_chars"),
+    )
 
     before = (
         Window.partitionBy("repo_id").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
@@ -58,15 +67,26 @@ def pack_budget(
         Window.partitionBy("repo_id", "_block").orderBy("ord")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    # A chunk longer than the budget is never kept: its length still counts,
-    # its text need not travel.
-    light = sized.withColumn("content", F.when(F.col("chunk_chars") <= budget, F.col("content")))
-    return (
-        light.join(live, ["repo_id", "_block"])
+    cut = (
+        sized.join(live, ["repo_id", "_block"])
         .withColumn("running_chars", F.col("_before") + F.sum("chunk_chars").over(within))
         .where(F.col("running_chars") <= budget)
-        .drop("_block", "_before")
+        .select("repo_id", "ord", "chunk_chars", "running_chars")
+    )
+
+    name = F.xxhash64("repo_id", "ord")
+    word, bit = F.pmod(F.shiftrightunsigned(name, 6), F.lit(filter_words)), name.bitwiseAND(63).cast("int")
+    words = (
+        cut.groupBy(word.alias("_word"))
+        .agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), bit)).alias("_bits"))
+    )
+    marked = files.withColumns({"_word": word, "_bit": bit})
+    likely = (
+        marked.join(F.broadcast(words), "_word")
+        .where(F.call_function("getbit", F.col("_bits"), F.col("_bit")) == 1)
+        .drop("_word", "_bits", "_bit")
     )
+    return likely.join(cut, ["repo_id", "ord"])
 
 
 def repo_digest(packed: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from codexfold import constants as K
 from codexfold.operators import intake, packing
@@ -83,3 +84,29 @@ def test_messages(spark):
     assert code[2] == "\n\n".join([K.CODE_LEAD, K.CODE_SPEC_LEAD + "T", K.CODE_PLAN_LEAD, K.CODE_SOURCE_LEAD])
     lead = packing.analysis_message(spark.createDataFrame([("x" * 70_000,)], "digest string")).first().message
     assert lead == K.ANALYSIS_LEAD + "x" * 60_000
+
+
+def test_text_waits_for_the_cut(spark):
+    """With no broadcast of tables, exchanges below the cut carry numbers, and only
+    rows that pass the filter of kept files reach the exchange of the text."""
+    content = F.lpad(F.col("id").cast("string"), 200, "x")
+    files = spark.range(5_000).select(
+        F.concat(F.lit("r"), (F.col("id") % 3).cast("string")).alias("repo_id"), F.col("id").alias("ord"),
+        F.lit("a.java").alias("path"), content.alias("content"),
+    )
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        packed = packing.pack_budget(files, 5_000)
+        assert packed.count() == 3 * (5_000 // len(chunk("a.java", "x" * 200)))
+        plan = packed._jdf.queryExecution().executedPlan()
+        carrying, below = [], [plan]
+        while below:
+            node = below.pop()
+            below += [node.children().apply(i) for i in range(node.children().size())]
+            if node.nodeName() == "Exchange" and "content#" in node.output().toString():
+                carrying.append(node.toString())
+        assert len(carrying) == 1 and "Broadcast" in carrying[0] and "getbit" in carrying[0]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
