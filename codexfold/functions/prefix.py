@@ -2,11 +2,12 @@
 
 A plain window over ``partitionBy(keys)`` puts a whole group in one task, so a
 repository or session holding a third of all rows would be one giant sort.
-Groups of ordinary size take exactly that window. A hot group's range of order
-values, from its smallest to its largest, is cut into as many blocks as its row
-count asks for, whatever the values are (dense numbers, snowflake ids,
-microseconds): blocks are summarised with map-side combining, only the summaries
-are scanned per group, and the row-level window runs per (group, block).
+Groups of ordinary size take exactly that window. A hot group's order values are
+cut at their quantiles, from a sketch of fixed size that is merged on the map side,
+into strips of about equally many rows, and each strip into as many blocks as its
+row count asks for. So values may come dense, sparse or in bursts (dense numbers,
+snowflake ids, microseconds). Blocks are summarised with map-side combining, only
+the summaries are scanned per group, and the row-level window runs per (group, block).
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from codexfold.functions.skew import HOT_ROWS, hot_keys
 
 BLOCK_ROWS = 4096
 BLOCKS_PER_HOT_GROUP = 256  # for a group of hot_rows rows, and in proportion
+STRIPS = 64  # of about equally many rows in every hot group
 PART_CHARS = 16 * 1024 * 1024
 
 
@@ -27,6 +29,15 @@ def block_of(order: str, block: int) -> Column:
     return F.floor(F.col(order) / F.lit(block))
 
 
+def _strip_and_block(value: Column, cuts: Column, blocks: Column) -> tuple[Column, Column]:
+    """Number of the strip between ``cuts`` that holds ``value``, and of its block in it;
+    both grow with ``value``, also where a sketched end lies inside the range."""
+    strip = F.size(F.filter(cuts, lambda cut: cut <= value))
+    low, high = F.get(cuts, strip - 1), F.get(cuts, strip)
+    share = (value - low) / (high - low).cast("double")
+    return strip.alias("_strip"), F.coalesce(F.floor(share * F.ceil(blocks / STRIPS)), F.lit(0)).alias("_number")
+
+
 def prefix(
     df: DataFrame,
     keys: Sequence[str],
@@ -50,10 +61,9 @@ def prefix(
     hot_by = [c for c in hot.columns if c != "_hot"]
     last = F.col(order[-1])
     ranges = df.join(hot, hot_by).groupBy(*keys).agg(
-        F.min(last).alias("_least"), (F.max(last) - F.min(last) + 1).cast("double").alias("_span"), F.count(F.lit(1)).alias("_size")
+        F.percentile_approx(last, [k / STRIPS for k in range(STRIPS + 1)]).alias("_cuts"), F.count(F.lit(1)).alias("_size")
     )
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("_size") * BLOCKS_PER_HOT_GROUP / hot_rows))
-    block = F.struct(*order[:-1], F.floor((last - F.col("_least")) / F.col("_span") * blocks).alias("_number"))
+    block = F.struct(*order[:-1], *_strip_and_block(last, F.col("_cuts"), F.col("_size") * BLOCKS_PER_HOT_GROUP / hot_rows))
 
     cells = (
         df.join(ranges, keys)
@@ -77,7 +87,7 @@ def prefix(
         .withColumns(
             {"_block": F.when(F.col("_size").isNotNull(), block), **{f"_m_{n}": c for n, (_, c) in measures.items()}}
         )
-        .drop("_least", "_span", "_size")
+        .drop("_cuts", "_size")
         .join(offsets, cell, "left")
     )
     for name, (fn, _) in measures.items():

@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from codexfold.functions.prefix import prefix
+from codexfold.functions.prefix import STRIPS, _strip_and_block, prefix
 from codexfold.functions.skew import lookup_join
 
 
@@ -64,3 +64,17 @@ def test_hot_key_is_spread(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_bursts_are_cut_evenly(spark):
+    """Nine tenths of a hot group in a hundredth of its range still reach many blocks."""
+    burst = spark.range(18_000).select((F.col("id") + 500_000).alias("o"))
+    df = burst.union(spark.range(2_000).select(F.col("id") * 900)).distinct().withColumn("k", F.lit("a"))
+    cuts = df.agg(F.percentile_approx("o", [k / STRIPS for k in range(STRIPS + 1)]).alias("cuts"))
+    placed = df.crossJoin(cuts).select("o", *_strip_and_block(F.col("o"), F.col("cuts"), F.lit(256.0)))
+    cells = placed.groupBy("_strip", "_number").agg(F.count("*").alias("n"), F.min("o").alias("least")).collect()
+    assert max(c.n for c in cells) < 20_000 / 64
+    ordered = sorted(cells, key=lambda c: (c["_strip"], c["_number"]))
+    assert [c.least for c in ordered] == sorted(c.least for c in cells)
+    total = prefix(df, ["k"], "o", {"n": ("sum", F.lit(1))}, hot_rows=1_000)
+    assert [r.n for r in total.orderBy("o").collect()] == list(range(df.count()))
