@@ -41,7 +41,8 @@ def code_archive_export(
 
     Paths and duplicates are kept in order. A session with more than
     ``part_bytes`` of text continues in further archives (part 1, 2, ...), so a
-    task builds one bounded archive at a time and no file is left out.
+    task builds one bounded archive at a time and no file is left out. Session ids
+    keep the type they come with.
     """
     size = (F.octet_length("content") + 2 * F.octet_length("path") + ENTRY_BYTES).cast("bigint")
     placed = prefix(files, ["session_id"], "ord", {"_before": ("sum", size)}, hot_rows).withColumn(
@@ -50,7 +51,7 @@ def code_archive_export(
 
     columns = ["session_id", "part", "pattern", "path", "content"]
 
-    emit_bytes = EMIT_BYTES
+    emit_bytes, id_kind = EMIT_BYTES, dict(files.dtypes)["session_id"]
 
     def build(batches):
         """Rows arrive sorted, so one archive at a time is open; finished ones
@@ -60,10 +61,7 @@ def code_archive_export(
 
         import pyarrow as pa
 
-        schema = pa.schema(
-            [("session_id", pa.int64()), ("part", pa.int64()), ("filename", pa.string()),
-             ("files", pa.int64()), ("zip", pa.binary())]
-        )
+        rest = [("part", pa.int64()), ("filename", pa.string()), ("files", pa.int64()), ("zip", pa.binary())]
         key, done, size = None, [], 0
 
         def close():
@@ -73,11 +71,13 @@ def code_archive_export(
             return len(done[-1][-1])
 
         def flush():
+            schema = pa.schema([("session_id", id_type), *rest])
             columns = [pa.array(c, f.type) for c, f in zip(zip(*done), schema)]
             done.clear()
             return pa.RecordBatch.from_arrays(columns, schema=schema)
 
         for batch in batches:
+            id_type = batch.column("session_id").type
             rows = zip(*(batch.column(c).to_pylist() for c in columns))
             for session_id, part, pattern, path, content in rows:
                 if (session_id, part) != key:
@@ -100,10 +100,5 @@ def code_archive_export(
         .repartition("session_id", "part")
         .sortWithinPartitions("session_id", "part", "ord")
         .select(*columns)
-        .mapInArrow(build, "session_id bigint, part bigint, filename string, files bigint, zip binary")
+        .mapInArrow(build, f"session_id {id_kind}, part bigint, filename string, files bigint, zip binary")
     )
-
-
-def write_files(files: DataFrame, location: str) -> None:
-    """Plain partitioned copy of the files table next to the archives."""
-    files.write.mode("overwrite").partitionBy("pattern").parquet(location)

@@ -13,6 +13,7 @@ from codexfold.constants import FRAME_HEAD, FRAME_TAIL, PACK_BUDGET, SOURCE_SUFF
 
 ENTRY_SCHEMA = "repo_id string, ord bigint, path string, content binary"
 EMIT_BYTES = 16 * 1024 * 1024
+INFLATE_BYTES = 1024 * 1024
 
 
 def read_archives(spark: SparkSession, location: str) -> DataFrame:
@@ -33,11 +34,12 @@ def archive_explode(
     the rejected repositories. ``source_only`` applies the suffix and folder
     filters before an entry is inflated. With ``budget`` the reader stops at
     the first entry whose framed text overflows it, the same rule as
-    ``pack_budget``, so the rest of a huge archive is never inflated.
+    ``pack_budget``, so the rest of a huge archive is never inflated; an entry is
+    inflated in chunks of ``INFLATE_BYTES`` and held up to the budget only.
     """
     suffixes, vendored = frozenset(SOURCE_SUFFIXES), frozenset(VENDORED_DIRS)
     frame = len(FRAME_HEAD) + len(FRAME_TAIL)
-    emit_bytes = EMIT_BYTES
+    emit_bytes, inflate_bytes = EMIT_BYTES, INFLATE_BYTES
 
     def wanted(name):
         from pathlib import PurePosixPath
@@ -58,16 +60,37 @@ def archive_explode(
             for position, info in enumerate(archive.infolist()):
                 if info.is_dir() or (source_only and not wanted(info.filename)):
                     continue
+                left = None if budget is None else budget - used - frame - len(info.filename)
                 try:
-                    data = archive.read(info)
+                    data, chars = inflated(archive, info, left)
                 except Exception:
                     continue
-                if budget is not None:
-                    used += frame + len(info.filename) + len(data.decode("utf-8", "replace"))
-                    if used > budget:
-                        return
+                if data is None:
+                    return
+                used += frame + len(info.filename) + chars
                 yield position, info.filename, data
 
+    def inflated(archive, info, left):
+        """Bytes and characters of an entry, (None, 0) if it has more than ``left``
+        characters: then no more than these are held, and the rest is only read
+        through, since an entry that turns out damaged does not end the archive."""
+        import codecs
+
+        pieces, chars, decoder = [], 0, codecs.getincrementaldecoder("utf-8")("replace")
+        with archive.open(info) as entry:
+            while piece := entry.read(inflate_bytes):
+                if left is not None:
+                    chars += len(decoder.decode(piece))
+                    if chars > left:
+                        pieces = None
+                if pieces is not None:
+                    pieces.append(piece)
+        if left is not None:
+            chars += len(decoder.decode(b"", True))
+            if chars > left:
+                pieces = None
+        return (None, 0) if pieces is None else (b"".join(pieces), chars)
+
     def explode(batches):
         import pyarrow as pa
 

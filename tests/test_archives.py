@@ -84,3 +84,23 @@ def test_artifacts(spark, tmp_path):
     assert {(r.filename, r.content) for r in artifacts.collect()} == {("brd-01234567.md", "b"), ("plan-x.md", "p")}
     exports.write_artifacts(artifacts, str(tmp_path / "out"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
+def test_archives_of_text_sessions(spark):
+    files = spark.createDataFrame([("s-1", "p", 0, "a", "x"), ("s-2", "p", 0, "b", "y"), (None, "p", 0, "c", "z")],
+        "session_id string, pattern string, ord bigint, path string, content string")
+    found = {r.session_id: r for r in exports.code_archive_export(files).collect()}
+    assert {k: r.files for k, r in found.items()} == {"s-1": 1, "s-2": 1, None: 1}
+    with zipfile.ZipFile(io.BytesIO(bytes(found["s-2"].zip))) as z:
+        assert z.read("b") == b"y"
+
+
+def test_long_entries_are_held_up_to_the_budget(spark):
+    """Characters split over chunks count once; a damaged long entry does not end the archive."""
+    long = [("a.java", "é😀".encode() * 700_000), ("b.java", b"class B {}"), ("c.java", b"\xe9" * 50)]
+    size = 2 * 700_000 + len("\n\n// === FILE: a.java ===\n")
+    df = frame(spark, {"ok": archive(long), "bad": damaged(long, "a.java")})
+    for budget, kept in ((size, ["a.java"]), (size - 1, []), (size + 36, ["a.java", "b.java"]), (size * 2, ["a.java", "b.java", "c.java"])):
+        rows = pack_archives(df, budget).select("repo_id", "path").collect()
+        assert sorted(r.path for r in rows if r.repo_id == "ok") == kept
+        assert sorted(r.path for r in rows if r.repo_id == "bad") == ["b.java", "c.java"]
