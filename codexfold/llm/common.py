@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import functools
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -15,12 +16,19 @@ from pyspark.sql import functions as F
 CHUNK_BYTES = 300_000
 
 
+@functools.cache
+def _local_dir() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="codexfold-")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where it is unset."""
+    """The folder in spark.checkpoint.dir; a local session without that setting, as in
+    tests, gets a temporary one, one for the whole process."""
     place = spark.conf.get("spark.checkpoint.dir", None)
+    if not place and spark.sparkContext.master.startswith("local"):
+        place = _local_dir()
     if not place:
-        place = "file://" + tempfile.mkdtemp(prefix="codexfold-")
-        spark.conf.set("spark.checkpoint.dir", place)
+        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
     return place.rstrip("/")
 
 
