@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import functools
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -32,15 +33,26 @@ def shared_dir(spark: SparkSession) -> str:
     return place.rstrip("/")
 
 
+def give_back() -> None:
+    """Gives memory that Python has freed back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library only
+    if trim:
+        trim(0)
+
+
 def written(df: DataFrame) -> DataFrame:
     """``df`` as a table in the shared folder: computed once, lineage cut,
     readable by every executor, its size known to the optimizer.
 
     Spark drops shuffle files once the driver has collected the plan they belong to,
-    which may take long on a large heap; so the driver collects after each write.
+    which may take long on a large heap; so the driver, JVM and Python, collects after
+    each write.
     """
     path = f"{shared_dir(df.sparkSession)}/codexfold-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    gc.collect()
+    give_back()
     df.sparkSession.sparkContext._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -55,10 +67,7 @@ def releasing(rows: Iterator) -> Iterator:
     try:
         yield from rows
     finally:
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library only
-        if trim:
-            trim(0)
+        give_back()
 
 
 def is_held_out(doc_id) -> F.Column:

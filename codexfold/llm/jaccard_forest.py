@@ -529,9 +529,9 @@ def jaccard_components(
 
     bits = min(filter_bits, max(1 << 12, 1 << (16 * clusters.count()).bit_length()))
     words = clusters.select("key").mapInArrow(lambda it: releasing(_filter_bits(it, bits)), "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    words = words.toArrow()  # filter_bits bits at most
     bloom = np.zeros(bits // 64, np.uint64)
-    for r in words.collect():
-        bloom[r.word] = np.uint64(r.bits & (1 << 64) - 1)
+    bloom[np.asarray(words.column("word"))] = np.asarray(words.column("bits")).view(np.uint64)
     sets = written(docs.select("text").mapInArrow(lambda it: releasing(_whole_sets(it, width, bloom)), "key long, tokens binary").dropDuplicates(["key"]))
 
     def similar(cells: DataFrame) -> DataFrame:

@@ -281,7 +281,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 6_000, k: int = 15
         return index
     given = spark.sparkContext.broadcast(vocabulary)  # the words of max_rows texts
     seen = docs.select("text").mapInArrow(lambda it: releasing(_document_counts(it, given.value)), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).toArrow()
-    given.unpersist()
+    given.destroy()
     texts = np.zeros(len(vocabulary) + 1, np.int64)
     texts[np.asarray(seen.column("word"))] = np.asarray(seen.column("n"))
     idf = np.log((1 + texts[-1]) / (1 + texts[:-1])) + 1
@@ -306,6 +306,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 6_000, k: int = 15
 
         size = len(index.ids)
         found = spark.range(0, size, 1, max(1, size // 1_000)).mapInArrow(lambda it: releasing(votes(it)), "row long, vote double").collect()
+        shared.destroy()
         index.calibrate([(r.row, r.vote) for r in found])
     return index
 
