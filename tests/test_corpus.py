@@ -362,3 +362,17 @@ def test_hostile_texts_take_seconds(spark):
     for operator in (C.package_inventory, C.dependency_edges, C.endpoints, C.entity_model, C.libraries, C.config_entries, C.process_parts):
         operator(df).collect()
     assert time.time() - start < 60
+
+
+def test_imports_are_read_once(spark):
+    """Both sides of the lookup share the exchange behind the one scan of the text."""
+    made = spark.createDataFrame([("r", "A.java", "package a;\nimport b.B;\n"), (None, "B.java", "package b;\nimport b.c.C;\nimport a.A;\n"), (None, "C.java", "package a;\n")], FILES)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        edges = C.dependency_edges(made)
+        plan = edges._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert sum("regexp_extract_all" in line for line in plan.splitlines()) == 1
+    got = sorted((r.repo_id or "", r.source, r.target, r.weight, r.internal) for r in edges.collect())
+    assert got == [("", "b", "a", 1, False), ("", "b", "b.c", 1, False), ("r", "a", "b", 1, False)]
