@@ -29,6 +29,7 @@ from codexfold.llm.common import is_held_out, releasing
 
 WORD = re.compile(r"[^\W\d_]+")
 BLOCK, BATCH = 1024, 256  # examples of a block, texts searched at once
+POSTINGS = 1 << 18  # postings worked off at once; alike examples share a block, so a word may be in all of it
 DENSE = 0.1  # share of the examples that makes a word common
 HALFWAY, LEAST = 40.0, 0.01  # chi-square at which a word counts half, and what every word has
 
@@ -148,9 +149,16 @@ class Index:
         first = block * len(self.words) + c
         lo, hi = self.starts[first].astype(np.int64), self.starts[first + 1].astype(np.int64)
         n = hi - lo
-        post = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        hit = np.repeat(owner, n) * BLOCK + self.slots[post]
-        out += np.bincount(hit, weights=np.repeat(w, n) * self.values[post], minlength=len(of) * BLOCK).reshape(len(of), BLOCK)
+        sums, upto = np.zeros(out.size), np.r_[0, np.cumsum(n)]
+        a = 0
+        while a < len(n):
+            b = max(a + 1, int(np.searchsorted(upto, upto[a] + POSTINGS, "right")) - 1)
+            part = n[a:b]
+            post = np.repeat(lo[a:b] - upto[a:b], part) + np.arange(upto[a], upto[b])
+            # in order, so that the sums do not depend on where they are cut
+            np.add.at(sums, np.repeat(owner[a:b] * BLOCK, part) + self.slots[post], np.repeat(w[a:b], part) * self.values[post])
+            a = b
+        out += sums.reshape(out.shape)
         return out
 
     def nearest(self, queries: list[tuple[np.ndarray, np.ndarray]], without: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:

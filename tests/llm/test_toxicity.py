@@ -92,3 +92,25 @@ def test_edge_cases(spark, docs_of):
     for given in (labels.limit(0), labels.where("toxic = 1")):
         scores = {r.score for r in toxicity(docs_of(rows), given).collect()}
         assert len(scores) == 1 and 0 <= scores.pop() <= 1
+
+
+def test_near_copies_cost_little_memory(monkeypatch):
+    """600 alike examples of 150 words: every word is in every example of a block, but in less than a tenth of all."""
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    alike = [np.sort(rng.choice(160, 150, replace=False)) for _ in range(600)]
+    others = [160 + np.sort(rng.choice(4000, 12, replace=False)) for _ in range(5600)]
+    ptr = np.r_[0, np.cumsum([len(c) for c in alike + others])]
+    cols = np.concatenate(alike + others)
+    n = len(alike) + len(others)
+    labels = np.arange(n) % 2
+    made = T.Index([f"w{k}" for k in range(4160)], rng.uniform(0.5, 2, 4160), ptr, cols, np.ones(len(cols), np.int64), np.arange(n), labels, 15)
+    rows = np.flatnonzero(made.ids < 600)[:256]
+    made.left_out(rows[:1])
+    tracemalloc.start()
+    votes = made.left_out(rows)
+    assert tracemalloc.get_traced_memory()[1] < 150e6
+    tracemalloc.stop()
+    monkeypatch.setattr(T, "POSTINGS", 1)
+    assert (made.left_out(rows[:9]) == votes[:9]).all()
