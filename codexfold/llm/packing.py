@@ -47,6 +47,9 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 _ENDED = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-^`{-~]+)")
 
 
+NARROW = 1 << 16  # ids below travel as 16-bit numbers
+
+
 class WordIds:
     """Token ids of whole texts, one word after the other.
 
@@ -107,8 +110,23 @@ def word_ids(path: str) -> WordIds:
     return WordIds(path)
 
 
-def token_pieces(docs: DataFrame, limit: int, path: str) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32, ids) of every row, cut at ``limit``."""
+def narrowed(part: bytes) -> bytes:
+    """Ids of 32 bits as such of 16, if all of them fit."""
+    ids = np.frombuffer(part, "<u4")
+    return ids.astype("<u2").tobytes() if ids.max() < NARROW else part
+
+
+def widened(ids: str, length: str) -> F.Column:
+    """The column ``ids`` with 32 bits for each of ``length`` ids, given ``narrowed`` ones."""
+    zeros = F.regexp_replace(F.hex(ids), "(?<id>.{4})", "${id}0000")
+    return F.when(F.octet_length(ids) == 2 * F.col(length), F.unhex(zeros)).otherwise(F.col(ids))
+
+
+def token_pieces(docs: DataFrame, limit: int, path: str, narrow: bool = False) -> DataFrame:
+    """(doc_id, piece, start, length, ids_crc32, ids) of every row, cut at ``limit``.
+
+    ``narrow`` gives 16-bit ids in pieces that have no larger one; ``widened`` takes them back.
+    """
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = word_ids(path)
@@ -124,7 +142,7 @@ def token_pieces(docs: DataFrame, limit: int, path: str) -> DataFrame:
                 for doc, coded in zip(ids[lo:hi], words.encode([t or "" for t in texts.slice(lo, hi - lo).to_pylist()])):
                     for piece, at in enumerate(range(0, len(coded), 4 * limit)):
                         part = coded[at : at + 4 * limit]
-                        row = (doc, piece, at // 4, len(part) // 4, zlib.crc32(part), part)
+                        row = (doc, piece, at // 4, len(part) // 4, zlib.crc32(part), narrowed(part) if narrow else part)
                         for c, v in zip(out, row):
                             out[c].append(v)
                 yield pa.RecordBatch.from_arrays(
@@ -285,7 +303,8 @@ def best_fit_packing(
     empty result; other columns are ignored. ``with_ids=False`` leaves out the
     column of ids, little-endian unsigned 32-bit numbers.
     """
-    pieces = token_pieces(docs, limit, path or vocabulary_path())
+    # written and shuffled with their places, so the ids are as small as they can be
+    pieces = token_pieces(docs, limit, path or vocabulary_path(), narrow=with_ids)
     pieces = written((pieces if with_ids else pieces.drop("ids")).withColumn("item", F.monotonically_increasing_id()))
     rest = pieces.where(F.col("length") < limit).select("item", "length")
     shape = "block long, item long, length long, bin long, offset long, open boolean"
@@ -309,5 +328,5 @@ def best_fit_packing(
     return pieces.join(places, "item", "left").select(
         "doc_id", "piece", "start", "length", "ids_crc32",
         F.coalesce("sequence_id", -1 - F.col("item")).alias("sequence_id"), F.coalesce("offset", F.lit(0).cast("long")).alias("offset"),
-        *(["ids"] if with_ids else []),
+        *([widened("ids", "length").alias("ids")] if with_ids else []),
     )

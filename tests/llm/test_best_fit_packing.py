@@ -8,7 +8,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from codexfold.llm.packing import WordIds, _pairs, best_fit, best_fit_packing, local_search, vocabulary_path
+from codexfold.llm.packing import WordIds, _pairs, best_fit, best_fit_packing, local_search, narrowed, token_pieces, vocabulary_path, widened
 
 
 def tokenizer():
@@ -114,3 +114,15 @@ def test_search_keeps_all_items_and_never_adds_bins(seed):
     better = local_search([list(b) for b in packed], lengths, 100)
     assert sorted(sum(better, [])) == list(range(150)) and len(better) <= n and max(int(lengths[b].sum()) for b in better) <= 100
     assert sum(int(lengths[b].sum()) ** 2 for b in better) >= squares
+
+
+def test_ids_travel_with_16_bits(spark, small_docs):
+    """What is written and shuffled has two bytes for an id, what is returned four."""
+    pieces = token_pieces(small_docs[1], 4096, vocabulary_path(), narrow=True)
+    rows = pieces.withColumn("wide", widened("ids", "length")).collect()
+    assert rows and all(len(r.ids) == 2 * r.length and len(r.wide) == 4 * r.length and zlib.crc32(bytes(r.wide)) == r.ids_crc32 for r in rows)
+    large = [np.array(ids, "<u4").tobytes() for ids in ([0xFFFF, 0, 1], [0x10000, 7], [0xFFFFFFFF], [1])]
+    sent = [narrowed(b) for b in large]
+    assert [len(b) for b in sent] == [6, 8, 4, 2]
+    table = spark.createDataFrame([(k, bytearray(b), len(raw) // 4) for k, (b, raw) in enumerate(zip(sent, large))], "k int, ids binary, length long")
+    assert [bytes(r.ids) for r in table.select("k", widened("ids", "length").alias("ids")).orderBy("k").collect()] == large
