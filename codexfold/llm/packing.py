@@ -305,7 +305,7 @@ def best_fit_packing(
     """
     # written and shuffled with their places, so the ids are as small as they can be
     pieces = token_pieces(docs, limit, path or vocabulary_path(), narrow=with_ids)
-    pieces = written((pieces if with_ids else pieces.drop("ids")).withColumn("item", F.monotonically_increasing_id()))
+    pieces = written((pieces if with_ids else pieces.drop("ids")).withColumn("item", F.monotonically_increasing_id()), "zstd")
     rest = pieces.where(F.col("length") < limit).select("item", "length")
     shape = "block long, item long, length long, bin long, offset long, open boolean"
     rest = rest.withColumn("held", F.lit(None).cast("long"))
