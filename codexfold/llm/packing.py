@@ -18,13 +18,14 @@ from __future__ import annotations
 import bisect
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import islice
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,20 +43,36 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
-# letters and then ASCII signs but the apostrophe, which starts contractions: the
-# tokenizer takes the two apart, and no normalisation joins them
-_ENDED = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-^`{-~]+)")
+# words of these letters are one token of the first splitting: Latin but the capital I with
+# a dot, which lower-cases to two characters, Greek and Cyrillic; no normalisation takes them apart
+LETTERS = "^[A-Za-zÀ-ÖØ-öø-įı-ɏΑ-ΡΣ-Ωα-ωЀ-ҁҊ-ӿ]+$"
+_letters = re.compile(LETTERS[1:-1])
+# ASCII signs but the apostrophe, which starts contractions: the tokenizer takes letters and
+# the signs after them apart
+SIGNS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c != "'")
+
+
+def strings(texts: pa.Array) -> list[str]:
+    return texts.to_numpy(zero_copy_only=False).tolist()
 
 
 NARROW = 1 << 16  # ids below travel as 16-bit numbers
 
 
+def taken(values: np.ndarray, lengths: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs ``which`` of ``values``, cut into runs of ``lengths``, and their lengths."""
+    starts, sizes = np.cumsum(lengths) - lengths, lengths[which]
+    ends = np.cumsum(sizes)
+    return values[np.repeat(starts[which] - ends + sizes, sizes) + np.arange(sizes.sum())], sizes
+
+
 class WordIds:
     """Token ids of whole texts, one word after the other.
 
     The tokenizer drops white space and never joins across it, so the ids of a text
-    are those of its words; words seen before are looked up in a bounded cache. Ids are
-    kept as the machine's unsigned 32-bit numbers, little-endian on Spark's platforms.
+    are those of its words. Texts are split, and their different words found, by Arrow;
+    words seen before are looked up in a bounded cache. Ids are kept as the machine's
+    unsigned 32-bit numbers, little-endian on Spark's platforms.
     """
 
     def __init__(self, path: str):
@@ -65,43 +82,70 @@ class WordIds:
         self.cache: dict[str, bytes] = {}
         special = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special}
         self.mark, self.mark_id = min(special.items(), default=(None, None))
+        suffix, vocabulary = getattr(self.tokenizer.model, "end_of_word_suffix", None), self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.ends_word[[i for token, i in vocabulary.items() if suffix and token.endswith(suffix)]] = True
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of every text, with the end id."""
         # the tokenizer lower-cases; doing it for A-Z here makes more words equal, but
         # must not spell a special token
-        lowered = [t if "<|" in t else t.encode().lower().decode() for t in texts]
-        split = [t.replace("\n", " ").split(" ") for t in lowered]
+        lowered = pa.array([t if "<|" in t else t.encode().lower().decode() for t in texts], pa.large_string())
+        split = pc.split_pattern(pc.replace_substring(lowered, "\n", " "), " ")
+        words = split.flatten().dictionary_encode()
+        # letters and signs after them have the ids of the letters and those of the signs
+        stems = pc.ascii_rtrim(words.dictionary, characters=SIGNS)
+        signed = pc.and_(pc.not_equal(stems, words.dictionary), pc.match_substring_regex(stems, LETTERS))
+        firsts = pc.if_else(signed, stems, words.dictionary).dictionary_encode()
+        signs = [w[len(s) :] for w, s in zip(strings(words.dictionary.filter(signed)), strings(stems.filter(signed)))]
+        numbers = {s: k for k, s in enumerate(dict.fromkeys(signs), len(firsts.dictionary))}
+        known, lengths = self.ids_of(strings(firsts.dictionary) + list(numbers))
+        none = len(lengths)
+        parts = np.full((len(firsts), 2), none)
+        parts[:, 0] = firsts.indices
+        parts[np.asarray(signed), 1] = [numbers[s] for s in signs]
+        known, lengths = taken(known, np.r_[lengths, 0], parts.ravel())
+        ids, lengths = taken(known, lengths.reshape(-1, 2).sum(axis=1), np.asarray(words.indices))
+        at = np.r_[0, np.cumsum(lengths)][np.asarray(split.offsets)].tolist()
+        end = np.array([END_ID], "<u4").tobytes()
+        return [ids[lo:hi].tobytes() + end for lo, hi in zip(at, at[1:])]
+
+    def ids_of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of different words, one word after the other, and how many each has."""
         cache = self.cache
         if len(cache) > CACHE_WORDS:
             cache = self.cache = dict(islice(cache.items(), KEPT_WORDS))  # met first, so the frequent ones are among them
-        new = list(set().union(*split).difference(cache))
-        joined = [m for m in map(_ENDED.fullmatch, new) if m]
-        stems = {part for m in joined for part in m.groups()}
-        whole = stems.union(new).difference(m[0] for m in joined).difference(cache)
-        self.add(list(whole))
-        for m in joined:
-            cache[m[0]] = cache[m[1]] + cache[m[2]]
-        end = np.array([END_ID], "<u4").tobytes()
-        out = [b"".join(map(cache.__getitem__, words)) + end for words in split]
-        for word in whole.union(new):
+        new = [w for w in words if w not in cache]
+        self.add(new)
+        coded = [cache[w] for w in words]
+        for word in new:
             if len(word) > CACHE_CHARS:
-                del cache[word]
-        return out
+                cache.pop(word, None)
+        return np.frombuffer(b"".join(coded), "<u4"), np.fromiter(map(len, coded), np.int64, len(coded)) // 4
 
     def add(self, words: list[str]) -> None:
-        """Many words to a call, with a special token after each, which nothing is joined across."""
-        together = [w for w in words if self.mark and self.mark not in w]
-        for lo in range(0, len(together), 20_000):
-            parts = [together[k : k + 200] for k in range(lo, min(lo + 20_000, len(together)), 200)]
-            lines = [self.mark.join(part) + self.mark for part in parts]
+        """Many words to a call: of letters with spaces between, as the last id of each says where it
+        ends; others with a special token after each, which nothing is joined across."""
+        letters = list(filter(_letters.fullmatch, words)) if self.ends_word.any() else []
+        signs = [w for w in set(words).difference(letters) if self.mark and self.mark not in w]
+        self.add_lines(letters, " ", lambda ids: np.flatnonzero(self.ends_word[ids]) + 1, 0)
+        self.add_lines(signs, self.mark, lambda ids: np.flatnonzero(ids == self.mark_id), 1)
+        for word in words:
+            if word not in self.cache:
+                self.cache[word] = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def add_lines(self, words: list[str], between: str, ends_in: Callable, skip: int) -> None:
+        """Lines of ``words``; ``ends_in`` their ids finds the end of each word, ``skip`` ids before the next."""
+        for lo in range(0, len(words), 20_000):
+            parts = [words[k : k + 500] for k in range(lo, min(lo + 20_000, len(words)), 500)]
+            lines = [between.join(part) + between for part in parts]
             for part, coded in zip(parts, self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)):
                 ids = np.array(coded.ids, "<u4")
-                ends, raw = np.flatnonzero(ids == self.mark_id) * 4, ids.tobytes()
-                for word, start, end in zip(part, [0, *(ends + 4).tolist()], ends.tolist()):
+                ends, raw = ends_in(ids) * 4, ids.tobytes()
+                if len(ends) != len(part):
+                    continue
+                for word, start, end in zip(part, [0, *(ends + 4 * skip).tolist()], ends.tolist()):
                     self.cache[word] = raw[start:end]
-        for word in set(words).difference(together):
-            self.cache[word] = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
 
 
 @lru_cache(maxsize=1)

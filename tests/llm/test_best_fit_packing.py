@@ -126,3 +126,18 @@ def test_ids_travel_with_16_bits(spark, small_docs):
     assert [len(b) for b in sent] == [6, 8, 4, 2]
     table = spark.createDataFrame([(k, bytearray(b), len(raw) // 4) for k, (b, raw) in enumerate(zip(sent, large))], "k int, ids binary, length long")
     assert [bytes(r.ids) for r in table.select("k", widened("ids", "length").alias("ids")).orderBy("k").collect()] == large
+
+
+def test_words_before_signs_are_encoded_once():
+    words, whole = WordIds(vocabulary_path()), tokenizer()
+    texts = ["hend hend, Hend. schön hend### schön, слово слово! (hend)", "hend's, " + "#" * 70 + " a" + "#" * 70 + " ,", "x\n\n y,"]
+    assert words.encode(texts) == [np.array([*whole.encode(t, add_special_tokens=False).ids, 1], "<u4").tobytes() for t in texts]
+    assert {"hend", "schön", "слово", ",", "###"} < words.cache.keys()
+    assert not {"hend,", "hend.", "hend###", "schön,", "слово!"} & words.cache.keys()
+
+
+def test_letters_whose_lower_case_ends_in_a_mark_stay_with_their_signs():
+    """The tokenizer joins the dot that is left of the letter with the signs after it."""
+    texts = ["İ, İİ. aİ,", "\u0958, \u0958 a\u0344."]
+    expected = [np.array([*tokenizer().encode(t, add_special_tokens=False).ids, 1], "<u4").tobytes() for t in texts]
+    assert WordIds(vocabulary_path()).encode(texts) == expected
