@@ -8,9 +8,9 @@ one with two there. Every step raises the sum of squared fills, and the search g
 until none does; where a bin runs empty, a sequence is saved. A block that already has the fewest bins its
 tokens allow needs no search.
 
-Rests are packed in blocks of bounded size, dealt by hash; bins that stay
-underfull are dealt again at the next level, until one block is left or a level saves
-no bin.
+Rests are packed in blocks of bounded size: first by the task that makes them, so that
+what fills a sequence there is not shuffled; bins that stay underfull are dealt by hash,
+level by level, until one block is left or a level saves no bin.
 """
 
 from __future__ import annotations
@@ -26,6 +26,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +36,8 @@ VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
 CACHE_WORDS, KEPT_WORDS = 400_000, 200_000  # entries of a worker's cache, about 80 MB, and those left when it is full
 CACHE_CHARS = 64  # length of the longest entry
+BLOCK_BYTES = 16 << 20  # a task packs so many bytes of pieces at a time, or fewer
+LOCAL = 1 << 62  # numbers of sequences that tasks make begin here
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -166,38 +169,90 @@ def widened(ids: str, length: str) -> F.Column:
     return F.when(F.octet_length(ids) == 2 * F.col(length), F.unhex(zeros)).otherwise(F.col(ids))
 
 
+PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary"
+
+
+def cut_texts(batches: Iterator[pa.RecordBatch], limit: int, path: str, narrow: bool) -> Iterator[pa.RecordBatch]:
+    """The pieces of the texts of ``batches``, about a million characters of text to a batch."""
+    words = word_ids(path)
+    for batch in batches:
+        ids, texts = batch.column("doc_id").to_pylist(), batch.column("text")
+        lo = 0
+        while lo < len(ids):
+            hi, size = lo, 0
+            while hi < len(ids) and (hi == lo or size < 1_000_000):
+                size += len(texts[hi].as_py() or "")
+                hi += 1
+            out: dict = {c: [] for c in ("doc_id", "piece", "start", "length", "ids_crc32", "ids")}
+            for doc, coded in zip(ids[lo:hi], words.encode([t or "" for t in texts.slice(lo, hi - lo).to_pylist()])):
+                for piece, at in enumerate(range(0, len(coded), 4 * limit)):
+                    part = coded[at : at + 4 * limit]
+                    row = (doc, piece, at // 4, len(part) // 4, zlib.crc32(part), narrowed(part) if narrow else part)
+                    for c, v in zip(out, row):
+                        out[c].append(v)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(out["doc_id"], pa.int64()), pa.array(out["piece"], pa.int32()), pa.array(out["start"], pa.int64()),
+                 pa.array(out["length"], pa.int64()), pa.array(out["ids_crc32"], pa.int64()), pa.array(out["ids"], pa.binary())],
+                list(out),
+            )
+            lo = hi
+
+
 def token_pieces(docs: DataFrame, limit: int, path: str, narrow: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, ids) of every row, cut at ``limit``.
 
     ``narrow`` gives 16-bit ids in pieces that have no larger one; ``widened`` takes them back.
     """
+    texts = docs.select(F.col("doc_id").cast("long"), "text")
+    return texts.mapInArrow(lambda it: releasing(cut_texts(it, limit, path, narrow)), PIECES)
+
+
+def placed_pieces(docs: DataFrame, limit: int, path: str, block_items: int, with_ids: bool) -> DataFrame:
+    """``token_pieces`` with ``item``, ``sequence_id``, ``offset`` and ``open``: every task packs the rests it
+    makes in blocks of ``block_items``, fewer where their ids fill ``BLOCK_BYTES``. Full sequences have no place.
+    ``item`` numbers the pieces in the order of the rows."""
+
+    def pack(block: list[pa.RecordBatch], bins: int) -> tuple[pa.Table, int]:
+        table = pa.Table.from_batches(block)
+        lengths = table["length"].to_numpy()
+        order, bin_, offset, open_ = in_bins(lengths, limit, [best_fit(lengths, limit)])
+        number = LOCAL + (TaskContext.get().partitionId() << 24) + bins + bin_
+        table = table.take(order)
+        for name, column in (("sequence_id", number), ("offset", offset), ("open", open_ | (len(order) < block_items // 10))):
+            table = table.append_column(name, pa.array(column))
+        return table, bins + int(bin_[-1]) + 1
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = word_ids(path)
-        for batch in batches:
-            ids, texts = batch.column("doc_id").to_pylist(), batch.column("text")
-            lo = 0
-            while lo < len(ids):
-                hi, size = lo, 0
-                while hi < len(ids) and (hi == lo or size < 1_000_000):
-                    size += len(texts[hi].as_py() or "")
-                    hi += 1
-                out: dict = {c: [] for c in ("doc_id", "piece", "start", "length", "ids_crc32", "ids")}
-                for doc, coded in zip(ids[lo:hi], words.encode([t or "" for t in texts.slice(lo, hi - lo).to_pylist()])):
-                    for piece, at in enumerate(range(0, len(coded), 4 * limit)):
-                        part = coded[at : at + 4 * limit]
-                        row = (doc, piece, at // 4, len(part) // 4, zlib.crc32(part), narrowed(part) if narrow else part)
-                        for c, v in zip(out, row):
-                            out[c].append(v)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(out["doc_id"], pa.int64()), pa.array(out["piece"], pa.int32()), pa.array(out["start"], pa.int64()),
-                     pa.array(out["length"], pa.int64()), pa.array(out["ids_crc32"], pa.int64()), pa.array(out["ids"], pa.binary())],
-                    list(out),
-                )
-                lo = hi
-
-    shape = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary"
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lambda it: releasing(pieces(it)), shape)
+        held: list[pa.RecordBatch] = []
+        items = size = bins = 0
+        item = TaskContext.get().partitionId() << 33
+        for batch in cut_texts(batches, limit, path, with_ids):
+            if not with_ids:
+                batch = batch.drop_columns(["ids"])
+            batch = batch.append_column("item", pa.array(np.arange(item, item + batch.num_rows)))
+            item += batch.num_rows
+            full = pc.equal(batch["length"], limit)
+            whole = batch.filter(full)
+            if whole.num_rows:
+                n = whole.num_rows
+                empty = {"sequence_id": pa.nulls(n, pa.int64()), "offset": pa.nulls(n, pa.int64()), "open": pa.array(np.zeros(n, bool))}
+                yield pa.RecordBatch.from_arrays([*whole.columns, *empty.values()], [*whole.schema.names, *empty])
+            rests = batch.filter(pc.invert(full))
+            while rests.num_rows:
+                some = rests.slice(0, block_items - items)
+                rests = rests.slice(some.num_rows)
+                held.append(some)
+                items, size = items + some.num_rows, size + some.nbytes
+                if items == block_items or size >= BLOCK_BYTES:
+                    table, bins = pack(held, bins)
+                    held, items, size = [], 0, 0
+                    yield from table.to_batches(2_000)
+        if held:
+            yield from pack(held, bins)[0].to_batches(2_000)
+
+    shape = PIECES if with_ids else PIECES.removesuffix(", ids binary")
+    texts = docs.select(F.col("doc_id").cast("long"), "text")
+    return texts.mapInArrow(lambda it: releasing(pieces(it)), f"{shape}, item long, sequence_id long, offset long, open boolean")
 
 
 def best_fit(lengths: np.ndarray, limit: int) -> list[list[int]]:
@@ -312,6 +367,26 @@ def local_search(bins: list[list[int]], lengths: np.ndarray, limit: int) -> list
     return [sorted(b) for b in members if b]
 
 
+def in_bins(
+    lengths: np.ndarray, limit: int, starts: list[list[list[int]]]
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Items in the order of the fewest bins that a search from one of ``starts`` ends with;
+    for each its bin, its offset there, and whether the bin is open to the next level."""
+    fewest = -(-int(lengths.sum()) // limit)
+    bins = starts[0]
+    for n, start in enumerate(starts):
+        found = local_search(start, lengths, limit)
+        bins = found if not n or len(found) < len(bins) else bins
+        if len(bins) <= fewest:
+            break
+    order = np.concatenate([np.array(b, np.int64) for b in bins])
+    counts = [len(b) for b in bins]
+    fills = np.array([lengths[b].sum() for b in bins])
+    first = np.repeat(np.cumsum(fills) - fills, counts)
+    offset = np.cumsum(lengths[order]) - lengths[order] - first
+    return order, np.repeat(np.arange(len(bins)), counts), offset, np.repeat(fills < limit * 0.99, counts)
+
+
 def _packed(frame: pd.DataFrame, limit: int) -> pd.DataFrame:
     """Bins of one block; ``open`` marks those whose documents go to the next level.
 
@@ -320,19 +395,9 @@ def _packed(frame: pd.DataFrame, limit: int) -> pd.DataFrame:
     """
     frame = frame.sort_values("item", ignore_index=True)
     lengths = frame["length"].to_numpy(np.int64)
-    starts = [best_fit(lengths, limit)]
-    if frame["held"].notna().all():
-        starts.append([list(b) for b in frame.groupby("held").indices.values()])
-    bins = min((local_search(b, lengths, limit) for b in starts), key=len)
-    order = np.concatenate([np.array(b, np.int64) for b in bins])
-    out = frame.iloc[order].reset_index(drop=True)
-    counts = [len(b) for b in bins]
-    fills = np.array([lengths[b].sum() for b in bins])
-    out["bin"] = np.repeat(np.arange(len(bins)), counts)
-    ends = np.cumsum(out["length"].to_numpy(np.int64))
-    first = np.repeat(np.cumsum(fills) - fills, counts)
-    out["offset"] = ends - out["length"].to_numpy(np.int64) - first
-    out["open"] = np.repeat(fills < limit * 0.99, counts)
+    starts = [best_fit(lengths, limit), [list(b) for b in frame.groupby("held").indices.values()]]
+    order, bin_, offset, open_ = in_bins(lengths, limit, starts)
+    out = frame.iloc[order].reset_index(drop=True).assign(bin=bin_, offset=offset, open=open_)
     return out[["block", "item", "length", "bin", "offset", "open"]]
 
 
@@ -347,30 +412,33 @@ def best_fit_packing(
     empty result; other columns are ignored. ``with_ids=False`` leaves out the
     column of ids, little-endian unsigned 32-bit numbers.
     """
-    # written and shuffled with their places, so the ids are as small as they can be
-    pieces = token_pieces(docs, limit, path or vocabulary_path(), narrow=with_ids)
-    pieces = written((pieces if with_ids else pieces.drop("ids")).withColumn("item", F.monotonically_increasing_id()), "zstd")
-    rest = pieces.where(F.col("length") < limit).select("item", "length")
+    pieces = written(placed_pieces(docs, limit, path or vocabulary_path(), block_items, with_ids), "zstd")
+    first = F.col("offset") == 0  # one document of every bin
+    rests, left, before = pieces.agg(F.count("offset"), F.count_if("open"), F.count_if(first & F.col("open"))).first()
+    if rests <= block_items:  # one search over all of them
+        pieces, left = pieces.withColumn("open", F.col("offset").isNotNull()), rests
     shape = "block long, item long, length long, bin long, offset long, open boolean"
-    rest = rest.withColumn("held", F.lit(None).cast("long"))
-    placed, level, left, before = [], 0, rest.count(), None
-    while True:
-        blocks = max(1, -(-left // block_items))
-        dealt = rest.withColumn("block", F.pmod(F.xxhash64(F.coalesce("held", "item"), F.lit(level)), F.lit(blocks)))
+    rest = pieces.where("open").select("item", "length", F.col("sequence_id").alias("held"))
+    placed, level = [], 0
+    while left:
+        blocks = -(-left // block_items)
+        dealt = rest.withColumn("block", F.pmod(F.xxhash64("held", F.lit(level)), F.lit(blocks)))
         number = F.lit(level << 56) + F.col("block") * (1 << 24) + F.col("bin")
         done = written(dealt.groupBy("block").applyInPandas(lambda f: _packed(f, limit), shape).withColumn("sequence_id", number))
-        first = F.col("offset") == 0  # one document of every bin
         bins, underfull, left = done.agg(F.count_if(first), F.count_if(first & F.col("open")), F.count_if("open")).first()
-        last = blocks == 1 or before is not None and bins >= before
+        last = blocks == 1 or bins >= before
         placed.append((done if last else done.where("not open")).select("item", "sequence_id", "offset"))
         if last:
             break
         rest, level, before = done.where("open").select("item", "length", F.col("sequence_id").alias("held")), level + 1, underfull
-    places = placed[0]
-    for more in placed[1:]:
-        places = places.unionByName(more)
-    return pieces.join(places, "item", "left").select(
-        "doc_id", "piece", "start", "length", "ids_crc32",
-        F.coalesce("sequence_id", -1 - F.col("item")).alias("sequence_id"), F.coalesce("offset", F.lit(0).cast("long")).alias("offset"),
-        *([widened("ids", "length").alias("ids")] if with_ids else []),
-    )
+    columns = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", *(["ids"] if with_ids else [])]
+    # full sequences and those the tasks filled stay where they are; only what was open is shuffled
+    result = pieces.where("not open").withColumns(
+        {"sequence_id": F.coalesce("sequence_id", -1 - F.col("item")), "offset": F.coalesce("offset", F.lit(0).cast("long"))}
+    ).select(columns)
+    if placed:
+        places = placed[0]
+        for more in placed[1:]:
+            places = places.unionByName(more)
+        result = result.unionByName(pieces.where("open").drop("sequence_id", "offset").join(places, "item").select(columns))
+    return result.withColumn("ids", widened("ids", "length")) if with_ids else result

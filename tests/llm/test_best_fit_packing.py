@@ -8,7 +8,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from codexfold.llm.packing import WordIds, _pairs, best_fit, best_fit_packing, local_search, narrowed, token_pieces, vocabulary_path, widened
+from codexfold.llm.packing import LOCAL, WordIds, _pairs, best_fit, best_fit_packing, local_search, narrowed, token_pieces, vocabulary_path, widened
 
 
 def tokenizer():
@@ -128,6 +128,24 @@ def test_ids_travel_with_16_bits(spark, small_docs):
     assert [bytes(r.ids) for r in table.select("k", widened("ids", "length").alias("ids")).orderBy("k").collect()] == large
 
 
+def test_sequences_that_a_task_fills_are_not_shuffled(docs_of):
+    """Only documents of underfull bins leave the task that made their ids."""
+    r = random.Random(5)
+    rows = [(k, "a " * r.randint(1, 90)) for k in range(2_000)] + [(5_000, "b " * 1_000)]
+    found = best_fit_packing(docs_of(rows).coalesce(1), limit=200, block_items=500).collect()
+    n = checked(rows, found, 200)
+    assert n <= 1.01 * -(-sum(r.length for r in found) // 200) + 1
+    stayed = [r for r in found if r.sequence_id >= LOCAL or r.sequence_id < 0]
+    assert len(stayed) > 0.8 * len(found)
+    assert all(len(r.ids) == 4 * r.length and zlib.crc32(bytes(r.ids)) == r.ids_crc32 for r in found)
+
+
+def test_few_documents_of_many_tasks_are_searched_together(docs_of):
+    rows = [(k, "a " * (5 if k % 2 else 3)) for k in range(200)]
+    found = best_fit_packing(docs_of(rows).repartition(7), limit=10, with_ids=False).collect()
+    assert checked(rows, found, 10) == 100
+
+
 def test_words_before_signs_are_encoded_once():
     words, whole = WordIds(vocabulary_path()), tokenizer()
     texts = ["hend hend, Hend. schön hend### schön, слово слово! (hend)", "hend's, " + "#" * 70 + " a" + "#" * 70 + " ,", "x\n\n y,"]
