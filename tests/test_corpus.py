@@ -402,3 +402,48 @@ def test_leads_and_plain_annotations_read_as_before():
         {"name": "U", "arguments": [{"key": "", "values": ["y"]}]},
         {"name": "V", "arguments": []},
     ]
+
+
+def _plan(spark, made):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return made()._jdf.queryExecution().executedPlan().toString().splitlines()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_hierarchy_reads_once_and_answers_hot_parents_in_place(spark):
+    """Sources are read once; edges are not dealt for counting, nor by salts; all thresholds agree."""
+    texts = [f"class T{k} extends {'Base' if k % 3 else 'T' + str(k + 2)} implements Api, Gone<T{k}>, Api {{}}" for k in range(40)]
+    rows = [(f"r{k % 2}" if k < 38 else None, f"T{k}.java", t) for k, t in enumerate(texts)] + [("r0", "A.java", "interface Api {}\nclass T1 implements Gone {}")]
+    df = spark.createDataFrame(rows + rows[:5], FILES)
+    expected, declared = set(), {("r0", "Api")} | {(r, p[:-5]) for r, p, _ in rows if r and p[0] == "T"}
+    for k, (repo, _, _) in enumerate(rows[:38]):
+        expected |= {(repo, f"T{k}", rel, parent, (repo, parent) in declared) for rel, parent in (("extends", "Base" if k % 3 else f"T{k + 2}"), ("implements", "Api"), ("implements", "Gone"))}
+    expected.add(("r0", "T1", "implements", "Gone", False))
+    for hot_rows in (1, 8, 100_000):
+        got = [(r.repo_id, r.type, r.relation, r.parent, r.parent_declared) for r in C.type_hierarchy(df, hot_rows).collect()]
+        assert sorted(got) == sorted(expected)
+        roots = {(r.repo_id, r.type) for r in C.hierarchy_roots(df, hot_rows).collect()}
+        assert roots == (declared | {("r0", "T1")}) - {e[:2] for e in expected if e[4]}
+    for operator, most in ((C.type_hierarchy, 3), (C.hierarchy_roots, 4)):
+        plan = _plan(spark, lambda operator=operator: operator(df))
+        assert sum("ArrowEvalPython" in line for line in plan) == 1
+        assert sum("Exchange hashpartitioning" in line and "Reused" not in line for line in plan) <= most
+        assert not any("_salt" in line for line in plan)
+
+
+def test_declarations_end_with_the_last_header(monkeypatch):
+    """Bodies behind the last header are not read; what is declared is what the whole text says."""
+    from codexfold.functions import java
+
+    read, tokens_of = [], java.tokens_of
+    monkeypatch.setattr(java, "tokens_of", lambda text: read.append(len(text)) or tokens_of(text))
+    body = "  int x() { return y.getClass().classes + Foo.class; }\n" * 1_000
+    assert [(t["type"], t["parents"]) for t in java.declarations_of("package a;\nclass A extends B {\n" + body + "}")] == [("A", [{"relation": "extends", "parent": "B"}])]
+    assert sum(read) < 100
+    for text in (
+        None, "", "class", "class A", "class A {", "class A { /* class B {\n */ }\nclass C\n /* { */ extends D\n {\n}", "// class A {\nclass B<T extends X {",
+        '"""\nclass A {\n""" class B { "\n', "@A(class B {\n) class C {\n}", "class A(\n) { }", "@interface A { class B {\n", "class A { x = Foo.class; } record R(int a) implements I {\n} subclass X {}",
+    ):
+        assert java.declarations_of(text) == [{**t, "annotations": [], "members": []} for t in java.types_of(text)], text
