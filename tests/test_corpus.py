@@ -447,3 +447,21 @@ def test_declarations_end_with_the_last_header(monkeypatch):
         '"""\nclass A {\n""" class B { "\n', "@A(class B {\n) class C {\n}", "class A(\n) { }", "@interface A { class B {\n", "class A { x = Foo.class; } record R(int a) implements I {\n} subclass X {}",
     ):
         assert java.declarations_of(text) == [{**t, "annotations": [], "members": []} for t in java.types_of(text)], text
+
+
+def test_routes_are_made_by_the_reader(spark):
+    """Only verbs and routes leave the reader, not all types with their members."""
+    text = """@RequestMapping({"/a/", "b"}) class A {
+      @RequestMapping(path = "/x//y/", method = {RequestMethod.GET, PUT, "ü"}) void f();
+      @GET @Path("/p") @Path(value = "q") void g();
+      @DELETE void h();
+      @RequestMapping @PatchMapping(C.D) void i();
+      @GetMapping("/") void j();
+    }
+    class B { @GetMapping("/") void k(); @HEAD() void l(); }"""
+    df = files(spark, ("A.java", text), ("A.java", text), ("B.txt", text), (None, text), ("C.java", None))
+    got = [(r.verb, r.route) for r in C.endpoints(df).collect()]
+    expected = {(v, f"{p}{at}") for p in ("/a", "/b") for v, at in (
+        ("GET", "/x/y"), ("PUT", "/x/y"), ("", "/x/y"), ("GET", "/p"), ("GET", "/q"), ("DELETE", ""), ("ANY", ""), ("PATCH", "/${C.D}"), ("GET", ""))}
+    assert sorted(got) == sorted(expected | {("GET", "/"), ("HEAD", "/")})
+    assert not any("transform(" in line or "members" in line for line in _plan(spark, lambda: C.endpoints(df)))
